@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanlight.llm import simhash
+from spanlight.llm import langid, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_balls": simhash.op4_simhash_balls,
+    "op9_byte_gru": langid.op9_byte_gru,
 }
 
 ORACLE_SQL: dict[str, str] = {}
