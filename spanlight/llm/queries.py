@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanlight.llm import langid, simhash
+from spanlight.llm import langid, mixing, packing, simhash, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_balls": simhash.op4_simhash_balls,
+    "op7_raking": mixing.op7_raking,
+    "op8_dictionary_files": tokenfile.op8_dictionary_files,
     "op9_byte_gru": langid.op9_byte_gru,
+    "op10_best_fit": packing.op10_best_fit,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_raking": mixing.OP7_SQL,
+}
