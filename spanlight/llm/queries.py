@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanlight.llm import langid, mixing, packing, simhash, tokenfile
+from spanlight.llm import langid, mixing, packing, pii, simhash, substring, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_disclosure": pii.op2_disclosure,
     "op4_simhash_balls": simhash.op4_simhash_balls,
+    "op5_de_bruijn": substring.op5_de_bruijn,
     "op7_raking": mixing.op7_raking,
     "op8_dictionary_files": tokenfile.op8_dictionary_files,
     "op9_byte_gru": langid.op9_byte_gru,

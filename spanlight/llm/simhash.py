@@ -74,6 +74,11 @@ def _bit(i: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), i.cast("int"))
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """``df`` over all tasks: a few small rows of a table are about to become many."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+
+
 def _half_postings(prints: DataFrame) -> DataFrame:
     """``(half, value, fp, exact)``: either half of each fingerprint, and that half with one 0 bit set."""
     halves = F.array(
@@ -138,7 +143,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     """
     prints = materialize(add_fingerprints(docs.where(F.col(id).isNotNull()).select(F.col(id).alias("doc_id"), F.col(text).alias("text"))))
     classes = materialize(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("first")))
-    roots = connected_components(links(materialize(candidates(classes.select("fp")))))
+    roots = connected_components(links(_dealt(materialize(candidates(_dealt(classes.select("fp")))))))
     group = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     # Few classes share a root with others; the rest keep their own smallest id.
     lowest = group.groupBy("root").agg(F.min("first").alias("component_id"))
