@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanlight.llm import langid, mixing, packing, pii, simhash, substring, tokenfile
+from spanlight.llm import ann, langid, media, mixing, packing, pii, simhash, substring, tokenfile, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nonnegative_pu": toxicity.op1_nonnegative_pu,
     "op2_disclosure": pii.op2_disclosure,
+    "op3_progressive_jpeg": media.op3_progressive_jpeg,
     "op4_simhash_balls": simhash.op4_simhash_balls,
     "op5_de_bruijn": substring.op5_de_bruijn,
+    "op6_permutation_index": ann.op6_permutation_index,
     "op7_raking": mixing.op7_raking,
     "op8_dictionary_files": tokenfile.op8_dictionary_files,
     "op9_byte_gru": langid.op9_byte_gru,
