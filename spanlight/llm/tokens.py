@@ -3,46 +3,76 @@
 A BPE tokenizer first splits a text into pieces that no merge crosses. The splits used here are
 coarser than the tokenizer's own, so the ids of a text are the ids of its pieces in order. Each
 worker keeps the pieces it has met with their ids as bytes; only new pieces reach the library.
-The store is emptied when it is full, which bounds its memory and changes no result.
+The stores are emptied when they are full, which bounds their memory and changes no result.
 """
 
 from __future__ import annotations
 
 import os
 import re
-import unicodedata
 from collections.abc import Callable
 
 from spanlight.llm.common import vocabulary_path
 
-#: Pieces that a worker keeps, about 200 bytes each.
-KEPT = 800_000
-#: Two white-space characters in a row (as the tokenizers' \\s has it), or a control that str.split takes for one.
-UNEVEN = re.compile(r"\s\s|[\x1c-\x1f]")
-#: Beyond these code points lower-casing and composition can cross the borders of words.
-PLAIN = re.compile("[^\x00-į]")
+#: Pieces, and parts of pieces, that a worker keeps; about 200 bytes each.
+KEPT, KEPT_PARTS = 700_000, 300_000
+_LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+#: Words of these characters are split here as the tokenizer would; all others are left to it.
+_PLAIN = re.compile(f" ?[!-~{_LETTERS}]+")
+#: White space that is neither a space nor a line break, and controls that some rules take for white space.
+_OTHER_SPACE = re.compile("[\\t\\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write printable bytes as themselves and the others from code point 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + n) for n, b in enumerate(others)}
 
 
 class PieceEncoder:
     """``encode(text)`` gives the ids of a text as little-endian bytes of ``width`` each."""
 
-    def __init__(self, path: str, width: int, kept: int = KEPT) -> None:
+    #: The tokenizer's own split, for plain words.
+    parts: re.Pattern
+
+    def __init__(self, path: str, width: int) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.width, self.kept = width, kept
-        self.pieces: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.width, self.letters = width, _byte_letters()
+        self.pieces: dict = {}
+        self.known_parts: dict[str, bytes] = {}
 
     def library(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return b"".join([i.to_bytes(self.width, "little") for i in ids])
 
-    def split(self, text: str) -> list[str] | None:
+    def word(self, word: str) -> bytes:
+        """Ids of a plain word: those of its parts, each from the library's merges or met before."""
+        if not _PLAIN.fullmatch(word):
+            return self.library(word)
+        found, known = [], self.known_parts
+        for part in self.parts.findall(word):
+            ids = known.get(part)
+            if ids is None:
+                if len(known) >= KEPT_PARTS:
+                    known.clear()
+                tokens = self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))
+                ids = known[part] = b"".join([t.id.to_bytes(self.width, "little") for t in tokens])
+            found.append(ids)
+        return b"".join(found)
+
+    def split(self, text: str) -> list | None:
         """Pieces of the text, or None if it must be encoded at once."""
         raise NotImplementedError
 
+    def new(self, piece) -> bytes:
+        raise NotImplementedError
+
     def encode(self, text: str) -> bytes:
         pieces = self.split(text)
         if pieces is None:
@@ -51,12 +81,12 @@ class PieceEncoder:
         try:
             return b"".join([known[p] for p in pieces])
         except KeyError:
-            if len(known) >= self.kept:
+            if len(known) >= KEPT:
                 known.clear()
-            found = known if len(pieces) < self.kept else dict(known)
+            found = known if len(pieces) < KEPT else {}
             for p in pieces:
                 if p not in found:
-                    found[p] = self.library(p)
+                    found[p] = self.new(p)
             return b"".join([found[p] for p in pieces])
 
 
@@ -64,15 +94,16 @@ class BytePieces(PieceEncoder):
     """For the byte-level vocabulary: a piece is a word with the space before it, or a line break.
 
     Its rule joins one space to the word that follows and keeps runs of white space together, so
-    texts with two white-space characters in a row are encoded at once.
+    texts with two white-space characters in a row, or with other white space, are encoded at once.
     """
 
+    parts = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\\s0-9{_LETTERS}]+")
+
     def split(self, text: str) -> list[str] | None:
-        if UNEVEN.search(text):
+        if "  " in text or "\n\n" in text or "\n " in text or " \n" in text or text[-1:] == " " or _OTHER_SPACE.search(text):
             return None
-        lines = text.split("\n")
         pieces: list[str] = []
-        for k, line in enumerate(lines):
+        for k, line in enumerate(text.split("\n")):
             if k:
                 pieces.append("\n")
             first, *rest = line.split(" ")
@@ -81,14 +112,25 @@ class BytePieces(PieceEncoder):
             pieces += [" " + word for word in rest]
         return pieces
 
+    def new(self, piece: str) -> bytes:
+        return self.word(piece)
+
 
 class WordPieces(PieceEncoder):
-    """For the lower-casing vocabulary that drops white space: a piece is a word between white space."""
+    """For the lower-casing vocabulary that drops white space: a piece is a word between white space.
 
-    def split(self, text: str) -> list[str] | None:
-        if PLAIN.search(text) and not unicodedata.is_normalized("NFC", text) or UNEVEN.search(text) and re.search("[\x1c-\x1f]", text):
-            return None
-        return text.split()
+    Nothing that it does to a text, composing and lower-casing included, crosses ASCII white
+    space; what other white space there is stays inside a piece and is left to the library.
+    """
+
+    parts = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\\sa-z0-9\xdf-\xf6\xf8-\xff]+")
+
+    def split(self, text: str) -> list[bytes]:
+        return text.encode().split()
+
+    def new(self, piece: bytes) -> bytes:
+        word = piece.decode()
+        return self.word(word.lower()) if _PLAIN.fullmatch(word) else self.library(word)
 
 
 _ENCODERS: dict[tuple, PieceEncoder] = {}
