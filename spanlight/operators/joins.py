@@ -161,24 +161,25 @@ def nearest_donors(rows: DataFrame, block: str, id: str, vector: str, label: str
     mine = keyed.withColumn("_c", F.pmod(F.xxhash64("_id"), F.col("_k")))
     left = mine.withColumn("_d", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_k") - 1))).drop("_k")
     right = mine.withColumnRenamed("_c", "_d").withColumn("_c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_k") - 1))).drop("_k")
+    right = right.select(*(F.col(c).alias(f"r{c}") for c in ("_block", "_id", "_v", "_l", "_c", "_d")))
 
     def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"_id": [], "same": [], "donor": [], "distance": []})
-        b = b.sort_values("_id")
-        x, y = np.stack(a["_v"].to_numpy()).astype(float), np.stack(b["_v"].to_numpy()).astype(float)
+        b = b.sort_values("r_id")
+        x, y = np.stack(a["_v"].to_numpy()).astype(float), np.stack(b["r_v"].to_numpy()).astype(float)
         d = np.stack([np.sqrt(((y - row) ** 2).sum(1)) for row in x])
-        d[a["_id"].to_numpy()[:, None] == b["_id"].to_numpy()[None, :]] = np.inf
+        d[a["_id"].to_numpy()[:, None] == b["r_id"].to_numpy()[None, :]] = np.inf
         out = []
         for same in (True, False):
-            ok = (a["_l"].to_numpy()[:, None] == b["_l"].to_numpy()[None, :]) == same
+            ok = (a["_l"].to_numpy()[:, None] == b["r_l"].to_numpy()[None, :]) == same
             e = np.where(ok, np.round(d, 9), np.inf)
             at = e.argmin(1)
             best = e[np.arange(len(a)), at]
-            out.append(pd.DataFrame({"_id": a["_id"].to_numpy(), "same": same, "donor": b["_id"].to_numpy()[at], "distance": best})[np.isfinite(best)])
+            out.append(pd.DataFrame({"_id": a["_id"].to_numpy(), "same": same, "donor": b["r_id"].to_numpy()[at], "distance": best})[np.isfinite(best)])
         return pd.concat(out)
 
-    tiles = left.groupBy("_block", "_c", "_d").cogroup(right.groupBy("_block", "_c", "_d")).applyInPandas(tile, "_id bigint, same boolean, donor bigint, distance double")
+    tiles = left.groupBy("_block", "_c", "_d").cogroup(right.groupBy("r_block", "r_c", "r_d")).applyInPandas(tile, "_id bigint, same boolean, donor bigint, distance double")
     return tiles.groupBy("_id", "same").agg(F.min(F.struct("distance", "donor")).alias("m")).select(F.col("_id").alias(id), "same", F.col("m.donor").alias("donor_id"), "m.distance")
 
 

@@ -83,7 +83,7 @@ def prov_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base(spark, sf_dir).selectExpr(
         "event_id AS case_id", "cast(1 + event_id % 3 as int) AS fold", "cast(1 + (event_id div 3) % 2 as int) AS seed", "CASE user_id % 2 WHEN 0 THEN 'logistic' ELSE 'trees' END AS model",
-        "round(value / 500, 2) AS score", "cast(event_type = 'error' as int) AS y", "k % 5 AS tactic", "cast((k + user_id) % 5 as int) AS prediction", "user_id AS group_id", "h",
+        "floor(value / 5 + 0.5) / 100 AS score", "cast(event_type = 'error' as int) AS y", "k % 5 AS tactic", "cast((k + user_id) % 5 as int) AS prediction", "user_id AS group_id", "h",
     )
 
 
@@ -122,7 +122,7 @@ cases AS (SELECT tactic || '_' || lpad(n::VARCHAR, 4, '0') AS case_id, tactic, m
   min(ts_s) FILTER (WHERE view = 'provenance') AS provenance_start, max(ts_s) FILTER (WHERE view = 'provenance') AS provenance_end FROM numbered GROUP BY tactic, n),
 anchored AS (SELECT *, coalesce(network_start, start_s) AS anchor FROM cases),
 scored AS (SELECT event_id AS case_id, (1 + event_id % 3)::INT AS fold, (1 + (event_id // 3) % 2)::INT AS seed, CASE user_id % 2 WHEN 0 THEN 'logistic' ELSE 'trees' END AS model,
-  round(value / 500, 2) AS score, (event_type = 'error')::INT AS y, k % 5 AS tactic, ((k + user_id) % 5)::INT AS prediction, user_id AS group_id, h FROM base),
+  floor(value / 5 + 0.5) / 100 AS score, (event_type = 'error')::INT AS y, k % 5 AS tactic, ((k + user_id) % 5)::INT AS prediction, user_id AS group_id, h FROM base),
 decision AS (SELECT *, (('0x' || substr(md5(concat_ws('|', case_id, condition, 'accepted')), 1, 8))::BIGINT % 100 < CASE condition WHEN 'clean' THEN 70 ELSE 45 END)::INT AS accepted,
   (('0x' || substr(md5(concat_ws('|', case_id, condition, 'correct')), 1, 8))::BIGINT % 100 < CASE condition WHEN 'clean' THEN 75 ELSE 50 END)::INT AS correct
   FROM scored, (SELECT unnest({list(CONDITIONS)}) AS condition))"""
