@@ -1,4 +1,4 @@
 """All queries of the library's own operators."""
 
-from spanlight.plans import graph, metrics, splits, windows  # noqa: F401
+from spanlight.plans import functions, graph, metrics, packages, splits, windows  # noqa: F401
 from spanlight.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
