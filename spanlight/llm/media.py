@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
 from spanlight.llm.common import documents
 
@@ -431,7 +432,7 @@ def encode_texts(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
 def decode_images(files: DataFrame, media: str = "media") -> DataFrame:
     """``files`` with ``height, width, rgb``: rows of 8-bit RGB samples, null where a file is null or can't be read."""
     rest = [c for c in files.columns if c not in (media, "height", "width", "rgb")]
-    schema = files.select(*rest, F.lit(0).alias("height"), F.lit(0).alias("width"), F.lit(b"").alias("rgb")).schema
+    schema = StructType(files.select(*rest).schema.fields + [StructField("height", IntegerType()), StructField("width", IntegerType()), StructField("rgb", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
