@@ -195,3 +195,26 @@ def inject_graph(original: DataFrame, donor: DataFrame, prefix: str) -> DataFram
     renamed = donor.withColumns({c: F.concat(F.lit(prefix), F.col(c)) for c in ("src", "dst")})
     return original.withColumn("part", F.lit("original")).unionByName(renamed.withColumn("part", F.lit("injected")))
 
+
+
+def disjoint_centres(rows: DataFrame, key: str, ts: str, wanted: int, radius: float, least: int, most: int) -> DataFrame:
+    """Quantile-spaced times whose windows of ``radius`` hold ``least`` to ``most`` rows and do not overlap.
+
+    Picks are the first rows of ``4 * wanted`` equal parts of each key; their windows are counted
+    by a range join, and the sequential choice runs on the few picks that are left.
+    """
+    import pandas as pd
+
+    parts = F.ntile(4 * wanted).over(Window.partitionBy(key).orderBy(ts))
+    picks = rows.select(key, ts, parts.alias("_p")).groupBy(key, "_p").agg(F.min(ts).alias("centre")).select(F.col(key).alias("_k"), "centre")
+    sized = within(picks.withColumnRenamed("_k", key), rows.select(key, ts), "centre", ts, radius, [key]).groupBy(key, "centre").agg(F.count("*").alias("n")).where(F.col("n").between(least, most))
+
+    def choose(group: pd.DataFrame) -> pd.DataFrame:
+        kept, last = [], None
+        for r in group.sort_values("centre").itertuples():
+            if len(kept) < wanted and (last is None or r.centre - last >= 2 * radius):
+                kept.append(r.Index)
+                last = r.centre
+        return group.loc[kept]
+
+    return sized.groupBy(key).applyInPandas(choose, sized.schema)

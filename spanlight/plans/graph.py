@@ -212,6 +212,12 @@ def j18(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.nearest_donors(rows, "block", "vec_id", "embedding", "label").withColumn("distance", F.round("distance", 6))
 
 
+@query("j19_disjoint_centres")
+def j19(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benign = V.flow(spark, sf_dir).where("label = 0").select("protocol", "ts_s")
+    return J.disjoint_centres(benign, "protocol", "ts_s", 12, R, 1, 1_000_000)
+
+
 @query(
     "j20_injected_graph",
     "SELECT relation, operation, count(*) AS n, count(DISTINCT src) AS sources FROM (SELECT relation, operation, src FROM prov_edge WHERE label = 1 UNION ALL SELECT relation, operation, 'd_' || src FROM prov_edge WHERE operation = 'open') GROUP BY ALL",

@@ -10,6 +10,37 @@ from spanlight.plans.registry import query
 from spanlight.sources import io
 
 
+@query(
+    "s01_s02_flow_files",
+    "SELECT protocol, count(*) AS n, round(sum(ts_s), 3) AS total_s, (SELECT count(*) FROM flow) AS rows_n, (SELECT count(*) FROM flow WHERE row_id % 97 = 0) AS malformed, (SELECT count(*) FROM flow WHERE row_id % 97 <> 0 AND row_id % 89 = 0) AS bad_time FROM flow WHERE row_id % 97 <> 0 AND row_id % 89 <> 0 GROUP BY 1",
+)
+def s01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flow view written as comma-separated files with faulty lines, and read again."""
+    path = io.scratch_dir(spark)
+    lines = V.flow(spark, sf_dir).select(
+        F.concat_ws(",", F.when(F.col("row_id") % 89 == 0, F.lit("bad")).otherwise(F.col("ts_s").cast("decimal(20,6)").cast("string")), "src_ip", "protocol", F.when(F.col("row_id") % 97 == 0, F.lit("x,y")).otherwise(F.col("size").cast("string"))).alias("value")
+    )
+    lines.write.text(path)
+    rows, counts = io.read_flow(spark, path, columns=["ts", "ip", "protocol", "size"])
+    return rows.groupBy("protocol").agg(F.count("*").alias("n"), F.round(F.sum("ts_s"), 3).alias("total_s")).crossJoin(F.broadcast(counts))
+
+
+@query("s03_provenance_files", "SELECT type, count(*) AS n, count(DISTINCT exe) AS programs FROM prov_node GROUP BY 1")
+def s03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Provenance nodes written as quoted CSV with line breaks inside fields, and read again."""
+    path = io.scratch_dir(spark)
+    V.prov_node(spark, sf_dir).withColumn("note", F.concat(F.lit('a "b"\n'), "id")).write.csv(path, header=True, escape='"', quoteAll=True)
+    back = io.read_provenance(spark, path).where(F.col("note") == F.concat(F.lit('a "b"\n'), "id"))
+    return back.groupBy("type").agg(F.count("*").alias("n"), F.countDistinct(F.coalesce("exe", F.lit(""))).alias("programs"))
+
+
+@query("s05_json_lines", "SELECT fold, count(*) AS n, round(sum(score), 6) AS total FROM scored GROUP BY 1")
+def s05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = io.scratch_dir(spark)
+    io.write_jsonl(V.scored(spark, sf_dir).select("case_id", "fold", "score"), path, "fold")
+    return io.read_jsonl(spark, path, "case_id bigint, score double, fold int").groupBy("fold").agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("total"))
+
+
 @query("s04_nodes_and_edges", "SELECT 'node' AS part, type AS kind, count(*) AS n, count(DISTINCT id) AS ids FROM prov_node GROUP BY 2 UNION ALL SELECT 'edge', relation, count(*), count(DISTINCT src) FROM prov_edge GROUP BY 2")
 def s04(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes twice over (an older copy first) and edges in one mixed table, as a provenance file has them."""

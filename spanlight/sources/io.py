@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,14 +16,15 @@ from spanlight.functions.scalars import finite
 FORBIDDEN = ("label", "tactic", "cluster", "incident", "attack", "malicious", "timestamp", "epoch", "iat", "idle_time")
 
 
-def read_flow(spark: SparkSession, path: str, ts: str = "ts", requote: bool = False) -> tuple[DataFrame, DataFrame]:
+def read_flow(spark: SparkSession, path: str, ts: str = "ts", requote: bool = False, columns: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Usable rows of a comma-separated flow file as text columns plus ``ts_s``, and one row of counts.
 
     Rows with another number of fields than the header, or without a finite time, are dropped but
-    counted. With ``requote``, rows that a plain split cannot read are parsed as quoted CSV.
+    counted. With ``requote``, rows that a plain split cannot read are parsed as quoted CSV. The
+    first line names the columns unless ``columns`` does, as many files without a header need.
     """
-    header = spark.read.text(path).first()
-    names = [c.strip() for c in header.value.lstrip("﻿").split(",")] if header else []
+    header = None if columns else spark.read.text(path).first()
+    names = columns or ([c.strip() for c in header.value.lstrip("﻿").split(",")] if header else [])
     if ts not in names:
         raise ValueError(f"no column {ts}")
     lines = spark.read.text(path).where(F.ltrim("value", F.lit("﻿")) != ",".join(names)).where(F.length("value") > 0)
@@ -58,6 +61,12 @@ def split_provenance(rows: DataFrame, kind: str = "type", id: str = "id", ts: Co
     return nodes, edges
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder below the shared one that ``spark.checkpoint.dir`` names, or a temporary one where it is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def write_jsonl(df: DataFrame, path: str, partition: str | None = None) -> None:
     """One JSON object a line, fields in alphabetical order."""
     writer = df.select(sorted(df.columns)).write.mode("errorifexists")

@@ -253,3 +253,10 @@ def test_json_lines_and_guards(spark, tmp_path):
     r = io.require(bad, ["k", "gone"], "k", ["v"]).first()
     assert (r.missing_columns, r.not_finite_v, r.null_keys, r.repeated_keys) == (1, 2, 1, 1)
     assert tuple(io.overlap(spark.createDataFrame([(0.0,), (10.0,)], "ts_s double"), spark.createDataFrame([(5.0,), (12.0,)], "ts_s double")).first()) == (5, 5, 2)
+
+
+def test_disjoint_centres(spark):
+    rows = [("a", float(t)) for t in range(0, 1000, 5)]
+    got = sorted(r.centre for r in J.disjoint_centres(spark.createDataFrame(rows, "k string, t double"), "k", "t", 5, 40, 1, 100).collect())
+    assert len(got) == 5 and all(b - a >= 80 for a, b in zip(got, got[1:], strict=False))
+    assert J.disjoint_centres(spark.createDataFrame(rows, "k string, t double"), "k", "t", 5, 40, 1, 2).count() == 0
