@@ -22,5 +22,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_de_bruijn": substring.OP5_SQL,
     "op7_raking": mixing.OP7_SQL,
 }

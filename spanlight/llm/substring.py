@@ -210,3 +210,11 @@ def drop_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", window
 
 def op5_de_bruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP5_SQL = r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+r AS (SELECT h FROM p GROUP BY h HAVING count(*) > 1), g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS k FROM p SEMI JOIN r USING (h)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1), x AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM d),
+t AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS kept FROM x ANTI JOIN g USING (doc_id, k) GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)"""
