@@ -36,6 +36,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, after its session was told to hand at most ``rows`` rows at once to Python.
+
+    Spark also bounds a batch by bytes; fewer rows keep whole texts, their copies and what is
+    computed from them small beside the other tenants of an executor.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(key)) > rows:
+        df.sparkSession.conf.set(key, str(rows))
+    return df
+
+
 def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:
     """True for the fifth of the documents that no model may learn from."""
     return F.crc32(F.col(doc_id).cast("string")) % folds == 0

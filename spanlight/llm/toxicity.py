@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlight.llm.common import documents, held_out
+from spanlight.llm.common import documents, held_out, in_batches
 
 #: Bytes that part words: everything in ASCII but letters, digits and the apostrophe; capitals become small.
 _TABLE = bytes(b if b > 127 or chr(b).isalnum() and not chr(b).isupper() or b == 39 else b + 32 if chr(b).isupper() else 32 for b in range(256))
@@ -54,11 +54,16 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(f, -30, 30))))
 
 
-def train(rows: list[tuple[list[int], bool]], words: list[bytes], prior: float, steps: int = 800, rate: float = 0.25, l1: float = 1e-3) -> Scorer:
-    """Fit on ``(indices of words, is positive)`` rows with the non-negative risk estimator."""
+def train(rows: list[tuple[list[int], bool]], words: list[bytes], prior: float, steps: int = 800, rate: float = 0.25, l1: float | None = None) -> Scorer:
+    """Fit on ``(indices of words, is positive)`` rows with the non-negative risk estimator.
+
+    ``l1`` is by default what the gradient of a word without evidence, in a twentieth of the
+    positives, varies by; so a small sample admits fewer words.
+    """
     size = np.array([len(r[0]) for r in rows])
     owner, column = np.repeat(np.arange(len(rows)), size), np.fromiter((i for r in rows for i in r[0]), np.int64, int(size.sum()))
     positive = np.array([r[1] for r in rows])
+    l1 = l1 or max(4e-4, prior * float(np.sqrt(0.05 / max(1, positive.sum()))))
     in_p, in_u = positive / max(1, positive.sum()), ~positive / max(1, (~positive).sum())
     w, bias, risks = np.zeros(len(words)), float(np.log(prior / (1 - prior))), []
     first, second = np.zeros(len(words) + 1), np.zeros(len(words) + 1)
@@ -98,14 +103,15 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     prior = min(0.9, max(1e-4, total.p / total.l))
     share = F.when(F.col("positive"), positives / total.p).otherwise(unlabelled / total.u)
     drawn = joined.where(F.pmod(F.xxhash64(F.lit("pu"), "id"), F.lit(1 << 30)) / (1 << 30) < share).select(F.col("id").alias("drawn_id"), "positive")
-    sample = training.join(drawn, F.col("id") == F.col("drawn_id")).select("id", "text", "positive")
+    # The draw is bounded by the two sample sizes, so its ids are sent to the texts and not the other way.
+    sample = training.join(F.broadcast(drawn), F.col("id") == F.col("drawn_id")).select("id", "text", "positive")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = [sorted(features(t.as_py())) for t in batch.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(words, pa.list_(pa.binary()))], ["id", "positive", "words"])
 
-    listed = sample.mapInArrow(run, "id bigint, positive boolean, words array<binary>")
+    listed = in_batches(sample).mapInArrow(run, "id bigint, positive boolean, words array<binary>")
     counts = listed.select("positive", F.explode("words").alias("word")).groupBy("word").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u")).where(F.col("p") >= least)
     gap = F.abs(F.col("p") / F.lit(float(min(total.p, positives))) - F.col("u") / F.lit(float(min(total.u, unlabelled))))
     words = sorted(bytes(r.word) for r in counts.orderBy(F.desc(gap), "word").limit(vocabulary).select("word").collect())
@@ -116,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
             rows = [sorted(index[w] for w in index.keys() & features(t.as_py())) for t in batch.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.list_(pa.int32()))], ["id", "positive", "words"])
 
-    rows = sample.mapInArrow(number, "id bigint, positive boolean, words array<int>").orderBy("id").collect()
+    rows = in_batches(sample).mapInArrow(number, "id bigint, positive boolean, words array<int>").orderBy("id").collect()
     return train([(r.words, r.positive) for r in rows], words, prior)
 
 
@@ -130,7 +136,7 @@ def score(docs: DataFrame, scorer: Scorer | None, text: str = "text", out: str =
             found = [scorer.score(t.as_py() or b"") if scorer else 0.0 for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.float64())], [*rest, out])
 
-    return docs.select(*rest, text).mapInArrow(run, docs.select(*rest, F.lit(0.0).alias(out)).schema)
+    return in_batches(docs).select(*rest, text).mapInArrow(run, docs.select(*rest, F.lit(0.0).alias(out)).schema)
 
 
 def op1_nonnegative_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
