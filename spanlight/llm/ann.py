@@ -84,21 +84,28 @@ def search_block(queries: pa.Table, posted: pa.Table, pivot: int, k: int, share:
     places = np.frombuffer(b"".join(posted.column("places").to_pylist()), np.int16).reshape(len(x), -1)
     q_x, q_ids = _matrix(queries.column("v")), queries.column("id").to_numpy()
     q_places = np.frombuffer(b"".join(queries.column("places").to_pylist()), np.int16).reshape(len(q_x), -1)
-    filed = (places < post).astype(np.float32)
+    filed, by_pivot = (places < post).astype(np.float32), np.ascontiguousarray(places.T)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    step = max(1, (1 << 22) // max(1, places.size))
+    step = max(1, (1 << 18) // max(1, len(places)))
     for at in range(0, len(q_x), step):
         qp = q_places[at : at + step]
         earlier = ((qp < probe) & (qp < qp[:, [pivot]])).astype(np.float32)
         fresh = (earlier @ filed.T == 0) & (ids[None, :] != q_ids[at : at + step, None])
-        foot = np.abs(qp[:, None, :] - places[None, :, :]).sum(2, dtype=np.int32)
-        foot[~fresh] = np.iinfo(np.int32).max
+        foot = np.zeros((len(qp), len(ids)), np.int16)
+        for theirs, mine in zip(by_pivot, qp.T, strict=True):
+            gap = theirs[None, :] - mine[:, None]
+            foot += np.abs(gap, out=gap)
+        foot[~fresh] = np.iinfo(np.int16).max
         order = np.argsort(foot, 1, kind="stable")  # postings are sorted by id, so equal distances keep the smaller
         scores = q_x[at : at + step] @ x.T
         for j, (ranked, n) in enumerate(zip(order, fresh.sum(1).tolist(), strict=True)):
             near = ranked[: min(n, max(20 * k, int(np.ceil(share * n))))]
-            best = near[np.lexsort((ids[near], -scores[j, near]))[:k]]
-            found.append((np.full(len(best), q_ids[at + j]), ids[best], scores[j, best]))
+            s = scores[j, near]
+            if len(near) > k:  # only the best and what ties with the last of them has to be ordered
+                top = s >= np.partition(s, -k)[-k]
+                near, s = near[top], s[top]
+            best = np.lexsort((ids[near], -s))[:k]
+            found.append((np.full(len(best), q_ids[at + j]), ids[near[best]], s[best]))
     columns = [np.concatenate(c) if found else np.zeros(0, t) for c, t in zip(zip(*found, strict=True) if found else ((), (), ()), (np.int64, np.int64, np.float64), strict=True)]
     return pa.table([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
 
