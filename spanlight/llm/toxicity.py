@@ -54,14 +54,14 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(f, -30, 30))))
 
 
-def train(rows: list[tuple[list[int], bool]], words: list[bytes], prior: float, steps: int = 800, rate: float = 0.25, l1: float | None = None) -> Scorer:
+def train(rows: list[tuple[np.ndarray, bool]], words: list[bytes], prior: float, steps: int = 800, rate: float = 0.25, l1: float | None = None) -> Scorer:
     """Fit on ``(indices of words, is positive)`` rows with the non-negative risk estimator.
 
     ``l1`` is by default what the gradient of a word without evidence, in a twentieth of the
     positives, varies by; so a small sample admits fewer words.
     """
     size = np.array([len(r[0]) for r in rows])
-    owner, column = np.repeat(np.arange(len(rows)), size), np.fromiter((i for r in rows for i in r[0]), np.int64, int(size.sum()))
+    owner, column = np.repeat(np.arange(len(rows)), size), np.concatenate([r[0] for r in rows])
     positive = np.array([r[1] for r in rows])
     l1 = l1 or max(4e-4, prior * float(np.sqrt(0.05 / max(1, positive.sum()))))
     in_p, in_u = positive / max(1, positive.sum()), ~positive / max(1, (~positive).sum())
@@ -119,11 +119,11 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [sorted(index[w] for w in index.keys() & features(t.as_py())) for t in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.list_(pa.int32()))], ["id", "positive", "words"])
+            rows = [np.array(sorted(index[w] for w in index.keys() & features(t.as_py())), np.int32).tobytes() for t in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.binary())], ["id", "positive", "words"])
 
-    rows = in_batches(sample).mapInArrow(number, "id bigint, positive boolean, words array<int>").orderBy("id").collect()
-    return train([(r.words, r.positive) for r in rows], words, prior)
+    rows = in_batches(sample).mapInArrow(number, "id bigint, positive boolean, words binary").orderBy("id").collect()
+    return train([(np.frombuffer(r.words, np.int32), r.positive) for r in rows], words, prior)
 
 
 def score(docs: DataFrame, scorer: Scorer | None, text: str = "text", out: str = "score") -> DataFrame:
