@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanlight.llm.common import documents, free_name, held_out
+from spanlight.llm.common import documents, free_name, held_out, in_batches
 
 WINDOW = 64
 PAD = 256
@@ -207,7 +207,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text", pr
                 scores[[t is None for t in texts]] = 0
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores)], [*rest, pred, score])
 
-    return kept.mapInArrow(run, docs.select(*rest, F.lit("").alias(pred), F.lit(0.0).alias(score)).schema)
+    return in_batches(kept).mapInArrow(run, docs.select(*rest, F.lit("").alias(pred), F.lit(0.0).alias(score)).schema)
 
 
 def identify(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
-from spanlight.llm.common import documents
+from spanlight.llm.common import documents, in_batches
 
 UNIT, PER_BLOCK, MAX_MCUS = 192, 48, 256
 
@@ -426,7 +426,7 @@ def encode_texts(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
                     files.append(write_payload(raw + b" " * (-len(raw) % UNIT if raw else UNIT), len(raw)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(files, pa.binary())], ["id", "media"])
 
-    return docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id bigint, media binary").withColumnRenamed("id", id)
+    return in_batches(docs).select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id bigint, media binary").withColumnRenamed("id", id)
 
 
 def decode_images(files: DataFrame, media: str = "media") -> DataFrame:
@@ -448,7 +448,7 @@ def decode_images(files: DataFrame, media: str = "media") -> DataFrame:
                 tail = [pa.array([x], t) for x, t in zip(found, (pa.int32(), pa.int32(), pa.binary()), strict=True)]
                 yield pa.RecordBatch.from_arrays([*row.columns[:-1], *tail], [*rest, "height", "width", "rgb"])
 
-    return files.select(*rest, media).mapInArrow(run, schema)
+    return in_batches(files).select(*rest, media).mapInArrow(run, schema)
 
 
 def read_back(files: DataFrame, id: str = "doc_id", media: str = "media") -> DataFrame:
@@ -467,7 +467,7 @@ def read_back(files: DataFrame, id: str = "doc_id", media: str = "media") -> Dat
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", *_DIGESTS])
 
     schema = "id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-    return files.select(F.col(id).alias("id"), media).mapInArrow(run, schema).withColumnRenamed("id", id)
+    return in_batches(files).select(F.col(id).alias("id"), media).mapInArrow(run, schema).withColumnRenamed("id", id)
 
 
 _DIGESTS = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]

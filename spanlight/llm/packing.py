@@ -24,7 +24,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanlight.llm.common import documents, materialize
+from spanlight.llm.common import documents, in_batches, materialize
 from spanlight.llm.tokens import word_encoder
 
 CAPACITY = 2048
@@ -54,7 +54,7 @@ def tokenize(docs: DataFrame, id: str = "doc_id", text: str = "text", capacity:
             )
 
     rows = docs.select(F.col(id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return in_batches(rows).mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def sweeps(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:

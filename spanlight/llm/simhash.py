@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlight.llm.common import documents, materialize
+from spanlight.llm.common import documents, in_batches, materialize
 from spanlight.llm.components import connected_components
 
 SEED = 42
@@ -67,7 +67,7 @@ def add_fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3, out:
             prints = np.fromiter((fingerprint(t.as_py(), shingle) for t in texts), "<u8", len(texts)).view("<i8")
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints)], [*batch.schema.names[:-1], out])
 
-    return kept.mapInArrow(run, kept.drop(text).withColumn(out, F.lit(0).cast("bigint")).schema)
+    return in_batches(kept).mapInArrow(run, kept.drop(text).withColumn(out, F.lit(0).cast("bigint")).schema)
 
 
 def _bit(i: Column) -> Column:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlight.llm.common import documents, materialize
+from spanlight.llm.common import documents, in_batches, materialize
 
 WINDOW = 35
 KMER = 8
@@ -128,7 +128,7 @@ def read_paths(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataF
                 [ids, _signed(seed), _signed(content), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32))], ["id", "seed", "content", "first", "n"]
             )
 
-    return docs.mapInArrow(run, "id bigint, seed bigint, content bigint, first int, n int")
+    return in_batches(docs).mapInArrow(run, "id bigint, seed bigint, content bigint, first int, n int")
 
 
 def read_edges(branching: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -149,7 +149,7 @@ def read_edges(branching: DataFrame, window: int = WINDOW) -> DataFrame:
                     [pa.array(np.full(len(at), ids[k].as_py())), pa.array(np.repeat(seed, count)), _signed(edges[at]), pa.array(at.astype(np.int32))], ["id", "seed", "edge", "at"]
                 )
 
-    return branching.mapInArrow(run, "id bigint, seed bigint, edge bigint, at int")
+    return in_batches(branching).mapInArrow(run, "id bigint, seed bigint, edge bigint, at int")
 
 
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
@@ -205,7 +205,7 @@ def drop_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", window
                 kept.append(b" ".join(left))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "kept"])
 
-    return joined.mapInArrow(run, "id bigint, n_words bigint, n_removed bigint, kept string").withColumnRenamed("id", id)
+    return in_batches(joined).mapInArrow(run, "id bigint, n_words bigint, n_removed bigint, kept string").withColumnRenamed("id", id)
 
 
 def op5_de_bruijn(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlight.llm.common import documents, shared_dir
+from spanlight.llm.common import documents, in_batches, shared_dir
 from spanlight.llm.tokens import byte_encoder
 
 END = 2
@@ -56,7 +56,7 @@ def train_dictionary(docs: DataFrame, id: str, text: str, width: int, sample: in
             rows = [serialize(encode(t or ""), width)[:most] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["id", "ids"])
 
-    rows = [bytes(r.ids) for r in chosen.mapInArrow(run, "id bigint, ids binary").orderBy("id").limit(2 * sample).collect()]
+    rows = [bytes(r.ids) for r in in_batches(chosen).mapInArrow(run, "id bigint, ids binary").orderBy("id").limit(2 * sample).collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, rows).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -71,7 +71,7 @@ def open_fs(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(uri) if ":/" in uri else (pyarrow.fs.LocalFileSystem(), uri)
 
 
-def write(docs: DataFrame, folder: str, id: str = "doc_id", text: str = "text", width: int = 2, end: int = END, level: int = 3) -> list[dict]:
+def write(docs: DataFrame, folder: str, id: str = "doc_id", text: str = "text", width: int = 2, end: int = END, level: int = 1) -> list[dict]:
     """Encode and write every document in ascending order of its id; returns the shards in order.
 
     Null texts count as empty and are stored as the end id; rows without an id are dropped;
@@ -112,7 +112,7 @@ def write(docs: DataFrame, folder: str, id: str = "doc_id", text: str = "text",
         yield pa.RecordBatch.from_pylist([{"shard": shard, "first_id": index[0][0], "docs": len(index), "tokens": int(entries["ids"].sum())}])
 
     ordered = docs.repartitionByRange("id").sortWithinPartitions("id")
-    shards = [r.asDict() for r in ordered.mapInArrow(run, "shard string, first_id bigint, docs bigint, tokens bigint").collect()]
+    shards = [r.asDict() for r in in_batches(ordered).mapInArrow(run, "shard string, first_id bigint, docs bigint, tokens bigint").collect()]
     shards.sort(key=lambda s: (s["first_id"], s["shard"]))
     start = 0
     for s in shards:

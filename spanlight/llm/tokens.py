@@ -8,6 +8,7 @@ The stores are emptied when they are full, which bounds their memory and changes
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 from collections.abc import Callable
@@ -15,7 +16,7 @@ from collections.abc import Callable
 from spanlight.llm.common import vocabulary_path
 
 #: Pieces, and parts of pieces, that a worker keeps; about 200 bytes each.
-KEPT, KEPT_PARTS = 700_000, 300_000
+KEPT, KEPT_PARTS = 350_000, 150_000
 _LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 #: Words of these characters are split here as the tokenizer would; all others are left to it.
 _PLAIN = re.compile(f" ?[!-~{_LETTERS}]+")
@@ -45,6 +46,7 @@ class PieceEncoder:
         self.model = self.tokenizer.model
         self.width, self.letters = width, _byte_letters()
         self.pieces: dict = {}
+        self.spaced: dict[str, bytes] = {}
         self.known_parts: dict[str, bytes] = {}
 
     def library(self, text: str) -> bytes:
@@ -66,28 +68,8 @@ class PieceEncoder:
             found.append(ids)
         return b"".join(found)
 
-    def split(self, text: str) -> list | None:
-        """Pieces of the text, or None if it must be encoded at once."""
-        raise NotImplementedError
-
-    def new(self, piece) -> bytes:
-        raise NotImplementedError
-
     def encode(self, text: str) -> bytes:
-        pieces = self.split(text)
-        if pieces is None:
-            return self.library(text)
-        known = self.pieces
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            if len(known) >= KEPT:
-                known.clear()
-            found = known if len(pieces) < KEPT else {}
-            for p in pieces:
-                if p not in found:
-                    found[p] = self.new(p)
-            return b"".join([found[p] for p in pieces])
+        raise NotImplementedError
 
 
 class BytePieces(PieceEncoder):
@@ -99,21 +81,28 @@ class BytePieces(PieceEncoder):
 
     parts = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\\s0-9{_LETTERS}]+")
 
-    def split(self, text: str) -> list[str] | None:
+    def encode(self, text: str) -> bytes:
         if "  " in text or "\n\n" in text or "\n " in text or " \n" in text or text[-1:] == " " or _OTHER_SPACE.search(text):
-            return None
-        pieces: list[str] = []
+            return self.library(text)
+        if len(self.spaced) + len(self.pieces) >= 2 * KEPT:
+            self.spaced.clear()
+            self.pieces.clear()
+        first, spaced, out = self.pieces, self.spaced, []
         for k, line in enumerate(text.split("\n")):
             if k:
-                pieces.append("\n")
-            first, *rest = line.split(" ")
-            if first:
-                pieces.append(first)
-            pieces += [" " + word for word in rest]
-        return pieces
+                out.append(self.line_break)
+            head, *rest = line.split(" ")
+            if head:
+                out.append(first[head] if head in first else first.setdefault(head, self.word(head)))
+            try:
+                out += [spaced[w] for w in rest]
+            except KeyError:
+                out += [spaced[w] if w in spaced else spaced.setdefault(w, self.word(" " + w)) for w in rest]
+        return b"".join(out)
 
-    def new(self, piece: str) -> bytes:
-        return self.word(piece)
+    @functools.cached_property
+    def line_break(self) -> bytes:
+        return self.library("\n")
 
 
 class WordPieces(PieceEncoder):
@@ -125,8 +114,14 @@ class WordPieces(PieceEncoder):
 
     parts = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\\sa-z0-9\xdf-\xf6\xf8-\xff]+")
 
-    def split(self, text: str) -> list[bytes]:
-        return text.encode().split()
+    def encode(self, text: str) -> bytes:
+        words, known = text.encode().split(), self.pieces
+        try:
+            return b"".join([known[w] for w in words])
+        except KeyError:
+            if len(known) >= KEPT:
+                known.clear()
+            return b"".join([known[w] if w in known else known.setdefault(w, self.new(w)) for w in words])
 
     def new(self, piece: bytes) -> bytes:
         word = piece.decode()
