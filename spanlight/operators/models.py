@@ -79,7 +79,7 @@ def out_of_fold(rows: DataFrame, features: list[str], label: str, fold: str, mod
 
 def tfidf(docs: DataFrame, id: str, text: str, terms: int = 500) -> DataFrame:
     """M6: ``id, term, value``: 1- and 2-grams of words of two or more letters or digits, the commonest ``terms``, 1 + ln(tf), smoothed idf, unit length."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"\b\w\w+\b"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
     listed = docs.select(F.col(id), words.alias("w"))
     pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))).otherwise(F.array().cast("array<string>"))
     tf = listed.select(id, F.explode(F.concat("w", pairs)).alias("term")).groupBy(id, "term").agg(F.count("*").alias("tf"))

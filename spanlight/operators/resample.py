@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,6 +64,11 @@ def _mcnemar(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_two_sided(int(x), int(y)) for x, y in zip(a, b, strict=True)])
 
 
+def _binomial(n: int) -> list[float]:
+    """Chances of 0 to n heads in n fair throws, from logarithms; the far ends of a long one are zero."""
+    return [math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2)) for k in range(n + 1)]
+
+
 def sign_flip(differences: DataFrame, diff: str = "d") -> DataFrame:
     """Exact two-sided p value that random signs give a sum as large as the one seen.
 
@@ -71,14 +77,15 @@ def sign_flip(differences: DataFrame, diff: str = "d") -> DataFrame:
     counts = differences.where(F.col(diff) != 0).groupBy(F.abs(F.col(diff)).cast("bigint").alias("size")).agg(F.count("*").alias("n"), F.sum(diff).alias("s"))
 
     def convolve(rows: pd.DataFrame) -> pd.DataFrame:
-        ways, seen = {0: 1.0}, int(rows["s"].sum())
-        for size, n in zip(rows["size"], rows["n"], strict=True):
-            for _ in range(int(n)):
-                new: dict[int, float] = {}
-                for at, p in ways.items():
-                    new[at + size] = new.get(at + size, 0.0) + p / 2
-                    new[at - size] = new.get(at - size, 0.0) + p / 2
-                ways = new
-        return pd.DataFrame({"sum": [seen], "p": [sum(p for at, p in ways.items() if abs(at) >= abs(seen))]})
+        # Place i of ways is the chance that the sizes with a plus sign add up to i; the signed sum is then 2 * i - most.
+        ways, seen, most = np.ones(1), int(rows["s"].sum()), int((rows["size"] * rows["n"]).sum())
+        for size, n in sorted(zip(rows["size"].astype(int).tolist(), rows["n"].astype(int).tolist(), strict=True)):
+            new = np.zeros(len(ways) + size * n)
+            for k, p in enumerate(_binomial(n)):
+                if p:
+                    new[k * size : k * size + len(ways)] += p * ways
+            ways = new
+        signed = np.abs(2 * np.arange(len(ways)) - most)
+        return pd.DataFrame({"sum": [seen], "p": [min(1.0, math.fsum(ways[signed >= abs(seen)]))]})
 
     return counts.groupBy(F.lit(1).alias("one")).applyInPandas(convolve, "sum bigint, p double")

@@ -264,6 +264,12 @@ def a08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.mid_percentile(s.where("h % 9 = 0").select("case_id", "fold", "score"), s.where("y = 0"), ["fold"]).select("case_id", F.round("percentile", 9).alias("percentile"))
 
 
+@query("a08_mid_percentile_whole")
+def a08_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = V.scored(spark, sf_dir)
+    return M.mid_percentile(s.select("case_id", "fold", "score"), s.where("y = 0"), ["fold"]).select("case_id", F.round("percentile", 9).alias("percentile"))
+
+
 @query(
     "a10_calibration",
     """, e AS (SELECT fold, round(sum(n * abs(c - a)) / sum(n), 9) AS ece, count(*) AS bins_used FROM (SELECT fold, least(floor(score * 5), 4) AS b, count(*) AS n, avg(score) AS c, avg((tactic = prediction)::INT) AS a FROM scored GROUP BY ALL) GROUP BY 1),

@@ -64,8 +64,8 @@ def m04(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("m05_class_posteriors")
 def m05(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    rows = vectors.select("vec_id", "label", *(F.element_at("embedding", i + 1).cast("double").alias(f"e{i}") for i in range(16))).withColumn("fold", (F.col("vec_id") % 3).cast("int")).withColumn("weight", F.lit(1.0)).withColumnRenamed("label", "class")
-    out = L.out_of_fold(rows, [f"e{i}" for i in range(16)], "class", "fold")
+    rows = vectors.select("vec_id", "label", *(F.element_at("embedding", i + 1).cast("double").alias(f"e{i}") for i in range(64))).withColumn("fold", (F.col("vec_id") % 3).cast("int")).withColumn("weight", F.lit(1.0)).withColumnRenamed("label", "class")
+    out = L.out_of_fold(rows, [f"e{i}" for i in range(64)], "class", "fold")
     p = F.col("probabilities")
     return out.select("vec_id", "fold", F.col("predicted").cast("int").alias("predicted"), F.round(L.entropy(p), 6).alias("entropy"), F.round(L.margin(p), 6).alias("margin"))
 
@@ -81,6 +81,11 @@ def m06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.tfidf(docs, "doc_id", "text").withColumn("value", F.round("value", 9))
 
 
+@query("m06_tfidf_whole")
+def m06_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.tfidf(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text").withColumn("value", F.round("value", 9))
+
+
 def _posterior(shift: int) -> str:
     weights = [f"(1 + (k * {i + 1} + {shift}) % 7)::DOUBLE" for i in range(4)]
     return f"list_transform([{', '.join(weights)}], lambda x: x / ({' + '.join(weights)}))"

@@ -80,8 +80,16 @@ SELECT s.window_start, coalesce(row_count, 0) AS row_count, coalesce(size_sum, 0
 FROM (SELECT unnest(generate_series(min(window_start), max(window_start), {V.WINDOW})) AS window_start FROM w) s LEFT JOIN w USING (window_start)""",
 )
 def w04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = V.flow(spark, sf_dir).where("protocol = 'ICMP' and flag = 1 and src_port % 3 = 0")
-    out = W.window_profile(some, V.WINDOW, ["size"], [], {}).select("window_start", "row_count", F.round("size_sum", 6).alias("size_sum"))
+    return _dense(V.flow(spark, sf_dir).where("protocol = 'ICMP' and flag = 1 and src_port % 3 = 0"))
+
+
+@query("w04_dense_windows_whole")
+def w04_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dense(V.flow(spark, sf_dir))
+
+
+def _dense(flows: DataFrame) -> DataFrame:
+    out = W.window_profile(flows, V.WINDOW, ["size"], [], {}).select("window_start", "row_count", F.round("size_sum", 6).alias("size_sum"))
     return W.dense(out, V.WINDOW)
 
 
