@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanlight.llm import jaccard
 from spanlight.llm.common import documents, in_batches, materialize
 from spanlight.llm.components import connected_components
 
@@ -153,10 +154,13 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     )
 
 
-def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that have the smallest id of their near-duplicate group; all columns stay."""
-    keep = near_duplicates(docs, id, text).where(F.col(id) == F.col("component_id")).select(id)
-    return docs.join(keep, id, "left_semi").select(docs.columns)
+def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each near-duplicate group of ``docs``; all columns stay.
+
+    Texts at a similarity of 0.8 differ in about ten of 64 bits, more than balls or blocks of bits
+    reach, so candidates are those of ``jaccard``, each verified on its shingles.
+    """
+    return jaccard.deduplicate(docs, id, text, shingle, similarity)
 
 
 def op4_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
