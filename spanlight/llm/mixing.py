@@ -2,9 +2,11 @@
 
 Documents are first summed into cells (source, language, topic), which is a partial aggregation
 however hot a source is. Raking then scales the cells' token weights in turn until they meet the
-target share of every source, language and topic at once. A document's chance to be sampled is
-``budget`` times what raking made of its cell's weight, at most 1, and its draw is a hash of its
-id, so a repeated run samples the same documents. Only DataFrame functions are used.
+target share of every source, language and topic at once. A document is expected ``budget`` times
+what raking made of its cell's weight; its draw is a hash of its id, so a repeated run samples the
+same documents. Sampled with repeats, the expected tokens meet the targets; ``op7_raking`` and a
+sample without repeats end at one copy, and cells of large weights fall short there. Only
+DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -58,17 +60,20 @@ def rake(cells: DataFrame, dims: tuple[str, ...] = DIMS, tokens: str = "tokens",
     for k in range(sweeps):
         for d in dims:
             held = F.sum("raked").over(Window.partitionBy(d))
-            out = out.withColumn("raked", F.col("raked") * F.col(f"target_{d}") / held)
+            out = out.withColumn("raked", F.coalesce(F.try_divide(F.col("raked") * F.col(f"target_{d}"), held), F.lit(0.0)))
         if k % 4 == 3:
             out = materialize(out)
     return out.withColumn("factor", F.col("raked") / F.col("seen"))
 
 
-def calibrate(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", budget: float = 0.6, seed: str = "mix") -> tuple[DataFrame, dict[str, str]]:
+def calibrate(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", budget: float = 0.6, seed: str = "mix", targets: DataFrame | None = None) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with topic, tokens, weight, probability and the decision; and what those columns are called.
 
     Null sources and languages are a value of their own; a null or empty text is one token of
     topic ``empty``; repeated rows share their draw; an empty table gives an empty result.
+    ``targets`` (``dim, value, weight``) replaces the tempered targets of the dimensions that it
+    names; their other values are never drawn. The probability of one draw ends at 1, which cuts
+    off what a weight has above 1 / ``budget``; ``sample_mixture`` can draw such rows repeatedly.
     """
     names = {k: free_name(docs, k) for k in ("topic", "tokens", "weight", "probability", "selected", "mix_source", "mix_lang")}
     keyed = docs.withColumns(
@@ -80,21 +85,38 @@ def calibrate(docs: DataFrame, id: str = "doc_id", text: str = "text", source: s
         }
     )
     cells = keyed.groupBy(F.col(names["mix_source"]).alias("source"), F.col(names["mix_lang"]).alias("lang"), F.col(names["topic"]).alias("topic")).agg(F.sum(names["tokens"]).alias("tokens"))
+    for d in [r.dim for r in targets.select("dim").distinct().collect()] if targets is not None else []:
+        wanted = targets.where(F.col("dim") == d).select(F.col("value").alias(d), F.col("weight").cast("double").alias(f"target_{d}"))
+        cells = cells.join(F.broadcast(wanted), d, "left").fillna(0.0, [f"target_{d}"])
     raked = materialize(rake(materialize(cells)).select("source", "lang", "topic", F.round("factor", 9).alias("factor")))
     raked = raked.select(*(F.col(c).alias(f"cell_{c}") for c in raked.columns))
     small = F.broadcast(raked) if raked.count() <= BROADCAST_CELLS else raked
-    draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(id).cast("string"), F.lit(seed))), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
     same = (keyed[names["mix_source"]] == raked.cell_source) & (keyed[names["mix_lang"]] == raked.cell_lang) & (keyed[names["topic"]] == raked.cell_topic)
     out = keyed.join(small, same).withColumn(names["weight"], F.col("cell_factor"))
     out = out.withColumn(names["probability"], F.round(F.least(F.lit(1.0), F.col(names["weight"]) * budget), 9))
-    out = out.withColumn(names["selected"], draw < F.col(names["probability"]))
+    out = out.withColumn(names["selected"], _draw(id, seed) < F.col(names["probability"]))
     return out.drop("cell_source", "cell_lang", "cell_topic", "cell_factor"), names
 
 
-def sample_mixture(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", budget: float = 0.6) -> DataFrame:
-    """The rows of ``docs`` that the calibrated draw keeps, with their columns as they were."""
-    out, names = calibrate(docs, id, text, source, lang, budget)
-    return out.where(F.col(names["selected"])).select(docs.columns)
+def _draw(id: str, seed: str) -> Column:
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.col(id).cast("string"), F.lit(seed))), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+
+
+def sample_mixture(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", budget: float = 0.6, seed: str = "mix", targets: DataFrame | None = None, repeats: bool = False
+) -> DataFrame:
+    """The rows of ``docs`` that the calibrated draw keeps, with their columns as they were.
+
+    With ``repeats`` a row comes floor(weight * budget) times and once more by the draw for the
+    rest, so the expected tokens of the sample meet the targets. Without it a row comes once at
+    most, and cells whose weight is above 1 / ``budget`` fall short of theirs.
+    """
+    out, names = calibrate(docs, id, text, source, lang, budget, seed, targets)
+    if not repeats:
+        return out.where(F.col(names["selected"])).select(docs.columns)
+    times = F.col(names["weight"]) * budget
+    copies = (F.floor(times) + (_draw(id, seed) < times - F.floor(times)).cast("bigint")).cast("int")
+    return out.where(copies > 0).select(*docs.columns, F.explode(F.array_repeat(F.lit(True), copies)).alias(names["selected"])).select(docs.columns)
 
 
 def op7_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
