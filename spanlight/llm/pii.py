@@ -9,9 +9,8 @@ discloses the kind with
     PMI = log2((c / N) / ((n / N) * (C / N))) bits, of the IC = -log2(C / N) bits that it has.
 
 A word is disclosive if it takes at least ``disclosure`` of the IC and stands next to the kind at
-least ``support`` times. In documents that hold an entity of the kind, disclosive words become
-spans of kind ``term``; the pattern spans stay as they are. Documents without entities have no
-spans. Counts go over all texts. Candidate words are broadcast up to a checked number; beyond it
+least ``support`` times. In every document, whether it holds an entity or not, disclosive words
+become spans of kind ``term``; the pattern spans stay as they are. Counts go over all texts. Candidate words are broadcast up to a checked number; beyond it
 word counts are aggregated first and joined by a shuffle.
 """
 
@@ -104,8 +103,13 @@ def disclosive_terms(docs: DataFrame, found: DataFrame, reach: int = 4, support:
     width = 40 * reach
     left = F.split(F.substr("text", F.greatest(F.lit(1), F.col("s.start") - width + 1), F.least(F.lit(width), F.col("s.start"))), f"[{_GAP}]+")
     right = F.split(F.substr("text", F.col("s.end") + 1, F.lit(width)), f"[{_GAP}]+")
-    # The words that touch the entity or the edge of what was cut out are incomplete.
-    words = F.concat(F.slice(left, F.greatest(F.lit(2), F.size(left) - reach), F.lit(reach)), F.slice(right, 2, F.least(F.lit(reach), F.greatest(F.size(right) - 2, F.lit(0)))))
+    # The words that touch the entity are incomplete, and so is one that the edge of what was cut out falls in.
+    before, after = F.substr("text", F.col("s.start") - width, F.lit(1)), F.substr("text", F.col("s.end") + width + 1, F.lit(1))
+    split_left = (F.col("s.start") > width) & before.rlike(f"[^{_GAP}]")
+    split_right = after.rlike(f"[^{_GAP}]")
+    begin = F.greatest(F.when(split_left, 2).otherwise(1), F.size(left) - reach)
+    many = F.size(right) - F.when(split_right, 2).otherwise(1)
+    words = F.concat(F.slice(left, begin, F.greatest(F.size(left) - begin, F.lit(0))), F.slice(right, 2, F.least(F.lit(reach), F.greatest(many, F.lit(0)))))
     seen = near.select(F.col("s.kind").alias("kind"), F.explode(words).alias("term")).where(_word_like(F.col("term")))
     beside = materialize(seen.groupBy("kind", "term").agg(F.count("*").alias("near_n")))
     wanted = beside.where(F.col("near_n") >= support)
@@ -127,30 +131,28 @@ def disclosive_terms(docs: DataFrame, found: DataFrame, reach: int = 4, support:
     )
 
 
-def find_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", reach: int = 4, support: int = 3, disclosure: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """Split ``docs`` into those without and those with spans.
+def find_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", reach: int = 4, support: int = 3, disclosure: float = 0.8) -> tuple[DataFrame, str, str]:
+    """``docs`` with two more columns, and what they are called: the pattern spans and all spans.
 
-    Both have the columns of ``docs``; the second also has ``base`` and ``spans`` (arrays of start,
-    kind and end), named so that they clash with no column. Null text counts as empty.
+    Both are arrays of start, kind and end, empty where nothing was found. Null text counts as empty.
     """
     safe = F.coalesce(F.col(text), F.lit(""))
     base, spans = free_name(docs, "base"), free_name(docs, "spans")
     marked = docs.withColumn(base, base_spans(safe))
-    clean = marked.where(F.size(base) == 0).drop(base)
-    found = materialize(marked.where(F.size(base) > 0))
-    terms = disclosive_terms(docs.select(safe.alias("text")), found.select(F.col(text).alias("text"), F.col(base).alias("spans")), reach, support, disclosure)
-    held = found.select(F.col(id).alias("id"), F.array_distinct(F.transform(base, lambda s: s["kind"])).alias("kinds"), F.explode(F.array_distinct(F.split(text, f"[{_GAP}]+"))).alias("term"))
+    found = materialize(marked.where(F.size(base) > 0).select(F.col(text).alias("text"), F.col(base).alias("spans")))
+    terms = materialize(disclosive_terms(docs.select(safe.alias("text")), found, reach, support, disclosure).select("term").distinct())
+    listed = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
+    held = docs.select(F.col(id).alias("span_id"), F.explode(F.array_distinct(F.split(safe, f"[{_GAP}]+"))).alias("term")).join(listed, "term", "left_semi")
     quoted = F.concat(F.lit(r"\Q"), F.replace("term", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-    named = held.join(terms, "term").where(F.array_contains("kinds", F.col("kind"))).select("id", quoted.alias("term")).distinct()
-    per_doc = named.groupBy(F.col("id").alias("span_id")).agg(F.array_join(F.array_sort(F.collect_list("term")), "|").alias("span_terms"))
-    joined = found.join(per_doc, found[id].eqNullSafe(per_doc["span_id"]), "left")
+    per_doc = held.groupBy("span_id").agg(F.array_join(F.array_sort(F.collect_set(quoted)), "|").alias("span_terms"))
+    joined = marked.join(per_doc, marked[id].eqNullSafe(per_doc["span_id"]), "left")
     pattern = F.concat(F.lit(f"(?<![^{_GAP}])(?:"), F.col("span_terms"), F.lit(f")(?![^{_GAP}])"))
     extra = F.filter(
-        F.transform(_located(F.col(text), pattern, len(PATTERNS)), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))),
+        F.transform(_located(safe, pattern, len(PATTERNS)), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))),
         lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
     )
     both = F.when(F.col("span_terms").isNull(), F.col(base)).otherwise(F.array_sort(F.concat(F.col(base), extra)))
-    return clean, joined.withColumn(spans, both).drop("span_id", "span_terms")
+    return joined.withColumn(spans, both).drop("span_id", "span_terms"), base, spans
 
 
 def _of_kind(k: int) -> Callable[[Column], Column]:
@@ -164,9 +166,7 @@ def _written(spans: Column) -> Column:
 
 def report(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Counts by kind, a digest of the pattern spans and all spans of each row of ``docs``."""
-    clean, found = find_spans(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")))
-    none = F.expr(f"cast(array() as {SPAN})")
-    every = clean.select("doc_id", none.alias("base"), none.alias("spans")).union(found.select("doc_id", "base", "spans"))
+    every, _, _ = find_spans(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")))
     counts = [F.size(F.filter("base", _of_kind(k))).cast("bigint").alias(f"n_{kind}") for k, kind in enumerate(PATTERNS)]
     return every.select(F.col("doc_id").alias(id), *counts, F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"))
 
@@ -176,8 +176,7 @@ def sanitize(docs: DataFrame, id: str = "doc_id", text: str = "text", length: st
 
     Spans that overlap become one. Rows without spans are as they were, null texts too.
     """
-    clean, found = find_spans(docs, id, text)
-    spans = found.columns[-1]
+    every, _, spans = find_spans(docs, id, text)
     name, body = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS)), F.col(text)
 
     def step(acc: Column, s: Column) -> Column:
@@ -186,10 +185,11 @@ def sanitize(docs: DataFrame, id: str = "doc_id", text: str = "text", length: st
 
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     new = F.aggregate(spans, begin, step, lambda acc: F.concat(acc["out"], F.substr(body, acc["at"] + 1, F.length(body))))
-    changed = found.withColumn(text, new)
+    some = F.size(spans) > 0
+    changed = every.withColumn(text, F.when(some, new).otherwise(body))
     if length and length in docs.columns:
-        changed = changed.withColumn(length, F.length(text).cast(docs.schema[length].dataType))
-    return clean.select(docs.columns).union(changed.select(docs.columns))
+        changed = changed.withColumn(length, F.when(some, F.length(text).cast(docs.schema[length].dataType)).otherwise(F.col(length)))
+    return changed.select(docs.columns)
 
 
 def op2_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
