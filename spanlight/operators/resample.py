@@ -19,7 +19,9 @@ def drawn_weights(units: DataFrame, unit: str, replicates: int, salt: str) -> Da
     # Places come from one ordered pass; units are already one row for each case.
     placed = units.select(F.col(unit).alias("unit"), (F.row_number().over(Window.orderBy(unit)) - 1).alias("place"))
     n = placed.agg(F.count("*").alias("n"))
-    grid = F.broadcast(n).select("n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    spark = units.sparkSession
+    numbers = spark.range(0, replicates, 1, int(spark.conf.get("spark.sql.shuffle.partitions"))).select(F.col("id").cast("int").alias("replicate"))
+    grid = numbers.crossJoin(F.broadcast(n))
     draws = grid.select("n", "replicate", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("draw")).where("n > 0")
     number = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(salt), "replicate", "draw")), 1, 8), 16, 10).cast("bigint")
     counts = draws.select("replicate", F.pmod(number, F.col("n")).alias("place")).groupBy("replicate", "place").agg(F.count("*").alias("w"))

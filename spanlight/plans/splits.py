@@ -101,7 +101,9 @@ def p08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.family_folds(family.groupBy("family").agg(F.count("*").alias("n")).withColumn("campaign", F.lit("c")), "campaign")
 
 
+#: Replicates of the queries with an oracle, whose SQL is fixed, and of those over as many as the reference draws.
 R = 40
+R_WHOLE = 10_000
 
 
 def _weights(unit: str, src: str, salt: str) -> str:
@@ -133,12 +135,30 @@ def _shown(df: DataFrame) -> DataFrame:
 
 @query("b01_mean_interval", f", {_boot('wrong', 'events_n')} SELECT {_BOOT_OUT} FROM pt, iv")
 def b01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(B.bootstrap_ratio(sums(spark, sf_dir), "group_id", "wrong", "events_n", R, "boot"))
+    return _mean_interval(spark, sf_dir, R)
+
+
+@query("b01_mean_interval_whole")
+def b01_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mean_interval(spark, sf_dir, R_WHOLE)
+
+
+def _mean_interval(spark: SparkSession, sf_dir: str, replicates: int) -> DataFrame:
+    return _shown(B.bootstrap_ratio(sums(spark, sf_dir), "group_id", "wrong", "events_n", replicates, "boot"))
 
 
 @query("b02_risk_interval", f", {_boot('wrong', 'accepted_n', 'model')} SELECT model, {_BOOT_OUT} FROM pt JOIN iv USING (model)")
 def b02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(B.bootstrap_ratio(sums(spark, sf_dir), "group_id", "wrong", "accepted_n", R, "boot", ["model"]))
+    return _risk_interval(spark, sf_dir, R)
+
+
+@query("b02_risk_interval_whole")
+def b02_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _risk_interval(spark, sf_dir, R_WHOLE)
+
+
+def _risk_interval(spark: SparkSession, sf_dir: str, replicates: int) -> DataFrame:
+    return _shown(B.bootstrap_ratio(sums(spark, sf_dir), "group_id", "wrong", "accepted_n", replicates, "boot", ["model"]))
 
 
 @query(
@@ -147,8 +167,17 @@ def b02(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT round((SELECT sum(b) / sum(a) FROM sm), 9) AS estimate, round(quantile_cont(x, 0.025), 9) AS lower, round(quantile_cont(x, 0.975), 9) AS upper, round(avg((x > 0)::INT), 9) AS share_positive FROM rp""",
 )
 def b03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _group_interval(spark, sf_dir, R)
+
+
+@query("b03_group_interval_whole")
+def b03_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _group_interval(spark, sf_dir, R_WHOLE)
+
+
+def _group_interval(spark: SparkSession, sf_dir: str, replicates: int) -> DataFrame:
     g = groups(spark, sf_dir).groupBy("group_n").agg(F.sum("rows_n").alias("a"), F.sum("network_n").alias("b"))
-    return _shown(B.bootstrap_ratio(g, "group_n", "b", "a", R, "groups"))
+    return _shown(B.bootstrap_ratio(g, "group_n", "b", "a", replicates, "groups"))
 
 
 @query(
@@ -158,8 +187,17 @@ j AS (SELECT replicate, wrong, w, sum(w) OVER (PARTITION BY replicate ORDER BY s
 u AS (SELECT replicate, wrong, greatest(0, least(w, greatest(1, round_even(total * 0.5::DOUBLE, 0)) - (upto - w))) AS used FROM j) SELECT replicate, round(sum(used * wrong) / sum(used), 9) AS risk FROM u GROUP BY 1""",
 )
 def b04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reselected_risk(spark, sf_dir, R)
+
+
+@query("b04_reselected_risk_whole")
+def b04_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reselected_risk(spark, sf_dir, R_WHOLE)
+
+
+def _reselected_risk(spark: SparkSession, sf_dir: str, replicates: int) -> DataFrame:
     rows = V.scored(spark, sf_dir).groupBy("group_id").agg(F.max("score").alias("score"), F.max((F.col("tactic") != F.col("prediction")).cast("int")).alias("wrong"))
-    return B.top_share_risk(rows, "group_id", "score", "wrong", 0.5, R, "top").withColumn("risk", F.round("risk", 9))
+    return B.top_share_risk(rows, "group_id", "score", "wrong", 0.5, replicates, "top").withColumn("risk", F.round("risk", 9))
 
 
 _PAIR = """pr AS (SELECT case_id, max(correct) FILTER (WHERE condition = 'clean') AS a, max(correct) FILTER (WHERE condition = 'shift_time') AS b FROM decision WHERE case_id % 50 = 0 GROUP BY 1), pc AS (SELECT count(*) FILTER (WHERE a > b) AS only_a, count(*) FILTER (WHERE b > a) AS only_b FROM pr)"""
