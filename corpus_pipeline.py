@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from spanlight.llm.common import documents, materialize
+from spanlight.llm.jaccard import deduplicate
 from spanlight.llm.langid import keep_identified
 from spanlight.llm.mixing import sample_mixture
 from spanlight.llm.packing import pack
 from spanlight.llm.pii import sanitize
-from spanlight.llm.simhash import deduplicate
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 

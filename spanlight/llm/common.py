@@ -20,10 +20,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the one that ``spark.checkpoint.dir`` names.
 
-    Where the setting is missing (a local run) a temporary folder stands in for it.
+    Where the setting is missing, a local run gets a temporary folder; a cluster has to name one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
@@ -36,6 +38,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which a table of keys (16 bytes each) is broadcast; beyond it the join is a shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
+def those_of(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """The rows of ``df`` whose ``on`` is in ``keys``; few keys are sent to where the rows lie."""
+    keys = keys.select(on)
+    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, "left_semi")
+
+
 def in_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     """``df``, after its session was told to hand at most ``rows`` rows at once to Python.
 

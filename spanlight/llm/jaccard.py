@@ -1,15 +1,21 @@
-"""Near-duplicates by shingle sets: all pairs of texts whose sets of words shingles are alike enough.
-
-Two sets with a Jaccard similarity of at least t share at least ceil(t * n) members, n being the
-size of the larger one. So if each text posts its first n - ceil(t * n) + 1 shingles under one
-order that all texts share, the two meet on a posting: no pair is lost, whatever the order is.
-Shingles that a sample of the texts finds common come last, so that a passage of many texts is
-posted by few of them. Every pair that meets is verified on the shingle sets of both texts.
-
-A large group of copies would meet in pairs, and pairs grow with its square. Therefore exact
-copies count once, and in a few rounds each text is first compared with one other, which a value
-that both posted puts first. By then a group has mostly grown together, and all pairs that are
-left, those whose ends are not yet connected, are verified.
+"""Near-duplicate texts: SimHash balls find the close ones, shingle postings all that are alike enough.
+
+Two texts are near-duplicates if their sets of five-word shingles have a Jaccard similarity of 0.8
+or more. Such texts differ in about ten of 64 fingerprint bits, more than balls can reach, so the
+stage has two parts, and every pair that either of them proposes is verified on the whole shingle
+sets of both texts before it links:
+
+1. Fingerprints of the same shingles meet by the balls of ``simhash``. A value becomes a star, so
+   a large group of copies grows together for no more than its postings.
+2. Two sets with a similarity of at least t share at least ceil(t * n) members, n being the size of
+   the larger one. So if each text posts its first n - ceil(t * n) + 1 shingles under one order
+   that all texts share, the two meet on a posting: no pair is lost, whatever the order is.
+   Shingles that a sample of the texts finds common come last, so that a passage of many texts is
+   posted by few of them.
+
+Exact copies count once. Each text is first compared with one other that a posted value puts first,
+twice; by then groups have mostly grown together, and all pairs that are left, those whose ends
+are not yet connected, are verified.
 """
 
 from __future__ import annotations
@@ -24,15 +30,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanlight.llm.common import free_name, in_batches, materialize
+from spanlight.llm.common import BROADCAST_KEYS, free_name, in_batches, materialize, those_of
 from spanlight.llm.components import connected_components
+from spanlight.llm.simhash import linked, majority, shingle_hashes
 
-SEED = 42
-#: Rounds before all pairs that are left are verified.
-ROUNDS = 4
+#: Rounds of one comparison a text before all pairs that are left are verified.
+ROUNDS = 2
 #: One document in so many says which shingles are common; only the order of postings depends on it.
-SAMPLE = 4
+SAMPLE = 16
 COMMON, MOST_COMMON = 2, 400_000
+#: Classes of equal texts that a task remembers, so that of copies it meets only the first posts.
+REMEMBERED = 500_000
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -40,37 +48,34 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 def shingles(words: list[bytes], n: int) -> np.ndarray:
-    """The distinct hashed shingles of a text in ascending order; all words of a shorter one are a shingle."""
-    if not words:
-        return np.empty(0, "<u8")
-    joined = b" ".join(words)
-    stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], stops[:-1] + 1))[: max(1, len(words) - n + 1)].tolist()
-    stops = stops[n - 1 :].tolist() if len(words) >= n else stops[-1:].tolist()
-    hashed = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((hashed(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), "<u8", len(starts)))
+    """The distinct hashed shingles of a text in ascending order."""
+    return np.unique(shingle_hashes(words, n))
+
+
+def signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
 
 
 def node_of(words: list[bytes]) -> int:
     """A signed 64-bit number that texts with the same words share."""
-    h = xxhash.xxh3_64_intdigest(b" ".join(words))
-    return h - (1 << 64) if h >> 63 else h
+    return signed(xxhash.xxh3_64_intdigest(b" ".join(words)))
 
 
 def least_shared(n: int, similarity: float) -> int:
     return math.ceil(similarity * n - 1e-9)
 
 
-def prefix(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
-    """The shingles that a text posts: rare ones first, as many as make sure that alike texts meet."""
+def prefix(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that a text posts, as many as make sure that alike texts meet: the rare ones, and the common ones if those are too few."""
     if not len(hashes):
-        return hashes
+        return hashes, hashes
     keep = len(hashes) - least_shared(len(hashes), similarity) + 1
     weight = np.zeros(len(hashes), np.int64)
     if len(common):
         at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
         weight = np.where(common[at] == hashes, counts[at], 0)
-    return hashes[np.lexsort((hashes, weight))[:keep]]
+    chosen = np.lexsort((hashes, weight))[:keep]
+    return hashes[chosen[weight[chosen] == 0]], hashes[chosen[weight[chosen] > 0]]
 
 
 def _texts(docs: DataFrame, id: str, text: str) -> DataFrame:
@@ -92,40 +97,46 @@ def common_shingles(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], rows["n"].to_numpy(np.int64)[order]
 
 
+_LISTS = pa.list_(pa.int64())
+
+
 def posted(texts: DataFrame, n: int, similarity: float) -> DataFrame:
-    """``id, node, size, keys``: the class of equal texts, the number of shingles and the posted ones."""
+    """``id, node, fp, size, keys, often``: class of equal texts, fingerprint, number of shingles, posted rare and common ones.
+
+    Of the rows of one class only the first that a task meets has ``keys`` and ``often``.
+    """
     common, counts = common_shingles(texts, n)
     sent = texts.sparkSession.sparkContext.broadcast((common, counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, counts = sent.value
+        (common, counts), met = sent.value, set()
         for batch in batches:
-            nodes, sizes, keys = [], [], []
+            found: list[tuple] = []
             for t in batch.column(1).cast(pa.binary()):
                 words = words_of(t.as_py())
-                hashes = shingles(words, n)
-                nodes.append(node_of(words))
-                sizes.append(len(hashes))
-                keys.append(prefix(hashes, common, counts, similarity).view("<i8"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "node", "size", "keys"])
+                node, every = node_of(words), shingle_hashes(words, n)
+                hashes = np.unique(every)
+                rare, often = prefix(hashes if node not in met else hashes[:0], common, counts, similarity)
+                found.append((node, signed(majority(every)), len(hashes), rare.view("<i8"), often.view("<i8")))
+                if len(met) < REMEMBERED:
+                    met.add(node)
+            columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.int64(), _LISTS, _LISTS), strict=True)] if found else []
+            if columns:
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "node", "fp", "size", "keys", "often"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"id {kind}, node bigint, size bigint, keys array<bigint>")
-
-
-def _sets(texts: DataFrame, n: int) -> DataFrame:
-    """``node, hashes``: the whole shingle set of each text, eight bytes a shingle."""
+    return texts.mapInArrow(run, f"id {kind}, node bigint, fp bigint, size bigint, keys array<bigint>, often array<bigint>")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = [words_of(t.as_py()) for t in batch.column(0).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array(map(node_of, words), pa.int64()), pa.array([shingles(w, n).tobytes() for w in words], pa.binary())], ["node", "hashes"])
 
-    return texts.select("text").mapInArrow(run, "node bigint, hashes binary")
+def _ends(pairs: DataFrame) -> DataFrame:
+    return materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
 
 
-def hopeful(pairs: DataFrame, posts: DataFrame, similarity: float) -> DataFrame:
+def hopeful(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
     """The rows ``a, b`` that can be alike by what both posted: beyond it they share at most all shingles that one of them did not post."""
+    keys = F.concat("keys", "often")
+    posts = those_of(prints.where(F.size(keys) > 0), _ends(pairs), "node").select("node", "size", keys.alias("keys"))
+    posts = materialize(posts.dropDuplicates(["node"]))
     side = lambda c: posts.select(F.col("node").alias(c), F.col("size").alias(f"n_{c}"), F.col("keys").alias(f"of_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "of_a", "of_b")
 
@@ -141,8 +152,22 @@ def hopeful(pairs: DataFrame, posts: DataFrame, similarity: float) -> DataFrame:
     return in_batches(both).mapInArrow(run, "a bigint, b bigint")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The rows ``a, b`` whose shingle sets have at least this Jaccard similarity."""
+def _sets(texts: DataFrame, n: int) -> DataFrame:
+    """``node, hashes``: the whole shingle set of each text, eight bytes a shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [words_of(t.as_py()) for t in batch.column(0).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(map(node_of, words), pa.int64()), pa.array([shingles(w, n).tobytes() for w in words], pa.binary())], ["node", "hashes"])
+
+    return texts.select("text").mapInArrow(run, "node bigint, hashes binary")
+
+
+def verified(pairs: DataFrame, prints: DataFrame, texts: DataFrame, n: int, similarity: float) -> DataFrame:
+    """The rows ``a, b`` whose shingle sets have at least this Jaccard similarity; only their texts are read again."""
+    ends = _ends(pairs)
+    chosen = those_of(prints.select("id", "node"), ends, "node").groupBy("node").agg(F.min("id").alias("id")).select("id").distinct()
+    sets = materialize(those_of(_sets(those_of(texts, materialize(chosen), "id"), n), ends, "node").dropDuplicates(["node"]))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("of_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("of_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,6 +187,28 @@ def _alike(x: str, y: str, similarity: float) -> Column:
     return F.least(x, y) >= F.greatest(x, y) * similarity - 1e-9
 
 
+def _ball_pairs(prints: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: texts of one fingerprint with the first of them, and the first texts of fingerprints that the balls link."""
+    nodes = materialize(prints.where("size > 0").select("fp", "node", "size").distinct())
+    heads = materialize(nodes.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("head")))
+    same = nodes.join(heads, "fp").where("node <> head.node").where(_alike("size", "head.size", similarity)).select(F.col("head.node").alias("a"), F.col("node").alias("b"))
+    side = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"of_{c}"))
+    near = linked(heads).join(side("a"), "a").join(side("b"), "b").where(_alike("of_a.size", "of_b.size", similarity))
+    return same.union(near.select("of_a.node", "of_b.node")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _members(prints: DataFrame) -> DataFrame:
+    """``node, size, key`` of all postings that meet another text's.
+
+    Rare ones are dealt by their value once; both the test for a second text and what passes it
+    read that one shuffle. Common ones, whose groups may be very large, pass without a test.
+    """
+    rare = prints.select("node", "size", F.explode("keys").alias("key")).repartition("key")
+    texts = F.struct("node", "size")
+    met = rare.groupBy("key").agg(F.min(texts).alias("lo"), F.max(texts).alias("hi")).where("lo <> hi").select("key")
+    return rare.join(met, "key", "left_semi").select("node", "size", "key").union(prints.select("node", "size", F.explode("often").alias("key")))
+
+
 def _stars(members: DataFrame, turn: int, similarity: float) -> DataFrame:
     """``a, b``: each text with one that a posted value puts first in this turn, where they are not connected yet."""
     first = members.groupBy("key").agg(F.min_by(F.struct("node", "size", "root"), F.struct(F.xxhash64("node", "key", F.lit(turn)), "node")).alias("c"))
@@ -171,25 +218,14 @@ def _stars(members: DataFrame, turn: int, similarity: float) -> DataFrame:
 
 
 def _rest(members: DataFrame, similarity: float) -> DataFrame:
-    """``a, b``: all pairs of a posted value that are not connected yet."""
-    lists = members.groupBy("key").agg(F.collect_list(F.struct("node", "size", "root")).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(
-        F.col("m.node").alias("node"), F.col("m.size").alias("size"), F.col("m.root").alias("root")
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                node, size, root = (np.array(row[k]) for k in ("node", "size", "root"))
-                names, place, many = np.unique(root, return_inverse=True, return_counts=True)
-                # Members of the largest root meet the others only from the others' side.
-                largest = int(many.argmax())
-                for i in np.flatnonzero(place != largest):
-                    other = (place != place[i]) & ((place == largest) | (node > node[i]))
-                    other &= np.minimum(size, size[i]) >= np.maximum(size, size[i]) * similarity - 1e-9
-                    if other.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[other], node[i])), pa.array(np.maximum(node[other], node[i]))], ["a", "b"])
-
-    return in_batches(lists).mapInArrow(run, "a bigint, b bigint").distinct()
+    """``a, b``: all pairs of a posted value that are not connected yet; those of its largest root meet only the others."""
+    sizes = members.groupBy("key", "root").agg(F.count("*").alias("n"))
+    several = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1").select("key", "top")
+    mine = materialize(members.join(several, "key").distinct())
+    few = mine.where("root <> top").select("key", F.col("node").alias("a"), F.col("size").alias("n_a"), F.col("root").alias("of_a"))
+    all_ = mine.select("key", F.col("node").alias("b"), F.col("size").alias("n_b"), F.col("root").alias("of_b"), "top")
+    met = few.join(all_, "key").where("of_a <> of_b and (of_b = top or a < b)").where(_alike("n_a", "n_b", similarity))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def groups(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -199,21 +235,16 @@ def groups(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int
     """
     texts = _texts(docs, id, text)
     prints = materialize(posted(texts, shingle, similarity))
-    # Of equal texts one row posts.
-    first = prints.groupBy("node").agg(F.min("id").alias("id"))
-    rows = prints.join(first, ["node", "id"]).select("node", "size", F.explode("keys").alias("key"))
-    met = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
-    members = materialize(rows.join(met, "key", "left_semi").distinct())
-    several = members.select("node").distinct()
-    posts = materialize(prints.join(first, ["node", "id"]).join(several, "node", "left_semi").dropDuplicates(["node"]))
-    chosen = posts.select("id").distinct()
-    sets = materialize(_sets(texts.join(chosen, "id", "left_semi"), shingle).join(several, "node", "left_semi").dropDuplicates(["node"]))
+    members = materialize(_members(prints))
     edges = prints.sparkSession.createDataFrame([], "a bigint, b bigint")
     roots = prints.sparkSession.createDataFrame([], "node bigint, root bigint")
     for turn in range(ROUNDS + 1):
         now = members.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
         pairs = _stars(now, turn, similarity) if turn < ROUNDS else _rest(now, similarity)
-        new = materialize(verified(materialize(hopeful(pairs, posts, similarity)), sets, similarity))
+        if not turn:
+            pairs = pairs.union(_ball_pairs(prints, similarity)).distinct()
+        able = materialize(hopeful(materialize(pairs), prints, similarity))
+        new = materialize(verified(able, prints, texts, shingle, similarity))
         if not new.isEmpty():
             edges = edges.union(new)
             roots = connected_components(edges)
@@ -221,16 +252,24 @@ def groups(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int
 
 
 def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row of each near-duplicate group, one with its smallest id; all columns stay. Rows without an id stay, too."""
-    whole = groups(docs.where(F.col(id).isNotNull()), id, text, shingle, similarity)
+    """One row of each near-duplicate group, one with its smallest id; all columns stay.
+
+    Rows without an id stay, too. Null and empty texts and those without words are one group. Of
+    equal rows one stays; where an id has several texts, each text counts for itself. An empty
+    table stays empty.
+    """
+    whole = materialize(groups(docs.where(F.col(id).isNotNull()), id, text, shingle, similarity))
     best = whole.groupBy("root").agg(F.min(F.struct("id", "node")).alias("best")).select("best.id", "best.node")
     often = whole.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
     best = materialize(best.join(often.withColumn("often", F.lit(True)), "id", "left"))
-    once = docs.join(best.where("often is null").select(F.col("id").alias(id)), id, "left_semi").select(docs.columns)
+    # Those that go are fewer than those that stay, and few of them can be sent to where the texts lie.
+    gone = materialize(whole.select("id").distinct().join(best.select("id"), "id", "left_anti").union(often).distinct()).select(F.col("id").alias(id))
+    from_here = docs.where(F.col(id).isNotNull())
+    once = from_here.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, id, "left_anti").select(docs.columns)
     # An id of several rows: those with other texts may belong elsewhere, and of equal ones a single row stays.
     node, place, key = (free_name(docs, c) for c in ("node", "place", "key"))
     wanted = best.where("often").select(F.col("id").alias(key), F.col("node").alias(node))
-    again = docs.join(wanted.select(F.col(key).alias(id)).distinct(), id, "left_semi")
+    again = those_of(docs, materialize(wanted.select(F.col(key).alias(id)).distinct()), id)
     again = again.withColumn(node, _node_column(F.col(text)))
     again = again.join(wanted, (again[id] == wanted[key]) & (again[node] == wanted[node]), "left_semi")
     order = Window.partitionBy(id, node).orderBy(F.to_json(F.struct(*docs.columns)))

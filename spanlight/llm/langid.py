@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanlight.llm.common import documents, free_name, held_out, in_batches
+from spanlight.llm.common import documents, held_out, in_batches
 
 WINDOW = 64
 PAD = 256
@@ -219,14 +219,22 @@ def identify(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str
 def keep_identified(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.3) -> DataFrame:
     """The rows of ``docs`` whose text has letters and one language with a pooled probability of ``least`` or more.
 
-    All columns stay as they are; the rows are filtered where they lie, without a shuffle.
+    Null texts and texts without a letter go. All columns stay as they are, whatever their names
+    and nulls; repeated rows are decided alike; where no label can be learned from, or only one,
+    having letters is enough; an empty table stays empty. Rows are filtered where they lie, in the
+    Arrow batches that bring them, without a shuffle and without a second copy of the text.
     """
     model = fit(docs, id, text, lang)
-    copy, pred, score = (free_name(docs, x) for x in ("read_text", "lang_pred", "score"))
-    scored = predict(docs.withColumn(copy, F.col(text)), model, copy, pred, score).where(F.col(pred) != UNDETERMINED)
-    if model is not None and len(model.languages) > 1:
-        scored = scored.where(F.col(score) >= least)
-    return scored.select(docs.columns)
+    lettered, at = docs.where(F.col(text).rlike(r"\p{L}")), docs.columns.index(text)
+    if model is None or len(model.languages) == 1:
+        return lettered
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best = model.pool(batch.column(at).cast(pa.binary()).to_pylist()).max(1, initial=0)
+            yield batch.filter(pa.array(best >= least))
+
+    return in_batches(lettered).mapInArrow(run, docs.schema)
 
 
 def op9_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,31 +31,37 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlight.llm import jaccard
 from spanlight.llm.common import documents, in_batches, materialize
 from spanlight.llm.components import connected_components
 
 SEED = 42
-#: Hashes counted at once, so that a very long text needs no more memory than a short one.
+#: Hashes whose bits are counted at once.
 BLOCK = 1 << 16
 
 
-def fingerprint(text: bytes, shingle: int = 3) -> int:
-    """64-bit SimHash of the shingles of a UTF-8 text; repeats count, no words give zero."""
-    words = text.lower().split()
+def shingle_hashes(words: list[bytes], n: int) -> np.ndarray:
+    """XXH64 of every shingle of ``n`` words, repeats included; all words of a shorter text are one shingle."""
     if not words:
-        return 0
-    n = max(1, len(words) - shingle + 1)
+        return np.empty(0, "<u8")
     joined = b" ".join(words)
     stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], stops[:-1] + 1))[:n]
-    stops = stops[shingle - 1 :] if len(words) >= shingle else stops[-1:]
-    hashed, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for i in range(0, n, BLOCK):
-        spans = zip(starts[i : i + BLOCK].tolist(), stops[i : i + BLOCK].tolist(), strict=True)
-        h = np.array([hashed(joined[a:b], SEED) for a, b in spans], "<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
+    starts = np.concatenate(([0], stops[:-1] + 1))[: max(1, len(words) - n + 1)]
+    stops = stops[n - 1 :] if len(words) >= n else stops[-1:]
+    hashed = xxhash.xxh64_intdigest
+    return np.fromiter((hashed(joined[a:b], SEED) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)), "<u8", len(starts))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are those that more than half of the hashes have; 0 without a hash."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), BLOCK):
+        ones += np.unpackbits(hashes[i : i + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes(), "little")
+
+
+def fingerprint(text: bytes, shingle: int = 3) -> int:
+    """64-bit SimHash of the shingles of a UTF-8 text; repeats count, no words give zero."""
+    return majority(shingle_hashes(text.lower().split(), shingle))
 
 
 def add_fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3, out: str = "fingerprint") -> DataFrame:
@@ -105,6 +111,11 @@ def candidates(prints: DataFrame) -> DataFrame:
     return posted.join(met, ["half", "value"], "left_semi").select("fp").distinct()
 
 
+def linked(classes: DataFrame) -> DataFrame:
+    """Star edges ``a, b`` of the distinct fingerprints ``fp``: the cheap ball first, then the full balls of those that met."""
+    return links(_dealt(materialize(candidates(_dealt(classes.select("fp"))))))
+
+
 def links(prints: DataFrame) -> DataFrame:
     """Star edges ``a, b`` among distinct fingerprints ``fp`` that connect all pairs within three bits."""
     bits = F.sequence(F.lit(0), F.lit(63))
@@ -142,9 +153,9 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     and are linked like others; equal texts always share a group; other columns are ignored;
     an empty table gives an empty result. Rows without an id are dropped.
     """
-    prints = materialize(add_fingerprints(docs.where(F.col(id).isNotNull()).select(F.col(id).alias("doc_id"), F.col(text).alias("text"))))
+    prints = materialize(add_fingerprints(docs.where(F.col(id).isNotNull()).select(F.col(id).alias("doc_id"), F.col(text).alias("text")), shingle=shingle))
     classes = materialize(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("first")))
-    roots = connected_components(links(_dealt(materialize(candidates(_dealt(classes.select("fp")))))))
+    roots = connected_components(linked(classes))
     group = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     # Few classes share a root with others; the rest keep their own smallest id.
     lowest = group.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -154,14 +165,5 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     )
 
 
-def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row of each near-duplicate group of ``docs``; all columns stay.
-
-    Texts at a similarity of 0.8 differ in about ten of 64 bits, more than balls or blocks of bits
-    reach, so candidates are those of ``jaccard``, each verified on its shingles.
-    """
-    return jaccard.deduplicate(docs, id, text, shingle, similarity)
-
-
 def op4_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))

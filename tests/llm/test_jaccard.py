@@ -4,7 +4,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
-from spanlight.llm import jaccard, simhash
+from spanlight.llm import jaccard
 
 
 def slow(text, n=5):
@@ -60,12 +60,12 @@ def test_groups_are_those_of_all_pairs(spark, texts, rounds, monkeypatch):
 
 def test_copies_beyond_three_bits_go(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    assert {r.doc_id for r in simhash.deduplicate(df).collect()} == set(slow_roots(texts))
+    assert {r.doc_id for r in jaccard.deduplicate(df).collect()} == set(slow_roots(texts))
 
 
 def test_repeated_and_missing_ids(spark):
     long = " ".join(f"a{i}" for i in range(50))
     rows = [(1, long, "x"), (1, long, "x"), (1, long, "y"), (1, "something else here", "x"), (2, long + " end", "x"), (None, long, "x"), (None, long, "x"), (3, "alone", "x")]
-    out = simhash.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string, source string"))
+    out = jaccard.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string, source string"))
     assert sorted((r.doc_id or 0, r.text[:5], r.source) for r in out.collect()) == sorted([(0, "a0 a1", "x"), (0, "a0 a1", "x"), (1, "a0 a1", "x"), (1, "somet", "x"), (3, "alone", "x")])
     assert out.where(F.col("doc_id").isNull()).count() == 2

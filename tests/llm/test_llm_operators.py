@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
-from spanlight.llm import ann, components, langid, media, mixing, packing, pii, simhash, substring, tokenfile, tokens, toxicity
+from spanlight.llm import ann, components, jaccard, langid, media, mixing, packing, pii, simhash, substring, tokenfile, tokens, toxicity
 from spanlight.llm.common import shared_dir
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, fingerprint string, block int, pivot int, topic string, spans string, held_out string"
@@ -118,7 +118,7 @@ def test_components_of_a_long_chain(spark):
 
 
 def test_deduplicate_keeps_columns(docs):
-    out = simhash.deduplicate(docs)
+    out = jaccard.deduplicate(docs)
     assert out.columns == docs.columns
     kept = {r.doc_id for r in out.collect()}
     assert 0 in kept and 12 not in kept and 13 not in kept
@@ -568,6 +568,6 @@ def test_empty_tables(spark, empty):
 
 
 def test_clashing_columns_survive(docs):
-    for out in (simhash.deduplicate(docs), langid.keep_identified(docs), pii.sanitize(docs), mixing.sample_mixture(docs)):
+    for out in (jaccard.deduplicate(docs), langid.keep_identified(docs), pii.sanitize(docs), mixing.sample_mixture(docs)):
         assert out.columns == docs.columns
         out.collect()
