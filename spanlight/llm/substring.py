@@ -1,25 +1,30 @@
 """Removal of long repeated spans by compacting a De Bruijn graph of token k-mers.
 
 An edge of the graph is a window of 35 consecutive words; two edges follow each other if their
-windows overlap in 34 words. Only edges that occur at two places or more matter. Writing every
-edge of the corpus to a shuffle would cost more than the texts themselves, so paths are compacted
-where they are read:
-
-1. Edges that follow each other in a document and share their minimizer (the smallest hash of
-   the 8-word k-mers inside the window) form one path. A document of n words has about n / 14
-   paths. A path has the hash of its minimizer and the hash of all its words.
-2. Paths are joined on the minimizer. Where a whole path occurs twice, all of its edges repeat.
-   Equal windows have equal minimizers, so an edge whose minimizer occurs once is unique.
-3. Where a minimizer occurs in different paths, the graph branches there. One copy of each such
-   path is read again at its source coordinates, and its edges are counted one by one.
-4. Repeated edges become word ranges of their document, and the words they cover are removed.
-
-Hashes are 64 bits wide; an edge is told by the hash of its words and that of its minimizer, and a
-path by its minimizer and its words, 128 bits each time.
+windows overlap in 34 words. Only edges that occur at two places or more matter. Dealing every
+edge of the corpus by its hash would cost more disk than the texts themselves (README has the
+figures), so edges that follow each other in a document and share their minimizer, the smallest
+hash of the 8-word k-mers inside the window, are read as one path; a document of n words has about
+n / 14 paths.
+
+1. Paths are counted by minimizer and content. A whole path that occurs twice repeats in all of its
+   edges. Equal windows have equal minimizers, so an edge whose minimizer occurs once is unique.
+2. Repeated paths are the nodes of the compacted graph. A path goes on to the next one without a
+   branch if all of its occurrences are followed by that path and all occurrences of that path
+   follow it; this is a join of each path's only successor with each path's only predecessor.
+   Occurrences that go on so become one span.
+3. Where a minimizer occurs in different paths, the graph branches there, and one copy of each such
+   path is taken edge by edge.
+4. Spans and branching edges are read again at their source coordinates. The words that stand
+   there are digested (128 bits of BLAKE2), and what has a digest of its own is no repeat.
+5. What is left are word ranges of their documents, and the words they cover are removed.
+
+A document is told by its id and a hash of its text, so rows may share an id.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,7 +50,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _GOLDEN)
-_PLACE = mix(np.arange(1, 4097, dtype=np.uint64) * _GOLDEN + np.uint64(7)) | np.uint64(1)
+
+
+def _factors(place: np.ndarray) -> np.ndarray:
+    """An odd factor for each place of a byte in its word, from 0 on."""
+    return mix((place.astype(np.uint64) + np.uint64(1)) * _GOLDEN + np.uint64(7)) | np.uint64(1)
+
+
+_PLACE = _factors(np.arange(4096))
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -56,7 +68,7 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     data = np.frombuffer(b"".join(words), np.uint8)
     starts = np.cumsum(lengths) - lengths
     place = np.arange(len(data)) - np.repeat(starts, lengths)
-    factor = _PLACE[place] if len(_PLACE) > place.max() else mix(place.astype(np.uint64) * _GOLDEN + np.uint64(7)) | np.uint64(1)
+    factor = _PLACE[place] if len(_PLACE) > place.max() else _factors(place)
     return mix(np.add.reduceat(_BYTE[data] * factor, starts) + lengths.astype(np.uint64) * _GOLDEN)
 
 
@@ -111,65 +123,99 @@ def blocks(h: np.ndarray, window: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def read_paths(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
-    """``id, seed, content, first, n`` of all paths of ``docs`` (``id, text``)."""
+    """``id, mark, seed, content, first, n`` of all paths of ``docs`` (``id, mark, text``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got: list[list[np.ndarray]] = [[], [], [], [], []]
-            for k, t in enumerate(batch.column(1).cast(pa.binary())):
+            for k, t in enumerate(batch.column(2).cast(pa.binary())):
                 h = word_hashes((t.as_py() or b"").split())
                 for at, part in blocks(h, window):
                     seed, content, first, count = paths(part, window, kmer)
                     for into, x in zip(got, (np.full(len(seed), k), seed, content, first + at, count), strict=True):
                         into.append(x)
             owner, seed, content, first, count = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in got)
-            ids = batch.column(0).take(pa.array(owner.astype(np.int64)))
+            of = pa.array(owner.astype(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [ids, _signed(seed), _signed(content), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32))], ["id", "seed", "content", "first", "n"]
+                [batch.column(0).take(of), batch.column(1).take(of), _signed(seed), _signed(content), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32))],
+                ["id", "mark", "seed", "content", "first", "n"],
             )
 
-    return in_batches(docs).mapInArrow(run, "id bigint, seed bigint, content bigint, first int, n int")
+    return in_batches(docs).mapInArrow(run, "id bigint, mark bigint, seed bigint, content bigint, first int, n int")
+
 
+def compacted(occurrences: DataFrame) -> DataFrame:
+    """``id, mark, first, n, joined``: occurrences of repeated paths, and whether they go on to the next one without a branch.
 
-def read_edges(branching: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``id, seed, edge, at`` of every window inside the ``ranges`` of each document of ``branching``."""
+    ``occurrences`` has ``id, mark, first, n, node``. A node that very many documents hold is
+    counted by partial sums, and its join is one of a row with many, which Spark can split.
+    """
+    each = materialize(occurrences.groupBy("id", "mark").agg(F.array_sort(F.collect_set(F.struct("first", "n", "node"))).alias("p")))
+    after, before = F.get("p", F.col("k") + 1), F.when(F.col("k") > 0, F.get("p", F.col("k") - 1))
+    steps = each.select("id", "mark", F.posexplode("p").alias("k", "x"), "p").select(
+        "id", "mark", F.col("x.first").alias("first"), F.col("x.n").alias("n"), F.col("x.node").alias("node"),
+        F.when(after["first"] == F.col("x.first") + F.col("x.n"), after["node"]).alias("next"),
+        F.when(before["first"] + before["n"] == F.col("x.first"), before["node"]).alias("prev"),
+    )
+    steps = materialize(steps)
+    alone = lambda c: F.when((F.count(c) == F.count("*")) & (F.min(c) == F.max(c)) & (F.min(c) != F.col("node")), F.min(c))
+    ends = materialize(steps.groupBy("node").agg(alone("next").alias("onto"), alone("prev").alias("source")))
+    onward = ends.where("onto is not null").select("node", "onto")
+    back = ends.where("source is not null").select(F.col("node").alias("onto"), F.col("source").alias("node"))
+    links = onward.join(back, ["node", "onto"]).select("node", F.lit(True).alias("joined"))
+    return steps.join(links, "node", "left").select("id", "mark", "first", "n", F.coalesce("joined", F.lit(False)).alias("joined"))
+
+
+def _spans(parts: pa.StructScalar) -> Iterator[tuple[int, int]]:
+    """First window and number of windows of each span: branching paths edge by edge, others as far as they are joined."""
+    rows, at, size = sorted(parts.as_py(), key=lambda r: (r["branch"], r["first"])), None, 0
+    for r in rows:
+        if r["branch"]:
+            yield from ((k, 1) for k in range(r["first"], r["first"] + r["n"]))
+            continue
+        at, size = (r["first"], r["n"]) if at is None else (at, size + r["n"])
+        if not r["joined"]:
+            yield at, size
+            at = None
+
+
+def read_again(chosen: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``id, mark, first, n, digest`` of every span of ``parts`` in each document of ``chosen`` (``id, mark, text, parts``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, ranges = batch.column(0), batch.column(1).cast(pa.binary()), batch.column(2)
             for k in range(batch.num_rows):
-                h = word_hashes((texts[k].as_py() or b"").split())
-                spans = ranges[k].values
-                seed = spans.field("seed").to_numpy()
-                first = spans.field("first").to_numpy().astype(np.int64)
-                count = spans.field("n").to_numpy().astype(np.int64)
-                edges = rolled(h, window)
-                at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                words = (batch.column(2)[k].as_py() or "").encode().split()
+                joined, ends = b" ".join(words), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+                spans = np.array(list(_spans(batch.column(3)[k])), np.int64).reshape(-1, 2)
+                starts = np.concatenate(([0], ends[:-1] + 1))[spans[:, 0]].tolist()
+                stops = ends[spans.sum(1) + window - 2].tolist()
+                digests = [hashlib.blake2b(joined[a:b], digest_size=16).digest() for a, b in zip(starts, stops, strict=True)]
+                of = pa.array(np.zeros(len(spans), np.int64) + k)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), ids[k].as_py())), pa.array(np.repeat(seed, count)), _signed(edges[at]), pa.array(at.astype(np.int32))], ["id", "seed", "edge", "at"]
+                    [batch.column(0).take(of), batch.column(1).take(of), pa.array(spans[:, 0].astype(np.int32)), pa.array(spans[:, 1].astype(np.int32)), pa.array(digests, pa.binary())],
+                    ["id", "mark", "first", "n", "digest"],
                 )
 
-    return in_batches(branching).mapInArrow(run, "id bigint, seed bigint, edge bigint, at int")
+    return in_batches(chosen).mapInArrow(run, "id bigint, mark bigint, first int, n int, digest binary")
 
 
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
-    """``id, ranges``: the first window and number of windows of all repeated runs in each document that has some."""
-    every = read_paths(docs, window, kmer)
-    # Most minimizers occur once; what they start is settled by a count. The rest is few rows.
-    seeds = every.groupBy("seed").agg(F.count("*").alias("c")).where("c > 1").select("seed")
-    met = materialize(every.join(seeds, "seed", "left_semi"))
-    whole = met.groupBy("seed", "content").agg(F.count("*").alias("places"), F.min(F.struct("id", "first", "n")).alias("source"))
-    kinds = whole.groupBy("seed").agg(F.count("*").alias("kinds"))
-    known = materialize(whole.join(kinds, "seed"))
-    twice = known.where("places > 1").select("seed", "content")
-    branch = known.where("kinds > 1").select("source.id", F.struct("seed", "source.first", "source.n").alias("range"))
-    marked = branch.groupBy("id").agg(F.collect_list("range").alias("ranges"))
-    reread = docs.join(marked, "id").select("id", "text", "ranges")
-    edges = materialize(read_edges(reread, window))
-    common = edges.groupBy("seed", "edge").agg(F.count("*").alias("c")).where("c > 1").select("seed", "edge")
-    single = edges.join(common, ["seed", "edge"], "left_semi").select("id", F.col("at").alias("first"), F.lit(1).alias("n"))
-    same = met.join(twice, ["seed", "content"], "left_semi").select("id", "first", "n")
-    return same.union(single).groupBy("id").agg(F.collect_list(F.struct("first", "n")).alias("ranges"))
+    """``id, mark, ranges``: the first window and number of windows of all repeated runs in each document that has some."""
+    every = materialize(read_paths(docs, window, kmer))
+    # Copies of a path are counted where they are read, so a minimizer of very many copies is few rows.
+    kinds = materialize(every.groupBy("seed", "content").agg(F.count("*").alias("places")))
+    seeds = kinds.groupBy("seed").agg(F.sum("places").alias("c"), F.count("*").alias("kinds")).where("c > 1").select("seed", "kinds")
+    known = materialize(kinds.join(seeds, "seed"))
+    met = materialize(every.join(known, ["seed", "content"]).select("id", "mark", "first", "n", F.xxhash64("seed", "content").alias("node"), "places", "kinds"))
+    whole = compacted(met.where("places > 1").select("id", "mark", "first", "n", "node")).select("id", "mark", "first", "n", "joined", F.lit(False).alias("branch"))
+    copy = met.where("kinds > 1").groupBy("node").agg(F.min(F.struct("id", "mark", "first", "n")).alias("x"))
+    branch = copy.select("x.*", F.lit(False).alias("joined"), F.lit(True).alias("branch"))
+    marked = whole.union(branch).groupBy("id", "mark").agg(F.collect_list(F.struct("first", "n", "joined", "branch")).alias("parts"))
+    again = materialize(read_again(docs.join(marked, ["id", "mark"]).select("id", "mark", "text", "parts"), window))
+    common = again.groupBy("digest").agg(F.count("*").alias("c")).where("c > 1").select("digest")
+    found = again.join(common, "digest", "left_semi").select("id", "mark", "first", "n")
+    return found.groupBy("id", "mark").agg(F.collect_set(F.struct("first", "n")).alias("ranges"))
 
 
 def _kept(words: list[bytes], ranges: list[dict] | None, window: int) -> list[bytes]:
@@ -187,12 +233,12 @@ def drop_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", window
     """``id, n_words, n_removed, kept`` for every document: its words without those that a repeated window covers.
 
     Kept words are joined by one space. Null and empty texts have no words; texts shorter than a
-    window lose none; repeated rows repeat each other's windows. An id stands for one text: rows
-    that share an id have to be equal. Rows without an id are dropped; an empty table gives an
-    empty result.
+    window lose none; repeated rows repeat each other's windows, and rows that share an id may
+    have different texts. Rows without an id are dropped; other columns are ignored, whatever
+    their names; an empty table gives an empty result.
     """
-    rows = docs.where(F.col(id).isNotNull()).select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"))
-    joined = rows.join(repeated_ranges(rows, window, kmer), "id", "left").select("id", "text", "ranges")
+    rows = docs.where(F.col(id).isNotNull()).select(F.col(id).cast("bigint").alias("id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
+    joined = rows.join(repeated_ranges(rows, window, kmer), ["id", "mark"], "left").select("id", "text", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
