@@ -10,8 +10,11 @@ discloses the kind with
 
 A word is disclosive if it takes at least ``disclosure`` of the IC and stands next to the kind at
 least ``support`` times. In every document, whether it holds an entity or not, disclosive words
-become spans of kind ``term``; the pattern spans stay as they are. Counts go over all texts. Candidate words are broadcast up to a checked number; beyond it
-word counts are aggregated first and joined by a shuffle.
+become spans of kind ``term``; the pattern spans stay as they are. Counts go over all texts.
+Candidate words are broadcast up to a checked number; beyond it word counts are aggregated first
+and joined by a shuffle. Places are running sums and what stands around them is cut out of blocks
+of a text, so the work grows with the length of a text and not with its square, however many
+entities it holds.
 """
 
 from __future__ import annotations
@@ -64,18 +67,40 @@ def _checker(kind: str) -> Callable[[Column], Column]:
     return lambda s: _valid(kind, s["hit"])
 
 
+def _scan(values: Column, join: Callable[[Column, Column], Column], neutral: Column) -> Column:
+    """Running ``join`` of an array's values, by doubling: log n passes over it."""
+
+    def step(acc: Column, k: Column) -> Column:
+        far = F.pow(F.lit(2), k).cast("int")
+        return F.zip_with(acc, F.concat(F.array_repeat(neutral, far), F.slice(acc, F.lit(1), F.size(acc) - far)), join)
+
+    passes = F.sequence(F.lit(0), F.ceil(F.log2(F.size(values).cast("double"))).cast("int") - 1)
+    return F.when(F.size(values) > 1, F.aggregate(passes, values, step)).otherwise(values)
+
+
 def _located(text: Column, pattern: Column, kind: int) -> Column:
     """Structs (start, kind, end, hit) of all matches: what stands between the matches gives their places."""
     hits, between = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
-    zipped = F.arrays_zip(hits.alias("hit"), F.slice(between, 1, F.size(hits)).alias("before"))
-    begin = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,kind:int,end:int,hit:string>>)").alias("out"))
+    sizes = F.zip_with(hits, F.slice(between, F.lit(1), F.size(hits)), lambda h, b: F.length(h) + F.length(b))
+    ends = _scan(sizes, lambda x, y: x + y, F.lit(0))
+    return F.zip_with(hits, ends, lambda h, e: F.struct((e - F.length(h)).alias("start"), F.lit(kind).alias("kind"), e.alias("end"), h.alias("hit")))
+
+
+#: Code points of a block.
+BLOCK = 1024
+
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["before"])
-        end = start + F.length(x["hit"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["hit"].alias("hit")))).alias("out"))
+def _blocks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
 
-    return F.aggregate(zipped, begin, step, lambda acc: acc["out"])
+
+def _cut(blocks: Column, start: Column, end: Column) -> Column:
+    """Code points ``start`` to ``end`` of the text of ``blocks``, read from the blocks that hold them."""
+    a = F.greatest(start, F.lit(0)).cast("int")
+    first = F.floor(a / BLOCK).cast("int")
+    many = F.floor((end - 1) / BLOCK).cast("int") - first + 1
+    part = F.array_join(F.slice(blocks, first + 1, many), "")
+    return F.when(end > a, F.substr(part, a - first * BLOCK + 1, end - a)).otherwise(F.lit(""))
 
 
 def base_spans(text: Column) -> Column:
@@ -99,14 +124,21 @@ def disclosive_terms(docs: DataFrame, found: DataFrame, reach: int = 4, support:
 
     ``docs`` has every ``text``; ``found`` has ``text`` and ``spans`` of those with entities.
     """
-    near = found.select("text", F.explode("spans").alias("s"))
     width = 40 * reach
-    left = F.split(F.substr("text", F.greatest(F.lit(1), F.col("s.start") - width + 1), F.least(F.lit(width), F.col("s.start"))), f"[{_GAP}]+")
-    right = F.split(F.substr("text", F.col("s.end") + 1, F.lit(width)), f"[{_GAP}]+")
+    blocked = found.withColumn("blocks", _blocks(F.col("text")))
+
+    def beside_of(s: Column) -> Column:
+        # One more character on either side says whether the cut falls inside a word.
+        left, right = _cut(F.col("blocks"), s["start"] - width - 1, s["start"]), _cut(F.col("blocks"), s["end"], s["end"] + width + 1)
+        return F.struct(s["kind"].alias("kind"), left.alias("left"), right.alias("right"))
+
+    near = blocked.select(F.explode(F.transform("spans", beside_of)).alias("s"))
+    full_left, full_right = F.length("s.left") > width, F.length("s.right") > width
+    left = F.split(F.when(full_left, F.substr("s.left", F.lit(2))).otherwise(F.col("s.left")), f"[{_GAP}]+")
+    right = F.split(F.substr("s.right", F.lit(1), F.lit(width)), f"[{_GAP}]+")
     # The words that touch the entity are incomplete, and so is one that the edge of what was cut out falls in.
-    before, after = F.substr("text", F.col("s.start") - width, F.lit(1)), F.substr("text", F.col("s.end") + width + 1, F.lit(1))
-    split_left = (F.col("s.start") > width) & before.rlike(f"[^{_GAP}]")
-    split_right = after.rlike(f"[^{_GAP}]")
+    split_left = full_left & F.substr("s.left", F.lit(1), F.lit(1)).rlike(f"[^{_GAP}]")
+    split_right = full_right & F.substr("s.right", F.lit(width + 1), F.lit(1)).rlike(f"[^{_GAP}]")
     begin = F.greatest(F.when(split_left, 2).otherwise(1), F.size(left) - reach)
     many = F.size(right) - F.when(split_right, 2).otherwise(1)
     words = F.concat(F.slice(left, begin, F.greatest(F.size(left) - begin, F.lit(0))), F.slice(right, 2, F.least(F.lit(reach), F.greatest(many, F.lit(0)))))
@@ -142,17 +174,36 @@ def find_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", reach: i
     found = materialize(marked.where(F.size(base) > 0).select(F.col(text).alias("text"), F.col(base).alias("spans")))
     terms = materialize(disclosive_terms(docs.select(safe.alias("text")), found, reach, support, disclosure).select("term").distinct())
     listed = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
-    held = docs.select(F.col(id).alias("span_id"), F.explode(F.array_distinct(F.split(safe, f"[{_GAP}]+"))).alias("term")).join(listed, "term", "left_semi")
-    quoted = F.concat(F.lit(r"\Q"), F.replace("term", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-    per_doc = held.groupBy("span_id").agg(F.array_join(F.array_sort(F.collect_set(quoted)), "|").alias("span_terms"))
-    joined = marked.join(per_doc, marked[id].eqNullSafe(per_doc["span_id"]), "left")
-    pattern = F.concat(F.lit(f"(?<![^{_GAP}])(?:"), F.col("span_terms"), F.lit(f")(?![^{_GAP}])"))
-    extra = F.filter(
-        F.transform(_located(safe, pattern, len(PATTERNS)), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))),
-        lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
-    )
-    both = F.when(F.col("span_terms").isNull(), F.col(base)).otherwise(F.array_sort(F.concat(F.col(base), extra)))
-    return joined.withColumn(spans, both).drop("span_id", "span_terms"), base, spans
+    mark = F.xxhash64(safe)  # an id may have several texts
+    # The hash is taken before words become rows; after it every word would hash the whole text.
+    worded = docs.select(F.col(id).alias("span_id"), mark.alias("span_mark"), F.array_distinct(F.split(safe, f"[{_GAP}]+")).alias("words"))
+    held = worded.select("span_id", "span_mark", F.explode("words").alias("term")).join(listed, "term", "left_semi")
+    per_doc = held.groupBy("span_id", "span_mark").agg(F.collect_set("term").alias("span_terms"))
+    joined = marked.join(per_doc, marked[id].eqNullSafe(per_doc["span_id"]) & (mark == per_doc["span_mark"]), "left")
+    terms_here = _words_among(safe, F.col("span_terms"))
+    every = free_name(joined, "every")
+    joined = joined.withColumn(every, F.when(F.col("span_terms").isNull(), F.col(base)).otherwise(F.array_sort(F.concat(F.col(base), terms_here))))
+    joined = joined.withColumn(spans, F.when(F.col("span_terms").isNull(), F.col(every)).otherwise(_free_of_base(F.col(every))))
+    return joined.drop("span_id", "span_mark", "span_terms", every), base, spans
+
+
+def _words_among(text: Column, terms: Column) -> Column:
+    """Term spans of the words of a text that are among ``terms``: both are sorted together, and a word's term stands right before it."""
+    of_words = F.transform(_located(text, F.lit(f"[^{_GAP}]+"), len(PATTERNS)), lambda s: F.struct(s["hit"].alias("hit"), F.lit(1).alias("word"), s["start"].alias("start"), s["end"].alias("end")))
+    of_terms = F.transform(terms, lambda t: F.struct(t.alias("hit"), F.lit(0).alias("word"), F.lit(0).alias("start"), F.lit(0).alias("end")))
+    entries = F.array_sort(F.concat(of_words, of_terms))
+    last = _scan(F.transform(entries, lambda e: F.when(e["word"] == 0, e["hit"])), lambda x, y: F.coalesce(x, y), F.lit(None).cast("string"))
+    span = lambda e: F.struct(e["start"].alias("start"), F.lit(len(PATTERNS)).alias("kind"), e["end"].alias("end"))
+    return F.filter(F.zip_with(entries, last, lambda e, t: F.when((e["word"] == 1) & (e["hit"] == t), span(e))), lambda s: s.isNotNull())
+
+
+def _free_of_base(spans: Column) -> Column:
+    """Sorted spans without the terms that overlap a pattern span: those before end by its start, those after start from its end on."""
+    term, far = len(PATTERNS), F.lit(2**31 - 1)
+    before = _scan(F.transform(spans, lambda s: F.when(s["kind"] < term, s["end"]).otherwise(F.lit(0))), lambda x, y: F.greatest(x, y), F.lit(0))
+    after = F.reverse(_scan(F.reverse(F.transform(spans, lambda s: F.when(s["kind"] < term, s["start"]).otherwise(far))), lambda x, y: F.least(x, y), far))
+    kept = F.zip_with(spans, F.arrays_zip(before.alias("b"), after.alias("a")), lambda s, o: F.when((s["kind"] < term) | (o["b"] <= s["start"]) & (o["a"] >= s["end"]), s))
+    return F.filter(kept, lambda s: s.isNotNull())
 
 
 def _of_kind(k: int) -> Callable[[Column], Column]:
@@ -165,7 +216,12 @@ def _written(spans: Column) -> Column:
 
 
 def report(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Counts by kind, a digest of the pattern spans and all spans of each row of ``docs``."""
+    """Counts by kind, a digest of the pattern spans and all spans of each row of ``docs``.
+
+    Null and empty texts have no spans; repeated rows come as often as they are, and rows that
+    share an id are told apart by their texts; other columns are ignored, whatever their names;
+    an empty table stays empty.
+    """
     every, _, _ = find_spans(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")))
     counts = [F.size(F.filter("base", _of_kind(k))).cast("bigint").alias(f"n_{kind}") for k, kind in enumerate(PATTERNS)]
     return every.select(F.col("doc_id").alias(id), *counts, F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"))
@@ -174,17 +230,20 @@ def report(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
 def sanitize(docs: DataFrame, id: str = "doc_id", text: str = "text", length: str | None = "n_chars") -> DataFrame:
     """``docs`` with every span generalised to its kind in brackets; a ``length`` column follows the new text.
 
-    Spans that overlap become one. Rows without spans are as they were, null texts too.
+    Spans that overlap become one. Rows without spans are as they were, null texts too. Repeated
+    rows change alike; all columns stay, whatever their names; an empty table stays empty.
     """
     every, _, spans = find_spans(docs, id, text)
     name, body = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS)), F.col(text)
+    blocks, ends = free_name(every, "blocks"), free_name(every, "ends")
+    every = every.withColumn(blocks, F.when(F.size(spans) > 0, _blocks(body)))
+    every = every.withColumn(ends, _scan(F.transform(spans, lambda s: s["end"]), lambda x, y: F.greatest(x, y), F.lit(0)))
 
-    def step(acc: Column, s: Column) -> Column:
-        more = F.concat(acc["out"], F.substr(body, acc["at"] + 1, s["start"] - acc["at"]), F.get(name, s["kind"]))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], more).otherwise(acc["out"]).alias("out"))
+    def piece(s: Column, i: Column) -> Column:
+        done = F.coalesce(F.get(ends, i - 1), F.lit(0))
+        return F.when(s["start"] >= done, F.concat(_cut(F.col(blocks), done, s["start"]), F.get(name, s["kind"]))).otherwise(F.lit(""))
 
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    new = F.aggregate(spans, begin, step, lambda acc: F.concat(acc["out"], F.substr(body, acc["at"] + 1, F.length(body))))
+    new = F.concat(F.array_join(F.transform(spans, piece), ""), _cut(F.col(blocks), F.array_max(ends), F.length(body)))
     some = F.size(spans) > 0
     changed = every.withColumn(text, F.when(some, new).otherwise(body))
     if length and length in docs.columns:
