@@ -1,27 +1,32 @@
 """Best-fit packing of tokenised documents into sequences of a fixed capacity.
 
-Bulk-synchronous best-fit: pieces are sorted by length and gaps by size; every piece takes its
-successor, the smallest gap that holds it; pieces that want the same gap are told apart by their
-rank among the pieces of their length; then gaps shrink and the next sweep follows, until no
-piece is left.
-
-All pieces of one length are interchangeable, and so are all sequences with one gap. A sweep
-therefore matches a run of ranks with a run of sequence numbers. There are at most ``capacity``
-lengths, so what the sweeps work on and what they decide has a bound that does not depend on the
-number of documents: the histogram of lengths comes from one distributed aggregation, ranks come
-from a distributed count by (length, block), and one join by length and rank places every piece.
-The result is exactly that of best-fit decreasing over all pieces.
+Bulk-synchronous best-fit. All pieces of one length are interchangeable, and so are all sequences
+with one gap, so a sweep matches runs: a run of ranks within a length, a run of sequence numbers
+with one gap. Sweeps take the longest lengths first, down to half of the longest one left:
+
+1. Lengths and gaps are sorted by size together. The lengths between two neighbouring gaps have
+   the same successor, the smallest gap that holds them, and the gaps between two neighbouring
+   lengths have the same predecessor; such a stretch of lengths and of gaps is a zone.
+2. Inside a zone longer pieces rank before shorter ones and smaller gaps before larger ones. Sums
+   along both orders, in sequences, say which run of pieces takes which run of gaps: two runs meet
+   where their intervals overlap, so no two pieces claim one place.
+3. Runs are split, gaps shrink, and the next sweep follows until no piece is left. Where no gap
+   holds a length, as many sequences as its tokens need are opened.
+
+Sweeps are DataFrame operations over runs. There are at most ``capacity`` lengths and gaps, so a
+sweep's tables have a bound that does not depend on the number of documents and one task makes a
+sweep. What grows with the corpus is distributed: the histogram of lengths is one aggregation, ranks
+come from a count by (length, block), and one join by length and rank places every piece.
 """
 
 from __future__ import annotations
 
-import bisect
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanlight.llm.common import documents, in_batches, materialize
@@ -32,7 +37,10 @@ END = 0
 
 
 def tokenize(docs: DataFrame, id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = END, folder: str | None = None) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32`` of every piece; longer documents are cut every ``capacity`` ids."""
+    """``doc_id, piece, start, length, ids_crc32, slot`` of every piece; longer documents are cut every ``capacity`` ids.
+
+    ``slot`` is a document's place in its batch; it tells repeated rows apart where pieces are dealt to tasks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, step = word_encoder(folder).encode, 4 * capacity
@@ -49,53 +57,89 @@ def tokenize(docs: DataFrame, id: str = "doc_id", text: str = "text", capacity:
             pieces = pa.array(piece, pa.int32())
             starts = pa.compute.multiply(pieces.cast(pa.int64()), capacity)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(owner, pa.int32())), pieces, starts, pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
-                ["doc_id", "piece", "start", "length", "ids_crc32"],
+                [batch.column(0).take(pa.array(owner, pa.int32())), pieces, starts, pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(owner, pa.int32())],
+                ["doc_id", "piece", "start", "length", "ids_crc32", "slot"],
             )
 
     rows = docs.select(F.col(id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return in_batches(rows).mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return in_batches(rows).mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, slot int")
+
+
+#: Rows of the sweeps' table: lengths with pieces left, sequences with a gap, and what was placed.
+LENGTH, GAP, FLOW = 0, 1, 2
+_STATE = "kind int, size bigint, first bigint, n bigint, per bigint, sequence bigint, at bigint"
+#: Lengths up to this one are taken together in the last sweeps.
+SHORT = 128
+
+
+def _row(kind: int, size: Column | str, first: Column | str, n: Column | str, per: Column | str | None = None, sequence: Column | str | None = None, at: Column | str | None = None) -> list[Column]:
+    as_column = lambda x: F.lit(0) if x is None else F.col(x) if isinstance(x, str) else x
+    names = ("size", "first", "n", "per", "sequence", "at")
+    return [F.lit(kind).alias("kind"), *(as_column(x).cast("bigint").alias(c) for x, c in zip((size, first, n, per, sequence, at), names, strict=True))]
 
 
-def sweeps(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
-    """Best-fit decreasing over runs.
+def sweep(state: DataFrame, above: int, capacity: int) -> DataFrame:
+    """One sweep over the lengths greater than ``above``: the table after it, with the flows it made.
 
-    Returns ``(length, first_rank, last_rank, first_sequence, per_sequence, offset)``: rank r of
-    ``length`` goes to sequence ``first_sequence + (r - first_rank) div per_sequence``, at
-    ``offset + (r - first_rank) mod per_sequence * length``. Lengths are 1 to ``capacity``.
+    A flow says: ``n`` pieces of length ``size`` from rank ``first`` on go ``per`` to a sequence, from
+    ``sequence`` on, and the first one of a sequence lies at ``at``.
     """
-    gaps: list[int] = []  # sorted sizes that some open sequence has
-    open_at: dict[int, list[tuple[int, int]]] = {}  # size -> runs of sequences (first, count)
-    flows, created = [], 0
-
-    def free(size: int, first: int, count: int) -> None:
-        if size and count:
-            if size not in open_at:
-                bisect.insort(gaps, size)
-            open_at.setdefault(size, []).append((first, count))
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            at = bisect.bisect_left(gaps, length)
-            if at < len(gaps):
-                size = gaps[at]
-                first, count = open_at[size].pop()
-                if not open_at[size]:
-                    del open_at[size], gaps[at]
-            else:
-                size, first, count = capacity, created, -(-left // (capacity // length))
-                created += count
-            each = size // length
-            full = min(count, left // each)
-            if not full:  # fewer pieces are left than one sequence would hold
-                each, full = left, 1
-            flows.append((length, rank, rank + full * each - 1, first, each, capacity - size))
-            rank, left = rank + full * each, left - full * each
-            free(size - each * length, first, full)
-            if full < count:
-                free(size, first + full, count - full)
-    return flows
+    chosen = (F.col("kind") == GAP) | (F.col("kind") == LENGTH) & (F.col("size") > above)
+    sorted_ = Window.orderBy("size", "kind", "first")
+    opens = ((F.col("kind") == LENGTH) & F.coalesce(F.lag("kind").over(sorted_) == GAP, F.lit(True))).cast("int")
+    zoned = state.where(chosen).withColumn("opens", opens).withColumn("zone", F.sum("opens").over(sorted_.rowsBetween(Window.unboundedPreceding, 0)))
+    zone = Window.partitionBy("zone")
+    zoned = zoned.withColumn("least", F.min(F.when(F.col("kind") == GAP, F.col("size"))).over(zone)).drop("per", "sequence", "at")
+    zoned = zoned.withColumn("per", F.floor(F.col("least") / F.col("size")))
+    zoned = zoned.withColumn("want", F.when(F.col("kind") == LENGTH, F.ceil(F.col("n") / F.col("per"))))
+    zoned = zoned.withColumn("wanted", F.coalesce(F.sum("want").over(zone), F.lit(0))).withColumn("offered", F.coalesce(F.sum(F.when(F.col("kind") == GAP, F.col("n"))).over(zone), F.lit(0)))
+
+    lengths = zoned.where((F.col("kind") == LENGTH) & F.col("least").isNotNull())
+    lengths = lengths.withColumn("to", F.sum("want").over(zone.orderBy(F.desc("size")))).withColumn("fro", F.col("to") - F.col("want"))
+    placed = F.least("n", F.greatest(F.lit(0), F.least("want", F.col("offered") - F.col("fro"))) * F.col("per"))
+    waiting = lengths.select(*_row(LENGTH, "size", F.col("first") + placed, F.col("n") - placed)).where("n > 0")
+    unfit = zoned.where((F.col("kind") == LENGTH) & F.col("least").isNull()).select(*_row(LENGTH, "size", "first", "n"))
+
+    gaps = zoned.where(F.col("kind") == GAP)
+    gaps = gaps.withColumn("to", F.sum("n").over(zone.orderBy("size", "first"))).withColumn("fro", F.col("to") - F.col("n"))
+    used = F.greatest(F.lit(0), F.least("n", F.col("wanted") - F.col("fro")))
+    idle = gaps.select(*_row(GAP, "size", F.col("first") + used, F.col("n") - used)).where("n > 0")
+
+    x = lengths.select("zone", "fro", "to", "per", "size", "first", "n").alias("x")
+    y = gaps.select("zone", F.col("fro").alias("g_fro"), F.col("to").alias("g_to"), F.col("size").alias("gap"), F.col("first").alias("sequence")).alias("y")
+    met = x.join(y, "zone").where("fro < g_to and g_fro < to").withColumn("o", F.greatest("fro", "g_fro")).withColumn("many", F.least("to", "g_to") - F.col("o"))
+    met = met.withColumn("skip", (F.col("o") - F.col("fro")) * F.col("per")).withColumn("pieces", F.least(F.col("many") * F.col("per"), F.col("n") - F.col("skip")))
+    met = met.withColumn("sequence", F.col("sequence") + F.col("o") - F.col("g_fro")).withColumn("full", F.floor(F.col("pieces") / F.col("per"))).withColumn("odd", F.col("pieces") - F.col("full") * F.col("per"))
+    flows = met.select(*_row(FLOW, "size", F.col("first") + F.col("skip"), "pieces", "per", "sequence", F.lit(capacity) - F.col("gap")))
+    shrunk = met.select(*_row(GAP, F.col("gap") - F.col("per") * F.col("size"), "sequence", "full"))
+    rest = met.select(*_row(GAP, F.col("gap") - F.col("odd") * F.col("size"), F.col("sequence") + F.col("full"), F.lit(1)), "odd").where("odd > 0").drop("odd")
+    made = flows.union(shrunk.union(rest).where("n > 0 and size > 0"))
+    return state.where(~chosen).union(waiting).union(unfit).union(idle).union(made)
+
+
+def sweeps(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """``length, first, n, per, sequence, at`` of all flows that place ``counts`` (``length, n``; lengths are 1 to ``capacity``)."""
+    spark = counts.sparkSession
+    state = materialize(counts.select(*_row(LENGTH, "length", F.lit(0), "n")).coalesce(1))
+    created = 0
+    while True:
+        left = state.where(F.col("kind") == LENGTH)
+        longest, tokens = left.agg(F.max("size"), F.sum(F.col("size") * F.col("n"))).first()
+        if longest is None:
+            return state.where(F.col("kind") == FLOW).select(F.col("size").alias("length"), "first", "n", "per", "sequence", "at")
+        above = longest // 2 if longest > SHORT else 0
+        largest = state.where(F.col("kind") == GAP).agg(F.coalesce(F.max("size"), F.lit(0))).first()[0]
+        if created:
+            tokens = left.where(F.col("size") > max(above, largest)).agg(F.coalesce(F.sum(F.col("size") * F.col("n")), F.lit(0))).first()[0]
+        if tokens:
+            opened = -(-tokens // capacity)
+            state = state.union(spark.createDataFrame([(GAP, capacity, created, opened, 0, 0, 0)], _STATE))
+            created += opened
+        state = materialize(sweep(state.coalesce(1), above, capacity).coalesce(1))
+
+
+#: Flows up to this number (about 50 bytes each) are broadcast.
+BROADCAST_FLOWS = 500_000
 
 
 def ranked(pieces: DataFrame, total: int, block_rows: int = 200_000) -> DataFrame:
@@ -104,7 +148,7 @@ def ranked(pieces: DataFrame, total: int, block_rows: int = 200_000) -> DataFram
     Ranks come in blocks by hash, so a length that very many pieces share is counted by many tasks.
     """
     blocks = max(16, total // block_rows)
-    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)))
+    dealt = pieces.withColumn("block", F.pmod(F.xxhash64(*pieces.columns), F.lit(blocks)))
     sizes = dealt.groupBy("length", "block").agg(F.count("*").alias("n"))
     before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("block")) - F.col("n")).drop("n")
     inside = F.row_number().over(Window.partitionBy("length", "block").orderBy("doc_id", "piece", "ids_crc32")) - 1
@@ -113,16 +157,15 @@ def ranked(pieces: DataFrame, total: int, block_rows: int = 200_000) -> DataFram
 
 def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (a ``length`` of 1 to ``capacity`` each) with ``sequence_id`` and ``offset``."""
-    spark = pieces.sparkSession
-    counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    schema = "length bigint, first_rank bigint, last_rank bigint, first_sequence bigint, per bigint, at bigint"
-    flows = spark.createDataFrame(sweeps(counts, capacity), schema)
+    counts = materialize(pieces.groupBy("length").agg(F.count("*").alias("n")))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    flows = sweeps(counts, capacity).withColumnsRenamed({"first": "first_rank", "n": "many"})
     nth = F.col("rank") - F.col("first_rank")
     return (
-        ranked(pieces, sum(counts.values()))
-        .join(F.broadcast(flows), "length")
-        .where("rank between first_rank and last_rank")
-        .withColumn("sequence_id", F.col("first_sequence") + F.floor(nth / F.col("per")))
+        ranked(pieces, total)
+        .join(F.broadcast(flows) if flows.count() <= BROADCAST_FLOWS else flows, "length")
+        .where("rank >= first_rank and rank < first_rank + many")
+        .withColumn("sequence_id", F.col("sequence") + F.floor(nth / F.col("per")))
         .withColumn("offset", F.col("at") + nth % F.col("per") * F.col("length"))
         .select(*pieces.columns, "sequence_id", "offset")
     )
@@ -134,7 +177,7 @@ def pack(docs: DataFrame, id: str = "doc_id", text: str = "text", capacity: int
     Null and empty texts are one piece that holds the end id alone; repeated rows are packed as
     often as they come; other columns are ignored; an empty table gives an empty result.
     """
-    return place(materialize(tokenize(docs, id, text, capacity)), capacity).withColumnRenamed("doc_id", id)
+    return place(materialize(tokenize(docs, id, text, capacity)), capacity).drop("slot").withColumnRenamed("doc_id", id)
 
 
 def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
