@@ -37,23 +37,32 @@ DICTIONARY_BYTES = 1 << 16
 
 
 def serialize(ids: bytes, width: int) -> bytes:
-    """Little-endian 32-bit ids as ids of ``width`` bytes."""
-    return ids if width == 4 else np.frombuffer(ids, "<u4").astype(f"<u{width}").tobytes()
+    """Little-endian 32-bit ids as ids of ``width`` bytes; ids that do not fit are an error."""
+    if width == 4:
+        return ids
+    wide = np.frombuffer(ids, "<u4")
+    if len(wide) and int(wide.max()) >> 8 * width:
+        raise ValueError(f"an id of {int(wide.max())} does not fit in {width} bytes")
+    return wide.astype(f"<u{width}").tobytes()
 
 
 def train_dictionary(docs: DataFrame, id: str, text: str, width: int, sample: int = 1500, most: int = 1 << 15) -> bytes:
-    """A dictionary for the ids of a hashed sample: about ``sample`` documents, at most ``most`` bytes of each.
+    """A dictionary for the ids of a hashed sample: about ``sample`` documents, at most ``most`` characters of each.
 
-    Where the sample is too small to train on, its bytes themselves are the dictionary.
+    The bound keeps what reaches the driver small; it says how well the frames compress and
+    nothing about what they hold. A document's part starts at a hashed place, so every stretch of
+    a long text can be learned from. Where the sample is too small to train on, its bytes
+    themselves are the dictionary.
     """
     total = max(1, docs.count())
-    draw = F.pmod(F.xxhash64(F.lit("dictionary"), id), F.lit(1 << 30)) / (1 << 30)
-    chosen = docs.where(draw < sample / total).select(F.col(id).alias("id"), F.substr(text, F.lit(1), F.lit(most)).alias("text"))
+    draw = F.pmod(F.xxhash64(F.lit("dictionary"), id, text), F.lit(1 << 30)) / (1 << 30)
+    start = F.pmod(F.xxhash64(F.lit("place"), id, text), F.greatest(F.lit(1), F.length(text) - most + 1)).cast("int")
+    chosen = docs.where(draw < sample / total).select(F.col(id).alias("id"), F.substr(text, start + 1, F.lit(most)).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             encode = byte_encoder().encode
-            rows = [serialize(encode(t or ""), width)[:most] for t in batch.column(1).to_pylist()]
+            rows = [serialize(encode(t or ""), width) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["id", "ids"])
 
     rows = [bytes(r.ids) for r in in_batches(chosen).mapInArrow(run, "id bigint, ids binary").orderBy("id").limit(2 * sample).collect()]
@@ -75,7 +84,8 @@ def write(docs: DataFrame, folder: str, id: str = "doc_id", text: str = "text",
     """Encode and write every document in ascending order of its id; returns the shards in order.
 
     Null texts count as empty and are stored as the end id; rows without an id are dropped;
-    repeated ids are stored as often as they come. Tasks write under names of their own attempt,
+    repeated ids are stored as often as they come, in any order, by several tasks if they are
+    very many; other columns are ignored, whatever their names. Tasks write under names of their own attempt,
     and only the shards of attempts that ended well are listed, so a lost executor costs a retry.
     """
     docs = docs.where(F.col(id).isNotNull()).select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"))
@@ -111,7 +121,7 @@ def write(docs: DataFrame, folder: str, id: str = "doc_id", text: str = "text",
             f.write(entries.tobytes() + at.to_bytes(8, "little") + len(index).to_bytes(8, "little"))
         yield pa.RecordBatch.from_pylist([{"shard": shard, "first_id": index[0][0], "docs": len(index), "tokens": int(entries["ids"].sum())}])
 
-    ordered = docs.repartitionByRange("id").sortWithinPartitions("id")
+    ordered = docs.repartitionByRange("id", F.rand(7)).sortWithinPartitions("id")  # an id of very many rows is split
     shards = [r.asDict() for r in in_batches(ordered).mapInArrow(run, "shard string, first_id bigint, docs bigint, tokens bigint").collect()]
     shards.sort(key=lambda s: (s["first_id"], s["shard"]))
     start = 0

@@ -42,13 +42,19 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        names = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Texts that spell a special token are left to the library as a whole; it turns them into that token.
+        self.special = re.compile("|".join(names) or "(?!)")
         self.model = self.tokenizer.model
         self.width, self.letters = width, _byte_letters()
         self.pieces: dict = {}
         self.spaced: dict[str, bytes] = {}
         self.known_parts: dict[str, bytes] = {}
 
+    def encode(self, text: str) -> bytes:
+        """Ids of a whole text, those that ``Tokenizer.encode(text, add_special_tokens=False)`` gives."""
+        return self.library(text) if self.special.search(text) else self.pieced(text)
+
     def library(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return b"".join([i.to_bytes(self.width, "little") for i in ids])
@@ -68,7 +74,7 @@ class PieceEncoder:
             found.append(ids)
         return b"".join(found)
 
-    def encode(self, text: str) -> bytes:
+    def pieced(self, text: str) -> bytes:
         raise NotImplementedError
 
 
@@ -81,7 +87,7 @@ class BytePieces(PieceEncoder):
 
     parts = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\\s0-9{_LETTERS}]+")
 
-    def encode(self, text: str) -> bytes:
+    def pieced(self, text: str) -> bytes:
         if "  " in text or "\n\n" in text or "\n " in text or " \n" in text or text[-1:] == " " or _OTHER_SPACE.search(text):
             return self.library(text)
         if len(self.spaced) + len(self.pieces) >= 2 * KEPT:
@@ -114,7 +120,7 @@ class WordPieces(PieceEncoder):
 
     parts = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\\sa-z0-9\xdf-\xf6\xf8-\xff]+")
 
-    def encode(self, text: str) -> bytes:
+    def pieced(self, text: str) -> bytes:
         words, known = text.encode().split(), self.pieces
         try:
             return b"".join([known[w] for w in words])
