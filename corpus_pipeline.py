@@ -32,8 +32,8 @@ def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are sampled with raked weights, those of large weights more than once."""
-    return sample_mixture(docs, repeats=True)
+    """Documents are sampled with raked weights, those of large weights more than once; all columns stay."""
+    return sample_mixture(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

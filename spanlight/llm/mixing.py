@@ -2,39 +2,56 @@
 
 Documents are first summed into cells (source, language, topic), which is a partial aggregation
 however hot a source is. Raking then scales the cells' token weights in turn until they meet the
-target share of every source, language and topic at once. A document is expected ``budget`` times
-what raking made of its cell's weight; its draw is a hash of its id, so a repeated run samples the
-same documents. Sampled with repeats, the expected tokens meet the targets; ``op7_raking`` and a
-sample without repeats end at one copy, and cells of large weights fall short there. Only
-DataFrame functions are used.
+target share of every source, language and topic at once; sweeps go on until no marginal is off
+by more than a billionth. A document is expected ``budget`` times what raking made of its cell's
+weight: it comes floor(expected) times, and once more by a draw with the probability that is left,
+so the expected tokens of the sample meet every target. The draw is a hash of the document's id, so
+a repeated run samples the same documents. A topic is an anchor word: the commonest words that are
+in a tenth of the documents at most are the anchors, and a document has the topic of the one that
+it says most often. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanlight.llm.common import documents, free_name, materialize
 
 DIMS = ("source", "lang", "topic")
-SWEEPS = 8
+#: Sweeps between two tests of the marginals, and sweeps at most.
+SWEEPS, MOST_SWEEPS = 6, 60
+CLOSE = 1e-9
+ANCHORS = 12
 #: Cells up to this number (about 100 bytes each) are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_CELLS = 50_000
 
 
-def topic_of(text: Column) -> Column:
-    """A coarse class of a text from its characters: empty, table, numeric, shouting, short or prose."""
-    n = F.length(text)
-    digits = n - F.length(F.translate(text, "0123456789", ""))
-    capitals = n - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
-    return (
-        F.when(text.isNull() | (n == 0), "empty")
-        .when(F.contains(text, F.lit(" | ")), "table")
-        .when(digits * 20 > n, "numeric")
-        .when(capitals * 4 > n, "shouting")
-        .when(n < 600, "short")
-        .otherwise("prose")
-    )
+def _content(text: Column) -> Column:
+    """Words of four small letters or more, as single spaces part them."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), " "), lambda w: w.rlike("^[a-z]{4,}$"))
+
+
+def anchor_words(docs: DataFrame, text: str = "text", anchors: int = ANCHORS) -> list[str]:
+    """The ``anchors`` content words of the most documents, among those in a tenth of all documents at most; ties to the first word."""
+    counted = docs.select(F.explode(F.array_distinct(_content(F.col(text)))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return [r.word for r in counted.where(F.col("n") * 10 <= docs.count()).orderBy(F.desc("n"), "word").limit(anchors).collect()]
+
+
+def _is(word: str) -> Callable[[Column], Column]:
+    return lambda w: w == word
+
+
+def topic_of(text: Column, anchors: list[str]) -> Column:
+    """The anchor that a text says most often, the first of equals in the order of ``anchors``; ``other`` without one."""
+    if not anchors:
+        return F.lit("other")
+    said = F.filter(F.split(F.coalesce(text, F.lit("")), " "), lambda w: w.isin(*anchors))
+    counts = [F.struct(F.size(F.filter(said, _is(a))).alias("n"), F.lit(-k).alias("k"), F.lit(a).alias("a")) for k, a in enumerate(anchors)]
+    return F.when(F.size(said) > 0, F.array_max(F.array(*counts))["a"]).otherwise(F.lit("other"))
 
 
 def tokens_of(text: Column) -> Column:
@@ -42,11 +59,13 @@ def tokens_of(text: Column) -> Column:
     return F.coalesce(F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1, F.lit(1)).cast("bigint")
 
 
-def rake(cells: DataFrame, dims: tuple[str, ...] = DIMS, tokens: str = "tokens", temper: float = 0.5, sweeps: int = SWEEPS) -> DataFrame:
+def rake(cells: DataFrame, dims: tuple[str, ...] = DIMS, tokens: str = "tokens", temper: float = 0.5, most: int = MOST_SWEEPS) -> DataFrame:
     """``cells`` with ``factor``: raked share over observed share of the cell's tokens.
 
     A value's target share is in proportion to its observed share to the power ``temper`` (1
-    keeps it, 0 makes all equal), unless a column ``target_<dim>`` gives its weight.
+    keeps it, 0 makes all equal), unless a column ``target_<dim>`` gives its weight. Sweeps end
+    when all marginals are met, or after ``most`` where no weights can meet them together, as
+    with a target for a value that has no tokens.
     """
     shares = cells.groupBy().agg(F.sum(tokens).cast("double").alias("all_tokens"))
     out = cells.crossJoin(F.broadcast(shares)).withColumn("seen", F.col(tokens) / F.col("all_tokens")).drop("all_tokens")
@@ -56,82 +75,89 @@ def rake(cells: DataFrame, dims: tuple[str, ...] = DIMS, tokens: str = "tokens",
             out = out.join(marginal, d)
         whole = out.select(d, f"target_{d}").distinct().agg(F.sum(f"target_{d}").alias(f"whole_{d}"))
         out = out.crossJoin(F.broadcast(whole)).withColumn(f"target_{d}", F.col(f"target_{d}") / F.col(f"whole_{d}")).drop(f"whole_{d}")
-    out = materialize(out).withColumn("raked", F.col("seen"))
-    for k in range(sweeps):
+    out = materialize(out.withColumn("raked", F.col("seen")))
+    for k in range(1, most + 1):
         for d in dims:
             held = F.sum("raked").over(Window.partitionBy(d))
             out = out.withColumn("raked", F.coalesce(F.try_divide(F.col("raked") * F.col(f"target_{d}"), held), F.lit(0.0)))
-        if k % 4 == 3:
+        if k % SWEEPS == 0 or k == most:
             out = materialize(out)
+            if largest_gap(out, dims) <= CLOSE:
+                break
     return out.withColumn("factor", F.col("raked") / F.col("seen"))
 
 
-def calibrate(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", budget: float = 0.6, seed: str = "mix", targets: DataFrame | None = None) -> tuple[DataFrame, dict[str, str]]:
-    """``docs`` with topic, tokens, weight, probability and the decision; and what those columns are called.
+def largest_gap(raked: DataFrame, dims: tuple[str, ...] = DIMS) -> float:
+    """How far the marginal that is met worst is from its target share."""
+    gaps = [raked.groupBy(d).agg(F.abs(F.sum("raked") - F.first(f"target_{d}")).alias("gap")) for d in dims]
+    return functools.reduce(DataFrame.union, gaps).agg(F.coalesce(F.max("gap"), F.lit(0.0))).first()[0]
 
-    Null sources and languages are a value of their own; a null or empty text is one token of
-    topic ``empty``; repeated rows share their draw; an empty table gives an empty result.
-    ``targets`` (``dim, value, weight``) replaces the tempered targets of the dimensions that it
-    names; their other values are never drawn. The probability of one draw ends at 1, which cuts
-    off what a weight has above 1 / ``budget``; ``sample_mixture`` can draw such rows repeatedly.
-    """
-    names = {k: free_name(docs, k) for k in ("topic", "tokens", "weight", "probability", "selected", "mix_source", "mix_lang")}
+
+def describe(docs: DataFrame, text: str = "text", source: str = "source", lang: str = "lang") -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with topic, tokens and the values of source and language to be raked, and what those columns are called."""
+    names = {k: free_name(docs, k) for k in ("topic", "tokens", "weight", "copies", "mix_source", "mix_lang")}
     keyed = docs.withColumns(
         {
             names["mix_source"]: F.coalesce(F.col(source).cast("string"), F.lit("")),
             names["mix_lang"]: F.coalesce(F.col(lang).cast("string"), F.lit("")),
-            names["topic"]: topic_of(F.col(text)),
+            names["topic"]: topic_of(F.col(text), anchor_words(docs, text)),
             names["tokens"]: tokens_of(F.col(text)),
         }
     )
+    return keyed, names
+
+
+def calibrate(keyed: DataFrame, names: dict[str, str], id: str = "doc_id", budget: float = 0.6, seed: str = "mix", targets: DataFrame | None = None) -> DataFrame:
+    """What ``describe`` gave, with the weight of each document and the copies of it that the sample holds.
+
+    Null sources and languages are a value of their own; a null or empty text is one token of
+    topic ``other``; repeated rows share their draw; an empty table gives an empty result.
+    ``targets`` (``dim, value, weight``) replaces the tempered targets of the dimensions that it
+    names; their other values are never drawn.
+    """
     cells = keyed.groupBy(F.col(names["mix_source"]).alias("source"), F.col(names["mix_lang"]).alias("lang"), F.col(names["topic"]).alias("topic")).agg(F.sum(names["tokens"]).alias("tokens"))
     for d in [r.dim for r in targets.select("dim").distinct().collect()] if targets is not None else []:
         wanted = targets.where(F.col("dim") == d).select(F.col("value").alias(d), F.col("weight").cast("double").alias(f"target_{d}"))
         cells = cells.join(F.broadcast(wanted), d, "left").fillna(0.0, [f"target_{d}"])
-    raked = materialize(rake(materialize(cells)).select("source", "lang", "topic", F.round("factor", 9).alias("factor")))
+    raked = materialize(rake(materialize(cells)).select("source", "lang", "topic", F.round("factor", 6).alias("factor")))
     raked = raked.select(*(F.col(c).alias(f"cell_{c}") for c in raked.columns))
     small = F.broadcast(raked) if raked.count() <= BROADCAST_CELLS else raked
     same = (keyed[names["mix_source"]] == raked.cell_source) & (keyed[names["mix_lang"]] == raked.cell_lang) & (keyed[names["topic"]] == raked.cell_topic)
     out = keyed.join(small, same).withColumn(names["weight"], F.col("cell_factor"))
-    out = out.withColumn(names["probability"], F.round(F.least(F.lit(1.0), F.col(names["weight"]) * budget), 9))
-    out = out.withColumn(names["selected"], _draw(id, seed) < F.col(names["probability"]))
-    return out.drop("cell_source", "cell_lang", "cell_topic", "cell_factor"), names
-
-
-def _draw(id: str, seed: str) -> Column:
-    return F.conv(F.substring(F.md5(F.concat_ws("|", F.col(id).cast("string"), F.lit(seed))), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+    times = F.col(names["weight"]) * budget
+    draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(id).cast("string"), F.lit(seed))), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+    out = out.withColumn(names["copies"], (F.floor(times) + (draw < times - F.floor(times)).cast("bigint")).cast("int"))
+    return out.drop("cell_source", "cell_lang", "cell_topic", "cell_factor")
 
 
-def sample_mixture(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", budget: float = 0.6, seed: str = "mix", targets: DataFrame | None = None, repeats: bool = False
-) -> DataFrame:
-    """The rows of ``docs`` that the calibrated draw keeps, with their columns as they were.
+def sample_mixture(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", budget: float = 0.6, seed: str = "mix", targets: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs`` that the calibrated draw keeps, each as often as it was drawn, with their columns as they were.
 
-    With ``repeats`` a row comes floor(weight * budget) times and once more by the draw for the
-    rest, so the expected tokens of the sample meet the targets. Without it a row comes once at
-    most, and cells whose weight is above 1 / ``budget`` fall short of theirs.
+    Nulls, empty texts, repeated rows and empty tables are as in ``calibrate``; columns may have
+    any names.
     """
-    out, names = calibrate(docs, id, text, source, lang, budget, seed, targets)
-    if not repeats:
-        return out.where(F.col(names["selected"])).select(docs.columns)
-    times = F.col(names["weight"]) * budget
-    copies = (F.floor(times) + (_draw(id, seed) < times - F.floor(times)).cast("bigint")).cast("int")
-    return out.where(copies > 0).select(*docs.columns, F.explode(F.array_repeat(F.lit(True), copies)).alias(names["selected"])).select(docs.columns)
+    keyed, names = describe(docs, text, source, lang)
+    out = calibrate(keyed, names, id, budget, seed, targets)
+    copies = F.col(names["copies"])
+    return out.where(copies > 0).select(*docs.columns, F.explode(F.array_repeat(F.lit(True), copies)).alias(names["weight"])).select(docs.columns)
 
 
 def op7_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, _ = calibrate(documents(spark, sf_dir).select("doc_id", "text", "source", "lang"))
-    return out.select("doc_id", "source", "lang", "topic", "tokens", "weight", "probability", "selected")
+    keyed, names = describe(documents(spark, sf_dir).select("doc_id", "text", "source", "lang"))
+    # Without the texts the described documents are small, and they are read twice.
+    out = calibrate(materialize(keyed.drop("text")), names)
+    return out.select("doc_id", "source", "lang", "topic", "tokens", "weight", "copies")
 
 
-def _oracle(temper: float = 0.5, sweeps: int = SWEEPS, budget: float = 0.6) -> str:
+def _oracle(temper: float = 0.5, sweeps: int = MOST_SWEEPS, budget: float = 0.6) -> str:
     parts = [
-        """d AS (SELECT doc_id, source, lang, coalesce(source, '') AS s_source, coalesce(lang, '') AS s_lang,
-  CASE WHEN text IS NULL OR length(text) = 0 THEN 'empty' WHEN contains(text, ' | ') THEN 'table'
-    WHEN length(regexp_replace(text, '[^0-9]', '', 'g')) * 20 > length(text) THEN 'numeric'
-    WHEN length(regexp_replace(text, '[^A-Z]', '', 'g')) * 4 > length(text) THEN 'shouting'
-    WHEN length(text) < 600 THEN 'short' ELSE 'prose' END AS s_topic,
+        f"""x AS (SELECT doc_id, source, lang, coalesce(source, '') AS s_source, coalesce(lang, '') AS s_lang, string_split(coalesce(text, ''), ' ') AS words,
   coalesce(length(text) - length(replace(text, ' ', '')) + 1, 1)::BIGINT AS tokens FROM documents)""",
+        "v AS (SELECT word, count(*) AS n FROM (SELECT unnest(list_distinct(list_filter(words, lambda w: regexp_full_match(w, '[a-z]{4,}')))) AS word FROM x) GROUP BY word)",
+        f"a AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) AS k FROM v WHERE n * 10 <= (SELECT count(*) FROM x) ORDER BY n DESC, word LIMIT {ANCHORS})",
+        "s AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(words) AS word FROM x) SEMI JOIN a USING (word) GROUP BY ALL)",
+        "b AS (SELECT doc_id, arg_min(word, (-n, k)) AS word FROM s JOIN a USING (word) GROUP BY doc_id)",
+        "d AS (SELECT x.*, coalesce(b.word, 'other') AS s_topic FROM x LEFT JOIN b USING (doc_id))",
         "c AS (SELECT s_source, s_lang, s_topic, sum(tokens)::DOUBLE AS tokens FROM d GROUP BY ALL)",
         "r AS (SELECT s_source, s_lang, s_topic, tokens / sum(tokens) OVER () AS seen FROM c)",
     ]
@@ -149,10 +175,10 @@ def _oracle(temper: float = 0.5, sweeps: int = SWEEPS, budget: float = 0.6) -> s
         "WITH "
         + ",\n".join(parts)
         + f""",
-f AS (SELECT s_source, s_lang, s_topic, round(w / seen, 9) AS weight FROM w{k}),
-p AS (SELECT d.*, f.weight, round(least(1.0, f.weight * {budget}), 9) AS probability FROM d JOIN f USING (s_source, s_lang, s_topic))
-SELECT doc_id, source, lang, s_topic AS topic, tokens, weight, probability,
-  ('0x' || substring(md5(concat_ws('|', doc_id::VARCHAR, 'mix')), 1, 8))::BIGINT / 4294967296.0 < probability AS selected FROM p"""
+f AS (SELECT s_source, s_lang, s_topic, round(w / seen, 6) AS weight FROM w{k}),
+p AS (SELECT d.*, f.weight, f.weight * {budget} AS times FROM d JOIN f USING (s_source, s_lang, s_topic))
+SELECT doc_id, source, lang, s_topic AS topic, tokens, weight,
+  (floor(times) + (('0x' || substring(md5(concat_ws('|', doc_id::VARCHAR, 'mix')), 1, 8))::BIGINT / 4294967296.0 < times - floor(times))::INT)::INT AS copies FROM p"""
     )
 
 

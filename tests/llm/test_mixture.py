@@ -20,7 +20,7 @@ def shares(df, by):
 def test_sample_meets_tempered_targets(docs):
     seen = shares(docs, "source")
     whole = sum(x**0.5 for x in seen.values())
-    got = mixing.sample_mixture(docs, repeats=True)
+    got = mixing.sample_mixture(docs)
     assert got.columns == docs.columns
     for k, v in shares(got, "source").items():
         assert v == pytest.approx(seen[k] ** 0.5 / whole, abs=0.02)
@@ -29,6 +29,26 @@ def test_sample_meets_tempered_targets(docs):
 
 def test_sample_meets_given_targets(spark, docs):
     targets = spark.createDataFrame([("source", "rare", 2.0), ("source", "large", 2.0), ("lang", "de", 3.0), ("lang", "en", 1.0)], "dim string, value string, weight double")
-    got = mixing.sample_mixture(docs, targets=targets, repeats=True)
+    got = mixing.sample_mixture(docs, targets=targets)
     assert shares(got, "source") == pytest.approx({"rare": 0.5, "large": 0.5}, abs=0.03)
     assert shares(got, "lang") == pytest.approx({"de": 0.75, "en": 0.25}, abs=0.03)
+
+
+def test_expected_tokens_meet_all_targets(spark, docs):
+    keyed, names = mixing.describe(docs)
+    out = mixing.calibrate(keyed, names).withColumn("expected", F.col(names["weight"]) * F.col(names["tokens"]))
+    total = out.agg(F.sum("expected")).first()[0]
+    for dim in ("source", "lang", names["topic"]):
+        seen = {r[0]: r[1] for r in keyed.groupBy(dim).agg(F.sum(names["tokens"])).collect()}
+        whole, half = sum(seen.values()), sum((x / sum(seen.values())) ** 0.5 for x in seen.values())
+        for r in out.groupBy(dim).agg(F.sum("expected")).collect():
+            assert r[1] / total == pytest.approx((seen[r[0]] / whole) ** 0.5 / half, abs=1e-5)
+
+
+def test_topics_are_anchor_words(spark):
+    rows = [(i, "filler filler " + ("apple apple pears" if i % 13 == 0 else "pears stone stone" if i % 17 == 0 else "nothing")) for i in range(400)] + [(900, None), (901, ""), (902, "apple " * 50_000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    anchors = mixing.anchor_words(df)
+    assert anchors == ["apple", "stone"]
+    got = {r.doc_id: r.t for r in df.select("doc_id", mixing.topic_of(F.col("text"), anchors).alias("t")).collect()}
+    assert got[0] == got[902] == "apple" and got[17] == "stone" and got[1] == got[900] == got[901] == "other"
