@@ -27,6 +27,8 @@ from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 from spanlight.llm.common import documents, in_batches
 
 UNIT, PER_BLOCK, MAX_MCUS = 192, 48, 256
+#: A file has 16-bit sizes, so at most so many MCUs of 16 samples either way.
+MOST_MCUS = 4095
 
 
 def _zigzag() -> np.ndarray:
@@ -89,7 +91,7 @@ def write_payload(data: bytes, unpadded: int | None = None) -> bytes:
     """A progressive JPEG file that holds ``data`` (a positive multiple of 192 bytes) in its coefficients."""
     blocks = -(-len(data) // PER_BLOCK)
     mcus = -(-blocks // 6)
-    rows = -(-mcus // MAX_MCUS)
+    rows = -(-mcus // max(MAX_MCUS, -(-mcus // MOST_MCUS)))
     across = -(-mcus // rows)
     mcus = rows * across
     filled = np.zeros((6 * mcus, PER_BLOCK), np.uint8)
@@ -414,7 +416,11 @@ def features(strips: Iterator[np.ndarray]) -> str:
 
 
 def encode_texts(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id, media``: each whole text (null: empty) as UTF-8, filled with spaces to a positive multiple of 192 bytes, in a file."""
+    """``id, media``: each whole text (null: empty) as UTF-8, filled with spaces to a positive multiple of 192 bytes, in a file.
+
+    Equal texts give equal files; repeated rows come as often as they are; other columns are
+    ignored, whatever their names; an empty table stays empty. A file holds up to 4.8 GB.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -452,13 +458,16 @@ def decode_images(files: DataFrame, media: str = "media") -> DataFrame:
 
 
 def read_back(files: DataFrame, id: str = "doc_id", media: str = "media") -> DataFrame:
-    """Digests of what the stored files hold: payload, file and features of the decoded tensor."""
+    """Digests of what the stored files hold: payload, file and features of the decoded tensor; nulls for a null file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for m in batch.column(1):
                 data = m.as_py()
+                if data is None:
+                    rows.append((None,) * len(_DIGESTS))
+                    continue
                 image = read_coefficients(data)
                 payload, n = read_payload(image)
                 rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), features(rgb_strips(image))))

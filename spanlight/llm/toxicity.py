@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic documents are the positives; every other document is unlabelled, whatever its
-label. With the class prior p and a loss l(y, f), the risk of a linear scorer f is
+Confirmed toxic documents are the positives; the unlabelled sample is drawn from all documents of
+the training folds, toxic ones included, as the estimator asks for. With the class prior p and a loss l(y, f), the risk of a linear scorer f is
 
     p * E_P[l(+1, f)] + max(0, E_U[l(-1, f)] - p * E_P[l(-1, f)])
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlight.llm.common import documents, held_out, in_batches
+from spanlight.llm.common import documents, held_out, in_batches, materialize
 
 #: Bytes that part words: everything in ASCII but letters, digits and the apostrophe; capitals become small.
 _TABLE = bytes(b if b > 127 or chr(b).isalnum() and not chr(b).isupper() or b == 39 else b + 32 if chr(b).isupper() else 32 for b in range(256))
@@ -88,23 +88,29 @@ def train(rows: list[tuple[np.ndarray, bool]], words: list[bytes], prior: float,
 
 
 def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", toxic: str = "toxic", positives: int = 4000, unlabelled: int = 8000, vocabulary: int = 20_000, least: int = 3) -> Scorer | None:
-    """Fit on at most ``positives`` toxic and ``unlabelled`` other documents outside the held-out fifth.
-
-    The vocabulary is the ``vocabulary`` words with the largest gap between their document
-    frequencies in the two samples, out of those in at least ``least`` positives. Without a
-    positive or an unlabelled document there is nothing to learn and the result is None.
+    """Fit on at most ``positives`` toxic documents and ``unlabelled`` ones of any label outside the held-out fifth.
+
+    Both samples are the first ids in hash order, one text for each id, so repeated rows and ids of
+    many rows do not exceed the bounds. An id is toxic if one of its labels says so; labels without
+    an id, null labels and rows without an id are not learned from; null texts count as empty;
+    other columns are ignored, whatever their names. The vocabulary is the ``vocabulary`` words
+    with the largest gap between their document frequencies in the two samples, out of those in at
+    least ``least`` positives. Without a positive or any document there is nothing to learn, as
+    with empty tables, and the result is None.
     """
     marks = labels.where(F.col(id).isNotNull()).groupBy(F.col(id).alias("label_id")).agg(F.max(toxic).alias("label_toxic"))
     training = docs.where(~held_out(id)).select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    joined = training.select("id").join(marks, F.col("id") == F.col("label_id"), "left").select("id", (F.coalesce("label_toxic", F.lit(0)) == 1).alias("positive"), F.col("label_toxic").isNotNull().alias("labelled"))
-    total = joined.agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u"), F.count_if("labelled").alias("l")).first()
+    joined = training.select("id").distinct().join(marks, F.col("id") == F.col("label_id"), "left").select("id", (F.coalesce("label_toxic", F.lit(0)) == 1).alias("toxic"), F.col("label_toxic").isNotNull().alias("labelled"))
+    joined = materialize(joined)
+    total = joined.agg(F.count_if("toxic").alias("p"), F.count("*").alias("u"), F.count_if("labelled").alias("l")).first()
     if not total.p or not total.u:
         return None
     prior = min(0.9, max(1e-4, total.p / total.l))
-    share = F.when(F.col("positive"), positives / total.p).otherwise(unlabelled / total.u)
-    drawn = joined.where(F.pmod(F.xxhash64(F.lit("pu"), "id"), F.lit(1 << 30)) / (1 << 30) < share).select(F.col("id").alias("drawn_id"), "positive")
-    # The draw is bounded by the two sample sizes, so its ids are sent to the texts and not the other way.
-    sample = training.join(F.broadcast(drawn), F.col("id") == F.col("drawn_id")).select("id", "text", "positive")
+    order = (F.xxhash64(F.lit("pu"), "id"), F.col("id"))
+    drawn = joined.where("toxic").orderBy(*order).limit(positives).select(F.col("id").alias("drawn_id"), F.lit(True).alias("positive"))
+    drawn = materialize(drawn.union(joined.orderBy(*order).limit(unlabelled).select("id", F.lit(False))))
+    # The draw has at most ``positives + unlabelled`` ids, so they are sent to the texts and not the other way.
+    sample = training.join(F.broadcast(drawn), F.col("id") == F.col("drawn_id")).groupBy("id", "positive").agg(F.min("text").alias("text")).select("id", "text", "positive")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,12 +128,17 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
             rows = [np.array(sorted(index[w] for w in index.keys() & features(t.as_py())), np.int32).tobytes() for t in batch.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.binary())], ["id", "positive", "words"])
 
-    rows = in_batches(sample).mapInArrow(number, "id bigint, positive boolean, words binary").orderBy("id").collect()
+    rows = in_batches(sample).mapInArrow(number, "id bigint, positive boolean, words binary").orderBy("id", "positive").collect()
     return train([(np.frombuffer(r.words, np.int32), r.positive) for r in rows], words, prior)
 
 
 def score(docs: DataFrame, scorer: Scorer | None, text: str = "text", out: str = "score") -> DataFrame:
-    """``docs`` without ``text`` and with its score; null and empty texts get that of no words, without a scorer all get 0."""
+    """``docs`` without ``text`` and with its score.
+
+    Null and empty texts get the score of no words, without a scorer all get 0; repeated rows and
+    equal texts get equal scores; whole texts count, however long; a column named like ``out`` is
+    replaced; an empty table stays empty.
+    """
     rest = [c for c in docs.columns if c not in (text, out)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

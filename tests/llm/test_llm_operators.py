@@ -12,7 +12,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 from spanlight.llm import ann, components, jaccard, langid, media, mixing, packing, pii, simhash, substring, tokenfile, tokens, toxicity
-from spanlight.llm.common import shared_dir
+from spanlight.llm.common import shared_dir, vocabulary_path
+from tokenizers import Tokenizer
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, fingerprint string, block int, pivot int, topic string, spans string, held_out string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()
@@ -422,9 +423,10 @@ def test_media_columns(docs, texts, spark):
 @pytest.mark.parametrize("make", [tokens.byte_encoder, tokens.word_encoder])
 def test_pieces_give_the_ids_of_whole_texts(make, texts):
     encoder = make()
-    odd = ["", " ", "a", " a", "a ", "a\n", "\na", "a\n b", "a \nb", "it's don't I'LL 'S", "a  b", "\x1cx y", "<|endoftext|> x", "日本語 テキスト", "ǆ ﬁ İ Σας", "123 45,6", "a\tb", "a\r\nb", "\x85 a\xa0b", "🙂 a🙂b", "é ́x", "x_y __z ²½ª"]
+    odd = ["", " ", "a", " a", "a ", "a\n", "\na", "a\n b", "a \nb", "it's don't I'LL 'S", "a  b", "\x1cx y", "<|endoftext|> x", "a<|startoftext|>b <|endoftext|>", "日本語 テキスト", "ǆ ﬁ İ Σας", "123 45,6", "a\tb", "a\r\nb", "\x85 a\xa0b", "🙂 a🙂b", "é ́x", "x_y __z ²½ª"]
+    plain = Tokenizer.from_file(vocabulary_path("byte_bpe_50k.json" if make is tokens.byte_encoder else "word_bpe_49k.json"))
     for t in odd + [t or "" for t in texts]:
-        assert encoder.encode(t) == encoder.library(t), t[:40]
+        assert encoder.encode(t) == b"".join(i.to_bytes(4, "little") for i in plain.encode(t, add_special_tokens=False).ids), t[:40]
 
 
 def test_token_files(spark, docs, texts):
@@ -457,20 +459,21 @@ def slow_best_fit(lengths, capacity):
     return len(gaps)
 
 
-@pytest.mark.parametrize("seed", range(5))
-def test_sweeps_equal_best_fit_decreasing(seed):
+@pytest.mark.parametrize("seed", range(2))
+def test_sweeps_place_every_piece_once(spark, seed):
     rng = np.random.default_rng(seed)
     lengths = rng.integers(1, 65, 400).tolist() + [64] * 3 + [1] * 40
     counts = Counter(lengths)
     used, placed = Counter(), Counter()
-    for length, a, b, first, per, at in packing.sweeps(counts, 64):
-        for r in range(a, b + 1):
-            s = first + (r - a) // per
-            assert used[s] == at + (r - a) % per * length
+    flows = packing.sweeps(spark.createDataFrame(list(counts.items()), "length bigint, n bigint"), 64).collect()
+    for length, first, n, per, sequence, at in flows:
+        for r in range(n):
+            s = sequence + r // per
+            placed[length, first + r] += 1
             used[s] += length
-            placed[length] += 1
-    assert placed == counts and max(used.values()) <= 64
-    assert len(used) == slow_best_fit(lengths, 64)
+            assert at + (r % per + 1) * length <= 64
+    assert placed == {(x, r): 1 for x, n in counts.items() for r in range(n)} and max(used.values()) <= 64
+    assert len(used) <= slow_best_fit(lengths, 64) * 1.02 + 1
 
 
 def test_packed_documents(docs, texts):
@@ -493,7 +496,7 @@ def test_packed_documents(docs, texts):
             assert at == end
             end += n
         assert end <= 256
-    assert len(by_sequence) == slow_best_fit([r.length for r in rows], 256)
+    assert len(by_sequence) <= slow_best_fit([r.length for r in rows], 256) * 1.02 + 1
 
 
 # Mixing
@@ -502,7 +505,7 @@ def test_packed_documents(docs, texts):
 def test_raked_marginals(spark):
     rows = [(f"s{i % 4}", f"l{i // 4 % 3}", f"t{i // 12 % 2}", 10 + (i * 37) % 90) for i in range(72)]
     cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens bigint").groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"))
-    out = mixing.rake(cells, sweeps=40).toPandas()
+    out = mixing.rake(cells).toPandas()
     for d in mixing.DIMS:
         share = out.groupby(d).raked.sum()
         target = out.groupby(d)[f"target_{d}"].first()
@@ -510,12 +513,13 @@ def test_raked_marginals(spark):
 
 
 def test_sampling_is_calibrated(spark, docs, texts):
-    out, names = mixing.calibrate(docs)
+    keyed, names = mixing.describe(docs)
+    out = mixing.calibrate(keyed, names)
     assert names["topic"] == "_topic" and out.count() == len(texts)
-    rows = out.select("doc_id", names["probability"], names["selected"]).collect()
-    assert all(0 <= r[1] <= 1 for r in rows)
+    rows = out.select("doc_id", names["weight"], names["copies"]).collect()
+    assert all(abs(r[2] - r[1] * 0.6) <= 1 for r in rows)
     once, twice = (sorted(r.doc_id for r in mixing.sample_mixture(docs).collect()) for _ in range(2))
-    assert once == twice == sorted(r[0] for r in rows if r[2])
+    assert once == twice == sorted(r[0] for r in rows for _ in range(r[2]))
     assert mixing.sample_mixture(docs).columns == docs.columns
 
 
