@@ -76,7 +76,10 @@ def rake(cells: DataFrame, dims: tuple[str, ...] = DIMS, tokens: str = "tokens",
         whole = out.select(d, f"target_{d}").distinct().agg(F.sum(f"target_{d}").alias(f"whole_{d}"))
         out = out.crossJoin(F.broadcast(whole)).withColumn(f"target_{d}", F.col(f"target_{d}") / F.col(f"whole_{d}")).drop(f"whole_{d}")
     out = materialize(out.withColumn("raked", F.col("seen")))
+    few = out.count() <= BROADCAST_CELLS
     for k in range(1, most + 1):
+        if few and k % SWEEPS == 1:  # one task sweeps a small table faster than any exchange
+            out = out.coalesce(1)
         for d in dims:
             held = F.sum("raked").over(Window.partitionBy(d))
             out = out.withColumn("raked", F.coalesce(F.try_divide(F.col("raked") * F.col(f"target_{d}"), held), F.lit(0.0)))

@@ -21,6 +21,7 @@ come from a count by (length, block), and one join by length and rank places eve
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -72,70 +73,83 @@ _STATE = "kind int, size bigint, first bigint, n bigint, per bigint, sequence bi
 SHORT = 128
 
 
-def _row(kind: int, size: Column | str, first: Column | str, n: Column | str, per: Column | str | None = None, sequence: Column | str | None = None, at: Column | str | None = None) -> list[Column]:
-    as_column = lambda x: F.lit(0) if x is None else F.col(x) if isinstance(x, str) else x
-    names = ("size", "first", "n", "per", "sequence", "at")
-    return [F.lit(kind).alias("kind"), *(as_column(x).cast("bigint").alias(c) for x, c in zip((size, first, n, per, sequence, at), names, strict=True))]
+def _zones(state: DataFrame, above: DataFrame) -> DataFrame:
+    """The rows that a sweep works on, with their zone and the run of sequences they want or offer in it, ``fro`` to ``to``.
 
+    ``per`` pieces of a length go to a sequence of its zone; it is null where no gap holds the length.
+    """
+    sorted_, zone = Window.orderBy("size", "kind", "first"), Window.partitionBy("zone")
+    chosen = state.where(F.col("kind") != FLOW).crossJoin(F.broadcast(above)).where((F.col("kind") == GAP) | (F.col("size") > F.col("above")))
+    opens = ((F.col("kind") == LENGTH) & F.coalesce(F.lag("kind").over(sorted_) == GAP, F.lit(True))).cast("int")
+    out = chosen.select("kind", "size", "first", "n", opens.alias("opens")).withColumn("zone", F.sum("opens").over(sorted_.rowsBetween(Window.unboundedPreceding, 0)))
+    least = F.min(F.when(F.col("kind") == GAP, F.col("size"))).over(zone)
+    out = out.withColumn("per", F.when(F.col("kind") == LENGTH, F.floor(least / F.col("size"))))
+    out = out.withColumn("units", F.when(F.col("kind") == GAP, F.col("n")).otherwise(F.coalesce(F.ceil(F.col("n") / F.col("per")), F.lit(0))))
+    ranks = Window.partitionBy("zone", "kind").orderBy(F.when(F.col("kind") == GAP, F.col("size")).otherwise(-F.col("size")), "first")
+    total = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("units"))).over(zone), F.lit(0))
+    other = F.when(F.col("kind") == GAP, total(LENGTH)).otherwise(total(GAP))
+    return out.withColumn("to", F.sum("units").over(ranks)).withColumn("other", other).withColumn("fro", F.col("to") - F.col("units")).drop("opens")
 
-def sweep(state: DataFrame, above: int, capacity: int) -> DataFrame:
-    """One sweep over the lengths greater than ``above``: the table after it, with the flows it made.
+
+def sweep(state: DataFrame, above: DataFrame, capacity: DataFrame) -> DataFrame:
+    """The table after one sweep over the lengths greater than ``above``, and the flows it made.
 
     A flow says: ``n`` pieces of length ``size`` from rank ``first`` on go ``per`` to a sequence, from
     ``sequence`` on, and the first one of a sequence lies at ``at``.
     """
-    chosen = (F.col("kind") == GAP) | (F.col("kind") == LENGTH) & (F.col("size") > above)
-    sorted_ = Window.orderBy("size", "kind", "first")
-    opens = ((F.col("kind") == LENGTH) & F.coalesce(F.lag("kind").over(sorted_) == GAP, F.lit(True))).cast("int")
-    zoned = state.where(chosen).withColumn("opens", opens).withColumn("zone", F.sum("opens").over(sorted_.rowsBetween(Window.unboundedPreceding, 0)))
-    zone = Window.partitionBy("zone")
-    zoned = zoned.withColumn("least", F.min(F.when(F.col("kind") == GAP, F.col("size"))).over(zone)).drop("per", "sequence", "at")
-    zoned = zoned.withColumn("per", F.floor(F.col("least") / F.col("size")))
-    zoned = zoned.withColumn("want", F.when(F.col("kind") == LENGTH, F.ceil(F.col("n") / F.col("per"))))
-    zoned = zoned.withColumn("wanted", F.coalesce(F.sum("want").over(zone), F.lit(0))).withColumn("offered", F.coalesce(F.sum(F.when(F.col("kind") == GAP, F.col("n"))).over(zone), F.lit(0)))
-
-    lengths = zoned.where((F.col("kind") == LENGTH) & F.col("least").isNotNull())
-    lengths = lengths.withColumn("to", F.sum("want").over(zone.orderBy(F.desc("size")))).withColumn("fro", F.col("to") - F.col("want"))
-    placed = F.least("n", F.greatest(F.lit(0), F.least("want", F.col("offered") - F.col("fro"))) * F.col("per"))
-    waiting = lengths.select(*_row(LENGTH, "size", F.col("first") + placed, F.col("n") - placed)).where("n > 0")
-    unfit = zoned.where((F.col("kind") == LENGTH) & F.col("least").isNull()).select(*_row(LENGTH, "size", "first", "n"))
-
-    gaps = zoned.where(F.col("kind") == GAP)
-    gaps = gaps.withColumn("to", F.sum("n").over(zone.orderBy("size", "first"))).withColumn("fro", F.col("to") - F.col("n"))
-    used = F.greatest(F.lit(0), F.least("n", F.col("wanted") - F.col("fro")))
-    idle = gaps.select(*_row(GAP, "size", F.col("first") + used, F.col("n") - used)).where("n > 0")
-
-    x = lengths.select("zone", "fro", "to", "per", "size", "first", "n").alias("x")
-    y = gaps.select("zone", F.col("fro").alias("g_fro"), F.col("to").alias("g_to"), F.col("size").alias("gap"), F.col("first").alias("sequence")).alias("y")
-    met = x.join(y, "zone").where("fro < g_to and g_fro < to").withColumn("o", F.greatest("fro", "g_fro")).withColumn("many", F.least("to", "g_to") - F.col("o"))
-    met = met.withColumn("skip", (F.col("o") - F.col("fro")) * F.col("per")).withColumn("pieces", F.least(F.col("many") * F.col("per"), F.col("n") - F.col("skip")))
-    met = met.withColumn("sequence", F.col("sequence") + F.col("o") - F.col("g_fro")).withColumn("full", F.floor(F.col("pieces") / F.col("per"))).withColumn("odd", F.col("pieces") - F.col("full") * F.col("per"))
-    flows = met.select(*_row(FLOW, "size", F.col("first") + F.col("skip"), "pieces", "per", "sequence", F.lit(capacity) - F.col("gap")))
-    shrunk = met.select(*_row(GAP, F.col("gap") - F.col("per") * F.col("size"), "sequence", "full"))
-    rest = met.select(*_row(GAP, F.col("gap") - F.col("odd") * F.col("size"), F.col("sequence") + F.col("full"), F.lit(1)), "odd").where("odd > 0").drop("odd")
-    made = flows.union(shrunk.union(rest).where("n > 0 and size > 0"))
-    return state.where(~chosen).union(waiting).union(unfit).union(idle).union(made)
+    zoned = materialize(_zones(state, above))
+    met_units = F.greatest(F.lit(0), F.least("units", F.col("other") - F.col("fro")))
+    taken = F.when(F.col("kind") == GAP, met_units).otherwise(F.least("n", met_units * F.coalesce("per", F.lit(0))))
+    zero = F.lit(0).cast("bigint")
+    left = zoned.select("kind", "size", (F.col("first") + taken).alias("first"), (F.col("n") - taken).alias("n"), zero.alias("per"), zero.alias("sequence"), zero.alias("at")).where("n > 0")
+
+    x = zoned.where(F.col("kind") == LENGTH).where("per is not null").select("zone", "fro", "to", "per", "size", "first", "n")
+    y = zoned.where(F.col("kind") == GAP).select("zone", F.col("fro").alias("g_fro"), F.col("to").alias("g_to"), F.col("size").alias("gap"), F.col("first").alias("g_first"))
+    met = x.join(y, "zone").where("fro < g_to and g_fro < to").crossJoin(F.broadcast(capacity))
+    met = met.withColumn("o", F.greatest("fro", "g_fro")).withColumn("skip", (F.col("o") - F.col("fro")) * F.col("per"))
+    met = met.withColumn("pieces", F.least((F.least("to", "g_to") - F.col("o")) * F.col("per"), F.col("n") - F.col("skip")))
+    met = met.withColumn("sequence", F.col("g_first") + F.col("o") - F.col("g_fro")).withColumn("full", F.floor(F.col("pieces") / F.col("per"))).withColumn("odd", F.col("pieces") % F.col("per"))
+
+    def row(kind: int, size: Column, first: Column, n: Column, per: Column = zero, sequence: Column = zero, at: Column = zero) -> Column:
+        named = zip((size, first, n, per, sequence, at), ("size", "first", "n", "per", "sequence", "at"), strict=True)
+        return F.struct(F.lit(kind).alias("kind"), *(c.cast("bigint").alias(name) for c, name in named))
+
+    flow = row(FLOW, F.col("size"), F.col("first") + F.col("skip"), F.col("pieces"), F.col("per"), F.col("sequence"), F.col("capacity") - F.col("gap"))
+    shrunk = row(GAP, F.col("gap") - F.col("per") * F.col("size"), F.col("sequence"), F.col("full"))
+    last = row(GAP, F.col("gap") - F.col("odd") * F.col("size"), F.col("sequence") + F.col("full"), F.least(F.col("odd"), F.lit(1)))
+    made = met.select(F.explode(F.array(flow, shrunk, last)).alias("r")).select("r.*").where("n > 0 and size > 0")
+    short = state.where(F.col("kind") == LENGTH).crossJoin(F.broadcast(above)).where("size <= above").drop("above")
+    return short.union(left).union(made)
 
 
 def sweeps(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``length, first, n, per, sequence, at`` of all flows that place ``counts`` (``length, n``; lengths are 1 to ``capacity``)."""
     spark = counts.sparkSession
-    state = materialize(counts.select(*_row(LENGTH, "length", F.lit(0), "n")).coalesce(1))
-    created = 0
+    zero = F.lit(0).cast("bigint")
+    state = counts.select(F.lit(LENGTH).alias("kind"), F.col("length").alias("size"), zero.alias("first"), "n", zero.alias("per"), zero.alias("sequence"), zero.alias("at"))
+    state, flows, created = materialize(state.coalesce(1)), [], 0
+    whole = spark.createDataFrame([(capacity,)], "capacity bigint")
     while True:
-        left = state.where(F.col("kind") == LENGTH)
-        longest, tokens = left.agg(F.max("size"), F.sum(F.col("size") * F.col("n"))).first()
+        # Numbers that differ from sweep to sweep come as rows, so that one compiled plan serves all sweeps.
+        is_length = F.col("kind") == LENGTH
+        longest, tokens, largest = state.agg(F.max(F.when(is_length, F.col("size"))), F.sum(F.when(is_length, F.col("size") * F.col("n"))), F.coalesce(F.max(F.when(F.col("kind") == GAP, F.col("size"))), F.lit(0))).first()
         if longest is None:
-            return state.where(F.col("kind") == FLOW).select(F.col("size").alias("length"), "first", "n", "per", "sequence", "at")
+            break
         above = longest // 2 if longest > SHORT else 0
-        largest = state.where(F.col("kind") == GAP).agg(F.coalesce(F.max("size"), F.lit(0))).first()[0]
-        if created:
-            tokens = left.where(F.col("size") > max(above, largest)).agg(F.coalesce(F.sum(F.col("size") * F.col("n")), F.lit(0))).first()[0]
-        if tokens:
+        opened = 0
+        if not created:
             opened = -(-tokens // capacity)
-            state = state.union(spark.createDataFrame([(GAP, capacity, created, opened, 0, 0, 0)], _STATE))
-            created += opened
-        state = materialize(sweep(state.coalesce(1), above, capacity).coalesce(1))
+        elif longest > largest:
+            unfit = state.where(is_length).crossJoin(F.broadcast(spark.createDataFrame([(max(above, largest),)], "most bigint"))).where("size > most")
+            opened = -(-unfit.agg(F.sum(F.col("size") * F.col("n"))).first()[0] // capacity)
+        new = spark.createDataFrame([(GAP, capacity, created, opened, 0, 0, 0)], _STATE)
+        created += opened
+        bound = spark.createDataFrame([(above,)], "above bigint")
+        state = materialize(sweep(state.union(new).where("n > 0").coalesce(1), bound, whole).coalesce(1))
+        flows.append(state.where(F.col("kind") == FLOW))
+        state = state.where(F.col("kind") != FLOW)
+    every = functools.reduce(DataFrame.union, flows) if flows else state
+    return every.select(F.col("size").alias("length"), "first", "n", "per", "sequence", "at")
 
 
 #: Flows up to this number (about 50 bytes each) are broadcast.
