@@ -67,14 +67,15 @@ def rake(cells: DataFrame, dims: tuple[str, ...] = DIMS, tokens: str = "tokens",
     when all marginals are met, or after ``most`` where no weights can meet them together, as
     with a target for a value that has no tokens.
     """
-    shares = cells.groupBy().agg(F.sum(tokens).cast("double").alias("all_tokens"))
-    out = cells.crossJoin(F.broadcast(shares)).withColumn("seen", F.col(tokens) / F.col("all_tokens")).drop("all_tokens")
+    whole = Window.partitionBy()
+    out = cells.withColumn("seen", F.col(tokens) / F.sum(tokens).over(whole).cast("double"))
     for d in dims:
+        of = Window.partitionBy(d)
         if f"target_{d}" not in cells.columns:
-            marginal = out.groupBy(d).agg(F.pow(F.sum("seen"), F.lit(temper)).alias(f"target_{d}"))
-            out = out.join(marginal, d)
-        whole = out.select(d, f"target_{d}").distinct().agg(F.sum(f"target_{d}").alias(f"whole_{d}"))
-        out = out.crossJoin(F.broadcast(whole)).withColumn(f"target_{d}", F.col(f"target_{d}") / F.col(f"whole_{d}")).drop(f"whole_{d}")
+            out = out.withColumn(f"target_{d}", F.pow(F.sum("seen").over(of), F.lit(temper)))
+        # Each of a value's cells brings its part of the value's target, so the sum has every value once.
+        out = out.withColumn("part", F.col(f"target_{d}") / F.count("*").over(of))
+        out = out.withColumn(f"target_{d}", F.col(f"target_{d}") / F.sum("part").over(whole)).drop("part")
     out = materialize(out.withColumn("raked", F.col("seen")))
     few = out.count() <= BROADCAST_CELLS
     for k in range(1, most + 1):
