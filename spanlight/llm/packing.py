@@ -68,11 +68,15 @@ def tokenize(docs: DataFrame, id: str = "doc_id", text: str = "text", capacity:
 
 #: Rows of the sweeps' table: lengths with pieces left, sequences with a gap, and what was placed.
 LENGTH, GAP, FLOW = 0, 1, 2
-_STATE = "kind int, size bigint, first bigint, n bigint, per bigint, sequence bigint, at bigint"
 #: Lengths up to this one are taken together in the last sweeps.
 SHORT = 128
 
 
+def _one_row(spark: SparkSession, **values: int) -> DataFrame:
+    """A local table of one row of whole numbers, which no task has to make."""
+    return spark.sql(f"SELECT * FROM VALUES ({', '.join(f'{v}L' for v in values.values())}) AS one({', '.join(values)})")
+
+
 def _zones(state: DataFrame, above: DataFrame) -> DataFrame:
     """The rows that a sweep works on, with their zone and the run of sequences they want or offer in it, ``fro`` to ``to``.
 
@@ -128,7 +132,7 @@ def sweeps(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     zero = F.lit(0).cast("bigint")
     state = counts.select(F.lit(LENGTH).alias("kind"), F.col("length").alias("size"), zero.alias("first"), "n", zero.alias("per"), zero.alias("sequence"), zero.alias("at"))
     state, flows, created = materialize(state.coalesce(1)), [], 0
-    whole = spark.createDataFrame([(capacity,)], "capacity bigint")
+    whole = _one_row(spark, capacity=capacity)
     while True:
         # Numbers that differ from sweep to sweep come as rows, so that one compiled plan serves all sweeps.
         is_length = F.col("kind") == LENGTH
@@ -140,11 +144,11 @@ def sweeps(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         if not created:
             opened = -(-tokens // capacity)
         elif longest > largest:
-            unfit = state.where(is_length).crossJoin(F.broadcast(spark.createDataFrame([(max(above, largest),)], "most bigint"))).where("size > most")
+            unfit = state.where(is_length).crossJoin(F.broadcast(_one_row(spark, most=max(above, largest)))).where("size > most")
             opened = -(-unfit.agg(F.sum(F.col("size") * F.col("n"))).first()[0] // capacity)
-        new = spark.createDataFrame([(GAP, capacity, created, opened, 0, 0, 0)], _STATE)
+        new = _one_row(spark, kind=GAP, size=capacity, first=created, n=opened, per=0, sequence=0, at=0).withColumn("kind", F.col("kind").cast("int"))
         created += opened
-        bound = spark.createDataFrame([(above,)], "above bigint")
+        bound = _one_row(spark, above=above)
         state = materialize(sweep(state.union(new).where("n > 0").coalesce(1), bound, whole).coalesce(1))
         flows.append(state.where(F.col("kind") == FLOW))
         state = state.where(F.col("kind") != FLOW)
