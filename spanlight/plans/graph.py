@@ -12,6 +12,7 @@ from spanlight.operators import windows as W
 from spanlight.plans import views as V
 from spanlight.plans.registry import query
 from spanlight.plans.windows import cases, observations
+from spanlight.sources.io import stored
 
 R = V.RADIUS
 _REL = f"rel AS (SELECT c.case_id, c.tactic AS case_tactic, c.anchor, e.row_id, e.ts_s, e.src, e.dst, e.relation, e.operation, e.label, e.tactic, e.ts_s - c.anchor AS delta FROM anchored c JOIN prov_edge e ON abs(e.ts_s - c.anchor) <= {R})"
@@ -24,11 +25,12 @@ _GRAPH = f"{_REL}, {_ENDS}, {_ENT}"
 
 def relations(spark: SparkSession, sf_dir: str, radius: float = R, offset: float = 0.0) -> DataFrame:
     c = cases(spark, sf_dir).select("case_id", F.col("tactic").alias("case_tactic"), "anchor")
-    return G.case_relations(c, V.prov_edge(spark, sf_dir), radius, offset)
+    return stored(G.case_relations(c, V.prov_edge(spark, sf_dir), radius, offset))
 
 
-def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.entity_features(relations(spark, sf_dir), V.prov_node(spark, sf_dir), R)
+def entities(spark: SparkSession, sf_dir: str, rel: DataFrame | None = None) -> DataFrame:
+    """``rel`` are the relations, where the caller has them already."""
+    return G.entity_features(relations(spark, sf_dir) if rel is None else rel, V.prov_node(spark, sf_dir), R)
 
 
 @query(
@@ -244,14 +246,15 @@ mat AS (SELECT e.*, coalesce(EXISTS (SELECT 1 FROM vals v WHERE v.case_id = e.ca
 
 
 def alert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows in the window of each case's anchor; written once, since alerts read them twice."""
     c = cases(spark, sf_dir).select("case_id", W.bucket(F.col("anchor"), V.WINDOW).alias("window_start"))
-    return V.flow(spark, sf_dir).withColumn("window_start", W.bucket(F.col("ts_s"), V.WINDOW)).join(c, "window_start")
+    return stored(V.flow(spark, sf_dir).withColumn("window_start", W.bucket(F.col("ts_s"), V.WINDOW)).join(c, "window_start"))
 
 
-def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+def matched(spark: SparkSession, sf_dir: str, rel: DataFrame | None = None) -> DataFrame:
     pairs = (("ip", "src_ip"), ("ip", "dst_ip"), ("port", "src_port"), ("port", "dst_port"))
     values = F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(c).cast("string").alias("value")) for d, c in pairs)))
-    return G.matches(entities(spark, sf_dir), V.prov_node(spark, sf_dir), alert_rows(spark, sf_dir).select("case_id", values.alias("v")).select("case_id", "v.*"))
+    return G.matches(entities(spark, sf_dir, rel), V.prov_node(spark, sf_dir), alert_rows(spark, sf_dir).select("case_id", values.alias("v")).select("case_id", "v.*"))
 
 
 @query("g02_alert_matches", f", {_GRAPH}, {_VALUES} SELECT case_id, id, address_match, port_match FROM mat")
@@ -268,7 +271,8 @@ def g03(spark: SparkSession, sf_dir: str) -> DataFrame:
     def counted(df: DataFrame, column: str, out: str) -> DataFrame:
         return df.groupBy("case_id", column).agg(F.count("*").alias("n")).groupBy("case_id").agg(W.text_map(F.col(column), F.col("n")).alias(out))
 
-    return counted(entities(spark, sf_dir), "kind", "kinds").join(counted(relations(spark, sf_dir), "operation", "operations"), "case_id")
+    rel = relations(spark, sf_dir)
+    return counted(entities(spark, sf_dir, rel), "kind", "kinds").join(counted(rel, "operation", "operations"), "case_id")
 
 
 _TRUTH = """SELECT case_id, count(*) FILTER (WHERE label = 1) AS bad_entities, count(*) FILTER (WHERE label = 1 AND kind = 'process') AS bad_processes, count(*) FILTER (WHERE kind = 'process') AS processes FROM ent GROUP BY 1"""
@@ -302,7 +306,8 @@ _CTX = f"""ctx AS (SELECT e.case_id, e.id, count(*) FILTER (WHERE m.kind = 'file
 
 
 def context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.process_context(relations(spark, sf_dir), matched(spark, sf_dir), V.prov_node(spark, sf_dir))
+    rel = relations(spark, sf_dir)
+    return G.process_context(rel, matched(spark, sf_dir, rel), V.prov_node(spark, sf_dir))
 
 
 @query("g06_process_context", f", {_GRAPH}, {_VALUES}, {_CTX} SELECT case_id, id, near_file, near_socket, used, socket_both, file_tmp, round(min_delta, 6) AS min_delta, before_n, connects, renames, round(socket_proximity, 6) AS socket_proximity FROM ctx")
@@ -334,7 +339,9 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
   round(ln(1 + al.alert_rows), 6) AS alert_rows_log, round(hs.hhi, 6) AS alert_hhi_dst_port, round(al.alert_tcp, 6) AS alert_tcp FROM ent e JOIN prov_node n USING (id) LEFT JOIN ctx ON ctx.case_id = e.case_id AND ctx.id = e.id JOIN al ON al.case_id = e.case_id JOIN hh hs ON hs.case_id = e.case_id AND hs.dimension = 'dst_port' WHERE e.kind = 'process'""",
 )
 def g07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = G.process_vector(matched(spark, sf_dir), context(spark, sf_dir), V.prov_node(spark, sf_dir), alerts(spark, sf_dir))
+    rel, nodes = relations(spark, sf_dir), V.prov_node(spark, sf_dir)
+    found = stored(matched(spark, sf_dir, rel))
+    v = G.process_vector(found, G.process_context(rel, found, nodes), nodes, alerts(spark, sf_dir))
     cols = ["log_closest", "in_fraction", "log_near_file", "log_operation_connect", "utility_shell", "f_system_binary", "before_fraction", "alert_rows_log", "alert_hhi_dst_port", "alert_tcp"]
     return v.select("case_id", "id", *(F.round(c, 6).alias(c) for c in cols))
 
@@ -359,12 +366,13 @@ _SC = f"sc AS (SELECT case_id, id, round(ln(1 + incident) + proximity, 6) AS sco
 @query(
     "g09_ranked_summary",
     f""", {_GRAPH}, {_SC} SELECT case_id, round(sum(score * in_degree) FILTER (WHERE r <= 3) / sum(score) FILTER (WHERE r <= 3), 6) AS top_in_degree, round(max(score) FILTER (WHERE r = 1) - coalesce(max(score) FILTER (WHERE r = 2), 0), 6) AS margin,
-  round(-sum(greatest(p, 1e-12) * ln(greatest(p, 1e-12))), 6) AS entropy, round(sum(p) FILTER (WHERE r <= 3), 6) AS top_mass, count(*) AS candidates FROM rk GROUP BY 1""",
+  round(-sum(greatest(p, 1e-12) * ln(greatest(p, 1e-12))), 6) + 0.0 AS entropy, round(sum(p) FILTER (WHERE r <= 3), 6) AS top_mass, count(*) AS candidates FROM rk GROUP BY 1""",
 )
 def g09(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = entities(spark, sf_dir).where("kind = 'process'").select("case_id", "id", F.round("recency_degree", 6).alias("score"), "in_degree")
     out = G.ranked_summary(e, ["in_degree"])
-    return out.select("case_id", *(F.round(c, 6).alias(c) for c in ("top_in_degree", "margin", "entropy", "top_mass")), "candidates")
+    # Adding zero makes a rounded -0.0 a plain zero.
+    return out.select("case_id", *((F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("top_in_degree", "margin", "entropy", "top_mass")), "candidates")
 
 
 @query(
@@ -396,8 +404,9 @@ def g11(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT rk.case_id, r AS rank, rk.id AS entity_id, score, coalesce(string_agg('a_' || substr(sha256(rk.case_id || '|' || rk.id || '|' || row_id), 1, 20), ',' ORDER BY k), '') AS anchors FROM rk LEFT JOIN n ON n.case_id = rk.case_id AND n.id = rk.id AND k <= 3 WHERE r <= 10 GROUP BY 1, 2, 3, 4""",
 )
 def g12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = entities(spark, sf_dir).withColumn("recency_degree", F.round("recency_degree", 6))
-    p = G.packages(e, relations(spark, sf_dir), V.prov_node(spark, sf_dir)).select("case_id", F.explode("candidates").alias("c"))
+    rel = relations(spark, sf_dir)
+    e = entities(spark, sf_dir, rel).withColumn("recency_degree", F.round("recency_degree", 6))
+    p = G.packages(e, rel, V.prov_node(spark, sf_dir)).select("case_id", F.explode("candidates").alias("c"))
     return p.select("case_id", "c.rank", "c.entity_id", "c.score", F.array_join(F.transform("c.anchors", lambda a: a["anchor_id"]), ",").alias("anchors"))
 
 

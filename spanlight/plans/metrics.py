@@ -312,11 +312,11 @@ def a13(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "a14_corruption_summary",
-    f", {_OUTC} SELECT condition, round(avg(rejection), 9) AS rejection, round(avg(wrong_rate), 9) AS wrong_rate, sum(events_n)::BIGINT AS events_n FROM om WHERE condition <> 'clean' GROUP BY 1",
+    f", {_OUTC} SELECT condition, round(avg(rejection), 6) AS rejection, round(avg(wrong_rate), 6) AS wrong_rate, sum(events_n)::BIGINT AS events_n FROM om WHERE condition <> 'clean' GROUP BY 1",
 )
 def a14(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = family_outcomes(spark, sf_dir).where("condition <> 'clean'")
-    return o.groupBy("condition").agg(F.round(F.avg("rejection"), 9).alias("rejection"), F.round(F.avg("wrong_rate"), 9).alias("wrong_rate"), F.sum("events_n").alias("events_n"))
+    return o.groupBy("condition").agg(F.round(F.avg("rejection"), 6).alias("rejection"), F.round(F.avg("wrong_rate"), 6).alias("wrong_rate"), F.sum("events_n").alias("events_n"))
 
 
 @query(

@@ -10,20 +10,22 @@ from spanlight.operators import packages as L
 from spanlight.plans import views as V
 from spanlight.plans.graph import _GRAPH, _SC, entities, relations
 from spanlight.plans.registry import query
+from spanlight.sources.io import stored
 
 _TOP = f"""{_GRAPH}, {_SC}, top AS (SELECT case_id, r AS rank, id AS entity_id FROM rk WHERE r <= 10)"""
 
 
 def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = entities(spark, sf_dir).withColumn("recency_degree", F.round("recency_degree", 6))
-    p = G.packages(e, relations(spark, sf_dir), V.prov_node(spark, sf_dir))
+    rel = relations(spark, sf_dir)
+    e = entities(spark, sf_dir, rel).withColumn("recency_degree", F.round("recency_degree", 6))
+    p = stored(G.packages(e, rel, V.prov_node(spark, sf_dir)))
     return p.withColumn("proposal", F.element_at(F.array(*map(F.lit, L.TACTICS)), (F.length("case_id") % 5 + 1).cast("int")))
 
 
-def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+def responses(p: DataFrame) -> DataFrame:
     """Certificates with planted faults: the variant is the last digit of the case number modulo 5."""
     first = lambda path: F.element_at(F.col("candidates"), 1)[path]
-    p = packages(spark, sf_dir).withColumn("variant", (F.substring("case_id", -1, 1).cast("int") % 5).cast("int"))
+    p = p.withColumn("variant", (F.substring("case_id", -1, 1).cast("int") % 5).cast("int"))
     anchor = F.element_at(first("anchors"), 1)["anchor_id"]
     v = F.col("variant")
     body = F.struct(
@@ -46,7 +48,8 @@ _CHECKED = f"""{_TOP}, ck AS (SELECT case_id, variant, CASE variant {' '.join(f"
 
 @query("l02_certificates", f", {_CHECKED} SELECT case_id, variant, CASE WHEN errors = '' THEN 'attribute' ELSE 'abstain' END AS decision, errors = '' AS valid, errors FROM ck")
 def l02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = L.check_certificates(responses(spark, sf_dir), packages(spark, sf_dir))
+    p = packages(spark, sf_dir)
+    out = L.check_certificates(responses(p), p)
     return out.select("case_id", "variant", "decision", "valid", F.array_join("errors", ",").alias("errors"))
 
 
@@ -55,7 +58,8 @@ def l02(spark: SparkSession, sf_dir: str) -> DataFrame:
     f", {_CHECKED} SELECT variant, count(*) AS n, count(*) FILTER (WHERE errors <> '') AS failed, count(*) FILTER (WHERE errors LIKE '%attribute_without%') AS evidence_obligation, count(*) FILTER (WHERE errors LIKE '%hallucinated%') AS reference_ownership, count(*) FILTER (WHERE errors LIKE '%mismatch%') AS decision_or_schema FROM ck GROUP BY 1",
 )
 def l03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = L.failure_taxonomy(L.check_certificates(responses(spark, sf_dir), packages(spark, sf_dir)), ["variant"])
+    p = packages(spark, sf_dir)
+    out = L.failure_taxonomy(L.check_certificates(responses(p), p), ["variant"])
     return out.select("variant", "n", "failed", "evidence_obligation", "reference_ownership", "decision_or_schema")
 
 
@@ -155,7 +159,8 @@ def l11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def l12(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
-    e, r, nodes = entities(spark, sf_dir), relations(spark, sf_dir), V.prov_node(spark, sf_dir).select("id")
+    r = relations(spark, sf_dir)
+    e, nodes = entities(spark, sf_dir, r), V.prov_node(spark, sf_dir).select("id")
     dangling = r.join(nodes, r.src == nodes.id, "left_anti").select("case_id", "row_id").union(r.join(nodes, r.dst == nodes.id, "left_anti").select("case_id", "row_id")).distinct().agg(F.count("*").alias("dangling"))
     repeated = r.groupBy("case_id", "row_id").count().where("count > 1").agg(F.count("*").alias("repeated_relations"))
     per = e.groupBy("case_id").agg(F.count("*").alias("n"))

@@ -62,11 +62,22 @@ def split_provenance(rows: DataFrame, kind: str = "type", id: str = "id", ts: Co
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below the shared one that ``spark.checkpoint.dir`` names, or a temporary one where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    """A new folder below the shared one that ``spark.checkpoint.dir`` names; where it is unset, a local run gets a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="spark-")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df``, written to the shared folder and read back: what reads it several times computes it once."""
+    path = scratch_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_jsonl(df: DataFrame, path: str, partition: str | None = None) -> None:
     """One JSON object a line, fields in alphabetical order."""
     writer = df.select(sorted(df.columns)).write.mode("errorifexists")
