@@ -213,7 +213,8 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) ->
     branch = copy.select("x.*", F.lit(False).alias("joined"), F.lit(True).alias("branch"))
     marked = whole.union(branch).groupBy("id", "mark").agg(F.collect_list(F.struct("first", "n", "joined", "branch")).alias("parts"))
     again = materialize(read_again(docs.join(marked, ["id", "mark"]).select("id", "mark", "text", "parts"), window))
-    common = again.groupBy("digest").agg(F.count("*").alias("c")).where("c > 1").select("digest")
+    # Written first, so that Spark can split the join at a digest of very many spans.
+    common = materialize(again.groupBy("digest").agg(F.count("*").alias("c")).where("c > 1").select("digest"))
     found = again.join(common, "digest", "left_semi").select("id", "mark", "first", "n")
     return found.groupBy("id", "mark").agg(F.collect_set(F.struct("first", "n")).alias("ranges"))
 
