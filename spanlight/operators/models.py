@@ -88,8 +88,8 @@ def tfidf(docs: DataFrame, id: str, text: str, terms: int = 500) -> DataFrame:
     n = docs.agg(F.count("*").alias("n"))
     value = (1 + F.log(F.col("tf"))) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
     kept = tf.join(F.broadcast(vocabulary), "term").crossJoin(F.broadcast(n)).select(id, "term", value.alias("value"))
-    norm = kept.groupBy(id).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("_norm"))
-    return kept.join(norm, id).select(id, "term", (F.col("value") / F.col("_norm")).alias("value"))
+    norm = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy(id)))
+    return kept.select(id, "term", (F.col("value") / norm).alias("value"))
 
 
 def _clipped(p: Column) -> Column:

@@ -88,10 +88,10 @@ def f13(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "f14_normal_text",
-    r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '\b(?:\d{1,3}\.){3}\d{1,3}\b', ' <ip> ', 'g'), '\bt\d{4}(?:\.\d{3})?\b', ' <technique> ', 'g'), '\b\d+\b', ' <num> ', 'g'), '\s+', ' ', 'g'))) AS digest FROM documents WHERE lang = 'en'""",
+    r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '\b(?:\d{1,3}\.){3}\d{1,3}\b', ' <ip> ', 'g'), '\bt\d{4}(?:\.\d{3})?\b', ' <technique> ', 'g'), '\b\d+\b', ' <num> ', 'g'), '\s+', ' ', 'g'))) AS digest FROM documents""",
 )
 def f14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en'").select("doc_id", F.md5(S.normal_text(F.col("text"))).alias("digest"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.md5(S.normal_text(F.col("text"))).alias("digest"))
 
 
 @query(

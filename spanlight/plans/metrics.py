@@ -255,17 +255,13 @@ def a07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curve(spark, sf_dir).groupBy("model").agg(F.round(F.avg(F.col("errors") / F.col("rank")), 9).alias("aurc"))
 
 
-@query(
-    "a08_mid_percentile",
-    "SELECT a.case_id, round((count(*) FILTER (WHERE b.score < a.score) + count(*) FILTER (WHERE b.score = a.score) / 2) / count(*), 9) AS percentile FROM (SELECT case_id, fold, score FROM scored WHERE h % 9 = 0) a JOIN scored b ON b.fold = a.fold AND b.y = 0 GROUP BY a.case_id",
-)
-def a08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = V.scored(spark, sf_dir)
-    return M.mid_percentile(s.where("h % 9 = 0").select("case_id", "fold", "score"), s.where("y = 0"), ["fold"]).select("case_id", F.round("percentile", 9).alias("percentile"))
+_PERCENTILE = """, c AS (SELECT fold, score, count(*) AS n FROM scored WHERE y = 0 GROUP BY ALL)
+SELECT a.case_id, round((sum(CASE WHEN c.score < a.score THEN n ELSE 0 END) + sum(CASE WHEN c.score = a.score THEN n ELSE 0 END) / 2) / sum(n), 9) AS percentile FROM scored a JOIN c ON c.fold = a.fold GROUP BY a.case_id"""
 
 
-@query("a08_mid_percentile_whole")
-def a08_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("a08_mid_percentile", _PERCENTILE)
+@query("a08_mid_percentile_whole", _PERCENTILE)
+def a08(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = V.scored(spark, sf_dir)
     return M.mid_percentile(s.select("case_id", "fold", "score"), s.where("y = 0"), ["fold"]).select("case_id", F.round("percentile", 9).alias("percentile"))
 

@@ -70,19 +70,14 @@ def m05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", "fold", F.col("predicted").cast("int").alias("predicted"), F.round(L.entropy(p), 6).alias("entropy"), F.round(L.margin(p), 6).alias("margin"))
 
 
-@query(
-    "m06_tfidf",
-    r""", ws AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z_]{2,}') AS w FROM documents WHERE lang = 'en' AND regexp_full_match(text, '[\x00-\x7F]*')), g AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM ws),
+_TFIDF = r""", ws AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]{2,}') AS w FROM documents), g AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM ws),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY ALL), vb AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT 500), v AS (SELECT doc_id, tf.term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM ws)) / (1 + df)) + 1) AS value FROM tf JOIN vb USING (term))
-SELECT doc_id, term, round(value / sqrt(sum(value * value) OVER (PARTITION BY doc_id)), 9) AS value FROM v""",
-)
-def m06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en'").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    return L.tfidf(docs, "doc_id", "text").withColumn("value", F.round("value", 9))
+SELECT doc_id, term, round(value / sqrt(sum(value * value) OVER (PARTITION BY doc_id)), 9) AS value FROM v"""
 
 
-@query("m06_tfidf_whole")
-def m06_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("m06_tfidf", _TFIDF)
+@query("m06_tfidf_whole", _TFIDF)
+def m06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.tfidf(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text").withColumn("value", F.round("value", 9))
 
 
@@ -147,10 +142,10 @@ def m11(spark: SparkSession, sf_dir: str) -> DataFrame:
     false = a.join(donors.select("vec_id", "donor_id"), "vec_id").join(other, "donor_id").select("vec_id", "label", "x", "z", F.lit(0).alias("bound"))
     half = lambda c, lo: F.slice(c, lo, 32)
     pairs = true.unionByName(false).withColumns(
-        {f"d{i}": F.element_at(half("x", 1), i + 1).cast("double") * F.element_at(half("z", 33), i + 1).cast("double") for i in range(16)} | {"l1": L.l1_distance(half("x", 1), half("z", 1)).cast("double")}
+        {f"d{i}": F.element_at(half("x", 1), i + 1).cast("double") * F.element_at(half("z", 33), i + 1).cast("double") for i in range(32)} | {"l1": L.l1_distance(half("x", 1), half("z", 1)).cast("double")}
     )
     rows = L.balanced_weights(pairs.withColumn("fold", (F.col("vec_id") % 3).cast("int")).drop("x", "z"), "bound")
-    out = L.out_of_fold(rows, [*(f"d{i}" for i in range(16)), "l1"], "bound", "fold")
+    out = L.out_of_fold(rows, [*(f"d{i}" for i in range(32)), "l1"], "bound", "fold")
     return out.select("vec_id", "bound", F.round(F.element_at("probabilities", 2), 6).alias("score"))
 
 

@@ -105,37 +105,29 @@ def l07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.shuffled(packages(spark, sf_dir), "seed").select("case_id", F.explode("candidates").alias("c")).select("case_id", "c.entity_id", "c.rank")
 
 
-_RUNS = "runs AS (SELECT case_id, r, 'e' || (('0x' || substr(md5(concat_ws('|', case_id, r)), 1, 8))::BIGINT % 3) AS entity FROM scored, (SELECT unnest([1, 2, 3]) AS r) WHERE case_id % 20 = 0)"
+_RUNS = "runs AS (SELECT case_id, r, 'e' || (('0x' || substr(md5(concat_ws('|', case_id, r)), 1, 8))::BIGINT % 3) AS entity FROM scored, (SELECT unnest([1, 2, 3]) AS r))"
 
 
-def runs(spark: SparkSession, sf_dir: str, some: str = "true") -> DataFrame:
-    s = V.scored(spark, sf_dir).where(some).select("case_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("r"))
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = V.scored(spark, sf_dir).select("case_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("r"))
     return s.withColumn("entity", F.expr("concat('e', cast(conv(substring(md5(concat_ws('|', case_id, r)), 1, 8), 16, 10) as bigint) % 3)"))
 
 
-@query("l08_agreement", f", {_RUNS} SELECT case_id, CASE WHEN count(*) FILTER (WHERE n >= 2) = 1 THEN max(entity) FILTER (WHERE n >= 2) END AS entity FROM (SELECT case_id, entity, count(*) AS n FROM runs GROUP BY 1, 2) GROUP BY 1")
-def l08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.agreement(runs(spark, sf_dir, "case_id % 20 = 0"), 2)
+_AGREEMENT = f", {_RUNS} SELECT case_id, CASE WHEN count(*) FILTER (WHERE n >= 2) = 1 THEN max(entity) FILTER (WHERE n >= 2) END AS entity FROM (SELECT case_id, entity, count(*) AS n FROM runs GROUP BY 1, 2) GROUP BY 1"
+_STABILITY = f", {_RUNS} SELECT case_id, count(*) AS n, count(DISTINCT coalesce(entity, '-')) AS kinds, (count(DISTINCT coalesce(entity, '-')) = 1)::INT AS unanimous FROM runs GROUP BY 1"
 
 
-@query("l08_agreement_whole")
-def l08_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("l08_agreement", _AGREEMENT)
+@query("l08_agreement_whole", _AGREEMENT)
+def l08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.agreement(runs(spark, sf_dir), 2)
 
 
-@query("l09_replicate_stability", f", {_RUNS} SELECT case_id, count(*) AS n, count(DISTINCT coalesce(entity, '-')) AS kinds, (count(DISTINCT coalesce(entity, '-')) = 1)::INT AS unanimous FROM runs GROUP BY 1")
+@query("l09_replicate_stability", _STABILITY)
+@query("l09_replicate_stability_whole", _STABILITY)
 def l09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stability(runs(spark, sf_dir, "case_id % 20 = 0"))
-
-
-@query("l09_replicate_stability_whole")
-def l09_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stability(runs(spark, sf_dir))
-
-
-def _stability(r: DataFrame) -> DataFrame:
     kinds = F.countDistinct(F.coalesce("entity", F.lit("-")))
-    return r.groupBy("case_id").agg(F.count("*").alias("n"), kinds.alias("kinds"), (kinds == 1).cast("int").alias("unanimous"))
+    return runs(spark, sf_dir).groupBy("case_id").agg(F.count("*").alias("n"), kinds.alias("kinds"), (kinds == 1).cast("int").alias("unanimous"))
 
 
 @query("l10_condition_agreement", "SELECT a.model, count(*) AS n, round(avg((a.accepted IS NOT DISTINCT FROM b.accepted)::INT), 9) AS agreement FROM decision a JOIN decision b ON a.case_id = b.case_id AND a.condition = 'clean' AND b.condition = 'shift_time' GROUP BY 1")

@@ -200,30 +200,22 @@ def _reselected_risk(spark: SparkSession, sf_dir: str, replicates: int) -> DataF
     return B.top_share_risk(rows, "group_id", "score", "wrong", 0.5, replicates, "top").withColumn("risk", F.round("risk", 9))
 
 
-_PAIR = """pr AS (SELECT case_id, max(correct) FILTER (WHERE condition = 'clean') AS a, max(correct) FILTER (WHERE condition = 'shift_time') AS b FROM decision WHERE case_id % 50 = 0 GROUP BY 1), pc AS (SELECT count(*) FILTER (WHERE a > b) AS only_a, count(*) FILTER (WHERE b > a) AS only_b FROM pr)"""
+_PAIR = """pr AS (SELECT case_id, max(correct) FILTER (WHERE condition = 'clean') AS a, max(correct) FILTER (WHERE condition = 'shift_time') AS b FROM decision GROUP BY 1), pc AS (SELECT count(*) FILTER (WHERE a > b) AS only_a, count(*) FILTER (WHERE b > a) AS only_b FROM pr)"""
 
 
-def pairs(spark: SparkSession, sf_dir: str, some: str = "true") -> DataFrame:
-    d = V.decision(spark, sf_dir).where(some)
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = V.decision(spark, sf_dir)
     of = lambda c: F.max(F.when(F.col("condition") == c, F.col("correct")))
     return d.groupBy("case_id").agg(of("clean").alias("a"), of("shift_time").alias("b"))
 
 
-@query(
-    "b05_mcnemar",
-    f""", {_PAIR} SELECT only_a, only_b, round(least(1, 2 * list_sum(list_transform(range(0, least(only_a, only_b) + 1), lambda i: exp(lgamma(only_a + only_b + 1) - lgamma(i + 1) - lgamma(only_a + only_b - i + 1) - (only_a + only_b) * ln(2))))), 9) AS p FROM pc""",
-)
-def b05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mcnemar(pairs(spark, sf_dir, "case_id % 50 = 0"))
+_MCNEMAR = f""", {_PAIR} SELECT only_a, only_b, round(least(1, 2 * list_sum(list_transform(range(0, least(only_a, only_b) + 1), lambda i: exp(lgamma(only_a + only_b + 1) - lgamma(i + 1) - lgamma(only_a + only_b - i + 1) - (only_a + only_b) * ln(2))))), 9) AS p FROM pc"""
 
 
-@query("b05_mcnemar_whole")
-def b05_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mcnemar(pairs(spark, sf_dir))
-
-
-def _mcnemar(p: DataFrame) -> DataFrame:
-    c = p.agg(F.count_if(F.col("a") > F.col("b")).alias("only_a"), F.count_if(F.col("b") > F.col("a")).alias("only_b"))
+@query("b05_mcnemar", _MCNEMAR)
+@query("b05_mcnemar_whole", _MCNEMAR)
+def b05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = pairs(spark, sf_dir).agg(F.count_if(F.col("a") > F.col("b")).alias("only_a"), F.count_if(F.col("b") > F.col("a")).alias("only_b"))
     return c.select("only_a", "only_b", F.round(B.mcnemar_p(F.col("only_a"), F.col("only_b")), 9).alias("p"))
 
 

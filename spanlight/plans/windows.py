@@ -73,23 +73,15 @@ def w03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.window_profile(V.flow(spark, sf_dir).where("label = 1"), V.WINDOW, [], [], _shares())
 
 
-@query(
-    "w04_dense_windows",
-    f""", w AS (SELECT {BUCKET} AS window_start, count(*) AS row_count, round(sum(size), 6) AS size_sum FROM flow WHERE protocol = 'ICMP' AND flag = 1 AND src_port % 3 = 0 GROUP BY 1)
+_DENSE = f""", w AS (SELECT {BUCKET} AS window_start, count(*) AS row_count, round(sum(size), 6) AS size_sum FROM flow GROUP BY 1)
 SELECT s.window_start, coalesce(row_count, 0) AS row_count, coalesce(size_sum, 0) AS size_sum
-FROM (SELECT unnest(generate_series(min(window_start), max(window_start), {V.WINDOW})) AS window_start FROM w) s LEFT JOIN w USING (window_start)""",
-)
-def w04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dense(V.flow(spark, sf_dir).where("protocol = 'ICMP' and flag = 1 and src_port % 3 = 0"))
+FROM (SELECT unnest(generate_series(min(window_start), max(window_start), {V.WINDOW})) AS window_start FROM w) s LEFT JOIN w USING (window_start)"""
 
 
-@query("w04_dense_windows_whole")
-def w04_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dense(V.flow(spark, sf_dir))
-
-
-def _dense(flows: DataFrame) -> DataFrame:
-    out = W.window_profile(flows, V.WINDOW, ["size"], [], {}).select("window_start", "row_count", F.round("size_sum", 6).alias("size_sum"))
+@query("w04_dense_windows", _DENSE)
+@query("w04_dense_windows_whole", _DENSE)
+def w04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = W.window_profile(V.flow(spark, sf_dir), V.WINDOW, ["size"], [], {}).select("window_start", "row_count", F.round("size_sum", 6).alias("size_sum"))
     return W.dense(out, V.WINDOW)
 
 
