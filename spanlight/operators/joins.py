@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanlight.operators.windows import merge_intervals, points_inside
+from spanlight.operators.windows import DAY, merge_intervals, points_inside
 
 
 def top_k(rows: DataFrame, keys: list[str], order: list[Column], k: int, place: str = "rank") -> DataFrame:
@@ -56,21 +56,31 @@ def within(left: DataFrame, right: DataFrame, centre: str, ts: str, radius: floa
     return l.join(r, ["_b", *keys]).where(F.abs(F.col(ts) - F.col(centre)) <= radius).drop("_b")
 
 
-def nearest_distance(rows: DataFrame, key: str, ts: str, side: str, a: str, b: str) -> DataFrame:
+def nearest_distance(rows: DataFrame, key: str, ts: str, side: str, a: str, b: str, block: float = DAY) -> DataFrame:
     """For each row of either side, the distance to the nearest row of the other side with the same key.
 
-    Rows without a partner are left out. One ordered pass each way; no pairs are formed.
+    Rows without a partner are left out. One ordered pass each way inside blocks of time; no pairs
+    are formed. Of each block only its first and last time of either side are ordered over a whole
+    key, so a key with very many rows spreads over as many tasks as it has blocks.
     """
-    order = Window.partitionBy(key).orderBy(ts)
+    order = Window.partitionBy(key, "_block").orderBy(ts)
+    over_key = Window.partitionBy(key).orderBy("_block")
+    earlier, later = over_key.rowsBetween(Window.unboundedPreceding, -1), over_key.rowsBetween(1, Window.unboundedFollowing)
     other = F.when(F.col(side) == a, b).otherwise(a)
+    rows = rows.withColumn("_block", F.floor(F.col(ts) / block))
     tops: dict[str, Column] = {}
+    ends: list[Column] = []
+    edges: list[Column] = []
     for s in (a, b):
         at = F.when(F.col(side) == s, F.col(ts))
-        tops[f"before_{s}"] = F.last(at, ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, 0))
-        tops[f"after_{s}"] = F.first(at, ignorenulls=True).over(order.rangeBetween(0, Window.unboundedFollowing))
-    wide = rows.withColumns(tops).withColumn("_other", other)
+        ends += [F.max(at).alias(f"_last_{s}"), F.min(at).alias(f"_first_{s}")]
+        edges += [F.last(f"_last_{s}", ignorenulls=True).over(earlier).alias(f"_past_{s}"), F.first(f"_first_{s}", ignorenulls=True).over(later).alias(f"_next_{s}")]
+        tops[f"before_{s}"] = F.coalesce(F.last(at, ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, 0)), f"_past_{s}")
+        tops[f"after_{s}"] = F.coalesce(F.first(at, ignorenulls=True).over(order.rangeBetween(0, Window.unboundedFollowing)), f"_next_{s}")
+    around = rows.groupBy(key, "_block").agg(*ends).select(key, "_block", *edges)
+    wide = rows.join(around, [key, "_block"]).withColumns(tops).withColumn("_other", other)
     gaps = [F.when(F.col("_other") == s, F.abs(F.col(ts) - F.col(f"{w}_{s}"))) for s in (a, b) for w in ("before", "after")]
-    return wide.withColumn("distance", F.least(*gaps)).where("distance is not null").drop(*tops, "_other")
+    return wide.withColumn("distance", F.least(*gaps)).where("distance is not null").select(*(c for c in rows.columns if c != "_block"), "distance")
 
 
 def nearest_flow(sockets: DataFrame, flow: DataFrame, offsets: Iterable[float], tolerance: float) -> DataFrame:

@@ -126,11 +126,25 @@ def window_metrics(scored: DataFrame, keys: list[str], threshold: Column, hours:
 # Accept or abstain
 
 
-def fixed_coverage(scored: DataFrame, keys: list[str], coverage: float, score: str = "score", id: str = "case_id") -> DataFrame:
-    """A1: the top ``max(1, round(coverage * n))`` of each group, half rounded to even, ties by id."""
+def _score_places(scored: DataFrame, keys: list[str], score: str) -> DataFrame:
+    """Rows at each distinct score (``_n``), at it or above (``_upto``) and in all (``_all``); the ordered pass is over scores."""
     w = Window.partitionBy(*keys)
-    place = F.row_number().over(w.orderBy(F.desc(score), id))
-    return scored.withColumns({"_r": place, "_n": F.count("*").over(w)}).where(F.col("_r") <= F.greatest(F.lit(1), F.bround(F.col("_n") * coverage, 0))).drop("_r", "_n")
+    per = scored.groupBy(*keys, score).agg(F.count("*").alias("_n"))
+    return per.withColumns({"_upto": F.sum("_n").over(w.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("_n").over(w)})
+
+
+def fixed_coverage(scored: DataFrame, keys: list[str], coverage: float, score: str = "score", id: str = "case_id") -> DataFrame:
+    """A1: the top ``max(1, round(coverage * n))`` of each group, half rounded to even, ties by id.
+
+    Counts of distinct scores give the score at which a group's number is reached; only the rows
+    that tie at it are ordered by id.
+    """
+    wanted, before = F.greatest(F.lit(1), F.bround(F.col("_all") * coverage, 0)), F.col("_upto") - F.col("_n")
+    cut = _score_places(scored, keys, score).where((before < wanted) & (wanted <= F.col("_upto"))).select(*keys, F.col(score).alias("_cut"), (wanted - before).alias("_left"))
+    placed = scored.join(cut, keys)
+    above = placed.where((F.col(score) > F.col("_cut")) | F.col("_cut").isNull() & F.col(score).isNotNull())
+    tied = placed.where(F.col(score).eqNullSafe(F.col("_cut"))).withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(id)))
+    return above.select(scored.columns).unionByName(tied.where(F.col("_r") <= F.col("_left")).select(scored.columns))
 
 
 def kth_thresholds(scored: DataFrame, keys: list[str], share: float) -> DataFrame:
@@ -138,15 +152,20 @@ def kth_thresholds(scored: DataFrame, keys: list[str], share: float) -> DataFram
 
     Where ties prevent an exact number, ``exact`` is null; a number of 0 gives infinity.
     """
-    w = Window.partitionBy(*keys)
-    r = scored.withColumns({"_r": F.row_number().over(w.orderBy(F.desc("score"), "case_id")), "_n": F.count("*").over(w)})
-    at = lambda k: F.max(F.when(F.col("_r") == k, F.col("score")))
-    rounded, up = F.bround(F.col("_n") * share, 0), F.ceil(F.col("_n") * share)
-    out = r.groupBy(*keys).agg(at(F.greatest(F.lit(1), rounded)).alias("rounded"), at(F.greatest(F.lit(1), up)).alias("retained"), at(rounded + 1).alias("_next"), F.max(rounded).alias("_k"))
+    p = _score_places(scored, keys, "score")
+    at = lambda k: F.max(F.when(F.col("_upto") >= k, F.col("score")))
+    rounded, up = F.bround(F.col("_all") * share, 0), F.ceil(F.col("_all") * share)
+    out = p.groupBy(*keys).agg(at(F.greatest(F.lit(1), rounded)).alias("rounded"), at(F.greatest(F.lit(1), up)).alias("retained"), at(rounded + 1).alias("_next"), F.max(rounded).alias("_k"))
     exact = F.when(F.col("_k") == 0, F.lit(float("inf"))).when(F.col("_next").isNull() | (F.col("_next") < F.col("rounded")), F.col("rounded"))
     return out.select(*keys, "rounded", "retained", exact.alias("exact"))
 
 
+def kth_score(scored: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """A3: the ``k``-th highest score of each group as ``threshold`` (null if it has fewer rows) and its ``rows_n``."""
+    p = _score_places(scored, keys, "score")
+    return p.groupBy(*keys).agg(F.max(F.when(F.col("_upto") >= k, F.col("score"))).alias("threshold"), F.sum("_n").alias("rows_n"))
+
+
 def outcomes(rows: DataFrame, keys: list[str]) -> DataFrame:
     """A4: acceptance, errors over all rows, risk over accepted ones and rejection."""
     accepted, right = F.col("accepted") == 1, F.col("correct") == 1

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlight.functions.scalars import draw
+from spanlight.sources.io import stored
 
 
 def balanced_weights(rows: DataFrame, label: str, keys: list[str] = ()) -> DataFrame:
@@ -57,7 +58,8 @@ def out_of_fold(rows: DataFrame, features: list[str], label: str, fold: str, mod
     ``rows`` has a ``weight``. Features are assembled and scaled once a fold; scores of all
     models and folds are one union. A fold without two classes to learn from is left out.
     """
-    assembled = VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="keep").transform(rows.withColumn("label", F.col(label).cast("double"))).cache()
+    assembled = VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="keep").transform(rows.withColumn("label", F.col(label).cast("double")))
+    assembled = stored(assembled)
     parts: list[DataFrame] = []
     stats = {(r.f, r.c) for r in assembled.groupBy(F.col(fold).alias("f"), F.col("label").alias("c")).count().collect()}
     folds = sorted({f for f, _ in stats})

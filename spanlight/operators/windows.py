@@ -101,11 +101,20 @@ def case_summary(observations: DataFrame, gap: float) -> DataFrame:
     return out.withColumn("case_id", F.concat_ws("_", "tactic", F.lpad(F.col("cluster_n").cast("string"), 4, "0")))
 
 
-def gap_sweep(rows: DataFrame, key: str, ts: str, gaps: Iterable[float]) -> DataFrame:
-    """Number of clusters of each key, and over all keys, for several gaps from one ordered pass."""
-    step = F.col(ts) - F.lag(ts).over(Window.partitionBy(key).orderBy(ts))
-    steps = rows.select(key, step.alias("step"))
-    wide = steps.groupBy(key).agg(*((F.count_if(F.col("step") > g) + 1).alias(f"g{int(g)}") for g in gaps))
+def gap_sweep(rows: DataFrame, key: str, ts: str, gaps: Iterable[float], block: float = DAY) -> DataFrame:
+    """Number of clusters of each key, and over all keys, for several gaps.
+
+    As in ``gap_clusters``, steps are taken inside blocks of time, and only one summary row for
+    each block is ordered over a whole key.
+    """
+    at = rows.select(key, ts, F.floor(F.col(ts) / block).alias("block"))
+    step = F.col(ts) - F.lag(ts).over(Window.partitionBy(key, "block").orderBy(ts))
+    inside = [F.count_if(F.col("step") > g).alias(f"in{int(g)}") for g in gaps]
+    blocks = at.withColumn("step", step).groupBy(key, "block").agg(F.min(ts).alias("lo"), F.max(ts).alias("hi"), *inside)
+    apart = F.col("lo") - F.lag("hi").over(Window.partitionBy(key).orderBy("block"))
+    wide = blocks.withColumn("apart", apart).groupBy(key).agg(
+        *((F.sum(f"in{int(g)}") + F.count_if(F.col("apart").isNull() | (F.col("apart") > g))).alias(f"g{int(g)}") for g in gaps)
+    )
     long = wide.select(key, F.explode(F.array(*(F.struct(F.lit(int(g)).alias("gap"), F.col(f"g{int(g)}").alias("clusters")) for g in gaps))).alias("x")).select(key, "x.gap", "x.clusters")
     return long.unionByName(long.groupBy("gap").agg(F.sum("clusters").alias("clusters")).withColumn(key, F.lit("all")))
 

@@ -213,8 +213,7 @@ def a02(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def a03(spark: SparkSession, sf_dir: str) -> DataFrame:
     eligible = V.scored(spark, sf_dir).where("tactic = prediction")
-    r = eligible.withColumn("r", F.row_number().over(Window.partitionBy("fold").orderBy(F.desc("score"), "case_id")))
-    return r.groupBy("fold").agg(F.max(F.when(F.col("r") == 400, F.col("score"))).alias("threshold"), F.count("*").alias("eligible"))
+    return M.kth_score(eligible, ["fold"], 400).select("fold", "threshold", F.col("rows_n").alias("eligible"))
 
 
 _OUT = "count(*) AS events_n, count(*) FILTER (WHERE accepted = 1) AS accepted_n, count(*) FILTER (WHERE accepted = 1 AND correct = 1) AS correct_n"

@@ -95,6 +95,28 @@ def test_nearest_distance(spark):
     assert sorted((r.t, r.distance) for r in got) == [(0, 10), (10, 4), (14, 4)]
 
 
+@pytest.mark.parametrize("block", [7.0, 90.0, 1e9])
+def test_blocks_of_time_change_nothing(spark, block):
+    rng = random.Random(3)
+    rows = [(rng.choice("xy"), float(rng.randint(0, 900)), rng.choice("ab")) for _ in range(120)] + [("z", 3.0, "a")]
+    df = spark.createDataFrame(rows, "k string, t double, s string")
+    got = J.nearest_distance(df, "k", "t", "s", "a", "b", block)
+    assert got.columns == ["k", "t", "s", "distance"]
+    want = []
+    for k, t, s in rows:
+        others = [abs(t - u) for j, u, v in rows if j == k and v != s]
+        want += [(k, t, s, min(others))] if others else []
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    swept = {(r.k, r.gap): r.clusters for r in W.gap_sweep(df, "k", "t", (5, 20), block).collect()}
+    for gap in (5, 20):
+        each = {}
+        for k in "xyz":
+            times = sorted(t for j, t, _ in rows if j == k)
+            each[k] = 1 + sum(v - u > gap for u, v in zip(times, times[1:], strict=False))
+            assert swept[k, gap] == each[k]
+        assert swept["all", gap] == sum(each.values())
+
+
 def test_two_hops(spark):
     e = spark.createDataFrame([(1, "s", "a"), (1, "a", "b"), (1, "b", "c"), (2, "s", "z")], "case_id int, u string, v string")
     s = spark.createDataFrame([(1, "s")], "case_id int, id string")
@@ -145,6 +167,23 @@ def test_coverage_rounds_half_to_even(spark):
     assert M.fixed_coverage(df, ["g"], 0.0).count() == 1
 
 
+def test_coverage_with_ties_and_null_scores(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.choice([None, 0.1, 0.1, 0.5, 0.9]), i % 3) for i in range(70)]
+    df = spark.createDataFrame(rows, "case_id int, score double, g int")
+    for share in (0.0, 0.33, 0.5, 0.97, 1.0):
+        want = []
+        for g in range(3):
+            ordered = sorted((r for r in rows if r[2] == g), key=lambda r: (-(r[1] if r[1] is not None else -1), r[0]))
+            want += ordered[: max(1, round(share * len(ordered)))]
+        got = M.fixed_coverage(df, ["g"], share)
+        assert got.columns == df.columns and sorted(r.case_id for r in got.collect()) == sorted(r[0] for r in want)
+    k = {r.g: (r.threshold, r.rows_n) for r in M.kth_score(df.where("score is not null"), ["g"], 12).collect()}
+    for g in range(3):
+        scores = sorted((r[1] for r in rows if r[2] == g and r[1] is not None), reverse=True)
+        assert k[g] == (scores[11] if len(scores) > 11 else None, len(scores))
+
+
 def test_outcomes_of_nothing_accepted(spark):
     df = spark.createDataFrame([("m", 0, 1), ("m", 0, 0)], "model string, accepted int, correct int")
     r = M.outcomes(df, ["model"]).first()
