@@ -30,9 +30,14 @@ ANCHORS = 12
 BROADCAST_CELLS = 50_000
 
 
+def _words_like(text: Column, pattern: str) -> Column:
+    """The words of a text, as single spaces part them, that match ``pattern`` as a whole, in one pass over it."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?<![^ ])(?:{pattern})(?![^ ])"), F.lit(0))
+
+
 def _content(text: Column) -> Column:
-    """Words of four small letters or more, as single spaces part them."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), " "), lambda w: w.rlike("^[a-z]{4,}$"))
+    """Words of four small letters or more."""
+    return _words_like(text, "[a-z]{4,}+")
 
 
 def anchor_words(docs: DataFrame, text: str = "text", anchors: int = ANCHORS) -> list[str]:
@@ -49,9 +54,13 @@ def topic_of(text: Column, anchors: list[str]) -> Column:
     """The anchor that a text says most often, the first of equals in the order of ``anchors``; ``other`` without one."""
     if not anchors:
         return F.lit("other")
-    said = F.filter(F.split(F.coalesce(text, F.lit("")), " "), lambda w: w.isin(*anchors))
-    counts = [F.struct(F.size(F.filter(said, _is(a))).alias("n"), F.lit(-k).alias("k"), F.lit(a).alias("a")) for k, a in enumerate(anchors)]
-    return F.when(F.size(said) > 0, F.array_max(F.array(*counts))["a"]).otherwise(F.lit("other"))
+
+    def most_said(said: Column) -> Column:
+        counts = [F.struct(F.size(F.filter(said, _is(a))).alias("n"), F.lit(-k).alias("k"), F.lit(a).alias("a")) for k, a in enumerate(anchors)]
+        return F.when(F.size(said) > 0, F.array_max(F.array(*counts))["a"]).otherwise(F.lit("other"))
+
+    # As the one member of an array the words are found once, not once for each anchor.
+    return F.get(F.transform(F.array(_words_like(text, "|".join(anchors))), most_said), F.lit(0))
 
 
 def tokens_of(text: Column) -> Column:
@@ -126,7 +135,8 @@ def calibrate(keyed: DataFrame, names: dict[str, str], id: str = "doc_id", budge
     raked = materialize(rake(materialize(cells)).select("source", "lang", "topic", F.round("factor", 6).alias("factor")))
     raked = raked.select(*(F.col(c).alias(f"cell_{c}") for c in raked.columns))
     small = F.broadcast(raked) if raked.count() <= BROADCAST_CELLS else raked
-    same = (keyed[names["mix_source"]] == raked.cell_source) & (keyed[names["mix_lang"]] == raked.cell_lang) & (keyed[names["topic"]] == raked.cell_topic)
+    # No key is null; a plain equality would have the topics found once more, to test them for nulls.
+    same = keyed[names["mix_source"]].eqNullSafe(raked.cell_source) & keyed[names["mix_lang"]].eqNullSafe(raked.cell_lang) & keyed[names["topic"]].eqNullSafe(raked.cell_topic)
     out = keyed.join(small, same).withColumn(names["weight"], F.col("cell_factor"))
     times = F.col(names["weight"]) * budget
     draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(id).cast("string"), F.lit(seed))), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)

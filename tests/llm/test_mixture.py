@@ -52,3 +52,16 @@ def test_topics_are_anchor_words(spark):
     assert anchors == ["apple", "stone"]
     got = {r.doc_id: r.t for r in df.select("doc_id", mixing.topic_of(F.col("text"), anchors).alias("t")).collect()}
     assert got[0] == got[902] == "apple" and got[17] == "stone" and got[1] == got[900] == got[901] == "other"
+
+
+def test_words_are_parted_by_single_spaces_only(spark):
+    texts = ["abcd abcd  wxyz", "abcd", "abcd\nabcd abcd\n", "xabcd abcdx Abcd", "wxyz abcd", " abcd wxyz wxyz ", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.t for r in df.select("doc_id", mixing.topic_of(F.col("text"), ["wxyz", "abcd"]).alias("t")).collect()}
+    for k, t in enumerate(texts):
+        words = (t or "").split(" ")
+        want = max((words.count(a), -i, a) for i, a in enumerate(["wxyz", "abcd"]))
+        assert got[k] == (want[2] if want[0] else "other")
+    words = {r.doc_id: r.w for r in df.select("doc_id", mixing._content(F.col("text")).alias("w")).collect()}
+    for k, t in enumerate(texts):
+        assert words[k] == [w for w in (t or "").split(" ") if len(w) >= 4 and all("a" <= c <= "z" for c in w)]
