@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanlight.llm import ann, bytepairs, langid, media, mixing, packing, pii, simhash, substring, tokenfile, toxicity, trie
+from spanlight.llm import ann, bytepairs, langid, lexical, media, mixing, packing, pii, simhash, substring, tokenfile, toxicity, trie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nonnegative_pu": toxicity.op1_nonnegative_pu,
@@ -21,10 +21,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit": packing.op10_best_fit,
     "op11_prefix_trie": trie.op11_prefix_trie,
     "op12_backtracking_bpe": bytepairs.op12_backtracking_bpe,
+    "op13_block_max": lexical.op13_block_max,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_de_bruijn": substring.OP5_SQL,
     "op7_raking": mixing.OP7_SQL,
     "op11_prefix_trie": trie.OP11_SQL,
+    "op13_block_max": lexical.OP13_SQL,
 }
