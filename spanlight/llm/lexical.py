@@ -38,7 +38,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SCALE, HALF, FLOOR, SLOPE = 1_000_000_000, 8, 25, 75
 
 #: Documents in a block of a list; words in a shard; places in a window; items that are searched together.
-BLOCK, SHARD_WORDS, WINDOW, ITEMS = 128, 4_000_000, 4096, 256
+BLOCK, SHARD_WORDS, WINDOW, ITEMS = 128, 2_000_000, 4096, 256
 #: Bytes of a text that are split at once, and index rows that leave Python at once.
 PART, ROWS = 1 << 20, 20_000
 
