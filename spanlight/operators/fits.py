@@ -82,8 +82,9 @@ def standardise(x: Column, mean: Column, scale: Column) -> Column:
     return F.zip_with(centred, scale, lambda v, s: v / s)
 
 
-def _sent(models: DataFrame) -> DataFrame:
-    return F.broadcast(models) if models.count() <= SENT else models
+def _sent(models: DataFrame, n: int | None = None) -> DataFrame:
+    """``models``, sent to all tasks if they are ``n`` (counted where it is not given) and no more than ``SENT``."""
+    return F.broadcast(models) if (models.count() if n is None else n) <= SENT else models
 
 
 def _newton(args: list[np.ndarray]) -> np.ndarray:
@@ -111,7 +112,8 @@ def fit_logistic(rows: DataFrame, ridge: float = 1 / 0.3, steps: int = 40, toler
     sums = _added(rows, ["x"], lambda a: np.concatenate([[len(a[0])], a[0].sum(0), (a[0] ** 2).sum(0)]))
     mean, scale = _scales(F.col("stats"))
     scales = stored(sums.select("model", mean.alias("mean"), scale.alias("scale")))
-    scaled = stored(rows.join(_sent(scales), "model").select("model", standardise(F.col("x"), F.col("mean"), F.col("scale")).alias("x"), "y", "w"))
+    n = scales.count()
+    scaled = stored(rows.join(_sent(scales, n), "model").select("model", standardise(F.col("x"), F.col("mean"), F.col("scale")).alias("x"), "y", "w"))
     zero = F.transform(F.concat("mean", F.array(F.lit(0.0))), lambda _: F.lit(0.0))
     state = stored(scales.select("model", zero.alias("coef"), zero.alias("before"), F.lit(float("inf")).alias("loss"), F.lit(float("inf")).alias("moved")))
 
@@ -134,7 +136,7 @@ def fit_logistic(rows: DataFrame, ridge: float = 1 / 0.3, steps: int = 40, toler
 
     kind = "model string, coef array<double>, before array<double>, loss double, moved double"
     for _ in range(steps):
-        at = scaled.join(_sent(state.select("model", "coef")), "model")
+        at = scaled.join(_sent(state.select("model", "coef"), n), "model")
         stats = _added(at, ["x", "y", "w", "coef"], _newton)
         state = stored(state.join(stats, "model").select("model", "coef", "before", "loss", "stats").mapInArrow(solve, kind))
         if not (state.agg(F.max("moved")).first()[0] or 0) > tolerance:

@@ -137,36 +137,29 @@ def pair_features(p: Column, q: Column, classes: int) -> dict[str, Column]:
     return out | {f"x_{i}_{j}": at(p, i) * at(q, j) for i in range(classes) for j in range(classes)}
 
 
-def corrupt(rows: DataFrame, families: Iterable[str]) -> DataFrame:
-    """M9: ranked-process rows (``case_id, id, rank, score, sockets, delta``) once for each corruption family.
+def corrupt(rows: DataFrame, families: Iterable[str], donors: DataFrame | None = None) -> DataFrame:
+    """M9: ranked-process rows (``case_id, id, rank, score, sockets, delta``, and any others) once for each corruption family.
 
     delete_process drops all rows; delete_socket zeroes socket counts; shift_time moves by 600 s;
-    half_delete keeps rows of even hash, and the first if none is left, with counts halved half to even.
+    half_delete keeps rows of even hash, and the first if none is left, with counts halved half to even;
+    replace_context shows the rows of the case's donor (``donors``: ``case_id, donor_id``), none without one.
     """
-    out = rows.withColumn("family", F.explode(F.array(*map(F.lit, families))))
+    out = rows.withColumn("family", F.explode(F.array(*(F.lit(f) for f in families if f != "replace_context"))))
     even = F.conv(F.substring(F.sha2(F.concat_ws("|", "case_id", "id"), 256), 16, 1), 16, 10).cast("int") % 2 == 0
     some = F.max(even.cast("int")).over(Window.partitionBy("case_id", "family")) == 1
     half = F.col("family") == "half_delete"
     out = out.withColumns({"_even": even, "_some": some})
-    kept = out.where((F.col("family") != "delete_process") & (~half | F.col("_even") | ~F.col("_some") & (F.col("rank") == 1)))
-    return kept.select(
-        "case_id", "id", "rank", "score", "family",
-        F.when(F.col("family") == "delete_socket", 0).when(half, F.bround(F.col("sockets") / 2, 0)).otherwise(F.col("sockets")).cast("bigint").alias("sockets"),
-        F.when(F.col("family") == "shift_time", F.col("delta") + 600).otherwise(F.col("delta")).alias("delta"),
-    )
-
-
-def deletion_lift(rows: DataFrame, case: str, id: str, score: str, salt: str) -> DataFrame:
-    """How much more the mean score falls without the top k = min(3, n / 2) rows than without k others by hash order."""
-    w = Window.partitionBy(case)
-    h = F.sha2(F.concat_ws("|", F.lit(salt), F.col(case).cast("string"), F.col(id).cast("string")), 256)
-    k = F.least(F.lit(3), F.floor(F.col("_n") / 2))
-    r = rows.withColumns({"_n": F.count("*").over(w), "_r": F.row_number().over(w.orderBy(F.desc(score), id))})
-    r = r.withColumn("_h", F.when(F.col("_r") > k, F.row_number().over(Window.partitionBy(case, F.col("_r") > k).orderBy(h))))
-    mean = lambda keep: F.sum(F.when(keep, F.col(score))) / F.count(F.when(keep, F.col(score)))
-    top, other = F.col("_r") <= k, F.coalesce(F.col("_h") <= k, F.lit(False))
-    out = r.groupBy(case).agg(F.avg(score).alias("whole"), mean(~top).alias("without_top"), mean(~other).alias("without_other"))
-    return out.withColumn("lift", (F.col("whole") - F.col("without_top")) - (F.col("whole") - F.col("without_other")))
+    kept = out.where((F.col("family") != "delete_process") & (~half | F.col("_even") | ~F.col("_some") & (F.col("rank") == 1))).drop("_even", "_some")
+    changed = {
+        "sockets": F.when(F.col("family") == "delete_socket", 0).when(half, F.bround(F.col("sockets") / 2, 0)).otherwise(F.col("sockets")).cast("bigint"),
+        "delta": F.when(F.col("family") == "shift_time", F.col("delta") + 600).otherwise(F.col("delta")),
+    }
+    kept = kept.withColumns(changed)
+    if "replace_context" in families and donors is not None:
+        asked = donors.where("donor_id is not null").select(F.col("case_id").alias("_for"), F.col("donor_id").alias("case_id"))
+        moved = rows.join(asked, "case_id").withColumns({"case_id": F.col("_for"), "family": F.lit("replace_context"), "sockets": F.col("sockets").cast("bigint")}).drop("_for")
+        kept = kept.unionByName(moved)
+    return kept
 
 
 def majority_baseline(rows: DataFrame, fold: str, label: str) -> DataFrame:

@@ -107,27 +107,26 @@ def m07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("k", *(F.round(f[c], 9).alias(c) for c in ("entropy_a", "margin_a", "js", "affinity", "l1", "x_1_2")))
 
 
+_TOP = "rows9 AS (SELECT case_id, id, r AS rank, score, in_degree AS sockets, proximity AS delta FROM rk WHERE r <= 10)"
+
+
 @query(
     "m09_corruptions",
-    f""", {_GRAPH}, {_SC}, rows9 AS (SELECT case_id, id, r AS rank, score, in_degree AS sockets, proximity AS delta FROM rk WHERE r <= 10), f AS (SELECT *, ('0x' || substr(sha256(case_id || '|' || id), 16, 1))::INT % 2 = 0 AS even FROM rows9, (SELECT unnest(['delete_process', 'delete_socket', 'shift_time', 'half_delete']) AS family)),
-s AS (SELECT *, bool_or(even) OVER (PARTITION BY case_id, family) AS has_even FROM f)
-SELECT case_id, id, family, CASE family WHEN 'delete_socket' THEN 0 WHEN 'half_delete' THEN round_even(sockets / 2, 0)::BIGINT ELSE sockets END AS sockets, round(CASE family WHEN 'shift_time' THEN delta + 600 ELSE delta END, 6) AS delta FROM s WHERE family <> 'delete_process' AND (family <> 'half_delete' OR even OR (NOT has_even AND rank = 1))""",
+    f""", {_GRAPH}, {_SC}, {_TOP}, f AS (SELECT *, ('0x' || substr(sha256(case_id || '|' || id), 16, 1))::INT % 2 = 0 AS even FROM rows9, (SELECT unnest(['delete_process', 'delete_socket', 'shift_time', 'half_delete']) AS family)),
+s AS (SELECT *, bool_or(even) OVER (PARTITION BY case_id, family) AS has_even FROM f), n9 AS (SELECT a.case_id, a.tactic, (SELECT count(*) FROM anchored b WHERE b.tactic <> a.tactic) AS n FROM anchored a),
+o9 AS (SELECT k.tactic, e.case_id AS donor_id, row_number() OVER (PARTITION BY k.tactic ORDER BY e.tactic, e.case_id) - 1 AS place FROM (SELECT DISTINCT tactic FROM anchored) k JOIN anchored e ON e.tactic <> k.tactic),
+d9 AS (SELECT n9.case_id, donor_id FROM n9 JOIN o9 ON o9.tactic = n9.tactic AND o9.place = ('0x' || substr(sha256('context|' || n9.case_id), 1, 15))::BIGINT % n9.n)
+SELECT case_id, id, family, CASE family WHEN 'delete_socket' THEN 0 WHEN 'half_delete' THEN round_even(sockets / 2, 0)::BIGINT ELSE sockets END AS sockets, round(CASE family WHEN 'shift_time' THEN delta + 600 ELSE delta END, 6) AS delta FROM s WHERE family <> 'delete_process' AND (family <> 'half_delete' OR even OR (NOT has_even AND rank = 1))
+UNION ALL SELECT d9.case_id, id, 'replace_context', sockets, round(delta, 6) FROM d9 JOIN rows9 ON rows9.case_id = d9.donor_id""",
 )
 def m09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from spanlight.operators.joins import top_k
+    from spanlight.operators.joins import hashed_donor, top_k
+    from spanlight.plans.windows import cases
 
     e = entities(spark, sf_dir).where("kind = 'process'").select("case_id", "id", F.round("recency_degree", 6).alias("score"), F.col("in_degree").alias("sockets"), F.col("proximity").alias("delta"))
     rows = top_k(e, ["case_id"], [F.desc("score"), F.asc("id")], 10)
-    return L.corrupt(rows, ["delete_process", "delete_socket", "shift_time", "half_delete"]).select("case_id", "id", "family", "sockets", F.round("delta", 6).alias("delta"))
-
-
-@query("m10_accept_models")
-def m10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = V.decision(spark, sf_dir).withColumn("clean", (F.col("condition") == "clean").cast("int"))
-    per = d.groupBy("group_id", "condition", "clean").agg(F.avg("accepted").alias("accept_rate"), F.avg("correct").alias("correct_rate"), F.avg("score").alias("mean_score"), F.count("*").alias("n"))
-    rows = L.balanced_weights(per.withColumn("fold", (F.col("group_id") % 3).cast("int")), "clean")
-    out = L.out_of_fold(rows, ["accept_rate", "correct_rate", "mean_score", "n"], "clean", "fold")
-    return out.select("group_id", "condition", "clean", F.round(F.element_at("probabilities", 2), 6).alias("score"))
+    donors = hashed_donor(cases(spark, sf_dir).select("case_id", "tactic").withColumn("block", F.lit(0)), "block", "case_id", "tactic", "context")
+    return L.corrupt(rows, ["delete_process", "delete_socket", "shift_time", "half_delete", "replace_context"], donors).select("case_id", "id", "family", "sockets", F.round("delta", 6).alias("delta"))
 
 
 @query("m11_binding_model")
@@ -149,15 +148,6 @@ def m11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", "bound", F.round(F.element_at("probabilities", 2), 6).alias("score"))
 
 
-@query(
-    "m12_deletion_lift",
-    """, r AS (SELECT h, case_id, score, row_number() OVER (PARTITION BY h ORDER BY score DESC, case_id) AS r, least(3, count(*) OVER (PARTITION BY h) // 2) AS k FROM scored), o AS (SELECT *, CASE WHEN r > k THEN row_number() OVER (PARTITION BY h, r > k ORDER BY sha256('lift|' || h || '|' || case_id)) END AS o FROM r)
-SELECT h, round((avg(score) - avg(score) FILTER (WHERE r > k)) - (avg(score) - avg(score) FILTER (WHERE NOT coalesce(o <= k, false))), 9) AS lift FROM o GROUP BY 1""",
-)
-def m12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.deletion_lift(V.scored(spark, sf_dir), "h", "case_id", "score", "lift").select("h", F.round("lift", 9).alias("lift"))
-
-
 @query(
     "m13_majority_baseline",
     "SELECT s.fold, b.tactic AS predicted, count(*) AS n, round(avg((s.tactic = b.tactic)::INT), 9) AS accuracy FROM scored s JOIN (SELECT fold, arg_max(tactic, (n, -tactic)) AS tactic FROM (SELECT f.fold, s.tactic, count(*) AS n FROM (SELECT DISTINCT fold FROM scored) f JOIN scored s ON s.fold <> f.fold GROUP BY 1, 2) GROUP BY 1) b USING (fold) GROUP BY 1, 2",
@@ -166,16 +156,6 @@ def m13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.majority_baseline(V.scored(spark, sf_dir), "fold", "tactic").withColumn("accuracy", F.round("accuracy", 9))
 
 
-@query("a09_selector_scores")
-def a09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = V.scored(spark, sf_dir).join(V.base(spark, sf_dir).select(F.col("event_id").alias("case_id"), "k"), "case_id")
-    p, q = _posterior_col(0), _posterior_col(3)
-    reference = s.where("y = 0")
-    ranked = M.mid_percentile(s.withColumns({"confidence": F.array_max(p), "negative_entropy": -L.entropy(p), "margin": L.margin(p), "agreement": L.affinity(p, q), "divergence": -L.js_divergence(p, q)}), reference, ["fold"])
-    dual = F.least("percentile", "confidence")
-    return ranked.select("case_id", "score", *(F.round(c, 9).alias(c) for c in ("confidence", "negative_entropy", "margin", "agreement", "divergence", "percentile")), F.round(dual, 9).alias("dual"))
-
-
 @query(
     "a17_drift_table",
     "SELECT o AS offset_s, count(*) AS n, sum((abs(o) <= 1800 AND accepted = 1)::INT)::BIGINT AS gate_passes, sum((accepted = 1 AND correct = 1 AND abs(o) < 3600)::INT)::BIGINT AS supported FROM decision, (SELECT unnest([-3600, -1800, 0, 1800, 3600]) AS o) WHERE condition = 'clean' GROUP BY 1",

@@ -9,7 +9,9 @@ from spanlight.plans.all import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 #: Model fits take longest; their properties are checked on small tables elsewhere.
-FITS = {"m01_window_detectors", "m04_process_ranker", "m10_accept_models", "m11_binding_model"}
+FITS = {"m01_window_detectors", "m04_process_ranker", "m11_binding_model"}
+#: No case of the smallest tables has the four processes that a deletion asks for; tests/test_evidence.py reads larger ones.
+FEW = {"m12_deletion_lift"}
 
 
 @pytest.fixture(scope="module")
@@ -32,7 +34,7 @@ def rows(df):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - FITS))
 def test_query(spark, db, name):
     got = QUERIES[name](spark, DATA).toPandas()
-    assert len(got)
+    assert len(got) or name in FEW
     if name in ORACLE_SQL:
         want = db.sql(ORACLE_SQL[name]).df()
         assert sorted(got.columns) == sorted(want.columns)
