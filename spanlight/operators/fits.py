@@ -167,6 +167,17 @@ def weighted_gram(rows: DataFrame) -> DataFrame:
     return _added(rows, ["x", "y", "w"], _moments).withColumnRenamed("stats", "gram")
 
 
+def of_other_folds(grams: DataFrame) -> DataFrame:
+    """Matrices of folds, turned into those of all other folds: second moments add up, so no row is read again.
+
+    ``model`` is the fold. There are few folds, and a matrix for each.
+    """
+    folds = grams.select(F.col("model").alias("_f"))
+    places = grams.join(F.broadcast(folds), F.col("model") != F.col("_f")).select("_f", F.posexplode("gram").alias("pos", "v"))
+    sums = places.groupBy("_f", "pos").agg(F.sum("v").alias("v"))
+    return sums.groupBy("_f").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias("gram")).select(F.col("_f").alias("model"), "gram")
+
+
 def solve_masks(grams: DataFrame, masks: DataFrame, ridge: float) -> DataFrame:
     """``model, mask, coef``: least squares with an L2 term for every mask of every model, from the model's one matrix.
 

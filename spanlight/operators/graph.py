@@ -65,8 +65,11 @@ def process_context(relations: DataFrame, features: DataFrame, nodes: DataFrame)
 
 
 def process_vector(features: DataFrame, context: DataFrame, nodes: DataFrame, alerts: DataFrame) -> DataFrame:
-    """The 55 features of each process of a case as columns: own, utility, context, relation, operation and alert ones."""
-    named = nodes.select("id", "exe", *(c.alias(n) for n, c in S.path_features(F.col("exe"), F.lit("")).items()))
+    """The 55 features of each process of a case as columns: own, utility, context, relation, operation and alert ones.
+
+    ``nodes`` has ``name`` and ``parent_pid``; a null one is empty.
+    """
+    named = nodes.select("id", "exe", "name", "parent_pid", *(c.alias(n) for n, c in S.path_features(F.col("exe"), F.col("name")).items()))
     rows = features.where("kind = 'process'").join(context, ["case_id", "id"], "left").join(named, "id").join(alerts, "case_id")
     counts = [c for c in context.columns if c not in ("case_id", "id")]
     rows = rows.na.fill(0, counts)
@@ -74,7 +77,7 @@ def process_vector(features: DataFrame, context: DataFrame, nodes: DataFrame, al
     own = {
         "time_proximity": F.col("proximity"), "log_closest": log("closest"), "f_degree_score": F.col("degree_score"), "f_recency_degree": F.col("recency_degree"),
         "log_incident": log("incident"), "log_in": log("in_degree"), "log_out": log("out_degree"), "in_fraction": F.col("in_degree") / F.greatest(F.col("incident"), F.lit(1)),
-        "path_depth": F.col("depth"), "name_length_log": F.lit(0.0), "exe_length_log": log(F.length("exe")), "f_system_binary": F.col("is_system_binary"), "f_user_binary": F.col("is_user_binary"), "has_parent": F.lit(0),
+        "path_depth": F.col("depth"), "name_length_log": log(F.coalesce(F.length("name"), F.lit(0))), "exe_length_log": log(F.length("exe")), "f_system_binary": F.col("is_system_binary"), "f_user_binary": F.col("is_user_binary"), "has_parent": (F.coalesce(F.col("parent_pid"), F.lit("")) != "").cast("int"),
     }
     near = {f"log_{c}": log(c) for c in ("near_process", "near_file", "near_socket", "socket_address", "socket_port", "socket_both")}
     near |= {"max_socket_proximity": F.col("socket_proximity")} | {f"log_{c}": log(c) for c in ("file_tmp", "file_home", "file_system", "min_delta")}

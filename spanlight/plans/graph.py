@@ -332,17 +332,22 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.join(wide, "case_id")
 
 
+def process_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The entities of all cases with their matches, and the feature vectors of the processes among them."""
+    rel, nodes = relations(spark, sf_dir), V.prov_node(spark, sf_dir)
+    found = stored(matched(spark, sf_dir, rel))
+    return found, G.process_vector(found, G.process_context(rel, found, nodes), nodes, alerts(spark, sf_dir))
+
+
 @query(
     "g07_process_vector",
     f""", {_GRAPH}, {_VALUES}, {_CTX}, {_ALERTS} SELECT e.case_id, e.id, round(ln(1 + closest), 6) AS log_closest, round(in_degree / incident, 6) AS in_fraction, round(ln(1 + coalesce(near_file, 0)), 6) AS log_near_file, round(ln(1 + coalesce(connects, 0)), 6) AS log_operation_connect,
-  (exe IN ('/bin/bash'))::INT::DOUBLE AS utility_shell, (exe LIKE '/usr/%' OR exe LIKE '/bin/%')::INT::DOUBLE AS f_system_binary, round(coalesce(before_n, 0) / greatest(coalesce(before_n, 0) + (SELECT count(*) FROM ends x JOIN mat y ON y.case_id = x.case_id AND y.id = x.other WHERE x.case_id = e.case_id AND x.id = e.id AND x.delta >= 0), 1), 6) AS before_fraction,
+  (exe IN ('/bin/bash'))::INT::DOUBLE AS utility_shell, round(ln(1 + length(n.name)), 6) AS name_length_log, (n.parent_pid <> '')::INT::DOUBLE AS has_parent, (exe LIKE '/usr/%' OR exe LIKE '/bin/%')::INT::DOUBLE AS f_system_binary, round(coalesce(before_n, 0) / greatest(coalesce(before_n, 0) + (SELECT count(*) FROM ends x JOIN mat y ON y.case_id = x.case_id AND y.id = x.other WHERE x.case_id = e.case_id AND x.id = e.id AND x.delta >= 0), 1), 6) AS before_fraction,
   round(ln(1 + al.alert_rows), 6) AS alert_rows_log, round(hs.hhi, 6) AS alert_hhi_dst_port, round(al.alert_tcp, 6) AS alert_tcp FROM ent e JOIN prov_node n USING (id) LEFT JOIN ctx ON ctx.case_id = e.case_id AND ctx.id = e.id JOIN al ON al.case_id = e.case_id JOIN hh hs ON hs.case_id = e.case_id AND hs.dimension = 'dst_port' WHERE e.kind = 'process'""",
 )
 def g07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rel, nodes = relations(spark, sf_dir), V.prov_node(spark, sf_dir)
-    found = stored(matched(spark, sf_dir, rel))
-    v = G.process_vector(found, G.process_context(rel, found, nodes), nodes, alerts(spark, sf_dir))
-    cols = ["log_closest", "in_fraction", "log_near_file", "log_operation_connect", "utility_shell", "f_system_binary", "before_fraction", "alert_rows_log", "alert_hhi_dst_port", "alert_tcp"]
+    v = process_vectors(spark, sf_dir)[1]
+    cols = ["log_closest", "in_fraction", "log_near_file", "log_operation_connect", "utility_shell", "name_length_log", "has_parent", "f_system_binary", "before_fraction", "alert_rows_log", "alert_hhi_dst_port", "alert_tcp"]
     return v.select("case_id", "id", *(F.round(c, 6).alias(c) for c in cols))
 
 

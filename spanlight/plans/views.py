@@ -60,10 +60,11 @@ def prov_node(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = e.select("user_id").distinct().selectExpr(
         "concat('p', user_id) AS id", "'Process' AS type", "'' AS subtype", "cast(1000 + user_id as string) AS pid", f"{_pick('user_id % 6', _EXES)} AS exe",
         "'' AS path", "cast(null as string) AS remote_ip", "cast(null as bigint) AS remote_port", "cast(user_id % 11 = 0 as int) AS label",
+        "repeat('n', cast(1 + user_id % 9 as int)) AS name", "CASE WHEN user_id % 3 = 0 THEN '' ELSE cast(999 + user_id as string) END AS parent_pid",
     )
     things = e.select("k").distinct().selectExpr(
         "concat('a', k) AS id", "'Artifact' AS type", f"{_pick('k % 4', _SUBTYPES)} AS subtype", "'' AS pid", "'' AS exe",
-        f"{_pick('k % 5', _FILES)} AS path", "concat('10.0.1.', k % 5) AS remote_ip", f"cast({_dst_port('k')} as bigint) AS remote_port", "0 AS label",
+        f"{_pick('k % 5', _FILES)} AS path", "concat('10.0.1.', k % 5) AS remote_ip", f"cast({_dst_port('k')} as bigint) AS remote_port", "0 AS label", "'' AS name", "'' AS parent_pid",
     )
     return users.unionByName(things)
 
@@ -105,8 +106,8 @@ flow AS (SELECT *, {_tactic_sql('raw_tactic', NETWORK_TACTICS)} AS tactic FROM (
   ({_dst_port('k')})::BIGINT AS dst_port, {_case('event_type', _PROTOCOLS, 'other')} AS protocol, value AS size, k % 2 AS flag,
   (event_type = 'error' AND h % 17 < 2)::INT AS label, {_pick('tac8', _NET)} AS raw_tactic, 'a' || (k % 3) AS action FROM base)),
 prov_node AS (SELECT DISTINCT 'p' || user_id AS id, 'Process' AS type, '' AS subtype, (1000 + user_id)::VARCHAR AS pid, {_pick('user_id % 6', _EXES)} AS exe, '' AS path,
-    NULL::VARCHAR AS remote_ip, NULL::BIGINT AS remote_port, (user_id % 11 = 0)::INT AS label FROM base
-  UNION ALL SELECT DISTINCT 'a' || k, 'Artifact', {_pick('k % 4', _SUBTYPES)}, '', '', {_pick('k % 5', _FILES)}, '10.0.1.' || (k % 5), ({_dst_port('k')})::BIGINT, 0 FROM base),
+    NULL::VARCHAR AS remote_ip, NULL::BIGINT AS remote_port, (user_id % 11 = 0)::INT AS label, repeat('n', (1 + user_id % 9)::INT) AS name, CASE WHEN user_id % 3 = 0 THEN '' ELSE (999 + user_id)::VARCHAR END AS parent_pid FROM base
+  UNION ALL SELECT DISTINCT 'a' || k, 'Artifact', {_pick('k % 4', _SUBTYPES)}, '', '', {_pick('k % 5', _FILES)}, '10.0.1.' || (k % 5), ({_dst_port('k')})::BIGINT, 0, '', '' FROM base),
 prov_edge AS (SELECT *, {_tactic_sql('raw_tactic', PROVENANCE_TACTICS)} AS tactic FROM (SELECT event_id AS row_id, ts_s + (event_id % 7 - 3) * 40.0::DOUBLE AS ts_s,
   CASE WHEN k % 4 = 3 THEN 'a' || k ELSE 'p' || user_id END AS src, CASE WHEN k % 4 = 3 THEN 'p' || user_id ELSE 'a' || k END AS dst,
   CASE WHEN k % 4 = 3 THEN 'WasGeneratedBy' ELSE {_case('event_type', _RELATIONS, 'WasDerivedFrom')} END AS relation,
