@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanlight.operators.prefix import tiles
 from spanlight.operators.windows import DAY, merge_intervals, points_inside
 
 
@@ -210,13 +211,12 @@ def inject_graph(original: DataFrame, donor: DataFrame, prefix: str) -> DataFram
 def disjoint_centres(rows: DataFrame, key: str, ts: str, wanted: int, radius: float, least: int, most: int) -> DataFrame:
     """Quantile-spaced times whose windows of ``radius`` hold ``least`` to ``most`` rows and do not overlap.
 
-    Picks are the first rows of ``4 * wanted`` equal parts of each key; their windows are counted
+    Picks are the first rows of ``4 * wanted`` equal parts of each key, found by ranges; their windows are counted
     by a range join, and the sequential choice runs on the few picks that are left.
     """
     import pandas as pd
 
-    parts = F.ntile(4 * wanted).over(Window.partitionBy(key).orderBy(ts))
-    picks = rows.select(key, ts, parts.alias("_p")).groupBy(key, "_p").agg(F.min(ts).alias("centre")).select(F.col(key).alias("_k"), "centre")
+    picks = tiles(rows.select(key, ts), [key], [F.asc(ts)], 4 * wanted, "_p").groupBy(key, "_p").agg(F.min(ts).alias("centre")).select(F.col(key).alias("_k"), "centre")
     sized = within(picks.withColumnRenamed("_k", key), rows.select(key, ts), "centre", ts, radius, [key]).groupBy(key, "centre").agg(F.count("*").alias("n")).where(F.col("n").between(least, most))
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanlight.operators.prefix import numbered, running
+
 
 def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
@@ -83,12 +85,11 @@ def ndcg(scored: DataFrame, k: int, case: str = "case") -> DataFrame:
 def score_steps(scored: DataFrame, keys: list[str]) -> DataFrame:
     """Counts at each distinct score and running counts from the highest down.
 
-    Rows collapse to distinct scores before anything is ordered, so the ordered pass is over as
-    many rows as there are scores.
+    Rows collapse to distinct scores before anything is ordered, so ties stay whole; scores are
+    summed up by ranges, so a key may have any number of them.
     """
     counts = scored.groupBy(*keys, "score").agg(F.sum("y").alias("tp"), F.sum(1 - F.col("y")).alias("fp"))
-    w = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.withColumns({"tp_cum": F.sum("tp").over(w), "fp_cum": F.sum("fp").over(w)})
+    return running(counts, keys, [F.desc("score")], {"tp_cum": F.col("tp"), "fp_cum": F.col("fp")})
 
 
 def select_threshold(scored: DataFrame, keys: list[str], budget: float, hours: float) -> DataFrame:
@@ -127,23 +128,33 @@ def window_metrics(scored: DataFrame, keys: list[str], threshold: Column, hours:
 
 
 def _score_places(scored: DataFrame, keys: list[str], score: str) -> DataFrame:
-    """Rows at each distinct score (``_n``), at it or above (``_upto``) and in all (``_all``); the ordered pass is over scores."""
-    w = Window.partitionBy(*keys)
-    per = scored.groupBy(*keys, score).agg(F.count("*").alias("_n"))
-    return per.withColumns({"_upto": F.sum("_n").over(w.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("_n").over(w)})
+    """Rows at each distinct score (``_n``), at it or above (``_upto``) and in all (``_all``)."""
+    per = running(scored.groupBy(*keys, score).agg(F.count("*").alias("_n")), keys, [F.desc(score)], {"_upto": F.col("_n")})
+    if not keys:
+        return per.crossJoin(F.broadcast(per.agg(F.sum("_n").alias("_all"))))
+    sizes = per.groupBy(*(F.col(k).alias(f"_k_{k}") for k in keys)).agg(F.sum("_n").alias("_all"))
+    return per.join(sizes, _same(keys)).drop(*(f"_k_{k}" for k in keys))
+
+
+def _same(keys: list[str]) -> Column:
+    """Keys that are equal or both null, on a side with and one without the prefix ``_k_``."""
+    out = F.lit(True)
+    for k in keys:
+        out &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return out
 
 
 def fixed_coverage(scored: DataFrame, keys: list[str], coverage: float, score: str = "score", id: str = "case_id") -> DataFrame:
     """A1: the top ``max(1, round(coverage * n))`` of each group, half rounded to even, ties by id.
 
     Counts of distinct scores give the score at which a group's number is reached; only the rows
-    that tie at it are ordered by id.
+    that tie at it are numbered by id, by ranges.
     """
     wanted, before = F.greatest(F.lit(1), F.bround(F.col("_all") * coverage, 0)), F.col("_upto") - F.col("_n")
     cut = _score_places(scored, keys, score).where((before < wanted) & (wanted <= F.col("_upto"))).select(*keys, F.col(score).alias("_cut"), (wanted - before).alias("_left"))
     placed = scored.join(cut, keys)
     above = placed.where((F.col(score) > F.col("_cut")) | F.col("_cut").isNull() & F.col(score).isNotNull())
-    tied = placed.where(F.col(score).eqNullSafe(F.col("_cut"))).withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(id)))
+    tied = numbered(placed.where(F.col(score).eqNullSafe(F.col("_cut"))), keys, [F.asc(id)], "_r")
     return above.select(scored.columns).unionByName(tied.where(F.col("_r") <= F.col("_left")).select(scored.columns))
 
 
@@ -176,22 +187,21 @@ def outcomes(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def risk_curve(rows: DataFrame, keys: list[str], score: str = "score", id: str = "case_id") -> DataFrame:
-    """Rank by score with running errors, the base of A6 and A7."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(score), id)
+    """Rank by score with running errors, the base of A6 and A7; a model's rows are ordered by ranges."""
     wrong = (1 - F.col("correct")).cast("bigint")
-    return rows.withColumns({"rank": F.row_number().over(w), "errors": F.sum(wrong).over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    return running(rows, keys, [F.desc(score), F.asc(id)], {"rank": F.lit(1).cast("bigint"), "errors": wrong})
 
 
 def mid_percentile(values: DataFrame, reference: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
     """Share of the reference below each value plus half of the share equal to it.
 
-    Both sides meet as counts of distinct scores, so the ordered pass is over scores, not rows.
+    Both sides meet as counts of distinct scores, which are summed up by ranges.
     """
     counts = values.select(*keys, score, F.lit(0).alias("_n")).distinct().unionByName(reference.groupBy(*keys, score).agg(F.count("*").cast("int").alias("_n")))
-    per = counts.groupBy(*keys, score).agg(F.sum("_n").alias("_n"))
-    w = Window.partitionBy(*keys)
-    below = F.sum("_n").over(w.orderBy(score).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
-    table = per.withColumn("percentile", ratio(below + F.col("_n") / 2, F.sum("_n").over(w))).drop("_n")
+    per = running(counts.groupBy(*keys, score).agg(F.sum("_n").alias("_n")), keys, [F.asc(score)], {"_upto": F.col("_n")})
+    sizes = reference.groupBy(*keys).agg(F.count("*").alias("_all"))
+    table = per.join(sizes, keys, "left") if keys else per.crossJoin(F.broadcast(sizes))
+    table = table.withColumn("percentile", ratio(F.col("_upto") - F.col("_n") / 2, F.col("_all"))).drop("_n", "_upto", "_all")
     return values.join(table, [*keys, score])
 
 

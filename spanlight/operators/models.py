@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlight.functions.scalars import draw
+from spanlight.operators.prefix import numbered
 from spanlight.sources.io import stored
 
 
@@ -30,7 +31,7 @@ def oversample(rows: DataFrame, label: str, id: str, seed: str) -> DataFrame:
     small = min(counts, key=lambda k: (counts[k], k))
     n, extra = counts[small], max(counts.values()) - counts[small]
     draws = rows.sparkSession.range(1, extra + 1).select(F.col("id").alias("copy"), F.floor(draw(F.lit(seed), F.col("id").cast("string")) * n).alias("_place"))
-    placed = rows.where(F.col(label) == small).withColumn("_place", (F.row_number().over(Window.partitionBy(label).orderBy(id)) - 1).cast("bigint"))
+    placed = numbered(rows.where(F.col(label) == small), [label], [F.asc(id)], "_place").withColumn("_place", F.col("_place") - 1)
     return rows.withColumn("copy", F.lit(0).cast("bigint")).unionByName(draws.join(placed, "_place").drop("_place"))
 
 

@@ -240,7 +240,8 @@ _CURVE = "cv AS (SELECT model, row_number() OVER (PARTITION BY model ORDER BY sc
 
 def curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = V.decision(spark, sf_dir).where("condition = 'clean'")
-    return M.risk_curve(clean, ["model"]).withColumn("n", F.count("*").over(Window.partitionBy("model")))
+    sizes = clean.groupBy("model").agg(F.count("*").alias("n"))
+    return M.risk_curve(clean, ["model"]).join(F.broadcast(sizes), "model")  # one row a model
 
 
 @query("a06_risk_coverage", f", {_CURVE} SELECT model, c AS tenths, rank AS accepted_n, round(errors / rank, 9) AS risk FROM cv, (SELECT unnest(range(1, 11)) AS c) WHERE rank = greatest(1, round_even(n * c / 10::DOUBLE, 0))")
