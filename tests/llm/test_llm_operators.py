@@ -506,9 +506,9 @@ def test_raked_marginals(spark):
     rows = [(f"s{i % 4}", f"l{i // 4 % 3}", f"t{i // 12 % 2}", 10 + (i * 37) % 90) for i in range(72)]
     cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens bigint").groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"))
     out = mixing.rake(cells).toPandas()
-    for d in mixing.DIMS:
-        share = out.groupby(d).raked.sum()
-        target = out.groupby(d)[f"target_{d}"].first()
+    for d, columns in mixing.DIMS.items():
+        share = out.groupby(columns).raked.sum()
+        target = out.groupby(columns)[f"target_{d}"].first()
         assert np.allclose(share, target, atol=1e-6) and math.isclose(share.sum(), 1, abs_tol=1e-9)
 
 
