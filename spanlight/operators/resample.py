@@ -4,27 +4,36 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanlight.operators.prefix import numbered
+from spanlight.sources.io import stored
+
+#: Draws that are made from one row, and parts that the units of a reselection are cut into.
+DRAWS, PARTS = 1 << 16, 256
+
 
 def drawn_weights(units: DataFrame, unit: str, replicates: int, salt: str) -> DataFrame:
     """``replicate, unit, w``: how often each unit is drawn when as many are drawn as there are.
 
     Draw d of replicate b is the unit whose place is a hash of (salt, b, d), so any engine can
-    repeat it; draws are counted per unit before anything is joined to data.
+    repeat it: the MD5 of (salt, b, d div 4) is four numbers, and d mod 4 says which. Places come from ranges
+    of the ordered units, draws of a replicate from as many rows as they need, and draws are counted per
+    unit before anything is joined to data.
     """
-    # Places come from one ordered pass; units are already one row for each case.
-    placed = units.select(F.col(unit).alias("unit"), (F.row_number().over(Window.orderBy(unit)) - 1).alias("place"))
-    n = placed.agg(F.count("*").alias("n"))
+    placed = stored(numbered(units.select(F.col(unit).alias("unit")), [], [F.asc("unit")], "place").select("unit", (F.col("place") - 1).alias("place")))
+    n = placed.count()
     spark = units.sparkSession
-    numbers = spark.range(0, replicates, 1, int(spark.conf.get("spark.sql.shuffle.partitions"))).select(F.col("id").cast("int").alias("replicate"))
-    grid = numbers.crossJoin(F.broadcast(n))
-    draws = grid.select("n", "replicate", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("draw")).where("n > 0")
-    number = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(salt), "replicate", "draw")), 1, 8), 16, 10).cast("bigint")
-    counts = draws.select("replicate", F.pmod(number, F.col("n")).alias("place")).groupBy("replicate", "place").agg(F.count("*").alias("w"))
+    parts = -(-n // DRAWS) or 1
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), replicates * n // (32 * DRAWS))
+    rows = spark.range(0, replicates * parts, 1, tasks).select((F.col("id") / parts).cast("int").alias("replicate"), (F.col("id") % parts * DRAWS).alias("first"))
+    fours = rows.select("replicate", F.explode(F.sequence(F.floor(F.col("first") / 4), F.floor((F.least(F.col("first") + DRAWS, F.lit(n)) - 1) / 4))).alias("four")) if n else rows.select("replicate", F.lit(0).cast("bigint").alias("four")).limit(0)
+    hashed = fours.select("replicate", "four", F.md5(F.concat_ws("|", F.lit(salt), "replicate", "four")).alias("h"))
+    draws = hashed.select("replicate", F.posexplode(F.array(*(F.substring("h", 8 * q + 1, 8) for q in range(4)))).alias("q", "hex"), "four").where(F.col("four") * 4 + F.col("q") < n)
+    number = F.conv(F.col("hex"), 16, 10).cast("bigint")
+    counts = draws.select("replicate", F.pmod(number, F.lit(max(n, 1))).alias("place")).groupBy("replicate", "place").agg(F.count("*").alias("w"))
     return counts.join(placed, "place").select("replicate", "unit", "w")
 
 
@@ -37,16 +46,24 @@ def bootstrap_ratio(sums: DataFrame, unit: str, num: str, den: str, replicates:
     return point.join(stats, list(keys)) if keys else point.crossJoin(stats)
 
 
-def top_share_risk(rows: DataFrame, unit: str, score: str, wrong: str, share: float, replicates: int, salt: str) -> DataFrame:
-    """Risk of the best ``share`` of each resample, reselected by running weights over the score instead of copied rows."""
-    w = drawn_weights(rows.select(unit).distinct(), unit, replicates, salt)
-    r = w.join(rows.withColumnRenamed(unit, "unit"), "unit")
+def top_share_risk(rows: DataFrame, unit: str, score: str, wrong: str, share: float, replicates: int, salt: str, parts: int = PARTS) -> DataFrame:
+    """Risk of the best ``share`` of each resample, reselected by running weights over the score instead of copied rows.
+
+    ``rows`` has one row a unit. Units are placed by score once; a replicate then sums its weights by parts of these places, which
+    says in which part its share ends, and only that part's units are summed up one by one.
+    """
+    w = drawn_weights(rows.select(unit), unit, replicates, salt)
+    placed = stored(numbered(rows.select(F.col(unit).alias("unit"), F.col(score).alias("score"), F.col(wrong).alias("wrong")), [], [F.desc("score"), F.asc("unit")], "place"))
+    size = -(-placed.count() // parts) or 1
+    r = stored(w.join(placed.select("unit", "wrong", "place", F.floor((F.col("place") - 1) / size).alias("part")), "unit"))
     by = Window.partitionBy("replicate")
-    order = by.orderBy(F.desc(score), "unit").rowsBetween(Window.unboundedPreceding, 0)
-    r = r.withColumns({"upto": F.sum("w").over(order), "all_w": F.sum("w").over(by)})
-    keep = F.greatest(F.lit(1), F.bround(F.col("all_w") * share, 0))
-    used = F.greatest(F.lit(0), F.least(F.col("w"), keep - (F.col("upto") - F.col("w"))))
-    return r.groupBy("replicate").agg((F.sum(used * F.col(wrong)) / F.sum(used)).alias("risk"))
+    per = r.groupBy("replicate", "part").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("wrong")).alias("bad"))
+    upto = by.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    per = per.withColumns({"n_upto": F.sum("n").over(upto), "bad_upto": F.sum("bad").over(upto), "all_w": F.sum("n").over(by)}).withColumn("keep", F.greatest(F.lit(1), F.bround(F.col("all_w") * share, 0)))
+    cut = per.where((F.col("n_upto") - F.col("n") < F.col("keep")) & (F.col("keep") <= F.col("n_upto"))).select("replicate", "part", "keep", (F.col("n_upto") - F.col("n")).alias("n_before"), (F.col("bad_upto") - F.col("bad")).alias("bad_before"))
+    last = r.join(cut, ["replicate", "part"]).withColumn("upto", F.col("n_before") + F.sum("w").over(by.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)))
+    used = F.greatest(F.lit(0), F.least(F.col("w"), F.col("keep") - (F.col("upto") - F.col("w"))))
+    return last.groupBy("replicate").agg(((F.max("bad_before") + F.sum(used * F.col("wrong"))) / F.max("keep")).alias("risk"))
 
 
 def mcnemar_p(only_a: Column, only_b: Column) -> Column:
@@ -66,28 +83,23 @@ def _mcnemar(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_two_sided(int(x), int(y)) for x, y in zip(a, b, strict=True)])
 
 
-def _binomial(n: int) -> list[float]:
-    """Chances of 0 to n heads in n fair throws, from logarithms; the far ends of a long one are zero."""
-    return [math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2)) for k in range(n + 1)]
-
-
 def sign_flip(differences: DataFrame, diff: str = "d") -> DataFrame:
-    """Exact two-sided p value that random signs give a sum as large as the one seen.
+    """``sum, p``: the sum of integer differences and the exact two-sided p value that random signs give one as large.
 
-    Integer differences are counted by size first; the counts, one for each distinct size, are convolved.
+    The characteristic function of the signed sum is a product of cosines, one for each distinct size to the power of its count.
+    On a circle of T = 2 * most + 1 places the chance of all sums nearer to 0 than the one seen is a sum over T frequencies,
+    each of which is worked out by itself; no chance of a single sum is ever held. The cost is T times the number of sizes.
     """
-    counts = differences.where(F.col(diff) != 0).groupBy(F.abs(F.col(diff)).cast("bigint").alias("size")).agg(F.count("*").alias("n"), F.sum(diff).alias("s"))
-
-    def convolve(rows: pd.DataFrame) -> pd.DataFrame:
-        # Place i of ways is the chance that the sizes with a plus sign add up to i; the signed sum is then 2 * i - most.
-        ways, seen, most = np.ones(1), int(rows["s"].sum()), int((rows["size"] * rows["n"]).sum())
-        for size, n in sorted(zip(rows["size"].astype(int).tolist(), rows["n"].astype(int).tolist(), strict=True)):
-            new = np.zeros(len(ways) + size * n)
-            for k, p in enumerate(_binomial(n)):
-                if p:
-                    new[k * size : k * size + len(ways)] += p * ways
-            ways = new
-        signed = np.abs(2 * np.arange(len(ways)) - most)
-        return pd.DataFrame({"sum": [seen], "p": [min(1.0, math.fsum(ways[signed >= abs(seen)]))]})
-
-    return counts.groupBy(F.lit(1).alias("one")).applyInPandas(convolve, "sum bigint, p double")
+    sizes = differences.where(F.col(diff) != 0).groupBy(F.abs(F.col(diff)).cast("bigint").alias("size")).agg(F.count("*").alias("n"), F.sum(diff).cast("bigint").alias("s"))
+    sizes = stored(sizes)
+    seen, most = sizes.agg(F.coalesce(F.sum("s"), F.lit(0)), F.coalesce(F.sum(F.col("size") * F.col("n")), F.lit(0))).first()
+    spark, whole = differences.sparkSession, 2 * most + 1
+    turns = spark.range(0, whole).select(F.col("id").alias("k"))
+    cosine = F.cos(2 * math.pi * (F.col("k") * F.col("size") % whole) / whole)
+    factors = turns.join(sizes, F.lit(True)).select("k", "n", cosine.alias("c"))
+    phi = factors.groupBy("k").agg(F.sum(F.col("n") * F.log(F.abs("c"))).alias("log_size"), (F.sum(F.when(F.col("c") < 0, F.col("n")).otherwise(0)) % 2).alias("odd"))
+    nearer = 2 * abs(seen) - 1
+    kernel = F.when(F.col("k") == 0, F.lit(float(nearer))).otherwise(F.sin(math.pi * (F.col("k") * nearer % (2 * whole)) / whole) / F.sin(math.pi * F.col("k") / whole))
+    inside = F.sum(F.exp("log_size") * F.when(F.col("odd") == 1, -1.0).otherwise(1.0) * kernel) / whole
+    p = F.lit(1.0) if seen == 0 else F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - inside)), F.lit(1.0))
+    return phi.agg(p.alias("p") if seen else F.max(p).alias("p")).select(F.lit(seen).cast("bigint").alias("sum"), F.coalesce("p", F.lit(1.0)).alias("p"))

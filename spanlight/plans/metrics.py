@@ -260,7 +260,6 @@ SELECT a.case_id, round((sum(CASE WHEN c.score < a.score THEN n ELSE 0 END) + su
 
 
 @query("a08_mid_percentile", _PERCENTILE)
-@query("a08_mid_percentile_whole", _PERCENTILE)
 def a08(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = V.scored(spark, sf_dir)
     return M.mid_percentile(s.select("case_id", "fold", "score"), s.where("y = 0"), ["fold"]).select("case_id", F.round("percentile", 9).alias("percentile"))

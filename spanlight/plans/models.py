@@ -76,7 +76,6 @@ SELECT doc_id, term, round(value / sqrt(sum(value * value) OVER (PARTITION BY do
 
 
 @query("m06_tfidf", _TFIDF)
-@query("m06_tfidf_whole", _TFIDF)
 def m06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.tfidf(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text").withColumn("value", F.round("value", 9))
 

@@ -118,13 +118,11 @@ _STABILITY = f", {_RUNS} SELECT case_id, count(*) AS n, count(DISTINCT coalesce(
 
 
 @query("l08_agreement", _AGREEMENT)
-@query("l08_agreement_whole", _AGREEMENT)
 def l08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.agreement(runs(spark, sf_dir), 2)
 
 
 @query("l09_replicate_stability", _STABILITY)
-@query("l09_replicate_stability_whole", _STABILITY)
 def l09(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.countDistinct(F.coalesce("entity", F.lit("-")))
     return runs(spark, sf_dir).groupBy("case_id").agg(F.count("*").alias("n"), kinds.alias("kinds"), (kinds == 1).cast("int").alias("unanimous"))

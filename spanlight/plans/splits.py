@@ -101,14 +101,14 @@ def p08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.family_folds(family.groupBy("family").agg(F.count("*").alias("n")).withColumn("campaign", F.lit("c")), "campaign")
 
 
-#: Replicates of the queries with an oracle, whose SQL is fixed, and of those over as many as the reference draws.
-R = 40
-R_WHOLE = 10_000
+#: Replicates of every resampling query.
+R = 10_000
 
 
 def _weights(unit: str, src: str, salt: str) -> str:
     return f"""pl AS (SELECT {unit} AS unit, row_number() OVER (ORDER BY {unit}) - 1 AS place FROM (SELECT DISTINCT {unit} FROM {src})), nn AS (SELECT count(*) AS n FROM pl),
-dr AS (SELECT b AS replicate, ('0x' || substr(md5(concat_ws('|', '{salt}', b, d)), 1, 8))::BIGINT % n AS place FROM nn, (SELECT unnest(range(0, {R})) AS b), (SELECT unnest(range(0, (SELECT n FROM nn))) AS d)),
+hs AS (SELECT b, j, n, md5(concat_ws('|', '{salt}', b, j)) AS h FROM nn, (SELECT unnest(range(0, {R})) AS b), (SELECT unnest(range(0, (SELECT (n + 3) // 4 FROM nn))) AS j)),
+dr AS (SELECT b AS replicate, ('0x' || substr(h, (8 * q + 1)::INT, 8))::BIGINT % n AS place FROM hs, (SELECT unnest(range(0, 4)) AS q) WHERE 4 * j + q < n),
 wt AS (SELECT replicate, unit, count(*) AS w FROM dr JOIN pl USING (place) GROUP BY ALL)"""
 
 
@@ -135,30 +135,20 @@ def _shown(df: DataFrame) -> DataFrame:
 
 @query("b01_mean_interval", f", {_boot('wrong', 'events_n')} SELECT {_BOOT_OUT} FROM pt, iv")
 def b01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mean_interval(spark, sf_dir, R)
+    return _mean_interval(spark, sf_dir)
 
 
-@query("b01_mean_interval_whole")
-def b01_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mean_interval(spark, sf_dir, R_WHOLE)
-
-
-def _mean_interval(spark: SparkSession, sf_dir: str, replicates: int) -> DataFrame:
-    return _shown(B.bootstrap_ratio(sums(spark, sf_dir), "group_id", "wrong", "events_n", replicates, "boot"))
+def _mean_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(B.bootstrap_ratio(sums(spark, sf_dir), "group_id", "wrong", "events_n", R, "boot"))
 
 
 @query("b02_risk_interval", f", {_boot('wrong', 'accepted_n', 'model')} SELECT model, {_BOOT_OUT} FROM pt JOIN iv USING (model)")
 def b02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _risk_interval(spark, sf_dir, R)
-
+    return _risk_interval(spark, sf_dir)
 
-@query("b02_risk_interval_whole")
-def b02_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _risk_interval(spark, sf_dir, R_WHOLE)
 
-
-def _risk_interval(spark: SparkSession, sf_dir: str, replicates: int) -> DataFrame:
-    return _shown(B.bootstrap_ratio(sums(spark, sf_dir), "group_id", "wrong", "accepted_n", replicates, "boot", ["model"]))
+def _risk_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(B.bootstrap_ratio(sums(spark, sf_dir), "group_id", "wrong", "accepted_n", R, "boot", ["model"]))
 
 
 @query(
@@ -167,17 +157,12 @@ def _risk_interval(spark: SparkSession, sf_dir: str, replicates: int) -> DataFra
 SELECT round((SELECT sum(b) / sum(a) FROM sm), 9) AS estimate, round(quantile_cont(x, 0.025), 9) AS lower, round(quantile_cont(x, 0.975), 9) AS upper, round(avg((x > 0)::INT), 9) AS share_positive FROM rp""",
 )
 def b03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _group_interval(spark, sf_dir, R)
-
+    return _group_interval(spark, sf_dir)
 
-@query("b03_group_interval_whole")
-def b03_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _group_interval(spark, sf_dir, R_WHOLE)
 
-
-def _group_interval(spark: SparkSession, sf_dir: str, replicates: int) -> DataFrame:
+def _group_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = groups(spark, sf_dir).groupBy("group_n").agg(F.sum("rows_n").alias("a"), F.sum("network_n").alias("b"))
-    return _shown(B.bootstrap_ratio(g, "group_n", "b", "a", replicates, "groups"))
+    return _shown(B.bootstrap_ratio(g, "group_n", "b", "a", R, "groups"))
 
 
 @query(
@@ -187,17 +172,12 @@ j AS (SELECT replicate, wrong, w, sum(w) OVER (PARTITION BY replicate ORDER BY s
 u AS (SELECT replicate, wrong, greatest(0, least(w, greatest(1, round_even(total * 0.5::DOUBLE, 0)) - (upto - w))) AS used FROM j) SELECT replicate, round(sum(used * wrong) / sum(used), 9) AS risk FROM u GROUP BY 1""",
 )
 def b04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _reselected_risk(spark, sf_dir, R)
-
-
-@query("b04_reselected_risk_whole")
-def b04_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _reselected_risk(spark, sf_dir, R_WHOLE)
+    return _reselected_risk(spark, sf_dir)
 
 
-def _reselected_risk(spark: SparkSession, sf_dir: str, replicates: int) -> DataFrame:
+def _reselected_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = V.scored(spark, sf_dir).groupBy("group_id").agg(F.max("score").alias("score"), F.max((F.col("tactic") != F.col("prediction")).cast("int")).alias("wrong"))
-    return B.top_share_risk(rows, "group_id", "score", "wrong", 0.5, replicates, "top").withColumn("risk", F.round("risk", 9))
+    return B.top_share_risk(rows, "group_id", "score", "wrong", 0.5, R, "top").withColumn("risk", F.round("risk", 9))
 
 
 _PAIR = """pr AS (SELECT case_id, max(correct) FILTER (WHERE condition = 'clean') AS a, max(correct) FILTER (WHERE condition = 'shift_time') AS b FROM decision GROUP BY 1), pc AS (SELECT count(*) FILTER (WHERE a > b) AS only_a, count(*) FILTER (WHERE b > a) AS only_b FROM pr)"""
@@ -213,15 +193,20 @@ _MCNEMAR = f""", {_PAIR} SELECT only_a, only_b, round(least(1, 2 * list_sum(list
 
 
 @query("b05_mcnemar", _MCNEMAR)
-@query("b05_mcnemar_whole", _MCNEMAR)
 def b05(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = pairs(spark, sf_dir).agg(F.count_if(F.col("a") > F.col("b")).alias("only_a"), F.count_if(F.col("b") > F.col("a")).alias("only_b"))
     return c.select("only_a", "only_b", F.round(B.mcnemar_p(F.col("only_a"), F.col("only_b")), 9).alias("p"))
 
 
-@query("b06_sign_flip")
+@query(
+    "b06_sign_flip",
+    f""", {_PAIR}, df AS (SELECT a - b AS d FROM pr WHERE a <> b), sz AS (SELECT abs(d)::BIGINT AS size, count(*) AS n FROM df GROUP BY 1), sn AS (SELECT (SELECT sum(d) FROM df)::BIGINT AS seen, 2 * (SELECT sum(size * n) FROM sz)::BIGINT + 1 AS whole),
+fq AS (SELECT k, any_value(seen) AS seen, any_value(whole) AS whole, exp(sum(n * ln(abs(cos(2 * pi() * ((k * size) % whole) / whole))))) * CASE WHEN sum(CASE WHEN cos(2 * pi() * ((k * size) % whole) / whole) < 0 THEN n ELSE 0 END) % 2 = 1 THEN -1 ELSE 1 END AS phi
+  FROM sn, (SELECT unnest(range(0, (SELECT whole FROM sn))) AS k), sz GROUP BY k)
+SELECT any_value(seen) AS sum, round(CASE WHEN any_value(seen) = 0 THEN 1 ELSE least(1, greatest(0, 1 - sum(phi * CASE WHEN k = 0 THEN 2 * abs(seen) - 1 ELSE sin(pi() * ((k * (2 * abs(seen) - 1)) % (2 * whole)) / whole) / sin(pi() * k / whole) END) / any_value(whole))) END, 9) + 0.0 AS p FROM fq""",
+)
 def b06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.sign_flip(pairs(spark, sf_dir).select((F.col("a") - F.col("b")).alias("d")))
+    return B.sign_flip(pairs(spark, sf_dir).select((F.col("a") - F.col("b")).alias("d"))).withColumn("p", F.round("p", 9) + F.lit(0.0))
 
 
 @query(

@@ -79,7 +79,6 @@ FROM (SELECT unnest(generate_series(min(window_start), max(window_start), {V.WIN
 
 
 @query("w04_dense_windows", _DENSE)
-@query("w04_dense_windows_whole", _DENSE)
 def w04(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = W.window_profile(V.flow(spark, sf_dir), V.WINDOW, ["size"], [], {}).select("window_start", "row_count", F.round("size_sum", 6).alias("size_sum"))
     return W.dense(out, V.WINDOW)

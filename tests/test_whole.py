@@ -28,22 +28,22 @@ def test_sign_flip_and_mcnemar_take_all_cases(spark):
     tail = [math.comb(n, k) for k in range(n + 1) if abs(2 * k - n) >= abs(plus - minus)]
     got = QUERIES["b06_sign_flip"](spark, DATA).first()
     assert got["sum"] == plus - minus and got.p == pytest.approx(sum(tail) / 2**n)
-    exact = QUERIES["b05_mcnemar_whole"](spark, DATA).first()
+    exact = QUERIES["b05_mcnemar"](spark, DATA).first()
     assert (exact.only_a, exact.only_b) == (plus, minus) and exact.p == pytest.approx(got.p, abs=1e-9)
 
 
 def test_every_row_is_returned(spark):
     cases = V.scored(spark, DATA).select("case_id").distinct().count()
-    for name in ("l08_agreement_whole", "l09_replicate_stability_whole", "a08_mid_percentile_whole"):
+    for name in ("l08_agreement", "l09_replicate_stability", "a08_mid_percentile"):
         assert QUERIES[name](spark, DATA).select("case_id").distinct().count() == cases
-    assert sum(r.row_count for r in QUERIES["w04_dense_windows_whole"](spark, DATA).collect()) == V.flow(spark, DATA).count()
+    assert sum(r.row_count for r in QUERIES["w04_dense_windows"](spark, DATA).collect()) == V.flow(spark, DATA).count()
     turns = spark.read.parquet(f"{DATA}/conversations.parquet").select("conv_id", "turn").distinct()
     assert QUERIES["l01_first_json"](spark, DATA).select("conv_id", "turn").distinct().count() == turns.count()
 
 
 def test_mid_percentiles_by_counting(spark):
     rows = V.scored(spark, DATA).select("case_id", "fold", "score", "y").collect()
-    got = {r.case_id: r.percentile for r in QUERIES["a08_mid_percentile_whole"](spark, DATA).collect()}
+    got = {r.case_id: r.percentile for r in QUERIES["a08_mid_percentile"](spark, DATA).collect()}
     for r in rows[::7]:
         others = [x.score for x in rows if x.fold == r.fold and x.y == 0]
         assert got[r.case_id] == pytest.approx((sum(x < r.score for x in others) + sum(x == r.score for x in others) / 2) / len(others), abs=2e-9)
@@ -51,5 +51,5 @@ def test_mid_percentiles_by_counting(spark):
 
 def test_tfidf_takes_all_languages(spark):
     words = spark.read.parquet(f"{DATA}/documents.parquet").where(r"text rlike '(?U)\\w\\w'").select("doc_id", "lang").collect()
-    got = {r.doc_id for r in QUERIES["m06_tfidf_whole"](spark, DATA).select("doc_id").distinct().collect()}
+    got = {r.doc_id for r in QUERIES["m06_tfidf"](spark, DATA).select("doc_id").distinct().collect()}
     assert {r.lang for r in words} == {r.lang for r in words if r.doc_id in got}
