@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanlight.operators.prefix import tiles
 from spanlight.operators.windows import DAY, merge_intervals, points_inside
+from spanlight.sources.io import stored
 
 
 def top_k(rows: DataFrame, keys: list[str], order: list[Column], k: int, place: str = "rank") -> DataFrame:
@@ -157,41 +158,127 @@ def hashed_donor(cases: DataFrame, block: str, id: str, key: str, salt: str) ->
     return cases.select(id).join(found, id, "left")
 
 
-def nearest_donors(rows: DataFrame, block: str, id: str, vector: str, label: str) -> DataFrame:
-    """For each case the closest other case of the same class and of another class, Euclidean, within its block.
+#: Distinct vectors of a tile, and pivots at most; pivots (8 bytes a number) go to every task.
+TILE, PIVOTS = 1024, 4096
 
-    Blocks are crossed with chunks of themselves; numpy computes one tile of distances at a time
-    and keeps the nearest of each row, and a last aggregation takes the nearest over all tiles.
+
+def nearest_donors(rows: DataFrame, block: str, id: str, vector: str, label: str, tile: int = TILE) -> DataFrame:
+    """For each case the closest other case of the same class and of another class, Euclidean, within its block; ties by id.
+
+    Equal vectors are one (they answer each other). Distinct ones are tiled by their nearest pivot. A first pass inside a vector's own
+    tile gives it a radius for each class; by the triangle inequality another tile can hold something closer
+    only if its pivot is nearer than that radius and the tile's own radius together, and only such pairs of a vector and a
+    tile are compared. Rows without a vector take no part. What cannot be ruled out is compared in full, so the result is exact on any data;
+    how much is ruled out depends on how clustered the vectors are (``tile_share``).
     """
+    rows, tiled, radius = _tiled(rows, block, id, vector, label, tile)
+    near = _own_tile(tiled)
+    return _nearest(rows, tiled, near, _wanted_tiles(tiled, near, radius), id)
+
+
+def tile_share(rows: DataFrame, block: str, id: str, vector: str, label: str, tile: int = TILE) -> float:
+    """The share of all (vector, tile) pairs of a block that ``nearest_donors`` compares, own tiles included."""
+    _, tiled, radius = _tiled(rows, block, id, vector, label, tile)
+    tiles = tiled.groupBy("_block").agg(F.countDistinct("_t", "_c").alias("t"), F.count("*").alias("n")).agg(F.sum(F.col("t") * F.col("n"))).first()[0]
+    return (_wanted_tiles(tiled, _own_tile(tiled), radius).count() + tiled.count()) / tiles if tiles else 0.0
+
+
+def _tiled(rows: DataFrame, block: str, id: str, vector: str, label: str, tile: int) -> tuple[DataFrame, DataFrame, dict[int, float]]:
+    """Rows; distinct vectors of a block with the smallest id of each class, their tile, its part and their distances to all pivots; and tiles' radii."""
+    import numpy as np
+
+    rows = stored(rows.where(F.col(vector).isNotNull()).select(F.col(block).alias("_block"), F.col(id).alias("_id"), F.transform(F.col(vector).cast("array<double>"), lambda x: x + F.lit(0.0)).alias("_v"), F.col(label).alias("_l")))  # no -0.0, which would be another text
+    classes = rows.groupBy("_block", "_v", "_l").agg(F.min("_id").alias("_id"))
+    distinct = stored(classes.groupBy("_block", "_v").agg(F.collect_list(F.struct(F.col("_l").cast("string").alias("l"), F.col("_id").alias("id"))).alias("_classes")).withColumn("_key", F.md5(F.to_json(F.struct("_block", "_v")))))
+    n = distinct.count()
+    pivots = [r._v for r in distinct.orderBy(F.xxhash64("_key"), "_key").limit(min(PIVOTS, -(-n // tile))).collect()]
+    at = np.array(pivots, float)
+
+    def assign(batches):
+        for b in batches:
+            x = np.stack(b["_v"].to_numpy()).astype(float)
+            d = np.stack([np.sqrt(((at - v) ** 2).sum(1)) for v in x])
+            yield b.assign(_t=d.argmin(1).astype("int32"), _d=d.min(1), _all=list(d))
+
+    kind = f"_block {distinct.schema['_block'].dataType.simpleString()}, _v array<double>, _classes array<struct<l:string,id:bigint>>, _key string, _t int, _d double, _all array<double>"
+    placed = stored(distinct.mapInPandas(assign, kind)) if n else distinct.withColumns({"_t": F.lit(0), "_d": F.lit(0.0), "_all": F.array(F.lit(0.0))})
+    sizes = placed.groupBy("_block", "_t").agg(F.ceil(F.count("*") / tile).alias("_k"))
+    tiled = stored(placed.join(sizes, ["_block", "_t"]).withColumn("_c", F.pmod(F.xxhash64("_key"), F.col("_k")).cast("int")))
+    # One row a pivot: a tile's radius over all blocks.
+    radius = {r["_t"]: r["r"] for r in placed.groupBy("_t").agg(F.max("_d").alias("r")).collect()}
+    return rows, tiled, radius
+
+
+_BEST = "_block {b}, _key string, l string, same boolean, distance double, donor bigint"
+
+
+def _compare(a, b):
+    """For each vector and class of ``a`` the nearest vector of ``b`` that is not itself, of the same and of another class."""
     import numpy as np
     import pandas as pd
 
-    chunk = 2048
-    chunks = rows.groupBy(block).agg(F.ceil(F.count("*") / chunk).alias("_k"))
-    keyed = rows.select(F.col(block).alias("_block"), F.col(id).alias("_id"), F.col(vector).alias("_v"), F.col(label).alias("_l")).join(chunks.select(F.col(block).alias("_block"), "_k"), "_block")
-    mine = keyed.withColumn("_c", F.pmod(F.xxhash64("_id"), F.col("_k")))
-    left = mine.withColumn("_d", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_k") - 1))).drop("_k")
-    right = mine.withColumnRenamed("_c", "_d").withColumn("_c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_k") - 1))).drop("_k")
-    right = right.select(*(F.col(c).alias(f"r{c}") for c in ("_block", "_id", "_v", "_l", "_c", "_d")))
-
-    def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"_id": [], "same": [], "donor": [], "distance": []})
-        b = b.sort_values("r_id")
-        x, y = np.stack(a["_v"].to_numpy()).astype(float), np.stack(b["r_v"].to_numpy()).astype(float)
-        d = np.stack([np.sqrt(((y - row) ** 2).sum(1)) for row in x])
-        d[a["_id"].to_numpy()[:, None] == b["r_id"].to_numpy()[None, :]] = np.inf
-        out = []
-        for same in (True, False):
-            ok = (a["_l"].to_numpy()[:, None] == b["r_l"].to_numpy()[None, :]) == same
-            e = np.where(ok, np.round(d, 9), np.inf)
-            at = e.argmin(1)
-            best = e[np.arange(len(a)), at]
-            out.append(pd.DataFrame({"_id": a["_id"].to_numpy(), "same": same, "donor": b["r_id"].to_numpy()[at], "distance": best})[np.isfinite(best)])
-        return pd.concat(out)
-
-    tiles = left.groupBy("_block", "_c", "_d").cogroup(right.groupBy("r_block", "r_c", "r_d")).applyInPandas(tile, "_id bigint, same boolean, donor bigint, distance double")
-    return tiles.groupBy("_id", "same").agg(F.min(F.struct("distance", "donor")).alias("m")).select(F.col("_id").alias(id), "same", F.col("m.donor").alias("donor_id"), "m.distance")
+    out: list[tuple] = []
+    if len(a) and len(b):
+        y = np.stack(b["_v"].to_numpy()).astype(float)
+        labels = [[(c["l"], c["id"]) for c in cs] for cs in b["_classes"]]
+        entries = sorted((i, k, l) for k, cs in enumerate(labels) for l, i in cs)  # by id: the first of equal distances is the smallest
+        ids, places = np.array([e[0] for e in entries]), np.array([e[1] for e in entries])
+        named = np.array([e[2] for e in entries], object)
+        keys = b["_key"].to_numpy()[places]
+        for block, key, v, cs in zip(a["_block"], a["_key"], a["_v"], a["_classes"]):
+            d = np.round(np.sqrt(((y - np.asarray(v, float)) ** 2).sum(1)), 9)[places]
+            d = np.where(keys == key, np.inf, d)
+            for c in cs:
+                own = named == c["l"]
+                for same, ok in ((True, own), (False, ~own)):
+                    e = np.where(ok, d, np.inf)
+                    k = int(e.argmin())
+                    if np.isfinite(e[k]):
+                        out.append((block, key, c["l"], same, float(e[k]), int(ids[k])))
+    return pd.DataFrame(out, columns=["_block", "_key", "l", "same", "distance", "donor"])
+
+
+def _own_tile(tiled: DataFrame) -> DataFrame:
+    """The nearest that a vector's own part of its tile holds."""
+    kind = _BEST.format(b=tiled.schema["_block"].dataType.simpleString())
+    return stored(tiled.select("_block", "_key", "_v", "_classes", "_t", "_c").groupBy("_block", "_t", "_c").applyInPandas(lambda g: _compare(g, g), kind))
+
+
+def _wanted_tiles(tiled: DataFrame, near: DataFrame, radius: dict[int, float]) -> DataFrame:
+    """Vectors with each other tile part that may hold something as near as what they have."""
+    # A class that the own tile lacks has no radius yet: all tiles are open. A class that shares the vector is at distance 0.
+    per = near.groupBy("_block", "_key").agg(F.count("*").alias("n"), F.max("distance").alias("u"))
+    reach = F.when(F.col("n") == 2 * F.size("_classes"), F.col("u") + 1e-8).otherwise(F.lit(float("inf")))
+    asked = tiled.join(per, ["_block", "_key"], "left").withColumn("_u", F.coalesce(reach, F.lit(float("inf"))))
+    radii = F.array(*(F.lit(float(radius.get(t, 0.0))) for t in range(max(radius, default=-1) + 1))) if radius else F.array(F.lit(0.0))
+    open_ = F.filter(F.transform(F.zip_with("_all", radii, lambda d, r: d - r), lambda b, t: F.when(b <= F.col("_u"), t).otherwise(-1)), lambda t: t >= 0)
+    long = asked.select("_block", "_key", "_v", "_classes", F.col("_t").alias("t0"), F.col("_c").alias("c0"), F.explode(open_).alias("_t"))
+    parts = tiled.select("_block", "_t", "_c").distinct()
+    return long.join(parts, ["_block", "_t"]).where("_t <> t0 or _c <> c0")
+
+
+def _nearest(rows: DataFrame, tiled: DataFrame, near: DataFrame, wanted: DataFrame, id: str) -> DataFrame:
+    """Each row's nearest of both kinds, from its own tile, from the tiles that were wanted and from rows with the same vector."""
+    kind = _BEST.format(b=tiled.schema["_block"].dataType.simpleString())
+    wanted = stored(wanted)
+    keys = ["_block", "t0", "c0", "_t", "_c"]
+    # Both sides of a comparison are one part of a tile each, so no task holds more than two of them.
+    members = wanted.select(keys).distinct().join(tiled.select("_block", "_t", "_c", "_key", "_v", "_classes"), ["_block", "_t", "_c"])
+    members = members.select(*(F.col(k).alias(f"m{k}") for k in keys), "_key", "_v", "_classes")
+    far = wanted.groupBy(*keys).cogroup(members.groupBy(*(f"m{k}" for k in keys))).applyInPandas(lambda a, b: _compare(a, b), kind)
+    found = near.unionByName(far).groupBy("_block", "_key", "l", "same").agg(F.min(F.struct("distance", "donor")).alias("m"))
+    keyed = rows.withColumns({"_key": F.md5(F.to_json(F.struct("_block", "_v"))), "l": F.col("_l").cast("string")})
+    others = keyed.join(found, ["_block", "_key", "l"]).select("_id", "same", "m.distance", "m.donor")
+    # Rows with the same vector are at distance 0: of the same class the smallest other id, of others the smallest.
+    # Two smallest ids of a class are enough for every row of it.
+    smallest = keyed.groupBy("_block", "_key", "l").agg(F.min("_id").alias("i1"))
+    second = keyed.join(smallest, ["_block", "_key", "l"]).where("_id <> i1").groupBy("_block", "_key", "l").agg(F.min("_id").alias("i2"))
+    heads = smallest.join(second, ["_block", "_key", "l"], "left")
+    own = keyed.join(heads, ["_block", "_key", "l"]).select("_id", F.lit(True).alias("same"), F.lit(0.0).alias("distance"), F.when(F.col("_id") == F.col("i1"), F.col("i2")).otherwise(F.col("i1")).alias("donor")).where("donor is not null")
+    pair = smallest.groupBy("_block", "_key").agg(F.sort_array(F.collect_list(F.struct("i1", "l"))).alias("by_id")).where(F.size("by_id") > 1)
+    cross = keyed.join(pair, ["_block", "_key"]).select("_id", F.lit(False).alias("same"), F.lit(0.0).alias("distance"), F.when(F.element_at("by_id", 1)["l"] == F.col("l"), F.element_at("by_id", 2)["i1"]).otherwise(F.element_at("by_id", 1)["i1"]).alias("donor"))
+    best = others.unionByName(own).unionByName(cross).groupBy("_id", "same").agg(F.min(F.struct("distance", "donor")).alias("m"))
+    return best.select(F.col("_id").alias(id), "same", F.col("m.donor").alias("donor_id"), "m.distance")
 
 
 def key_differences(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

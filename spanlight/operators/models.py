@@ -81,18 +81,33 @@ def out_of_fold(rows: DataFrame, features: list[str], label: str, fold: str, mod
 
 
 def tfidf(docs: DataFrame, id: str, text: str, terms: int = 500) -> DataFrame:
-    """M6: ``id, term, value``: 1- and 2-grams of words of two or more letters or digits, the commonest ``terms``, 1 + ln(tf), smoothed idf, unit length."""
+    """M6: ``id, term, value``: 1- and 2-grams of words of two or more letters or digits, the commonest ``terms``, 1 + ln(tf), smoothed idf, unit length.
+
+    A pair occurs at most as often as either of its words. So once the words are counted, only pairs of two words as common
+    as the ``terms``-th word can be among the commonest, and only these are counted; frequencies within documents are
+    counted for the chosen terms alone. What is shuffled is counts of words, of pairs of common words, and at most ``terms`` rows a document.
+    """
     words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
-    listed = docs.select(F.col(id), words.alias("w"))
-    pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))).otherwise(F.array().cast("array<string>"))
-    tf = listed.select(id, F.explode(F.concat("w", pairs)).alias("term")).groupBy(id, "term").agg(F.count("*").alias("tf"))
-    totals = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
-    vocabulary = totals.orderBy(F.desc("total"), "term").limit(terms)
-    n = docs.agg(F.count("*").alias("n"))
-    value = (1 + F.log(F.col("tf"))) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
-    kept = tf.join(F.broadcast(vocabulary), "term").crossJoin(F.broadcast(n)).select(id, "term", value.alias("value"))
-    norm = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy(id)))
-    return kept.select(id, "term", (F.col("value") / norm).alias("value"))
+    listed = stored(docs.select(F.col(id).alias("id"), words.alias("w")))
+    pairs = F.explode(F.arrays_zip(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))).alias("a"), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))).alias("b"))).alias("p")
+    single = listed.select("id", F.explode("w").alias("a"))
+    double = listed.where(F.size("w") > 1).select("id", pairs).select("id", "p.a", "p.b")
+    counts = stored(single.groupBy("a").agg(F.count("*").alias("total")))
+    least = counts.orderBy(F.desc("total")).limit(terms).agg(F.min("total")).first()[0] if counts.count() > terms else 0
+    common = counts.where(F.col("total") >= least).select("a")
+    few = F.broadcast if common.count() <= 100_000 else lambda df: df  # many words may tie
+    paired = double.join(few(common), "a", "left_semi").join(few(common.withColumnRenamed("a", "b")), "b", "left_semi")
+    paired = paired.groupBy("a", "b").agg(F.count("*").alias("total"))
+    every = counts.select("a", F.lit(None).cast("string").alias("b"), "total").unionByName(paired).withColumn("term", F.concat_ws(" ", "a", "b"))
+    vocabulary = stored(every.orderBy(F.desc("total"), "term").limit(terms).select("a", "b", "term"))
+    said = single.join(F.broadcast(vocabulary.where("b is null").select("a", "term")), "a").select("id", "term")
+    said = said.unionByName(double.join(F.broadcast(vocabulary.where("b is not null")), ["a", "b"]).select("id", "term"))
+    tf = stored(said.groupBy("id", "term").agg(F.count("*").alias("tf")))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    value = (1 + F.log(F.col("tf"))) * (F.log((1 + F.lit(listed.count())) / (1 + F.col("df"))) + 1)
+    kept = tf.join(F.broadcast(df), "term").select("id", "term", value.alias("value"))  # one row a chosen term
+    norm = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy("id")))
+    return kept.select(F.col("id").alias(id), "term", (F.col("value") / norm).alias("value"))
 
 
 def _clipped(p: Column) -> Column:
