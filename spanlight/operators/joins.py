@@ -112,20 +112,49 @@ def socket_observations(edges: DataFrame, nodes: DataFrame, usable: Column) -> D
     return found.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n").where(usable).withColumnRenamed("row_id", "socket_id")
 
 
-def two_hops(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
-    """``case_id, id, hop`` of what lies at most ``hops`` undirected steps from a case's seeds.
+def seed_reach(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
+    """``case_id, id, m0 .. m<hops>``: from which kinds of seeds each node is reached within so many undirected steps.
 
-    ``edges`` has ``case_id, u, v``. After each hop the frontier is made distinct and what was
-    reached before is taken out, so hubs do not multiply paths.
+    ``edges`` is ``case_id, u, v``, ``seeds`` ``case_id, id, mask`` with a bit for each kind of seed. All kinds expand in one pass:
+    a hop is one join, in which a node's neighbours' bits are merged by ``bit_or``, so hubs do not multiply paths.
     """
-    both = edges.select("case_id", "u", "v").union(edges.select("case_id", F.col("v"), F.col("u"))).distinct()
-    reached = seeds.select("case_id", "id").distinct().withColumn("hop", F.lit(0))
-    frontier = reached
+    both = stored(edges.select("case_id", "u", "v").union(edges.select("case_id", F.col("v"), F.col("u"))).distinct())
+    state = stored(seeds.groupBy("case_id", "id").agg(F.bit_or("mask").alias("m0")))
     for hop in range(1, hops + 1):
-        step = frontier.select("case_id", F.col("id").alias("u")).join(both, ["case_id", "u"]).select("case_id", F.col("v").alias("id")).distinct()
-        frontier = step.join(reached, ["case_id", "id"], "left_anti").withColumn("hop", F.lit(hop))
-        reached = reached.unionByName(frontier)
-    return reached
+        last = f"m{hop - 1}"
+        step = state.where(F.col(last) != 0).select("case_id", F.col("id").alias("u"), last).join(both, ["case_id", "u"]).groupBy("case_id", F.col("v").alias("id")).agg(F.bit_or(last).alias("_new"))
+        older = [F.coalesce(f"m{k}", F.lit(0)).alias(f"m{k}") for k in range(hop)]
+        state = stored(state.join(step, ["case_id", "id"], "full").select("case_id", "id", *older, F.coalesce(last, F.lit(0)).bitwiseOR(F.coalesce("_new", F.lit(0))).alias(f"m{hop}")))
+    return state
+
+
+def two_hops(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
+    """``case_id, id, hop`` of what lies at most ``hops`` undirected steps from a case's seeds; ``edges`` has ``case_id, u, v``."""
+    reached = seed_reach(edges, seeds.select("case_id", "id").withColumn("mask", F.lit(1)), hops)
+    return reached.select("case_id", "id", F.coalesce(*(F.when(F.col(f"m{h}") != 0, h) for h in range(hops + 1))).alias("hop"))
+
+
+#: Which sockets a graph is kept around: those that match the alert in address and port, in address, in port, or in either.
+SEED_RULES = {"joint": 1, "address": 2, "port": 4, "either": 8}
+
+
+def seed_pruning(entities: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
+    """For each case and rule its seeds, the nodes that stay within ``hops`` of them, and whether a true process stays.
+
+    ``entities`` is ``case_id, id, kind, pid, label, address_match, port_match``. A case without a seed keeps all of its nodes.
+    ``truth`` and ``kept`` are 1 or 0: the case has a labelled process, and a node with the pid of one stays.
+    """
+    a, p = F.col("address_match") == 1, F.col("port_match") == 1
+    rule = {"joint": a & p, "address": a, "port": p, "either": a | p}
+    bits = [F.when(rule[r], b).otherwise(0) for r, b in SEED_RULES.items()]
+    seeds = entities.where("kind = 'socket'").select("case_id", "id", (bits[0] + bits[1] + bits[2] + bits[3]).alias("mask")).where("mask <> 0")
+    named = entities.where("kind = 'process' and label = 1 and pid <> ''").select("case_id", "pid").distinct().withColumn("true_pid", F.lit(1))
+    nodes = entities.join(named, ["case_id", "pid"], "left").join(seed_reach(edges, seeds, hops), ["case_id", "id"], "left").na.fill(0, ["true_pid", "m0", f"m{hops}"])
+    long = nodes.withColumn("_r", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(b).alias("bit")) for r, b in SEED_RULES.items()))))
+    on = lambda m: F.col(m).bitwiseAND(F.col("_r.bit")) != 0
+    out = long.groupBy("case_id", F.col("_r.rule").alias("rule")).agg(F.count_if(on("m0")).alias("seeds"), F.count("*").alias("nodes"), F.count_if(on(f"m{hops}")).alias("near"), F.max("true_pid").alias("truth"), F.max(F.when(on(f"m{hops}"), F.col("true_pid")).otherwise(0)).alias("near_truth"))
+    all_stay = F.col("seeds") == 0
+    return out.select("case_id", "rule", "seeds", "nodes", F.when(all_stay, F.col("nodes")).otherwise(F.col("near")).alias("retained"), "truth", F.when(all_stay, F.col("truth")).otherwise(F.col("near_truth")).alias("kept"))
 
 
 def overlap_pairs(members: DataFrame, sizes: DataFrame) -> DataFrame:

@@ -317,6 +317,23 @@ def g06(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "j13_seed_modes",
+    f""", {_GRAPH}, {_VALUES}, und AS (SELECT DISTINCT case_id, src AS u, dst AS v FROM rel UNION SELECT DISTINCT case_id, dst, src FROM rel),
+sd AS (SELECT case_id, id, rule FROM mat, (SELECT unnest(['joint', 'address', 'port', 'either']) AS rule) WHERE kind = 'socket' AND CASE rule WHEN 'joint' THEN address_match + port_match = 2 WHEN 'address' THEN address_match = 1 WHEN 'port' THEN port_match = 1 ELSE address_match + port_match > 0 END),
+h1 AS (SELECT * FROM sd UNION SELECT sd.case_id, und.v, sd.rule FROM sd JOIN und ON und.case_id = sd.case_id AND und.u = sd.id), h2 AS (SELECT * FROM h1 UNION SELECT h1.case_id, und.v, h1.rule FROM h1 JOIN und ON und.case_id = h1.case_id AND und.u = h1.id),
+nd AS (SELECT e.case_id, e.id, n.pid, (n.pid <> '' AND EXISTS (SELECT 1 FROM ent t JOIN prov_node m ON m.id = t.id WHERE t.case_id = e.case_id AND t.kind = 'process' AND t.label = 1 AND m.pid = n.pid))::INT AS true_pid FROM ent e JOIN prov_node n ON n.id = e.id),
+rr AS (SELECT nd.case_id, r.rule, count(sd.id) AS seeds, count(*) AS nodes, count(h2.id) AS near, max(true_pid) AS truth, coalesce(max(true_pid) FILTER (WHERE h2.id IS NOT NULL), 0) AS near_truth FROM nd CROSS JOIN (SELECT unnest(['joint', 'address', 'port', 'either']) AS rule) r
+  LEFT JOIN sd ON sd.case_id = nd.case_id AND sd.id = nd.id AND sd.rule = r.rule LEFT JOIN h2 ON h2.case_id = nd.case_id AND h2.id = nd.id AND h2.rule = r.rule GROUP BY 1, 2)
+SELECT case_id, rule, seeds, nodes, CASE WHEN seeds = 0 THEN nodes ELSE near END AS retained, truth, CASE WHEN seeds = 0 THEN truth ELSE near_truth END AS kept FROM rr""",
+)
+def j13_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All four seed rules in one expansion, with the truth that each keeps."""
+    rel = relations(spark, sf_dir)
+    found = matched(spark, sf_dir, rel).join(V.prov_node(spark, sf_dir).select("id", "pid"), "id")
+    return J.seed_pruning(stored(found), rel.select("case_id", F.col("src").alias("u"), F.col("dst").alias("v")))
+
+
 _ALERTS = """al AS (SELECT case_id, count(*) AS alert_rows, sum(size) AS total_bytes, count(*) FILTER (WHERE protocol = 'TCP') / count(*) AS alert_tcp, count(*) FILTER (WHERE protocol = 'UDP') / count(*) AS alert_udp,
   count(*) FILTER (WHERE protocol = 'ICMP') / count(*) AS alert_icmp, count(*) FILTER (WHERE protocol = 'ARP') / count(*) AS alert_arp FROM win GROUP BY 1),
 hh AS (SELECT case_id, dimension, count(*) AS u, sum(n * n) / (sum(n) * sum(n)) AS hhi FROM (SELECT case_id, dimension, value, count(*) AS n FROM (SELECT case_id, unnest(['src_ip', 'dst_ip', 'src_port', 'dst_port']) AS dimension, unnest([src_ip, dst_ip, src_port::VARCHAR, dst_port::VARCHAR]) AS value FROM win) GROUP BY ALL) GROUP BY 1, 2)"""
