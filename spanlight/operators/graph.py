@@ -15,6 +15,63 @@ def case_relations(cases: DataFrame, edges: DataFrame, radius: float, offset: fl
     return within(centre, edges, "_centre", "ts_s", radius).withColumn("delta", F.col("ts_s") - F.col("_centre")).drop("_centre")
 
 
+def offset_relations(cases: DataFrame, edges: DataFrame, radius: float, offsets: list[float]) -> DataFrame:
+    """``case_relations`` for every clock offset, with ``offset_s``, from one join.
+
+    A relation at distance d from an anchor is inside for the offsets from -radius - d to radius - d. So the views are joined
+    once, as far out as the largest offset reaches, and a pair becomes a row only for the offsets at which it is inside.
+    """
+    reach = max(map(abs, offsets), default=0.0)
+    wide = within(cases, edges, "anchor", "ts_s", radius + reach).withColumn("_d", F.col("ts_s") - F.col("anchor"))
+    moved = F.transform(F.array(*(F.lit(o) for o in offsets)), lambda o: F.struct(o.alias("offset_s"), (F.col("ts_s") - (F.col("anchor") - o)).alias("delta")))
+    return wide.withColumn("_o", F.explode(F.filter(moved, lambda m: F.abs(m["delta"]) <= radius))).select("*", "_o.*").drop("_o", "_d")
+
+
+def drift(relations: DataFrame, nodes: DataFrame, cases: DataFrame, offsets: list[float], radius: float, least_margin: float, k: int = 10) -> DataFrame:
+    """Each case at each offset: its processes ranked anew, and whether what supported it at offset 0 is still among the first ``k``.
+
+    ``relations`` come from ``offset_relations``. ``temporal`` tells whether there are processes and one of the first three is near in time,
+    ``margin`` is the lead of the best, ``correct`` whether it is labelled; ``primary``, ``gate`` and ``margin_only`` are the three policies.
+    """
+    processes = nodes.where("type = 'Process'").select("id", "label")
+    per = ends(relations).join(processes, "id").groupBy("offset_s", "case_id", "id", "label").agg(F.count("*").alias("incident"), F.min(F.abs("delta")).alias("closest"))
+    proximity = F.greatest(F.lit(0.0), 1 - F.col("closest") / radius)
+    scored = per.withColumns({"proximity": proximity, "score": F.round(F.log1p("incident") + proximity, 6)})
+    r = F.row_number().over(Window.partitionBy("offset_s", "case_id").orderBy(F.desc("score"), "id"))
+    top = scored.withColumn("r", r).where(F.col("r") <= k)
+    support = top.where("offset_s = 0 and r = 1").select("case_id", F.col("id").alias("support_id"))
+    first, second = (F.max(F.when(F.col("r") == i, F.col("score"))) for i in (1, 2))
+    found = top.join(support, "case_id", "left").groupBy("offset_s", "case_id").agg(
+        (F.avg(F.when(F.col("r") <= 3, F.col("proximity"))) > 0).alias("temporal"), F.max(F.coalesce(F.col("id") == F.col("support_id"), F.lit(False))).alias("kept"),
+        (first - F.coalesce(second, F.lit(0.0))).alias("margin"), F.max(F.when(F.col("r") == 1, F.col("label"))).alias("correct"),
+    )
+    every = cases.select("case_id", F.explode(F.array(*(F.lit(o) for o in offsets))).alias("offset_s"))
+    out = every.join(found, ["offset_s", "case_id"], "left").na.fill(False, ["temporal", "kept"]).na.fill(0, ["margin", "correct"])
+    lead = F.col("margin") >= least_margin
+    return out.withColumns({"primary": F.col("kept") & F.col("temporal") & lead, "gate": F.col("temporal") & lead, "margin_only": lead})
+
+
+def count_maps(entities: DataFrame, relations: DataFrame, owner: str) -> DataFrame:
+    """G3, in long form: ``owner, field, key, n`` of entity kinds, relation types and operations."""
+    part = lambda df, field, key: df.groupBy(owner, F.lit(field).alias("field"), F.col(key).alias("key")).agg(F.count("*").alias("n"))
+    return part(entities, "kinds", "kind").unionByName(part(relations, "types", "relation")).unionByName(part(relations, "operations", "operation"))
+
+
+def merged_graphs(pairs: DataFrame, entities: DataFrame, relations: DataFrame, donor_entities: DataFrame, donor_relations: DataFrame) -> DataFrame:
+    """The graph of each case with its donor's put in (``pairs``: ``case_id, band, donor_id``), as merged counts.
+
+    Maps are merged by key: a case's and its donor's counts of one kind, type or operation add up. Donor entities keep to
+    themselves, since their ids get the donor's name; how many processes they bring is ``injected``.
+    """
+    own = count_maps(entities, relations, "case_id").join(pairs, "case_id").select("case_id", "band", "field", "key", "n", F.lit(0).alias("from_donor"))
+    other = count_maps(donor_entities, donor_relations, "donor_id").join(pairs, "donor_id").select("case_id", "band", "field", "key", "n", F.lit(1).alias("from_donor"))
+    both = own.unionByName(other).groupBy("case_id", "band", "field", "key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("from_donor")).alias("added"))
+    text = lambda f: F.coalesce(F.array_join(F.array_sort(F.collect_list(F.when(F.col("field") == f, F.concat_ws("=", "key", "n")))), ","), F.lit("")).alias(f)
+    total = lambda f: F.sum(F.when(F.col("field") == f, F.col("n")).otherwise(0))
+    process = (F.col("field") == "kinds") & (F.col("key") == "process")
+    return both.groupBy("case_id", "band").agg(total("kinds").alias("entities_n"), total("types").alias("relations_n"), F.sum(F.when(process, F.col("added")).otherwise(0)).alias("injected"), text("kinds"), text("types"), text("operations"))
+
+
 def ends(relations: DataFrame) -> DataFrame:
     """A row for each end of each relation: ``id``, the ``other`` end and whether the edge leaves ``id``."""
     out = F.struct(F.col("src").alias("id"), F.col("dst").alias("other"), F.lit(1).alias("out"))

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanlight.operators.prefix import tiles
+from spanlight.operators.prefix import numbered, tiles
 from spanlight.operators.windows import DAY, merge_intervals, points_inside
 from spanlight.sources.io import stored
 
@@ -187,6 +187,15 @@ def hashed_donor(cases: DataFrame, block: str, id: str, key: str, salt: str) ->
     return cases.select(id).join(found, id, "left")
 
 
+def banded_donors(cases: DataFrame, donors: DataFrame) -> DataFrame:
+    """``case_id, band, donor_id``: for each case one donor of every band, the (hash of case and band mod n)-th by id; ``donors`` is ``donor_id, band``."""
+    placed = stored(numbered(donors.select("donor_id", "band"), ["band"], [F.asc("donor_id")], "_place"))
+    sizes = placed.groupBy("band").agg(F.count("*").alias("_n"))  # one row a band
+    big = F.conv(F.substring(F.sha2(F.concat_ws("|", "case_id", "band"), 256), 1, 15), 16, 10).cast("bigint")
+    wanted = cases.join(F.broadcast(sizes), F.lit(True)).withColumn("_place", F.pmod(big, F.col("_n")) + 1)
+    return wanted.join(placed, ["band", "_place"]).select("case_id", "band", "donor_id")
+
+
 #: Distinct vectors of a tile, and pivots at most; pivots (8 bytes a number) go to every task.
 TILE, PIVOTS = 1024, 4096
 

@@ -67,9 +67,9 @@ def j04(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"SELECT o AS offset_s, count(*) AS relations_n, count(DISTINCT case_id) AS cases_n FROM anchored, (SELECT unnest({list(V.OFFSETS)}) AS o), prov_edge WHERE abs(prov_edge.ts_s - (anchor - o)) <= {R} GROUP BY 1",
 )
 def j05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = cases(spark, sf_dir).select("case_id", "anchor", F.explode(F.array(*map(F.lit, V.OFFSETS))).alias("offset_s"))
-    found = G.case_relations(c.withColumn("anchor", F.col("anchor") - F.col("offset_s")), V.prov_edge(spark, sf_dir), R)
-    return found.groupBy("offset_s").agg(F.count("*").alias("relations_n"), F.countDistinct("case_id").alias("cases_n"))
+    c = cases(spark, sf_dir).select("case_id", "anchor")
+    found = G.offset_relations(c, V.prov_edge(spark, sf_dir).select("ts_s"), R, [float(o) for o in V.OFFSETS])
+    return found.groupBy(F.col("offset_s").cast("int").alias("offset_s")).agg(F.count("*").alias("relations_n"), F.countDistinct("case_id").alias("cases_n"))
 
 
 RADII = (600, 1800, 3600)
@@ -230,6 +230,63 @@ def j20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("relation", "operation").agg(F.count("*").alias("n"), F.countDistinct("src").alias("sources"))
 
 
+BANDS = {"low": (1, 4), "medium": (5, 8), "high": (9, 10**9)}
+DONOR_RADIUS = 900
+_BAND = "CASE " + " ".join(f"WHEN processes BETWEEN {a} AND {b} THEN '{n}'" for n, (a, b) in BANDS.items()) + " END"
+
+
+@query(
+    "j20_merged_graphs",
+    f""", {_GRAPH}, hr AS (SELECT *, floor(ts_s / 3600)::BIGINT AS donor_id FROM prov_edge), dr AS (SELECT * FROM hr WHERE abs(ts_s - (donor_id * 3600 + 1800)) <= {DONOR_RADIUS} AND donor_id NOT IN (SELECT donor_id FROM hr WHERE label = 1)),
+de AS (SELECT DISTINCT donor_id, e.id, {_KIND} AS kind FROM (SELECT donor_id, src AS id FROM dr UNION SELECT donor_id, dst FROM dr) e JOIN prov_node n ON n.id = e.id),
+dc AS (SELECT *, {_BAND} AS band FROM (SELECT donor_id, count(*) FILTER (WHERE kind = 'process') AS processes FROM de GROUP BY 1)), dp AS (SELECT donor_id, band, row_number() OVER (PARTITION BY band ORDER BY donor_id) - 1 AS place, count(*) OVER (PARTITION BY band) AS n FROM dc WHERE band IS NOT NULL),
+pa AS (SELECT case_id, dp.band, donor_id FROM anchored JOIN dp ON dp.place = ('0x' || substr(sha256(case_id || '|' || dp.band), 1, 15))::BIGINT % dp.n),
+oc AS (SELECT case_id, 'kinds' AS field, kind AS key, count(*) AS n FROM ent GROUP BY ALL UNION ALL SELECT case_id, 'types', relation, count(*) FROM rel GROUP BY ALL UNION ALL SELECT case_id, 'operations', operation, count(*) FROM rel GROUP BY ALL),
+nc AS (SELECT donor_id, 'kinds' AS field, kind AS key, count(*) AS n FROM de GROUP BY ALL UNION ALL SELECT donor_id, 'types', relation, count(*) FROM dr GROUP BY ALL UNION ALL SELECT donor_id, 'operations', operation, count(*) FROM dr GROUP BY ALL),
+un AS (SELECT case_id, band, field, key, n, 0 AS added FROM oc JOIN pa USING (case_id) UNION ALL SELECT case_id, band, field, key, n, n FROM nc JOIN pa USING (donor_id)),
+mg AS (SELECT case_id, band, field, key, sum(n)::BIGINT AS n, sum(added)::BIGINT AS added FROM un GROUP BY ALL)
+SELECT case_id, band, sum(CASE WHEN field = 'kinds' THEN n ELSE 0 END)::BIGINT AS entities_n, sum(CASE WHEN field = 'types' THEN n ELSE 0 END)::BIGINT AS relations_n, sum(CASE WHEN field = 'kinds' AND key = 'process' THEN added ELSE 0 END)::BIGINT AS injected,
+  coalesce(string_agg(key || '=' || n, ',' ORDER BY key || '=' || n) FILTER (WHERE field = 'kinds'), '') AS kinds, coalesce(string_agg(key || '=' || n, ',' ORDER BY key || '=' || n) FILTER (WHERE field = 'types'), '') AS types, coalesce(string_agg(key || '=' || n, ',' ORDER BY key || '=' || n) FILTER (WHERE field = 'operations'), '') AS operations FROM mg GROUP BY 1, 2""",
+)
+def j20_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each case's graph with one benign hour of each band of load merged into it."""
+    rel, nodes = relations(spark, sf_dir), V.prov_node(spark, sf_dir)
+    hours = V.prov_edge(spark, sf_dir).withColumn("donor_id", F.floor(F.col("ts_s") / 3600))
+    benign = hours.groupBy("donor_id").agg(F.max("label").alias("bad")).where("bad = 0").select("donor_id")
+    donor_rel = stored(hours.where(F.abs(F.col("ts_s") - (F.col("donor_id") * 3600 + 1800)) <= DONOR_RADIUS).join(benign, "donor_id"))
+    kind = nodes.select("id", S.entity_kind(F.col("type"), F.col("subtype")).alias("kind"))
+    donor_ent = stored(donor_rel.select("donor_id", F.explode(F.array("src", "dst")).alias("id")).distinct().join(kind, "id"))
+    n = F.col("processes")
+    band = F.coalesce(*(F.when(n.between(*limits), name) for name, limits in BANDS.items()))
+    donors = donor_ent.groupBy("donor_id").agg(F.count_if(F.col("kind") == "process").alias("processes")).withColumn("band", band).where("band is not null")
+    pairs = J.banded_donors(cases(spark, sf_dir).select("case_id"), donors)
+    return G.merged_graphs(stored(pairs), entities(spark, sf_dir, rel), rel, donor_ent, donor_rel)
+
+
+LEAST_MARGIN = 0.1
+
+
+@query(
+    "a17_drift_table",
+    f""", of AS (SELECT unnest({list(V.OFFSETS)}) AS o), ro AS (SELECT c.case_id, o, e.src, e.dst, e.ts_s - (anchor - o) AS delta FROM anchored c, of, prov_edge e WHERE abs(e.ts_s - (anchor - o)) <= {R}),
+eo AS (SELECT o, case_id, id, n.label, count(*) AS incident, min(abs(delta)) AS closest FROM (SELECT *, src AS id FROM ro UNION ALL SELECT *, dst FROM ro) x JOIN prov_node n USING (id) WHERE n.type = 'Process' GROUP BY ALL),
+so AS (SELECT *, greatest(0, 1 - closest / {R}) AS proximity, round(ln(1 + incident) + greatest(0, 1 - closest / {R}), 6) AS score FROM eo), ko AS (SELECT *, row_number() OVER (PARTITION BY o, case_id ORDER BY score DESC, id) AS r FROM so), t0 AS (SELECT case_id, id AS support_id FROM ko WHERE o = 0 AND r = 1),
+fo AS (SELECT k.o, k.case_id, avg(proximity) FILTER (WHERE r <= 3) > 0 AS temporal, bool_or(coalesce(k.id = t0.support_id, false)) AS kept, max(score) FILTER (WHERE r = 1) - coalesce(max(score) FILTER (WHERE r = 2), 0) AS margin, max(label) FILTER (WHERE r = 1) AS correct FROM ko k LEFT JOIN t0 USING (case_id) WHERE r <= 10 GROUP BY 1, 2),
+po AS (SELECT of.o, c.case_id, coalesce(temporal, false) AS temporal, coalesce(kept, false) AS kept, coalesce(margin, 0) >= {LEAST_MARGIN} AS lead, coalesce(correct, 0) = 1 AS correct FROM anchored c CROSS JOIN of LEFT JOIN fo ON fo.o = of.o AND fo.case_id = c.case_id)
+SELECT o::INT AS offset_s, count(*) AS n, count(*) FILTER (WHERE temporal) AS temporal_n, count(*) FILTER (WHERE kept) AS kept_n, count(*) FILTER (WHERE kept AND temporal AND lead) AS primary_n, count(*) FILTER (WHERE kept AND temporal AND lead AND correct) AS primary_correct,
+  count(*) FILTER (WHERE temporal AND lead) AS gate_n, count(*) FILTER (WHERE temporal AND lead AND correct) AS gate_correct, count(*) FILTER (WHERE lead) AS margin_n, count(*) FILTER (WHERE lead AND correct) AS margin_correct FROM po GROUP BY 1""",
+)
+def a17(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each policy accepts at each clock offset, with the graphs built anew at every offset."""
+    c = cases(spark, sf_dir).select("case_id", "anchor")
+    offsets = [float(o) for o in V.OFFSETS]
+    found = G.offset_relations(c, V.prov_edge(spark, sf_dir).select("ts_s", "src", "dst"), R, offsets)
+    d = G.drift(found, V.prov_node(spark, sf_dir), c, offsets, R, LEAST_MARGIN)
+    right = F.col("correct") == 1
+    both = [x for p, n in (("primary", "primary"), ("gate", "gate"), ("margin_only", "margin")) for x in (F.count_if(p).alias(f"{n}_n"), F.count_if(F.col(p) & right).alias(f"{n}_correct"))]
+    return d.groupBy(F.col("offset_s").cast("int").alias("offset_s")).agg(F.count("*").alias("n"), F.count_if("temporal").alias("temporal_n"), F.count_if("kept").alias("kept_n"), *both)
+
+
 _ROUND = "case_id, id, kind, in_degree, out_degree, incident, round(closest, 6) AS closest, round(proximity, 6) AS proximity, round(ln(1 + incident), 6) AS degree_score, round(ln(1 + incident) + proximity, 6) AS recency_degree"
 
 

@@ -155,16 +155,6 @@ def m13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.majority_baseline(V.scored(spark, sf_dir), "fold", "tactic").withColumn("accuracy", F.round("accuracy", 9))
 
 
-@query(
-    "a17_drift_table",
-    "SELECT o AS offset_s, count(*) AS n, sum((abs(o) <= 1800 AND accepted = 1)::INT)::BIGINT AS gate_passes, sum((accepted = 1 AND correct = 1 AND abs(o) < 3600)::INT)::BIGINT AS supported FROM decision, (SELECT unnest([-3600, -1800, 0, 1800, 3600]) AS o) WHERE condition = 'clean' GROUP BY 1",
-)
-def a17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = M.expand(V.decision(spark, sf_dir).where("condition = 'clean'"), "offset_s", V.OFFSETS)
-    o = F.abs("offset_s")
-    return d.groupBy("offset_s").agg(F.count("*").alias("n"), F.count_if((o <= 1800) & (F.col("accepted") == 1)).alias("gate_passes"), F.count_if((F.col("accepted") == 1) & (F.col("correct") == 1) & (o < 3600)).alias("supported"))
-
-
 @query(
     "j15_case_accounting",
     """, pr AS (SELECT case_id, max((score >= 0.3)::INT) AS alerted, max(y) AS present, max(accepted) AS accepted, max(accepted * correct) AS right_n FROM decision WHERE condition = 'clean' GROUP BY 1)
