@@ -194,3 +194,51 @@ def accept_scores(rows: DataFrame, models: DataFrame, fold: Column) -> DataFrame
     plain = F.col("held") == ""
     wide = scored.groupBy(*keys).agg(pick("controller", plain).alias("controller"), pick("integrity", plain).alias("integrity"), pick("posterior", plain).alias("posterior_lr"), pick("controller", ~plain).alias("held_out"))
     return asked.join(wide, keys)
+
+
+#: Plain summaries of each view that enter the pair features and their products.
+PAIR_NETWORK = ("rows_log", "bytes_log", "src_ips_log", "src_ip_hhi", "tcp", "udp")
+PAIR_PROVENANCE = ("log_process_candidates", "log_total_entities", "log_relations", "top_rank_score", "rank_score_margin", "top3_time_proximity", "top3_score_mass", "top3_socket_neighbor_count")
+PAIR_MODES = ("full", "without_network_posterior", "network_only", "provenance_only")
+
+
+def pair_features(classes: list[str]) -> dict[str, Column]:
+    """M7, M8: what the posteriors and summaries of two views say about each other, for rows of ``controller_features``."""
+    n, p = F.col("network"), F.col("provenance")
+    both = lambda f: F.aggregate(F.zip_with(n, p, f), F.lit(0.0), lambda a, x: a + x)
+    out = {
+        "affinity": both(lambda a, b: F.sqrt(a * b)), "js_divergence": js_divergence(n, p), "posterior_l1": both(lambda a, b: F.abs(a - b)), "top_agreement": (best(n) == best(p)).cast("double"),
+        "network_confidence": F.array_max(n), "provenance_confidence": F.array_max(p), "network_margin": margin(n), "provenance_margin": margin(p), "network_entropy": entropy(n), "provenance_entropy": entropy(p),
+    }
+    for k, c in enumerate(classes, 1):
+        a, b = F.element_at(n, k), F.element_at(p, k)
+        out |= {f"network_p_{c}": a, f"provenance_p_{c}": b, f"posterior_absdiff_{c}": F.abs(a - b), f"posterior_product_{c}": a * b}
+    out |= {f"network_s_{c}": F.col(c) for c in PAIR_NETWORK} | {f"provenance_s_{c}": F.col(c) for c in PAIR_PROVENANCE}
+    return out | {f"cross_{a}_{b}": F.col(a) * F.col(b) for a in PAIR_NETWORK for b in PAIR_PROVENANCE}
+
+
+def mode_features(names: Iterable[str], mode: str) -> list[str]:
+    """M8: the features that a mode keeps. Without the network's posterior nothing computed from it stays; a single view keeps its own posterior and summaries."""
+    if mode not in PAIR_MODES:
+        raise ValueError(f"unknown mode: {mode}")
+    pair = ("affinity", "js_divergence", "posterior_l1", "top_agreement", "posterior_")
+    network = ("network_confidence", "network_margin", "network_entropy", "network_p_")
+    own = {"network_only": "network_", "provenance_only": "provenance_"}
+    if mode in own:
+        return [n for n in names if n.startswith(own[mode])]
+    return [n for n in names if mode == "full" or not n.startswith(pair + network)]
+
+
+def binding_rows(rows: DataFrame, classes: list[str], folds: int) -> tuple[DataFrame, DataFrame]:
+    """A case's two views (1) and its network beside a donor's context (0), once for each mode: all pairs, and the training rows of each fold."""
+    features = pair_features(classes)
+    x = lambda m: F.array(*(features[c].cast("double") for c in mode_features(features, m)))
+    modes = F.array(*(F.struct(F.lit(m).alias("mode"), x(m).alias("x")) for m in PAIR_MODES))
+    pairs = rows.where("variant in ('clean', 'replace_context')").select("case_id", "variant", "fold", (F.col("variant") == "clean").cast("int").alias("y"), F.explode(modes).alias("_m")).select("case_id", "variant", "fold", "y", "_m.*")
+    train = pairs.withColumn("_f", F.explode(F.array(*map(F.lit, range(folds))))).where("_f <> fold")
+    return pairs.withColumn("model", F.concat_ws("|", "fold", "mode")), train.select(F.concat_ws("|", "_f", "mode").alias("model"), "x", "y", F.lit(1.0).alias("w"))
+
+
+def brier_score(p: Column, truth: Column) -> Column:
+    """A10: squared distance of a posterior from the true class (``truth`` is its place, from 1)."""
+    return F.aggregate(F.transform(p, lambda v, i: F.pow(v - (i + 1 == truth).cast("double"), F.lit(2.0))), F.lit(0.0), lambda a, v: a + v)

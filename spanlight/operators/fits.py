@@ -32,6 +32,13 @@ def balanced(rows: DataFrame, label: str = "y", weight: str = "w") -> DataFrame:
     return rows.join(n, "model").withColumn(weight, F.col(weight) * F.col("_n") / (2 * own)).drop("_n", "_p")
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Numbers as a vector, arrays of one length as a matrix."""
+    if not pa.types.is_list(column.type):
+        return column.to_numpy(zero_copy_only=False).astype(float)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+
 def _added(rows: DataFrame, columns: list[str], contribution: Callable[[list[np.ndarray]], np.ndarray]) -> DataFrame:
     """``model, stats``: the sums, place by place, of what the rows of each model contribute.
 
@@ -49,13 +56,9 @@ def _added(rows: DataFrame, columns: list[str], contribution: Callable[[list[np.
         for batch in batches:
             model = batch.column(0).dictionary_encode()
             codes, names = model.indices.to_numpy(), model.dictionary.to_pylist()
-            arrays = []
-            for c in batch.columns[1:]:
-                values = c.flatten().to_numpy(zero_copy_only=False) if pa.types.is_list(c.type) else c.to_numpy(zero_copy_only=False)
-                arrays.append(values.astype(float).reshape(len(c), -1) if pa.types.is_list(c.type) else values.astype(float))
             for code, name in enumerate(names):
-                mine = codes == code
-                part = contribution([a[mine] for a in arrays])
+                mine = batch.columns[1:] if len(names) == 1 else [c.filter(pa.array(codes == code)) for c in batch.columns[1:]]
+                part = contribution([_matrix(c) for c in mine])
                 sums[name] = sums[name] + part if name in sums else part
             if len(sums) > HELD:
                 yield emit()
@@ -104,7 +107,7 @@ def fit_logistic(rows: DataFrame, ridge: float = 1 / 0.3, steps: int = 40, toler
 
     ``rows`` is ``model string, x array<double>, y, w``. Features are scaled by their plain mean and deviation in the
     model's rows; ``coef`` ends with the intercept, which the L2 term (``ridge`` / 2 times the square) covers too, so every fit has
-    one optimum. Newton steps go on until no coefficient of any model moves by ``tolerance``; a step that
+    one optimum; models may have different numbers of features. Newton steps go on until no coefficient of any model moves by ``tolerance``; a step that
     raises the loss is halved. Rows with a null feature, label or weight are left out.
     """
     rows = rows.where("model is not null and y is not null and w is not null and x is not null and not exists(x, v -> v is null or isnan(v))")

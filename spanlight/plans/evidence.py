@@ -247,3 +247,61 @@ def m12(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = judged(spark, sf_dir).where("variant in ('clean', 'delete_top', 'delete_random')").groupBy("case_id").agg(*(F.max(F.when(F.col("variant") == v, own)).alias(v) for v in ("clean", "delete_top", "delete_random")))
     d = lambda a, b, n: (F.round(F.col(a) - F.col(b), 6) + F.lit(0.0)).alias(n)
     return p.where("delete_top is not null").select("case_id", F.round("clean", 6).alias("clean_probability"), d("clean", "delete_top", "top_drop"), d("clean", "delete_random", "random_drop"), d("delete_random", "delete_top", "lift"))
+
+
+def _pair_sql() -> tuple[list[str], list[str]]:
+    m = lambda v: f"list_reverse_sort({v})[1] - list_reverse_sort({v})[2]"
+    ent = lambda v: f"-list_sum(list_transform({_CLIP.format(p=v)}, lambda x: x * ln(x)))"
+    zipped = lambda f: f"list_sum(list_transform(list_zip(network, provenance), lambda z: {f}))"
+    net = {c: f"nx[{NETWORK.index(c) + 1}]" for c in E.PAIR_NETWORK}
+    prov = {c: f"px[{E.SUMMARY.index(c) + 1}]" for c in E.PAIR_PROVENANCE}
+    out = {
+        "affinity": zipped("sqrt(z[1] * z[2])"), "js_divergence": "x[8]", "posterior_l1": zipped("abs(z[1] - z[2])"), "top_agreement": "x[11]",
+        "network_confidence": "list_max(network)", "provenance_confidence": "list_max(provenance)", "network_margin": m("network"), "provenance_margin": m("provenance"), "network_entropy": ent("network"), "provenance_entropy": ent("provenance"),
+    }
+    for k, c in enumerate(CLASSES, 1):
+        out |= {f"network_p_{c}": f"network[{k}]", f"provenance_p_{c}": f"provenance[{k}]", f"posterior_absdiff_{c}": f"abs(network[{k}] - provenance[{k}])", f"posterior_product_{c}": f"network[{k}] * provenance[{k}]"}
+    out |= {f"network_s_{c}": v for c, v in net.items()} | {f"provenance_s_{c}": v for c, v in prov.items()}
+    out |= {f"cross_{a}_{b}": f"{net[a]} * {prov[b]}" for a in net for b in prov}
+    return list(out), list(out.values())
+
+
+_NAMES, _VALUES_SQL = _pair_sql()
+_KEPT = """CASE mode WHEN 'full' THEN true WHEN 'network_only' THEN starts_with(name, 'network_') WHEN 'provenance_only' THEN starts_with(name, 'provenance_')
+  ELSE NOT (starts_with(name, 'posterior_') OR starts_with(name, 'network_p_') OR name IN ('affinity', 'js_divergence', 'top_agreement', 'network_confidence', 'network_margin', 'network_entropy')) END"""
+
+
+@query(
+    "m08_feature_modes",
+    f""", {_JUDGED}, pf AS (SELECT case_id, variant, unnest({_NAMES}) AS name, unnest([{', '.join(_VALUES_SQL)}]::DOUBLE[]) AS value FROM ju WHERE variant IN ('clean', 'replace_context'))
+SELECT case_id, variant, mode, name, round(value, 6) + 0.0 AS value FROM pf, (SELECT unnest({list(E.PAIR_MODES)}) AS mode) WHERE {_KEPT}""",
+)
+def m08_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pair features of true and of replaced contexts in all four modes."""
+    features = E.pair_features(CLASSES)
+    rows = judged(spark, sf_dir).where("variant in ('clean', 'replace_context')")
+    kept = F.array(*(F.struct(F.lit(m).alias("mode"), F.lit(c).alias("name"), (F.round(features[c].cast("double"), 6) + F.lit(0.0)).alias("value")) for m in E.PAIR_MODES for c in E.mode_features(features, m)))
+    return rows.select("case_id", "variant", F.explode(kept).alias("_k")).select("case_id", "variant", "_k.*")
+
+
+@query("m11_view_binding")
+def m11_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a context belongs to its alert: out-of-fold scores of true and of replaced contexts in all four modes, twelve fits as rows."""
+    pairs, train = E.binding_rows(judged(spark, sf_dir), CLASSES, FOLDS)
+    scored = fits.score_rows(pairs, fits.fit_logistic(fits.balanced(train)))
+    return scored.select("case_id", "variant", "mode", "fold", "y", F.round("score", 6).alias("score"))
+
+
+@query(
+    "a10_view_calibration",
+    f""", {_JUDGED}, cb AS (SELECT fold, correct, list_max(combined) AS c, list_sum(list_transform(range(1, {len(CLASSES) + 1}), lambda i: (combined[i] - CASE WHEN {CLASSES}[i] = tactic THEN 1 ELSE 0 END) ** 2)) AS b FROM ju WHERE variant = 'clean'),
+ec AS (SELECT fold, sum(n * abs(c - a)) / sum(n) AS ece FROM (SELECT fold, least(floor(c * 5), 4) AS bin, count(*) AS n, avg(c) AS c, avg(correct) AS a FROM cb GROUP BY 1, 2) GROUP BY 1)
+SELECT fold, count(*) AS n, round(avg(b), 6) AS brier, round(avg(correct), 6) AS accuracy, round(any_value(ece), 6) AS ece FROM cb JOIN ec USING (fold) GROUP BY 1""",
+)
+def a10_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Multiclass Brier score, accuracy and calibration error of the combined posteriors of clean cases."""
+    place = F.array_position(F.array(*map(F.lit, CLASSES)), F.col("tactic"))
+    rows = judged(spark, sf_dir).where("variant = 'clean'").select("fold", "correct", F.array_max("combined").alias("score"), E.brier_score(F.col("combined"), place).alias("brier"))
+    rows = stored(rows)
+    out = rows.groupBy("fold").agg(F.count("*").alias("n"), F.round(F.avg("brier"), 6).alias("brier"), F.round(F.avg("correct"), 6).alias("accuracy"))
+    return out.join(M.calibration_error(rows, ["fold"]).select("fold", F.round("ece", 6).alias("ece")), "fold")

@@ -70,3 +70,18 @@ def test_deletion_lift_against_sql(spark):
     got = QUERIES["m12_deletion_lift"](spark, folder).toPandas()
     assert len(got) and rows(got) == rows(con.sql(ORACLE_SQL["m12_deletion_lift"]).df())
     assert (got.top_drop != 0).any()
+
+
+def test_feature_modes():
+    names = list(E.pair_features(["a", "b"]))
+    assert len(names) == 10 + 4 * 2 + 6 + 8 + 48
+    kept = {m: set(E.mode_features(names, m)) for m in E.PAIR_MODES}
+    assert kept["full"] == set(names)
+    assert "affinity" not in kept["without_network_posterior"] and "network_p_a" not in kept["without_network_posterior"] and "posterior_product_b" not in kept["without_network_posterior"]
+    assert {"network_s_tcp", "provenance_p_a", "cross_tcp_top_rank_score"} <= kept["without_network_posterior"]
+    assert kept["network_only"] == {n for n in names if n.startswith("network_")} and not kept["network_only"] & kept["provenance_only"]
+
+
+def test_brier_score(spark):
+    df = spark.createDataFrame([([0.2, 0.5, 0.3], 2), ([1.0, 0.0, 0.0], 1), ([1.0, 0.0, 0.0], 3)], "p array<double>, t int")
+    assert [round(r.b, 9) for r in df.select(E.brier_score(F.col("p"), F.col("t")).alias("b")).collect()] == [0.38, 0.0, 2.0]

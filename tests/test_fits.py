@@ -85,3 +85,11 @@ def test_masks_from_one_matrix(spark, data):
             b = np.linalg.solve((w[:, None] * z).T @ z / w.sum() + 0.01 * np.eye(len(keep)), (w[:, None] * z).T @ target / w.sum()) if keep else np.zeros(0)
             want = z @ b + (w * y).sum() / w.sum()
             assert np.allclose(x @ np.array(found[m, name])[:-1] + found[m, name][-1], want, atol=1e-6)
+
+
+def test_models_of_different_widths(spark, data):
+    x, y, w = data["m0"]
+    wide = [("wide", [float(v) for v in r], int(t), float(u)) for r, t, u in zip(x, y, w)]
+    thin = [("thin", [float(r[0])], int(t), float(u)) for r, t, u in zip(x, y, w)]
+    found = {r.model: r.coef for r in fits.fit_logistic(spark.createDataFrame(wide + thin, "model string, x array<double>, y int, w double").coalesce(1), ridge=2.0).collect()}
+    assert np.allclose(found["wide"], plain_logistic(x, y, w, 2.0), atol=1e-6) and np.allclose(found["thin"], plain_logistic(x[:, :1], y, w, 2.0), atol=1e-6)
