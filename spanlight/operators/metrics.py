@@ -79,6 +79,28 @@ def ndcg(scored: DataFrame, k: int, case: str = "case") -> DataFrame:
     )
 
 
+def localisation(ranked: DataFrame, confirmations: DataFrame, ks: Iterable[int] = (1, 3, 5)) -> DataFrame:
+    """For each k the hit rate by score and by frequency and their difference, mean effort, and how often counterfactuals confirm.
+
+    ``ranked`` is ``case, id, score, frequency, y``; effort is the first true rank over the candidates, 1 where none is true.
+    ``confirmations`` is ``case, eligible, confirmed, preserved`` (0 or 1; ``preserved`` is null where it was not measured).
+    A rate over no cases is 0.
+    """
+    by = lambda c: F.row_number().over(Window.partitionBy("case").orderBy(F.desc(c), "id"))
+    true = F.col("y") == 1
+    per = ranked.withColumns({"_r": by("score"), "_b": by("frequency")}).groupBy("case").agg(F.count("*").alias("n"), F.min(F.when(true, F.col("_r"))).alias("rank"), F.min(F.when(true, F.col("_b"))).alias("base"))
+    per = per.join(confirmations, "case", "left").na.fill(0, ["eligible", "confirmed"])
+    hit = lambda c: F.avg(F.coalesce((F.col(c) <= F.col("k")).cast("double"), F.lit(0.0)))
+    rate = lambda a, b: F.coalesce(ratio(a, b), F.lit(0.0))
+    eligible, confirmed = F.sum("eligible"), F.sum("confirmed")
+    measured = (F.col("confirmed") == 1) & F.col("preserved").isNotNull()
+    return expand(per, "k", ks).groupBy("k").agg(
+        F.count("*").alias("cases_n"), hit("rank").alias("hit"), hit("base").alias("baseline_hit"), (hit("rank") - hit("base")).alias("difference"), F.avg(F.coalesce("rank", "n") / F.col("n")).alias("effort"),
+        eligible.alias("eligible_n"), confirmed.alias("confirmed_n"), rate(confirmed, F.count("*")).alias("confirmed_all"), rate(confirmed, eligible).alias("confirmed_eligible"),
+        F.count_if(measured).alias("measured_n"), rate(F.sum(F.when(measured, F.col("preserved"))), F.count_if(measured)).alias("preserved"),
+    )
+
+
 # Thresholds
 
 

@@ -497,3 +497,24 @@ def g13(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = entities(spark, sf_dir).where("kind = 'process'").select("case_id", "id", F.round("recency_degree", 6).alias("score"))
     top = J.top_k(e, ["case_id"], [F.desc("score"), F.asc("id")], 10).join(V.prov_node(spark, sf_dir).select("id", "exe"), "id")
     return G.sparse_features(top, F.filter(F.split("exe", "/"), lambda x: x != "")).withColumn("value", F.round("value", 9))
+
+
+@query(
+    "r10_localisation",
+    f""", {_GRAPH}, lr AS (SELECT case_id, id, label, row_number() OVER (PARTITION BY case_id ORDER BY round(ln(1 + incident) + proximity, 6) DESC, id) AS r, row_number() OVER (PARTITION BY case_id ORDER BY incident DESC, id) AS b FROM ent WHERE kind = 'process'),
+lc AS (SELECT case_id, count(*) AS n, min(r) FILTER (WHERE label = 1) AS rank, min(b) FILTER (WHERE label = 1) AS base, (count(*) >= 4)::INT AS eligible, (count(*) >= 4 AND max(label) FILTER (WHERE r = 1) = 1)::INT AS confirmed, 1 - max(label) FILTER (WHERE r = 2) AS preserved FROM lr GROUP BY 1)
+SELECT k::INT AS k, count(*) AS cases_n, round(avg(coalesce((rank <= k)::INT, 0)), 9) AS hit, round(avg(coalesce((base <= k)::INT, 0)), 9) AS baseline_hit, round(avg(coalesce((rank <= k)::INT, 0)) - avg(coalesce((base <= k)::INT, 0)), 9) + 0.0 AS difference, round(avg(coalesce(rank, n) / n), 9) AS effort,
+  sum(eligible)::BIGINT AS eligible_n, sum(confirmed)::BIGINT AS confirmed_n, round(sum(confirmed) / count(*), 9) AS confirmed_all, round(coalesce(sum(confirmed) / nullif(sum(eligible), 0), 0), 9) AS confirmed_eligible,
+  count(*) FILTER (WHERE confirmed = 1 AND preserved IS NOT NULL) AS measured_n, round(coalesce(avg(preserved) FILTER (WHERE confirmed = 1), 0), 9) AS preserved FROM lc, (SELECT unnest([1, 3, 5]) AS k) GROUP BY 1""",
+)
+def r10_localisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranked processes against how often they act; a case of four or more counts as confirmed where its first is true, and as preserved where its second is not."""
+    from spanlight.operators import metrics as M
+
+    e = stored(entities(spark, sf_dir).where("kind = 'process'").select(F.col("case_id").alias("case"), "id", F.round("recency_degree", 6).alias("score"), F.col("incident").alias("frequency"), F.col("label").alias("y")))
+    top = J.top_k(e, ["case"], [F.desc("score"), F.asc("id")], 2)
+    at = lambda r: F.max(F.when(F.col("rank") == r, F.col("y")))
+    seen = top.groupBy("case").agg(at(1).alias("first"), (1 - at(2)).alias("preserved")).join(e.groupBy("case").agg(F.count("*").alias("n")), "case")
+    confirmed = seen.select("case", (F.col("n") >= 4).cast("int").alias("eligible"), ((F.col("n") >= 4) & (F.col("first") == 1)).cast("int").alias("confirmed"), "preserved")
+    out = M.localisation(e, confirmed)
+    return out.withColumns({c: F.round(c, 9) + F.lit(0.0) for c in ("hit", "baseline_hit", "difference", "effort", "confirmed_all", "confirmed_eligible", "preserved")})

@@ -25,6 +25,20 @@ def s01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("protocol").agg(F.count("*").alias("n"), F.round(F.sum("ts_s"), 3).alias("total_s")).crossJoin(F.broadcast(counts))
 
 
+@query(
+    "s02_requoted_files",
+    """, q AS (SELECT protocol, ts_s, CASE WHEN row_id % 7 = 0 THEN 'a, "b" ' || (row_id % 3) ELSE 'plain' END AS note, row_id % 97 = 0 AND row_id % 7 <> 0 AS torn FROM flow)
+SELECT protocol, note, count(*) AS n, round(sum(ts_s), 3) AS total_s, (SELECT count(*) FROM q) AS rows_n, (SELECT count(*) FROM q WHERE torn) AS malformed, 0 AS bad_time FROM q WHERE NOT torn GROUP BY 1, 2""",
+)
+def s02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flow view with quoted notes that hold commas and quotes, which a plain split cannot read, and with torn lines."""
+    path = io.scratch_dir(spark)
+    note = F.when(F.col("row_id") % 7 == 0, F.concat(F.lit('"a, ""b"" '), (F.col("row_id") % 3).cast("string"), F.lit('"'))).when(F.col("row_id") % 97 == 0, F.lit("x,y")).otherwise(F.lit("plain"))
+    V.flow(spark, sf_dir).select(F.concat_ws(",", F.col("ts_s").cast("decimal(20,6)").cast("string"), note, "protocol").alias("value")).write.text(path)
+    rows, counts = io.read_flow(spark, path, requote=True, columns=["ts", "note", "protocol"])
+    return rows.groupBy("protocol", "note").agg(F.count("*").alias("n"), F.round(F.sum("ts_s"), 3).alias("total_s")).crossJoin(F.broadcast(counts))
+
+
 @query("s03_provenance_files", "SELECT type, count(*) AS n, count(DISTINCT exe) AS programs FROM prov_node GROUP BY 1")
 def s03(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Provenance nodes written as quoted CSV with line breaks inside fields, and read again."""
