@@ -270,17 +270,20 @@ _NAMES, _VALUES_SQL = _pair_sql()
 _KEPT = """CASE mode WHEN 'full' THEN true WHEN 'network_only' THEN starts_with(name, 'network_') WHEN 'provenance_only' THEN starts_with(name, 'provenance_')
   ELSE NOT (starts_with(name, 'posterior_') OR starts_with(name, 'network_p_') OR name IN ('affinity', 'js_divergence', 'top_agreement', 'network_confidence', 'network_margin', 'network_entropy')) END"""
 
+#: Products of scores that are rounded themselves often lie half way between two sixth digits.
+_PLAIN = "starts_with(name, 'network_s_') OR starts_with(name, 'provenance_s_') OR starts_with(name, 'cross_')"
+
 
 @query(
     "m08_feature_modes",
     f""", {_JUDGED}, pf AS (SELECT case_id, variant, unnest({_NAMES}) AS name, unnest([{', '.join(_VALUES_SQL)}]::DOUBLE[]) AS value FROM ju WHERE variant IN ('clean', 'replace_context'))
-SELECT case_id, variant, mode, name, round(value, 6) + 0.0 AS value FROM pf, (SELECT unnest({list(E.PAIR_MODES)}) AS mode) WHERE {_KEPT}""",
+SELECT case_id, variant, mode, name, round(value, CASE WHEN {_PLAIN} THEN 9 ELSE 6 END) + 0.0 AS value FROM pf, (SELECT unnest({list(E.PAIR_MODES)}) AS mode) WHERE {_KEPT}""",
 )
 def m08_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pair features of true and of replaced contexts in all four modes."""
     features = E.pair_features(CLASSES)
     rows = judged(spark, sf_dir).where("variant in ('clean', 'replace_context')")
-    kept = F.array(*(F.struct(F.lit(m).alias("mode"), F.lit(c).alias("name"), (F.round(features[c].cast("double"), 6) + F.lit(0.0)).alias("value")) for m in E.PAIR_MODES for c in E.mode_features(features, m)))
+    kept = F.array(*(F.struct(F.lit(m).alias("mode"), F.lit(c).alias("name"), (F.round(features[c].cast("double"), 9 if c.startswith(("network_s_", "provenance_s_", "cross_")) else 6) + F.lit(0.0)).alias("value")) for m in E.PAIR_MODES for c in E.mode_features(features, m)))
     return rows.select("case_id", "variant", F.explode(kept).alias("_k")).select("case_id", "variant", "_k.*")
 
 
