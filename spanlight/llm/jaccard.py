@@ -11,7 +11,10 @@ sets of both texts before it links:
    the larger one. So if each text posts its first n - ceil(t * n) + 1 shingles under one order
    that all texts share, the two meet on a posting: no pair is lost, whatever the order is.
    Shingles that a sample of the texts finds common come last, so that a passage of many texts is
-   posted by few of them.
+   posted by few of them. A posting carries how many shingles its text has from there on in that
+   order. Two texts whose first shared shingle leaves them less than what they have to share are
+   no pair; of two alike texts the smaller one posts it among its first ninth. So texts that have a
+   template in common and too little else never meet, however many they are.
 
 Exact copies count once. Each text is first compared with one other that a posted value puts first,
 twice; by then groups have mostly grown together, and all pairs that are left, those whose ends
@@ -41,6 +44,8 @@ SAMPLE = 16
 COMMON, MOST_COMMON = 2, 400_000
 #: Classes of equal texts that a task remembers, so that of copies it meets only the first posts.
 REMEMBERED = 500_000
+#: Members of a posted value that a task compares with the others of that value.
+PART = 20_000
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -198,15 +203,17 @@ def _ball_pairs(prints: DataFrame, similarity: float) -> DataFrame:
 
 
 def _members(prints: DataFrame) -> DataFrame:
-    """``node, size, key`` of all postings that meet another text's.
+    """``node, size, rest, key`` of all postings that meet another text's; ``rest`` shingles of the text stand at the posted one or after it.
 
     Rare ones are dealt by their value once; both the test for a second text and what passes it
     read that one shuffle. Common ones, whose groups may be very large, pass without a test.
     """
-    rare = prints.select("node", "size", F.explode("keys").alias("key")).repartition("key")
+    size = F.col("size").cast("int")
+    place = lambda name, before: prints.select("node", size.alias("size"), before.alias("before"), F.posexplode(name).alias("at", "key")).select("node", "size", (F.col("size") - F.col("before") - F.col("at")).alias("rest"), "key")
+    rare = place("keys", F.lit(0)).repartition("key")
     texts = F.struct("node", "size")
     met = rare.groupBy("key").agg(F.min(texts).alias("lo"), F.max(texts).alias("hi")).where("lo <> hi").select("key")
-    return rare.join(met, "key", "left_semi").select("node", "size", "key").union(prints.select("node", "size", F.explode("often").alias("key")))
+    return rare.join(met, "key", "left_semi").select("node", "size", "rest", "key").union(place("often", F.size("keys")).select("node", "size", "rest", "key"))
 
 
 def _stars(members: DataFrame, turn: int, similarity: float) -> DataFrame:
@@ -218,14 +225,26 @@ def _stars(members: DataFrame, turn: int, similarity: float) -> DataFrame:
 
 
 def _rest(members: DataFrame, similarity: float) -> DataFrame:
-    """``a, b``: all pairs of a posted value that are not connected yet; those of its largest root meet only the others."""
+    """``a, b``: the pairs of a posted value that are not connected yet and can be alike if it is the first they share.
+
+    Two texts of x and y shingles have to share t / (1 + t) * (x + y). From the first shared one on
+    they share at most what is left of either, so a text can only meet those of up to ``most`` shingles, and
+    the smaller of two only where its own size is not beyond its ``most``. One of the two is taken from those
+    that qualify as the smaller; the members of a value's largest root meet only the others. A value
+    with many members is split: one side is dealt to parts, the other goes to each.
+    """
     sizes = members.groupBy("key", "root").agg(F.count("*").alias("n"))
-    several = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1").select("key", "top")
-    mine = materialize(members.join(several, "key").distinct())
-    few = mine.where("root <> top").select("key", F.col("node").alias("a"), F.col("size").alias("n_a"), F.col("root").alias("of_a"))
-    all_ = mine.select("key", F.col("node").alias("b"), F.col("size").alias("n_b"), F.col("root").alias("of_b"), "top")
-    met = few.join(all_, "key").where("of_a <> of_b and (of_b = top or a < b)").where(_alike("n_a", "n_b", similarity))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    several = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.count("*").alias("roots"), F.sum("n").alias("n")).where("roots > 1")
+    several = several.select("key", "top", F.ceil(F.col("n") / F.lit(PART)).cast("int").alias("parts"))
+    most = F.floor(F.col("rest") * F.lit((1 + similarity) / similarity) - F.col("size") + 1e-6)
+    mine = materialize(members.join(several, "key").select("key", "node", "size", "root", "top", "parts", most.cast("int").alias("most")).distinct())
+    side = lambda rows, c: rows.select("key", F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("size", "root", "most")), "part")
+    dealt = lambda rows: side(rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))), "a")
+    sent = lambda rows: side(rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts").cast("bigint") - 1))), "b")
+    few, smaller = F.col("root") != F.col("top"), F.col("most") >= F.col("size")
+    able = (F.col("root_a") != F.col("root_b")) & (F.col("size_a") <= F.col("most_b")) & (F.col("size_b") <= F.col("most_a"))
+    pairs = [dealt(mine.where(x)).join(sent(mine.where(y)), ["key", "part"]).where(able).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")) for x, y in ((few & smaller, F.lit(True)), (few, smaller))]
+    return pairs[0].union(pairs[1]).distinct()
 
 
 def groups(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -239,7 +258,7 @@ def groups(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int
     edges = prints.sparkSession.createDataFrame([], "a bigint, b bigint")
     roots = prints.sparkSession.createDataFrame([], "node bigint, root bigint")
     for turn in range(ROUNDS + 1):
-        now = members.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+        now = members.join(roots, "node", "left").select("key", "node", "size", "rest", F.coalesce("root", "node").alias("root"))
         pairs = _stars(now, turn, similarity) if turn < ROUNDS else _rest(now, similarity)
         if not turn:
             pairs = pairs.union(_ball_pairs(prints, similarity)).distinct()

@@ -69,3 +69,28 @@ def test_repeated_and_missing_ids(spark):
     out = jaccard.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string, source string"))
     assert sorted((r.doc_id or 0, r.text[:5], r.source) for r in out.collect()) == sorted([(0, "a0 a1", "x"), (0, "a0 a1", "x"), (1, "a0 a1", "x"), (1, "somet", "x"), (3, "alone", "x")])
     assert out.where(F.col("doc_id").isNull()).count() == 2
+
+
+def test_texts_of_one_template_do_not_meet(spark):
+    template = " ".join(f"t{i}" for i in range(11))
+    rows = [(i, f"{template} own{i}") for i in range(3000)]
+    # Two that are alike beside the template, so that the key has something to find.
+    rows += [(5000, f"{template} {' '.join(f'x{i}' for i in range(30))}"), (5001, f"{template} {' '.join(f'x{i}' for i in range(30))} more")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    prints = jaccard.posted(jaccard._texts(df, "doc_id", "text"), 5, 0.8)
+    now = jaccard._members(prints).withColumn("root", F.col("node"))
+    assert jaccard._rest(now, 0.8).count() < 20 * len(rows)
+    root = {r.id: r.root for r in jaccard.groups(df).collect()}
+    assert root[5000] == root[5001] and len(set(root.values())) == 3001
+
+
+@pytest.mark.parametrize("part", [3, 20_000])
+def test_hot_values_are_split_without_loss(spark, texts, part, monkeypatch):
+    monkeypatch.setattr(jaccard, "PART", part)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    now = jaccard._members(jaccard.posted(jaccard._texts(df, "doc_id", "text"), 5, 0.8)).withColumn("root", F.col("node"))
+    found = {(r.a, r.b) for r in jaccard._rest(now, 0.8).collect()}
+    nodes = {jaccard.node_of(jaccard.words_of((t or "").encode())): slow(t) for t in texts}
+    keys = sorted(n for n in nodes if nodes[n])
+    want = {(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if len(nodes[a] & nodes[b]) >= 0.8 * len(nodes[a] | nodes[b])}
+    assert want and want <= found and all(a < b for a, b in found)
