@@ -1,16 +1,21 @@
 r"""Information-theoretic sanitisation of personal data, with DataFrame functions only.
 
 Protected entities are e-mail and IP addresses, payment cards and phone numbers, found by pattern
-in every whole text. What surrounds them can give them away, too: the corpus says how much. For
-the words next to entities of a kind, c is how often a word stands there, n how often it stands
-anywhere, C how many words stand next to that kind and N how many words there are. A word
+in every whole text. What surrounds them can give them away, too: the corpus says how much. Words
+are folded: letters are small, and what is neither letter nor digit at their ends is cut off. For
+the words next to entities of a kind, c is in how many texts a word stands there, n in how many it
+stands anywhere, C how many words stand next to that kind and N how many words there are. A word
 discloses the kind with
 
-    PMI = log2((c / N) / ((n / N) * (C / N))) bits, of the IC = -log2(C / N) bits that it has.
+    PMI = log2(p / (C / N)) bits, of the IC = -log2(C / N) bits that it has,
 
-A word is disclosive if it takes at least ``disclosure`` of the IC and stands next to the kind at
-least ``support`` times. In every document, whether it holds an entity or not, disclosive words
-become spans of kind ``term``; the pattern spans stay as they are. Counts go over all texts.
+where p is not c / n but the lower end of its confidence interval (Wilson's, wider where more
+words are tried), so a word met a few times shows little. Equal texts count once, and so do equal
+surroundings of an entity: copies of a text, or of a passage, are one piece of evidence.
+
+A word is disclosive if it takes at least ``disclosure`` of the IC and c is at least ``support``.
+In every document, whether it holds an entity or not, disclosive words become spans of kind
+``term``, however they are written; the pattern spans stay as they are. Counts go over all texts.
 Candidate words are broadcast up to a checked number; beyond it word counts are aggregated first
 and joined by a shuffle. Places are running sums and what stands around them is cut out of blocks
 of a text, so the work grows with the length of a text and not with its square, however many
@@ -19,12 +24,13 @@ entities it holds.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlight.llm.common import documents, free_name, materialize
+from spanlight.llm.common import BROADCAST_KEYS, documents, free_name, materialize
 
 _GAP = r"\x20\x09-\x0D"
 _NAME = "A-Za-z0-9._%+-"
@@ -39,6 +45,10 @@ PATTERNS = {
 KINDS = (*PATTERNS, "term")
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 BROADCAST_TERMS = 200_000
+#: A word without what stands around it: from its first letter or digit to its last.
+CORE = rf"[\p{{L}}\p{{N}}](?:[^{_GAP}]*[\p{{L}}\p{{N}}])?"
+#: Least half width of the confidence interval, in standard errors.
+ERRORS = 1.645
 
 
 def _luhn(digits: Column) -> Column:
@@ -119,20 +129,46 @@ def _word_like(term: Column) -> Column:
     return term.rlike(r"\p{L}{2}")
 
 
+def _folded(word: Column) -> Column:
+    return F.lower(F.regexp_extract(word, CORE, 0))
+
+
+def _terms_of(text: Column) -> Column:
+    """The distinct folded words of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(CORE), F.lit(0)), F.lower))
+
+
+def _least_share(c: Column, n: Column, errors: float) -> Column:
+    """The lower end of Wilson's interval of the share c / n."""
+    p, z = c / n, errors * errors
+    return (p + z / (2 * n) - errors * F.sqrt(p * (1 - p) / n + z / (4 * n * n))) / (1 + z / n)
+
+
+def _once(docs: DataFrame) -> DataFrame:
+    """``docs`` (``text``) with ``share``: one over the number of rows with that text."""
+    mark = F.xxhash64("text")
+    again = materialize(docs.groupBy(mark.alias("mark")).agg(F.count("*").alias("rows")).where("rows > 1"))
+    many = again.count()
+    if not many:
+        return docs.withColumn("share", F.lit(1.0))
+    joined = docs.join(F.broadcast(again) if many <= BROADCAST_KEYS else again, mark == again["mark"], "left")
+    return joined.select("text", F.coalesce(1 / F.col("rows"), F.lit(1.0)).alias("share"))
+
+
 def disclosive_terms(docs: DataFrame, found: DataFrame, reach: int = 4, support: int = 3, disclosure: float = 0.8) -> DataFrame:
     """``(kind, term)`` of all disclosive words.
 
     ``docs`` has every ``text``; ``found`` has ``text`` and ``spans`` of those with entities.
     """
     width = 40 * reach
-    blocked = found.withColumn("blocks", _blocks(F.col("text")))
+    blocked = found.withColumn("mark", F.xxhash64("text")).withColumn("blocks", _blocks(F.col("text")))
 
     def beside_of(s: Column) -> Column:
         # One more character on either side says whether the cut falls inside a word.
         left, right = _cut(F.col("blocks"), s["start"] - width - 1, s["start"]), _cut(F.col("blocks"), s["end"], s["end"] + width + 1)
         return F.struct(s["kind"].alias("kind"), left.alias("left"), right.alias("right"))
 
-    near = blocked.select(F.explode(F.transform("spans", beside_of)).alias("s"))
+    near = blocked.select("mark", F.explode(F.transform("spans", beside_of)).alias("s"))
     full_left, full_right = F.length("s.left") > width, F.length("s.right") > width
     left = F.split(F.when(full_left, F.substr("s.left", F.lit(2))).otherwise(F.col("s.left")), f"[{_GAP}]+")
     right = F.split(F.substr("s.right", F.lit(1), F.lit(width)), f"[{_GAP}]+")
@@ -142,20 +178,25 @@ def disclosive_terms(docs: DataFrame, found: DataFrame, reach: int = 4, support:
     begin = F.greatest(F.when(split_left, 2).otherwise(1), F.size(left) - reach)
     many = F.size(right) - F.when(split_right, 2).otherwise(1)
     words = F.concat(F.slice(left, begin, F.greatest(F.size(left) - begin, F.lit(0))), F.slice(right, 2, F.least(F.lit(reach), F.greatest(many, F.lit(0)))))
-    seen = near.select(F.col("s.kind").alias("kind"), F.explode(words).alias("term")).where(_word_like(F.col("term")))
-    beside = materialize(seen.groupBy("kind", "term").agg(F.count("*").alias("near_n")))
+    around = near.select(F.col("s.kind").alias("kind"), "mark", F.transform(words, _folded).alias("words"))
+    seen = around.select("kind", "mark", F.xxhash64("words").alias("place"), F.explode("words").alias("term")).where(_word_like(F.col("term")))
+    evidence = F.least(F.count_distinct("mark"), F.count_distinct("place"))
+    beside = materialize(seen.groupBy("kind", "term").agg(evidence.alias("near_n"), F.count("*").alias("rows")))
     wanted = beside.where(F.col("near_n") >= support)
-    spread = docs.select(F.explode(F.split("text", f"[{_GAP}]+")).alias("term"))
-    if wanted.count() <= BROADCAST_TERMS:
-        counts = spread.join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("all_n"))
+    tried = wanted.count()
+    spread = _once(docs).select("share", F.explode(_terms_of(F.col("text"))).alias("term"))
+    texts = F.round(F.sum("share")).alias("all_n")
+    if tried <= BROADCAST_TERMS:
+        counts = spread.join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi").groupBy("term").agg(texts)
     else:
-        counts = spread.groupBy("term").agg(F.count("*").alias("all_n")).join(wanted.select("term").distinct(), "term", "left_semi")
+        counts = spread.groupBy("term").agg(texts).join(wanted.select("term").distinct(), "term", "left_semi")
     text = F.col("text")
     spaces = F.length(text) - F.length(F.translate(text, " \t\n\r\x0b\x0c", ""))
     whole = docs.agg(F.sum(spaces + 1).cast("double").alias("words"))
-    kinds = beside.groupBy("kind").agg(F.sum("near_n").alias("kind_n"))
-    ic = -F.log2(F.col("kind_n") / F.col("words"))
-    pmi = F.log2(F.col("near_n") * F.col("words") / (F.col("all_n") * F.col("kind_n")))
+    kinds = beside.groupBy("kind").agg(F.sum("rows").alias("kind_n"))
+    beside_any = F.col("kind_n") / F.col("words")
+    share = _least_share(F.least(F.col("near_n"), F.col("all_n")), F.col("all_n"), max(ERRORS, math.sqrt(math.log(max(tried, 1)))))
+    ic, pmi = -F.log2(beside_any), F.log2(share / beside_any)
     return (
         wanted.join(counts, "term").join(F.broadcast(kinds), "kind").crossJoin(F.broadcast(whole))
         .where(pmi >= disclosure * ic)
@@ -176,7 +217,7 @@ def find_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", reach: i
     listed = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
     mark = F.xxhash64(safe)  # an id may have several texts
     # The hash is taken before words become rows; after it every word would hash the whole text.
-    worded = docs.select(F.col(id).alias("span_id"), mark.alias("span_mark"), F.array_distinct(F.split(safe, f"[{_GAP}]+")).alias("words"))
+    worded = docs.select(F.col(id).alias("span_id"), mark.alias("span_mark"), _terms_of(safe).alias("words"))
     held = worded.select("span_id", "span_mark", F.explode("words").alias("term")).join(listed, "term", "left_semi")
     per_doc = held.groupBy("span_id", "span_mark").agg(F.collect_set("term").alias("span_terms"))
     joined = marked.join(per_doc, marked[id].eqNullSafe(per_doc["span_id"]) & (mark == per_doc["span_mark"]), "left")
@@ -189,7 +230,7 @@ def find_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", reach: i
 
 def _words_among(text: Column, terms: Column) -> Column:
     """Term spans of the words of a text that are among ``terms``: both are sorted together, and a word's term stands right before it."""
-    of_words = F.transform(_located(text, F.lit(f"[^{_GAP}]+"), len(PATTERNS)), lambda s: F.struct(s["hit"].alias("hit"), F.lit(1).alias("word"), s["start"].alias("start"), s["end"].alias("end")))
+    of_words = F.transform(_located(text, F.lit(CORE), len(PATTERNS)), lambda s: F.struct(F.lower(s["hit"]).alias("hit"), F.lit(1).alias("word"), s["start"].alias("start"), s["end"].alias("end")))
     of_terms = F.transform(terms, lambda t: F.struct(t.alias("hit"), F.lit(0).alias("word"), F.lit(0).alias("start"), F.lit(0).alias("end")))
     entries = F.array_sort(F.concat(of_words, of_terms))
     last = _scan(F.transform(entries, lambda e: F.when(e["word"] == 0, e["hit"])), lambda x, y: F.coalesce(x, y), F.lit(None).cast("string"))

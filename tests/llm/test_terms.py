@@ -33,3 +33,26 @@ def test_first_and_last_words_count(spark):
     for i, text in rows[:5]:
         assert spans[i][0] == "term:0:6" and spans[i][-1] == f"term:{len(text) - 6}:{len(text)}"
         assert clean[i].startswith("[TERM] [EMAIL]") and clean[i].endswith("[EMAIL] [TERM]")
+
+
+def test_copies_are_one_piece_of_evidence(spark):
+    shouted = f"{prose(20, 1)} HETHON,!! NDHA!! 10.1.2.3 ARE!! {prose(20, 2)}"
+    # Equal texts, and texts that differ far from the entity.
+    rows = [(i, shouted) for i in range(8)] + [(20 + i, f"{shouted} {prose(5, 50 + i)}") for i in range(8)]
+    rows += [(50 + i, prose(60, 200 + i)) for i in range(40)]
+    spans, _ = found(spark, rows)
+    assert not any(s.startswith("term") for v in spans.values() for s in v)
+
+
+def test_words_are_folded(spark):
+    rows = [(i, f"{prose(30, i)} {w} a{i}@mail.org {prose(30, 100 + i)}") for i, w in enumerate(("zorbax", "Zorbax,", "(ZORBAX)", "zorbax!!", "“Zorbax”", "ZorBax."))]
+    rows += [(50 + i, prose(60, 200 + i)) for i in range(40)] + [(99, "*ZORBAX* there")]
+    spans, clean = found(spark, rows)
+    assert spans[99] == ["term:1:7"] and clean[99] == "*[TERM]* there" and all("zorbax" not in clean[i].lower() for i in range(6))
+
+
+def test_words_found_elsewhere_as_well_stay(spark):
+    rows = [(i, f"{prose(30, i)} common a{i}@mail.org {prose(30, 100 + i)}") for i in range(6)]
+    rows += [(50 + i, f"{prose(30, 200 + i)} common {prose(30, 300 + i)}") for i in range(40)]
+    spans, _ = found(spark, rows)
+    assert not any("term" in s for v in spans.values() for s in v)
