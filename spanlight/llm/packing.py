@@ -77,13 +77,25 @@ def _one_row(spark: SparkSession, **values: int) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES ({', '.join(f'{v}L' for v in values.values())}) AS one({', '.join(values)})")
 
 
-def _zones(state: DataFrame, above: DataFrame) -> DataFrame:
+def _bounded(state: DataFrame) -> DataFrame:
+    """``state`` in one task, with ``largest`` (gap) and ``above``: a sweep takes the lengths greater than it.
+
+    What differs from sweep to sweep is found from the rows, so one compiled plan serves all sweeps
+    and none of them broadcasts anything.
+    """
+    every = Window.partitionBy()
+    most = lambda kind: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("size"))).over(every), F.lit(0))
+    out = state.coalesce(1).withColumns({"longest": most(LENGTH), "largest": most(GAP)})
+    return out.withColumn("above", F.when(F.col("longest") > SHORT, F.floor(F.col("longest") / 2)).otherwise(0)).drop("longest")
+
+
+def _zones(state: DataFrame) -> DataFrame:
     """The rows that a sweep works on, with their zone and the run of sequences they want or offer in it, ``fro`` to ``to``.
 
     ``per`` pieces of a length go to a sequence of its zone; it is null where no gap holds the length.
     """
     sorted_, zone = Window.orderBy("size", "kind", "first"), Window.partitionBy("zone")
-    chosen = state.where(F.col("kind") != FLOW).crossJoin(F.broadcast(above)).where((F.col("kind") == GAP) | (F.col("size") > F.col("above")))
+    chosen = state.where(F.col("kind") != FLOW).where((F.col("kind") == GAP) | (F.col("size") > F.col("above")))
     opens = ((F.col("kind") == LENGTH) & F.coalesce(F.lag("kind").over(sorted_) == GAP, F.lit(True))).cast("int")
     out = chosen.select("kind", "size", "first", "n", opens.alias("opens")).withColumn("zone", F.sum("opens").over(sorted_.rowsBetween(Window.unboundedPreceding, 0)))
     least = F.min(F.when(F.col("kind") == GAP, F.col("size"))).over(zone)
@@ -95,13 +107,14 @@ def _zones(state: DataFrame, above: DataFrame) -> DataFrame:
     return out.withColumn("to", F.sum("units").over(ranks)).withColumn("other", other).withColumn("fro", F.col("to") - F.col("units")).drop("opens")
 
 
-def sweep(state: DataFrame, above: DataFrame, capacity: DataFrame) -> DataFrame:
-    """The table after one sweep over the lengths greater than ``above``, and the flows it made.
+def sweep(state: DataFrame, capacity: int) -> DataFrame:
+    """The table after one sweep over the longest lengths, and the flows it made.
 
     A flow says: ``n`` pieces of length ``size`` from rank ``first`` on go ``per`` to a sequence, from
     ``sequence`` on, and the first one of a sequence lies at ``at``.
     """
-    zoned = materialize(_zones(state, above))
+    state = _bounded(state)
+    zoned = materialize(_zones(state)).coalesce(1)
     met_units = F.greatest(F.lit(0), F.least("units", F.col("other") - F.col("fro")))
     taken = F.when(F.col("kind") == GAP, met_units).otherwise(F.least("n", met_units * F.coalesce("per", F.lit(0))))
     zero = F.lit(0).cast("bigint")
@@ -109,7 +122,7 @@ def sweep(state: DataFrame, above: DataFrame, capacity: DataFrame) -> DataFrame:
 
     x = zoned.where(F.col("kind") == LENGTH).where("per is not null").select("zone", "fro", "to", "per", "size", "first", "n")
     y = zoned.where(F.col("kind") == GAP).select("zone", F.col("fro").alias("g_fro"), F.col("to").alias("g_to"), F.col("size").alias("gap"), F.col("first").alias("g_first"))
-    met = x.join(y, "zone").where("fro < g_to and g_fro < to").crossJoin(F.broadcast(capacity))
+    met = x.join(y.hint("shuffle_hash"), "zone").where("fro < g_to and g_fro < to")
     met = met.withColumn("o", F.greatest("fro", "g_fro")).withColumn("skip", (F.col("o") - F.col("fro")) * F.col("per"))
     met = met.withColumn("pieces", F.least((F.least("to", "g_to") - F.col("o")) * F.col("per"), F.col("n") - F.col("skip")))
     met = met.withColumn("sequence", F.col("g_first") + F.col("o") - F.col("g_fro")).withColumn("full", F.floor(F.col("pieces") / F.col("per"))).withColumn("odd", F.col("pieces") % F.col("per"))
@@ -118,11 +131,11 @@ def sweep(state: DataFrame, above: DataFrame, capacity: DataFrame) -> DataFrame:
         named = zip((size, first, n, per, sequence, at), ("size", "first", "n", "per", "sequence", "at"), strict=True)
         return F.struct(F.lit(kind).alias("kind"), *(c.cast("bigint").alias(name) for c, name in named))
 
-    flow = row(FLOW, F.col("size"), F.col("first") + F.col("skip"), F.col("pieces"), F.col("per"), F.col("sequence"), F.col("capacity") - F.col("gap"))
+    flow = row(FLOW, F.col("size"), F.col("first") + F.col("skip"), F.col("pieces"), F.col("per"), F.col("sequence"), F.lit(capacity) - F.col("gap"))
     shrunk = row(GAP, F.col("gap") - F.col("per") * F.col("size"), F.col("sequence"), F.col("full"))
     last = row(GAP, F.col("gap") - F.col("odd") * F.col("size"), F.col("sequence") + F.col("full"), F.least(F.col("odd"), F.lit(1)))
     made = met.select(F.explode(F.array(flow, shrunk, last)).alias("r")).select("r.*").where("n > 0 and size > 0")
-    short = state.where(F.col("kind") == LENGTH).crossJoin(F.broadcast(above)).where("size <= above").drop("above")
+    short = state.where(F.col("kind") == LENGTH).where("size <= above").drop("above", "largest")
     return short.union(left).union(made)
 
 
@@ -132,24 +145,20 @@ def sweeps(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     zero = F.lit(0).cast("bigint")
     state = counts.select(F.lit(LENGTH).alias("kind"), F.col("length").alias("size"), zero.alias("first"), "n", zero.alias("per"), zero.alias("sequence"), zero.alias("at"))
     state, flows, created = materialize(state.coalesce(1)), [], 0
-    whole = _one_row(spark, capacity=capacity)
     while True:
-        # Numbers that differ from sweep to sweep come as rows, so that one compiled plan serves all sweeps.
-        is_length = F.col("kind") == LENGTH
-        longest, tokens, largest = state.agg(F.max(F.when(is_length, F.col("size"))), F.sum(F.when(is_length, F.col("size") * F.col("n"))), F.coalesce(F.max(F.when(F.col("kind") == GAP, F.col("size"))), F.lit(0))).first()
+        rows = _bounded(state).where(F.col("kind") == LENGTH)
+        size = F.col("size") * F.col("n")
+        longest, largest, tokens, unfit = rows.agg(F.max("size"), F.max("largest"), F.sum(size), F.sum(F.when(F.col("size") > F.greatest("above", "largest"), size))).first()
         if longest is None:
             break
-        above = longest // 2 if longest > SHORT else 0
         opened = 0
         if not created:
             opened = -(-tokens // capacity)
         elif longest > largest:
-            unfit = state.where(is_length).crossJoin(F.broadcast(_one_row(spark, most=max(above, largest)))).where("size > most")
-            opened = -(-unfit.agg(F.sum(F.col("size") * F.col("n"))).first()[0] // capacity)
+            opened = -(-unfit // capacity)
         new = _one_row(spark, kind=GAP, size=capacity, first=created, n=opened, per=0, sequence=0, at=0).withColumn("kind", F.col("kind").cast("int"))
         created += opened
-        bound = _one_row(spark, above=above)
-        state = materialize(sweep(state.union(new).where("n > 0").coalesce(1), bound, whole).coalesce(1))
+        state = materialize(sweep(state.union(new).where("n > 0"), capacity).coalesce(1))
         flows.append(state.where(F.col("kind") == FLOW))
         state = state.where(F.col("kind") != FLOW)
     every = functools.reduce(DataFrame.union, flows) if flows else state
