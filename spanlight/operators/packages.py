@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanlight.functions import scalars as S
+
 # What a certificate may say.
 TACTICS = ["collection", "command_and_control", "credential_access", "discovery", "exfiltration"]
 REASONS = [
@@ -182,6 +184,93 @@ def with_foreign(packages: DataFrame, donors: DataFrame) -> DataFrame:
     return renamed_references(j.withColumn("candidates", F.concat(F.array("_f"), "candidates"))).drop("_f")
 
 
+def renamed_ids(packages: DataFrame, seed: str) -> DataFrame:
+    """Entity and anchor ids replaced by opaque ones that depend on the seed and the case; ranks and order stay."""
+    fresh = lambda prefix, kind, old: S.opaque_id(prefix, F.lit(seed), F.col("case_id"), F.lit(kind), old)
+    renamed = F.transform("candidates", lambda c: c.withField("entity_id", fresh("E", "entity", c["entity_id"])).withField("anchors", F.transform(c["anchors"], lambda a: a.withField("anchor_id", fresh("A", "anchor", a["anchor_id"])))))
+    return packages.withColumn("candidates", renamed)
+
+
+def without_anchors(packages: DataFrame, diagnostic: list[str]) -> DataFrame:
+    """Every candidate without its program and without the anchors whose operation is in ``diagnostic``; others stay as they are.
+
+    An anchor without an operation stays.
+    """
+    kept = lambda a: ~F.coalesce(a["operation"].isin(diagnostic), F.lit(False))
+    return packages.withColumn("candidates", F.transform("candidates", lambda c: c.withField("exe", F.lit("")).withField("anchors", F.filter(c["anchors"], kept))))
+
+
+def with_confidence(packages: DataFrame) -> DataFrame:
+    """``proposal`` of each package's ``probabilities`` (a map by class), its ``confidence`` and ``margin`` over the second class, to six digits.
+
+    Ties go to the smaller name; no classes give nulls, one class a margin over zero.
+    """
+    entries = F.transform(F.map_entries("probabilities"), lambda e: F.struct((-e["value"]).alias("v"), e["key"].alias("k")))
+    best = F.array_sort(entries)
+    first, second = F.try_element_at(best, F.lit(1)), F.try_element_at(best, F.lit(2))
+    margin = F.coalesce(second["v"], F.lit(0.0)) - first["v"]
+    return packages.withColumns({"proposal": first["k"], "confidence": F.round(-first["v"], 6), "margin": F.round(margin, 6)})
+
+
+def contradicted(packages: DataFrame, truth: str = "truth") -> DataFrame:
+    """The least probable class that is not ``truth`` takes the proposal's place, and the two change their probabilities.
+
+    Equal probabilities go to the smaller name. Where truth is null every class may be taken; a
+    package without another class keeps its proposal. ``confidence`` and ``margin`` follow from the
+    probabilities as they are afterwards.
+    """
+    others = F.filter(F.map_entries("probabilities"), lambda e: ~e["key"].eqNullSafe(F.col(truth)))
+    least = F.array_min(F.transform(others, lambda e: F.struct(e["value"].alias("v"), e["key"].alias("k"))))
+    false = F.coalesce(least["k"], F.col("proposal"))
+    of = lambda k: F.try_element_at(F.col("probabilities"), k)
+    swapped = F.transform_values("probabilities", lambda k, v: F.when(k == false, of(F.col("proposal"))).when(k == F.col("proposal"), of(false)).otherwise(v))
+    best = F.array_sort(F.transform(F.map_values(swapped), lambda v: -v))
+    out = packages.withColumns({"_false": false, "_swapped": swapped, "margin": F.round(F.coalesce(F.try_element_at(best, F.lit(2)), F.lit(0.0)) - F.try_element_at(best, F.lit(1)), 6)})
+    out = out.withColumns({"proposal": F.col("_false"), "probabilities": F.col("_swapped")})
+    return out.withColumn("confidence", F.round(of(F.col("proposal")), 6)).drop("_false", "_swapped")
+
+
+def reranked(candidates: Column) -> Column:
+    """Candidates with ranks by place and anchors named ``P<rank>.<operation>``, the second of a kind with ``_2`` and so on."""
+
+    def named(c: Column, rank: Column) -> Column:
+        kinds = F.transform(c["anchors"], lambda a: F.coalesce(a["operation"], F.lit("evidence")))
+        nth = lambda a, i: F.size(F.filter(F.slice(kinds, 1, i + 1), lambda k: k == F.coalesce(a["operation"], F.lit("evidence"))))
+        name = lambda a, i: F.concat(F.lit("P"), rank.cast("string"), F.lit("."), F.coalesce(a["operation"], F.lit("evidence")), F.when(nth(a, i) > 1, F.concat(F.lit("_"), nth(a, i).cast("string"))).otherwise(F.lit("")))
+        return c.withField("rank", rank).withField("anchors", F.transform(c["anchors"], lambda a, i: a.withField("anchor_id", name(a, i))))
+
+    return F.transform(candidates, lambda c, i: named(c, (i + 1).cast("int")))
+
+
+def foreign_first(packages: DataFrame, donors: DataFrame, seed: str, k: int = 10) -> DataFrame:
+    """The donor case's best candidate under an opaque id in front (``case_id, donor_id``), ``k`` candidates at most, ranks and anchors renamed.
+
+    Packages without a donor, or whose donor has no candidate, are left out, since nothing foreign can be put in.
+    """
+    best = packages.where(F.size("candidates") > 0).select(F.col("case_id").alias("donor_id"), F.element_at("candidates", 1).alias("_f"))
+    joined = packages.join(donors.where("donor_id is not null").select("case_id", "donor_id"), "case_id").join(best, "donor_id")
+    foreign = F.col("_f").withField("entity_id", S.opaque_id("F", F.lit(seed), F.col("case_id"), F.col("donor_id"), F.col("_f")["entity_id"]))
+    combined = F.slice(F.concat(F.array(foreign), "candidates"), 1, k)
+    return joined.withColumn("candidates", reranked(combined)).drop("_f")
+
+
+def package_sizes(packages: DataFrame, records: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Bytes of all full cases, of their packages and of the accepted packages, with both ratios, as one row.
+
+    ``records`` are the full cases, one row for each of a case's records; each is a line of JSON of
+    all its columns but ``case_id``. ``accepted`` lists the accepted ``case_id``. Cases without
+    records count zero bytes; ratios over nothing are null.
+    """
+    full = records.groupBy("case_id").agg(F.sum(F.octet_length(F.to_json(F.struct(*(c for c in records.columns if c != "case_id")))) + 1).alias("_full"))
+    compact = payload(packages).select("case_id", (F.octet_length("payload") + 1).alias("_compact"))
+    yes = accepted.select("case_id").distinct().withColumn("_yes", F.lit(1))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    sums = compact.join(full, "case_id", "left").join(yes, "case_id", "left").agg(
+        F.count("*").alias("cases_n"), F.count("_yes").alias("accepted_n"), total(F.col("_full")).alias("full_bytes"), total(F.col("_compact")).alias("compact_bytes"), total(F.when(F.col("_yes") == 1, F.col("_compact"))).alias("accepted_bytes"),
+    )
+    return sums.withColumns({"compact_share": F.round(F.try_divide("compact_bytes", "full_bytes"), 9), "accepted_share": F.round(F.try_divide("accepted_bytes", "compact_bytes"), 9)})
+
+
 def payload(packages: DataFrame) -> DataFrame:
     """Canonical JSON text of a package, fields in alphabetical order."""
     c = F.transform("candidates", lambda c: F.struct(F.transform(c["anchors"], lambda a: F.struct(a["anchor_id"].alias("anchor_id"), a["operation"].alias("operation"))).alias("anchors"), c["entity_id"].alias("entity_id"), c["exe"].alias("exe"), c["rank"].alias("rank")))

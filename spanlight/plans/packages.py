@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlight.operators import graph as G
+from spanlight.operators import joins as J
 from spanlight.operators import packages as L
 from spanlight.plans import views as V
 from spanlight.plans.graph import _GRAPH, _SC, entities, relations
@@ -100,6 +103,68 @@ def l06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited.select("case_id", F.explode("candidates").alias("c")).select("case_id", "c.rank", "c.entity_id")
 
 
+#: Operations whose anchors a semantic deletion takes away.
+_DIAGNOSTIC = ["execve", "connect", "load"]
+
+
+def proposals(p: DataFrame) -> DataFrame:
+    """Packages with class probabilities: shares of the anchors by the length of their operation, the proposal ahead of the others."""
+    anchors = F.flatten(F.transform("candidates", lambda c: c["anchors"]))
+    seen = lambda i: F.size(F.filter(anchors, lambda a: F.length(a["operation"]) % 5 == i)) + 1
+    p = p.withColumn("_w", F.array(*(seen(i) for i in range(5))))
+    w = F.transform("_w", lambda x, i: F.when(i == F.length("case_id") % 5, F.array_max("_w") + 1).otherwise(x))
+    p = p.withColumn("_w", w).withColumn("_s", F.aggregate("_w", F.lit(0), lambda a, x: a + x))
+    shares = F.map_from_arrays(F.array(*map(F.lit, L.TACTICS)), F.transform("_w", lambda x: x / F.col("_s")))
+    return L.with_confidence(p.withColumn("probabilities", shares).drop("_w", "_s"))
+
+
+def _edited(p: DataFrame, edit: str) -> DataFrame:
+    """What can be seen of an edit: sizes, a digest of ids and ranks, the proposal."""
+    anchors = F.flatten(F.transform("candidates", lambda c: c["anchors"]))
+    line = lambda c: F.concat(c["rank"].cast("string"), F.lit(":"), c["entity_id"], F.lit("["), F.array_join(F.transform(c["anchors"], lambda a: a["anchor_id"]), ","), F.lit("]"))
+    return p.select(
+        "case_id", F.lit(edit).alias("edit"), F.size("candidates").cast("bigint").alias("candidates_n"), F.size(anchors).cast("bigint").alias("anchors_n"),
+        F.size(F.filter("candidates", lambda c: c["exe"] != "")).cast("bigint").alias("programs_n"), F.md5(F.array_join(F.transform("candidates", line), ";")).alias("ids"),
+        "proposal", "confidence", "margin",
+    )
+
+
+_WEIGHTS = " ".join(f"count(*) FILTER (WHERE length(operation) % 5 = {i}) + 1," for i in range(5)).rstrip(",")
+_NAMES = ", ".join(f"'{t}'" for t in L.TACTICS)
+_EDITS = f"""{_TOP}, an AS (SELECT * FROM (SELECT e.case_id, t.rank, t.entity_id, 'a_' || substr(sha256(e.case_id || '|' || e.id || '|' || row_id), 1, 20) AS anchor_id, operation, row_number() OVER (PARTITION BY e.case_id, e.id ORDER BY abs(delta), row_id) AS k FROM ends e JOIN top t ON t.case_id = e.case_id AND t.entity_id = e.id) WHERE k <= 3),
+cand AS (SELECT t.case_id, t.rank, t.entity_id, n.exe FROM top t JOIN prov_node n ON n.id = t.entity_id),
+w0 AS (SELECT case_id, list_value({_WEIGHTS}) AS w FROM an GROUP BY 1),
+pr AS (SELECT case_id, unnest([{_NAMES}]) AS tactic, unnest(range(5)) AS i, w, list_max(w) AS top_w FROM w0),
+pw AS (SELECT case_id, tactic, CASE WHEN i = length(case_id) % 5 THEN top_w + 1 ELSE w[i + 1] END AS x, i = length(case_id) % 5 AS is_first FROM pr),
+ps AS (SELECT *, x::DOUBLE / sum(x) OVER (PARTITION BY case_id) AS p, regexp_replace(case_id, '_[0-9]+$', '') AS truth FROM pw),
+prop AS (SELECT case_id, max(tactic) FILTER (WHERE is_first) AS proposal, round(max(p), 6) AS confidence, round(max(p) - max(p) FILTER (WHERE NOT is_first), 6) AS margin, arg_min(tactic, (p, tactic)) FILTER (WHERE tactic <> truth) AS lie FROM ps GROUP BY 1),
+don AS (SELECT a.case_id, b.case_id AS donor_id FROM (SELECT p.case_id, p.proposal, (SELECT count(*) FROM prop q WHERE q.proposal <> p.proposal) AS n FROM prop p) a
+  JOIN (SELECT mine.proposal AS of, q.case_id, row_number() OVER (PARTITION BY mine.proposal ORDER BY q.proposal, q.case_id) - 1 AS place FROM (SELECT DISTINCT proposal FROM prop) mine JOIN prop q ON q.proposal <> mine.proposal) b
+  ON b.of = a.proposal AND a.n > 0 AND b.place = ('0x' || substr(sha256('foreign|' || a.case_id), 1, 15))::BIGINT % a.n),
+fc AS (SELECT case_id, rank + 1 AS rank, entity_id, exe, case_id AS from_case, rank AS from_rank FROM cand WHERE rank < 10
+  UNION ALL SELECT d.case_id, 1, 'F_' || substr(sha256('seed|' || d.case_id || '|' || d.donor_id || '|' || c.entity_id), 1, 20), c.exe, d.donor_id, 1 FROM don d JOIN cand c ON c.case_id = d.donor_id AND c.rank = 1),
+fa AS (SELECT fc.case_id, fc.rank, k, 'P' || fc.rank || '.' || operation AS stem, row_number() OVER (PARTITION BY fc.case_id, fc.rank, operation ORDER BY k) AS nth FROM fc JOIN an ON an.case_id = fc.from_case AND an.rank = fc.from_rank),
+parts AS (
+  SELECT c.case_id, 'none' AS edit, c.rank, c.entity_id, c.exe, a.anchor_id, a.k FROM cand c LEFT JOIN an a ON a.case_id = c.case_id AND a.rank = c.rank
+  UNION ALL SELECT c.case_id, 'contradicted', c.rank, c.entity_id, c.exe, a.anchor_id, a.k FROM cand c LEFT JOIN an a ON a.case_id = c.case_id AND a.rank = c.rank
+  UNION ALL SELECT c.case_id, 'renamed', c.rank, 'E_' || substr(sha256('seed|' || c.case_id || '|entity|' || c.entity_id), 1, 20), c.exe, 'A_' || substr(sha256('seed|' || c.case_id || '|anchor|' || a.anchor_id), 1, 20), a.k FROM cand c LEFT JOIN an a ON a.case_id = c.case_id AND a.rank = c.rank
+  UNION ALL SELECT c.case_id, 'without_anchors', c.rank, c.entity_id, '', a.anchor_id, a.k FROM cand c LEFT JOIN an a ON a.case_id = c.case_id AND a.rank = c.rank AND a.operation NOT IN ({', '.join(f"'{x}'" for x in _DIAGNOSTIC)})
+  UNION ALL SELECT fc.case_id, 'foreign', fc.rank, fc.entity_id, fc.exe, fa.stem || CASE WHEN nth > 1 THEN '_' || nth ELSE '' END, fa.k FROM fc JOIN (SELECT case_id FROM don) d ON d.case_id = fc.case_id LEFT JOIN fa ON fa.case_id = fc.case_id AND fa.rank = fc.rank),
+lines AS (SELECT case_id, edit, rank, any_value(exe) AS exe, count(anchor_id) AS anchors_n, rank || ':' || entity_id || '[' || coalesce(string_agg(anchor_id, ',' ORDER BY k), '') || ']' AS line FROM parts GROUP BY case_id, edit, rank, entity_id)"""
+
+
+@query(
+    "l06_all_edits",
+    f""", {_EDITS} SELECT l.case_id, edit, count(*) AS candidates_n, sum(anchors_n)::BIGINT AS anchors_n, count(*) FILTER (WHERE exe <> '') AS programs_n, md5(string_agg(line, ';' ORDER BY rank)) AS ids,
+  CASE WHEN edit = 'contradicted' THEN any_value(lie) ELSE any_value(proposal) END AS proposal, any_value(confidence) AS confidence, any_value(margin) AS margin FROM lines l JOIN prop p ON p.case_id = l.case_id GROUP BY 1, 2""",
+)
+def l06_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = stored(proposals(packages(spark, sf_dir)).withColumn("truth", F.regexp_replace("case_id", "_[0-9]+$", "")))
+    donors = J.hashed_donor(p.select("case_id", "proposal", F.lit(0).alias("block")), "block", "case_id", "proposal", "foreign")
+    edits = {"none": p, "renamed": L.renamed_ids(p, "seed"), "without_anchors": L.without_anchors(p, _DIAGNOSTIC), "contradicted": L.contradicted(p), "foreign": L.foreign_first(p, donors, "seed")}
+    return functools.reduce(DataFrame.unionByName, (_edited(e, name) for name, e in edits.items()))
+
+
 @query("l07_shuffled_candidates", f", {_TOP} SELECT case_id, entity_id, row_number() OVER (PARTITION BY case_id ORDER BY sha256('seed|' || case_id || '|' || entity_id)) AS rank FROM top")
 def l07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.shuffled(packages(spark, sf_dir), "seed").select("case_id", F.explode("candidates").alias("c")).select("case_id", "c.entity_id", "c.rank")
@@ -141,6 +206,20 @@ def l11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.audit_packages(packages(spark, sf_dir))
 
 
+@query(
+    "l11_planted_faults",
+    f""", {_TOP}, d AS (SELECT case_id, right(case_id, 1)::INT % 4 AS fault, count(*) AS candidates_n FROM top GROUP BY 1)
+SELECT count(*) + count(*) FILTER (WHERE fault = 1) AS packages_n, 2 * count(*) FILTER (WHERE fault = 1) AS repeated_cases, count(*) FILTER (WHERE fault = 2) AS broken_ranks, count(*) FILTER (WHERE fault = 3) AS repeated_anchors FROM d""",
+)
+def l11_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the last digit of the case number modulo 4: one package more, ranks from 2, every anchor twice."""
+    p = packages(spark, sf_dir).withColumn("fault", F.substring("case_id", -1, 1).cast("int") % 4)
+    twice = F.transform("candidates", lambda c: c.withField("anchors", F.concat(c["anchors"], c["anchors"])))
+    late = F.transform("candidates", lambda c: c.withField("rank", c["rank"] + 1))
+    p = p.withColumn("candidates", F.when(F.col("fault") == 2, late).when(F.col("fault") == 3, twice).otherwise(F.col("candidates")))
+    return L.audit_packages(p.union(p.where("fault = 1")))
+
+
 @query(
     "l12_evidence_audit",
     f""", {_GRAPH} SELECT count(*) AS entities_n, (SELECT count(*) FROM rel WHERE src NOT IN (SELECT id FROM prov_node) OR dst NOT IN (SELECT id FROM prov_node)) AS dangling, (SELECT count(*) FROM (SELECT case_id, row_id FROM rel GROUP BY ALL HAVING count(*) > 1)) AS repeated_relations,
@@ -190,3 +269,18 @@ def l15(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     b = F.sum(F.octet_length("text"))
     return d.groupBy("source").agg(F.count("*").alias("docs_n"), b.alias("text_bytes"), F.round(b / F.count("*"), 6).alias("per_doc"))
+
+
+@query(
+    "l15_package_sizes",
+    f""", {_TOP}, an AS (SELECT e.case_id, e.id, '{{"anchor_id":"a_' || substr(sha256(e.case_id || '|' || e.id || '|' || row_id), 1, 20) || '","operation":"' || operation || '"}}' AS a, row_number() OVER (PARTITION BY e.case_id, e.id ORDER BY abs(delta), row_id) AS k FROM ends e),
+cn AS (SELECT t.case_id, t.rank, '{{"anchors":[' || string_agg(a, ',' ORDER BY k) || '],"entity_id":"' || t.entity_id || '","exe":"' || any_value(n.exe) || '","rank":' || t.rank || '}}' AS c FROM top t JOIN prov_node n ON n.id = t.entity_id JOIN an ON an.case_id = t.case_id AND an.id = t.entity_id AND k <= 3 GROUP BY t.case_id, t.rank, t.entity_id),
+cb AS (SELECT case_id, octet_length(encode('{{"candidates":[' || string_agg(c, ',' ORDER BY rank) || '],"case_id":"' || case_id || '"}}')) + 1 AS b, right(case_id, 1)::INT % 5 = 0 AS yes FROM cn GROUP BY 1),
+fb AS (SELECT case_id, sum(octet_length(encode('{{"row_id":' || row_id || ',"src":"' || src || '","dst":"' || dst || '","relation":"' || relation || '","operation":"' || operation || '"}}')) + 1) AS f FROM rel GROUP BY 1)
+SELECT count(*) AS cases_n, count(*) FILTER (WHERE yes) AS accepted_n, sum(f)::BIGINT AS full_bytes, sum(b)::BIGINT AS compact_bytes, coalesce(sum(b) FILTER (WHERE yes), 0)::BIGINT AS accepted_bytes,
+  round(sum(b) / sum(f), 9) AS compact_share, round(coalesce(sum(b) FILTER (WHERE yes), 0) / sum(b), 9) AS accepted_share FROM cb JOIN fb USING (case_id)""",
+)
+def l15_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = packages(spark, sf_dir)
+    accepted = L.check_certificates(responses(p), p).where("decision = 'attribute'")
+    return L.package_sizes(p, relations(spark, sf_dir).select("case_id", "row_id", "src", "dst", "relation", "operation"), accepted)
