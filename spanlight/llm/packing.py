@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanlight.llm.common import documents, in_batches, materialize
@@ -126,30 +126,43 @@ def sweep(state: DataFrame, above: DataFrame, capacity: DataFrame) -> DataFrame:
     return short.union(left).union(made)
 
 
+def _sizes() -> list[Column]:
+    """The longest length that has pieces left and the largest gap."""
+    size = lambda kind: F.max(F.when((F.col("kind") == kind) & (F.col("n") > 0), F.col("size")))
+    return [size(LENGTH).alias("longest"), F.coalesce(size(GAP), F.lit(0)).alias("largest")]
+
+
+def _stored(state: DataFrame) -> tuple[DataFrame, int | None, int]:
+    """The sweeps' table as one file, with its longest length and largest gap.
+
+    Both are observed by the task that writes the file, so they cost no job; they are maxima, which a repeated task leaves as they are.
+    """
+    seen = Observation()
+    stored = materialize(state.coalesce(1).observe(seen, *_sizes()))
+    return stored, seen.get.get("longest"), seen.get.get("largest") or 0
+
+
 def sweeps(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``length, first, n, per, sequence, at`` of all flows that place ``counts`` (``length, n``; lengths are 1 to ``capacity``)."""
     spark = counts.sparkSession
     zero = F.lit(0).cast("bigint")
     state = counts.select(F.lit(LENGTH).alias("kind"), F.col("length").alias("size"), zero.alias("first"), "n", zero.alias("per"), zero.alias("sequence"), zero.alias("at"))
-    state, flows, created = materialize(state.coalesce(1)), [], 0
+    state, longest, largest = _stored(state)
+    tokens, flows, created = state.agg(F.sum(F.col("size") * F.col("n"))).first()[0], [], 0
     whole = _one_row(spark, capacity=capacity)
-    while True:
+    while longest is not None:
         # Numbers that differ from sweep to sweep come as rows, so that one compiled plan serves all sweeps.
-        is_length = F.col("kind") == LENGTH
-        longest, tokens, largest = state.agg(F.max(F.when(is_length, F.col("size"))), F.sum(F.when(is_length, F.col("size") * F.col("n"))), F.coalesce(F.max(F.when(F.col("kind") == GAP, F.col("size"))), F.lit(0))).first()
-        if longest is None:
-            break
         above = longest // 2 if longest > SHORT else 0
         opened = 0
         if not created:
             opened = -(-tokens // capacity)
         elif longest > largest:
-            unfit = state.where(is_length).crossJoin(F.broadcast(_one_row(spark, most=max(above, largest)))).where("size > most")
+            unfit = state.where(F.col("kind") == LENGTH).crossJoin(F.broadcast(_one_row(spark, most=max(above, largest)))).where("size > most")
             opened = -(-unfit.agg(F.sum(F.col("size") * F.col("n"))).first()[0] // capacity)
         new = _one_row(spark, kind=GAP, size=capacity, first=created, n=opened, per=0, sequence=0, at=0).withColumn("kind", F.col("kind").cast("int"))
         created += opened
         bound = _one_row(spark, above=above)
-        state = materialize(sweep(state.union(new).where("n > 0").coalesce(1), bound, whole).coalesce(1))
+        state, longest, largest = _stored(sweep(state.union(new).where("n > 0").coalesce(1), bound, whole))
         flows.append(state.where(F.col("kind") == FLOW))
         state = state.where(F.col("kind") != FLOW)
     every = functools.reduce(DataFrame.union, flows) if flows else state
