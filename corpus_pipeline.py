@@ -17,27 +17,42 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters and an identified language stay."""
+    """Documents with letters and an identified language stay, all columns as they are.
+
+    Null and empty texts go; whole texts are read, however long; repeated rows are decided alike; an empty table stays empty.
+    """
     return keep_identified(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the smallest id."""
+    """One document of each near-duplicate group stays, the one with the smallest id, all columns as they are.
+
+    Null and empty texts are one group; of equal rows one stays; rows without an id stay; an empty table stays empty.
+    """
     return deduplicate(docs)
 
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and the words that disclose them are generalised in the text."""
+    """Personal data and the words that disclose them are generalised in the text; no row goes.
+
+    Null and empty texts stay as they are; repeated rows change alike; an empty table stays empty.
+    """
     return sanitize(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are sampled with raked weights, those of large weights more than once; all columns stay."""
+    """Documents are sampled with raked weights, those of large weights twice at most; all columns stay.
+
+    Null sources, languages and texts are treated as ``spanlight.llm.mixing.calibrate`` states; an empty table stays empty.
+    """
     return sample_mixture(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left is packed; one row for each piece."""
+    """What is left is packed; one row for each piece.
+
+    Null and empty texts are one piece of the end id; repeated rows are packed as often as they come; an empty table gives an empty result.
+    """
     return pack(docs)
 
 
