@@ -7,12 +7,12 @@ from collections.abc import Iterable
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanlight.functions.scalars import draw
 from spanlight.operators.prefix import numbered
-from spanlight.sources.io import stored
+from spanlight.sources.io import scratch_dir, stored
 
 
 def balanced_weights(rows: DataFrame, label: str, keys: list[str] = ()) -> DataFrame:
@@ -53,6 +53,18 @@ def _classifier(name: str, features: int, classes: int):
     raise ValueError(name)
 
 
+def without_summary(fitted, spark: SparkSession):
+    """``fitted`` as it is read back from the shared folder, without the summary of its training.
+
+    The summary of a binary model holds the session, and a session that has observed any write can't go to tasks.
+    """
+    if not getattr(fitted, "hasSummary", False):
+        return fitted
+    path = scratch_dir(spark)
+    fitted.write().save(path)
+    return type(fitted).load(path)
+
+
 def out_of_fold(rows: DataFrame, features: list[str], label: str, fold: str, models: Iterable[str] = ("logistic",)) -> DataFrame:
     """Scores of each fold's rows from models fitted on the other folds.
 
@@ -71,7 +83,7 @@ def out_of_fold(rows: DataFrame, features: list[str], label: str, fold: str, mod
         train, test = assembled.where(F.col(fold) != f), assembled.where(F.col(fold) == f)
         scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(train)
         for name in models:
-            fitted = _classifier(name, len(features), int(max(seen)) + 1).fit(scaler.transform(train))
+            fitted = without_summary(_classifier(name, len(features), int(max(seen)) + 1).fit(scaler.transform(train)), rows.sparkSession)
             scored = fitted.transform(scaler.transform(test)).withColumn("probabilities", vector_to_array("probability"))
             parts.append(scored.drop("raw", "features", "rawPrediction", "probability").withColumn("model", F.lit(name)))
     out = parts[0]

@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 from spanlight.functions import scalars as S
 from spanlight.operators import joins as J
@@ -228,6 +229,15 @@ def test_model_scores(spark):
         assert sum((r.p > 0.5) == (r.y == 1) for r in got if r.model == m) > 70
 
 
+def test_model_scores_after_an_observation(spark):
+    seen = Observation()
+    spark.range(5).observe(seen, F.max("id").alias("most")).write.format("noop").mode("overwrite").save()
+    assert seen.get == {"most": 4}
+    rows = [(i, float(i % 2) + random.Random(i).random(), i % 2, i % 3) for i in range(30)]
+    df = L.balanced_weights(spark.createDataFrame(rows, "id int, x double, y int, fold int"), "y")
+    assert L.out_of_fold(df, ["x"], "y", "fold").count() == len(L.out_of_fold(df, ["x"], "y", "fold").collect()) == 30
+
+
 def test_entropy_terms(spark):
     df = spark.createDataFrame([([0.5, 0.5], [1.0, 0.0])], "p array<double>, q array<double>")
     p, q = F.col("p"), F.col("q")
