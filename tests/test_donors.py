@@ -45,3 +45,13 @@ def test_empty_and_single(spark):
     df = spark.createDataFrame([("a", 1, [1.0, 2.0], 0)], "b string, i bigint, v array<double>, l int")
     assert J.nearest_donors(df, "b", "i", "v", "l").count() == 0
     assert J.nearest_donors(df.limit(0), "b", "i", "v", "l").count() == 0
+
+
+def test_vectors_are_sent_once_a_group(spark):
+    """Random vectors rule little out; what is sent must not grow with the number of tiles."""
+    df = spark.createDataFrame(table("random", 600), "b string, i bigint, v array<double>, l int")
+    _, tiled, radius = J._tiled(df, "b", "i", "v", "l", 10)
+    near = J._own_tile(tiled)
+    grouped, wanted = J._wanted_groups(tiled, near, radius, 10)
+    groups = grouped.select("_block", "_g").distinct().count()
+    assert groups <= 6 and wanted.count() <= tiled.count() * groups < J._wanted_tiles(tiled, near, radius).count()
