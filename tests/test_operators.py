@@ -309,3 +309,20 @@ def test_disjoint_centres(spark):
     got = sorted(r.centre for r in J.disjoint_centres(spark.createDataFrame(rows, "k string, t double"), "k", "t", 5, 40, 1, 100).collect())
     assert len(got) == 5 and all(b - a >= 80 for a, b in zip(got, got[1:], strict=False))
     assert J.disjoint_centres(spark.createDataFrame(rows, "k string, t double"), "k", "t", 5, 40, 1, 2).count() == 0
+
+
+def test_nearest_flow_without_pairs(spark):
+    rng = random.Random(5)
+    flows = [(i, rng.randrange(0, 400) / 2, rng.choice("ab"), rng.choice("ab"), rng.choice([1, 2]), rng.choice([1, 2])) for i in range(150)]
+    socks = [(i, rng.randrange(0, 400) / 2, rng.choice("ab"), rng.choice([1, 2])) for i in range(60)]
+    flow = spark.createDataFrame(flows, "row_id int, ts_s double, src_ip string, dst_ip string, src_port int, dst_port int")
+    sockets = spark.createDataFrame(socks, "socket_id int, ts_s double, remote_ip string, remote_port int")
+    out = J.nearest_flow(sockets, flow, (-20, 0, 20), 3)
+    want = {}
+    for s, t, ip, port in socks:
+        for o in (-20, 0, 20):
+            near = [(abs(u - t - o), r, e, l) for r, u, a, b, p, q in flows for e, (i, n, l) in enumerate(((a, p, b), (b, q, a))) if (i, n) == (ip, port) and abs(u - t - o) <= 3]
+            if near:
+                want[s, o] = min(near)
+    assert {(r.socket_id, r.offset): (r.delta, r.row_id, r.side, r.local_ip) for r in out.collect()} == want
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
