@@ -16,9 +16,10 @@ sets of both texts before it links:
    no pair; of two alike texts the smaller one posts it among its first ninth. So texts that have a
    template in common and too little else never meet, however many they are.
 
-Exact copies count once. Each text is first compared with one other that a posted value puts first,
-twice; by then groups have mostly grown together, and all pairs that are left, those whose ends
-are not yet connected, are verified.
+Exact copies count once. Each text is first compared with a few others that its posted values put
+first, twice: with those that have the fewest shingles of their own, which are alike to the most
+others, and with some by hash. By then groups have mostly grown together, and all pairs that are left,
+those whose ends are not yet connected, are verified.
 """
 
 from __future__ import annotations
@@ -37,8 +38,10 @@ from spanlight.llm.common import BROADCAST_KEYS, free_name, in_batches, material
 from spanlight.llm.components import connected_components
 from spanlight.llm.simhash import linked, majority, shingle_hashes
 
-#: Rounds of one comparison a text before all pairs that are left are verified.
+#: Rounds of a few comparisons a text before all pairs that are left are verified.
 ROUNDS = 2
+#: Others that a text is compared with in such a round.
+TRIES = 3
 #: One document in so many says which shingles are common; only the order of postings depends on it.
 SAMPLE = 16
 COMMON, MOST_COMMON = 2, 400_000
@@ -217,10 +220,19 @@ def _members(prints: DataFrame) -> DataFrame:
 
 
 def _stars(members: DataFrame, turn: int, similarity: float) -> DataFrame:
-    """``a, b``: each text with one that a posted value puts first in this turn, where they are not connected yet."""
-    first = members.groupBy("key").agg(F.min_by(F.struct("node", "size", "root"), F.struct(F.xxhash64("node", "key", F.lit(turn)), "node")).alias("c"))
+    """``a, b``: each text with a few that its posted values put first in this turn, where they are not connected yet.
+
+    At first a value's text with the most left for its size comes first: it has the fewest shingles of its own, so
+    copies that lie around one text all meet that one, however many they are. Later it is one by hash. Of those
+    first ones a text takes the ones that most of its values name.
+    """
+    middle = F.struct(-F.col("rest") / F.col("size"), F.xxhash64("node"), F.col("node"))
+    order = F.struct(F.xxhash64("node", "key", F.lit(turn)), "node") if turn else middle
+    first = members.groupBy("key").agg(F.min_by(F.struct("node", "size", "root"), order).alias("c"))
     met = members.join(first, "key").where("root <> c.root").where(_alike("size", "c.size", similarity))
-    one = met.groupBy("node").agg(F.min_by("c.node", F.xxhash64("node", "c.node", F.lit(turn))).alias("other"))
+    named = met.groupBy("node", F.col("c.node").alias("other")).agg(F.count("*").alias("n"))
+    few = F.slice(F.sort_array(F.collect_list(F.struct("n", F.xxhash64("node", "other"), "other")), asc=False), 1, TRIES)
+    one = named.groupBy("node").agg(few.alias("few")).select("node", F.explode("few.other").alias("other"))
     return one.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 

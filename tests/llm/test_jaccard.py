@@ -94,3 +94,25 @@ def test_hot_values_are_split_without_loss(spark, texts, part, monkeypatch):
     keys = sorted(n for n in nodes if nodes[n])
     want = {(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if len(nodes[a] & nodes[b]) >= 0.8 * len(nodes[a] | nodes[b])}
     assert want and want <= found and all(a < b for a, b in found)
+
+
+def test_copies_around_one_text_meet_it_first(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 400):
+        copy = list(base)
+        for k in rng.sample(range(10, 140, 10), 3):  # alike to the base, and hardly any to each other
+            copy[k + rng.randrange(5)] = f"own{i}_{k}"
+        rows.append((i, " ".join(copy)))
+    left, rest = [], jaccard._rest
+
+    def counted(*args):
+        found = rest(*args)
+        left.append(found.count())
+        return found
+
+    monkeypatch.setattr(jaccard, "_rest", counted)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert len({r.root for r in jaccard.groups(df).collect()}) == 1
+    assert left[0] < 5 * len(rows)
