@@ -105,6 +105,7 @@ def write(docs: DataFrame, folder: str, id: str = "doc_id", text: str = "text",
         shard = f"shard-{task.stageId()}-{task.partitionId():06d}-{task.taskAttemptId()}"
         fs, root = open_fs(folder)
         shared = _dictionary(data)
+        shared.precompute_compress(level=level)
         compress = zstandard.ZstdCompressor(level=level, dict_data=shared).compress
         encode, index, at, last = byte_encoder().encode, [], 40, end.to_bytes(4, "little")
         with fs.open_output_stream(f"{root}/{shard}") as f:

@@ -17,6 +17,8 @@ from spanlight.llm.common import vocabulary_path
 
 #: Pieces, and parts of pieces, that a worker keeps; about 200 bytes each.
 KEPT, KEPT_PARTS = 350_000, 150_000
+#: Marks after a word, which are one part by themselves.
+_MARKS = ".,;:!?"
 _LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 #: Words of these characters are split here as the tokenizer would; all others are left to it.
 _PLAIN = re.compile(f" ?[!-~{_LETTERS}]+")
@@ -36,6 +38,7 @@ class PieceEncoder:
 
     #: The tokenizer's own split, for plain words.
     parts: re.Pattern
+    kept_parts = KEPT_PARTS
 
     def __init__(self, path: str, width: int) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -63,16 +66,16 @@ class PieceEncoder:
         """Ids of a plain word: those of its parts, each from the library's merges or met before."""
         if not _PLAIN.fullmatch(word):
             return self.library(word)
-        found, known = [], self.known_parts
-        for part in self.parts.findall(word):
-            ids = known.get(part)
-            if ids is None:
-                if len(known) >= KEPT_PARTS:
-                    known.clear()
-                tokens = self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))
-                ids = known[part] = b"".join([t.id.to_bytes(self.width, "little") for t in tokens])
-            found.append(ids)
-        return b"".join(found)
+        known = self.known_parts
+        return b"".join([known[p] if p in known else self.part(p) for p in self.parts.findall(word)])
+
+    def part(self, part: str) -> bytes:
+        """Ids of a new part by the library's merges."""
+        if len(self.known_parts) >= self.kept_parts:
+            self.known_parts.clear()
+        written = part.replace(" ", self.letters[32]) if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+        ids = self.known_parts[part] = b"".join([t.id.to_bytes(self.width, "little") for t in self.model.tokenize(written)])
+        return ids
 
     def pieced(self, text: str) -> bytes:
         raise NotImplementedError
@@ -83,8 +86,10 @@ class BytePieces(PieceEncoder):
 
     Its rule joins one space to the word that follows and keeps runs of white space together, so
     texts with two white-space characters in a row, or with other white space, are encoded at once.
+    Nearly every text has new words; they are met first, so that each word is then looked up once.
     """
 
+    kept_parts = 3 * KEPT_PARTS
     parts = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\\s0-9{_LETTERS}]+")
 
     def pieced(self, text: str) -> bytes:
@@ -94,18 +99,26 @@ class BytePieces(PieceEncoder):
             self.spaced.clear()
             self.pieces.clear()
         first, spaced, out = self.pieces, self.spaced, []
-        for k, line in enumerate(text.split("\n")):
+        lines = [line.split(" ") for line in text.split("\n")]
+        for w in {w for _, *rest in lines for w in rest}.difference(spaced):
+            spaced[w] = self.after_space(w)
+        for k, (head, *rest) in enumerate(lines):
             if k:
                 out.append(self.line_break)
-            head, *rest = line.split(" ")
             if head:
                 out.append(first[head] if head in first else first.setdefault(head, self.word(head)))
-            try:
-                out += [spaced[w] for w in rest]
-            except KeyError:
-                out += [spaced[w] if w in spaced else spaced.setdefault(w, self.word(" " + w)) for w in rest]
+            out += map(spaced.__getitem__, rest)
         return b"".join(out)
 
+    def after_space(self, word: str) -> bytes:
+        """Ids of a word with the space before it; one of letters and marks after them needs no pattern."""
+        letters, known = word.rstrip(_MARKS), self.known_parts
+        if not (letters.isascii() and letters.isalpha()):
+            return self.word(" " + word)
+        part, marks = " " + letters, word[len(letters) :]
+        ids = known[part] if part in known else self.part(part)
+        return ids + (known[marks] if marks in known else self.part(marks)) if marks else ids
+
     @functools.cached_property
     def line_break(self) -> bytes:
         return self.library("\n")

@@ -575,3 +575,22 @@ def test_clashing_columns_survive(docs):
     for out in (jaccard.deduplicate(docs), langid.keep_identified(docs), pii.sanitize(docs), mixing.sample_mixture(docs)):
         assert out.columns == docs.columns
         out.collect()
+
+
+def test_plain_new_words_need_no_pattern(monkeypatch):
+    encoder = tokens.BytePieces(vocabulary_path("byte_bpe_50k.json"), 4)
+    asked, pattern = [], encoder.parts
+
+    class Counted:
+        def findall(self, word):
+            asked.append(word)
+            return pattern.findall(word)
+
+    monkeypatch.setattr(encoder, "parts", Counted(), raising=False)
+    text = "x " + " ".join(f"{a}thn{b}on{mark}" for a in "abcd" for b in "efgh" for mark in ("", ".", ",", "?!", "...")) + " it's 12. é. !? a-b"
+    for kept in (450_000, 3):
+        monkeypatch.setattr(encoder, "kept_parts", kept, raising=False)
+        encoder.spaced.clear()
+        encoder.known_parts.clear()
+        assert encoder.encode(text) == encoder.library(text)
+    assert set(asked) <= {"x", " it's", " 12.", " é.", " !?", " a-b"}
