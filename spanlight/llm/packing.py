@@ -21,6 +21,7 @@ come from a count by (length, block), and one join by length and rank places eve
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import zlib
 from collections.abc import Iterator
@@ -142,8 +143,25 @@ def _stored(state: DataFrame) -> tuple[DataFrame, int | None, int]:
     return stored, seen.get.get("longest"), seen.get.get("largest") or 0
 
 
+@contextlib.contextmanager
+def planned_once(spark: SparkSession) -> Iterator[None]:
+    """Inside, queries are planned once, as a whole: on tables of a few thousand rows a plan for each exchange costs the driver threads and memory."""
+    key = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def sweeps(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``length, first, n, per, sequence, at`` of all flows that place ``counts`` (``length, n``; lengths are 1 to ``capacity``)."""
+    with planned_once(counts.sparkSession):
+        return _sweeps(counts, capacity)
+
+
+def _sweeps(counts: DataFrame, capacity: int) -> DataFrame:
     spark = counts.sparkSession
     zero = F.lit(0).cast("bigint")
     state = counts.select(F.lit(LENGTH).alias("kind"), F.col("length").alias("size"), zero.alias("first"), "n", zero.alias("per"), zero.alias("sequence"), zero.alias("at"))

@@ -28,3 +28,21 @@ def test_every_piece_has_one_place_without_gaps(spark, counts, capacity, fewest)
             at += length
         assert at <= capacity
     assert len(got) == fewest
+
+
+def test_sweeps_are_planned_once_and_the_setting_comes_back(spark, monkeypatch):
+    key, seen, sweep = "spark.sql.adaptive.enabled", [], packing.sweep
+    before = spark.conf.get(key)
+
+    def watched(*args):
+        seen.append(spark.conf.get(key))
+        return sweep(*args)
+
+    monkeypatch.setattr(packing, "sweep", watched)
+    counts = spark.createDataFrame([(5, 3), (7, 2)], "length bigint, n bigint")
+    assert sum(r.n for r in packing.sweeps(counts, 10).collect()) == 5
+    assert seen and set(seen) == {"false"} and spark.conf.get(key) == before
+    monkeypatch.setattr(packing, "sweep", lambda *args: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        packing.sweeps(counts, 10)
+    assert spark.conf.get(key) == before
