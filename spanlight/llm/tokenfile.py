@@ -61,8 +61,7 @@ def train_dictionary(docs: DataFrame, id: str, text: str, width: int, sample: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            encode = byte_encoder().encode
-            rows = [serialize(encode(t or ""), width) for t in batch.column(1).to_pylist()]
+            rows = [serialize(ids, width) for ids in byte_encoder().encode_all([t or "" for t in batch.column(1).to_pylist()])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["id", "ids"])
 
     rows = [bytes(r.ids) for r in in_batches(chosen).mapInArrow(run, "id bigint, ids binary").orderBy("id").limit(2 * sample).collect()]
@@ -107,13 +106,13 @@ def write(docs: DataFrame, folder: str, id: str = "doc_id", text: str = "text",
         shared = _dictionary(data)
         shared.precompute_compress(level=level)
         compress = zstandard.ZstdCompressor(level=level, dict_data=shared).compress
-        encode, index, at, last = byte_encoder().encode, [], 40, end.to_bytes(4, "little")
+        encode_all, index, at, last = byte_encoder().encode_all, [], 40, end.to_bytes(4, "little")
         with fs.open_output_stream(f"{root}/{shard}") as f:
             f.write(MAGIC + bytes([width, 0, 0]) + digest)
             batch = first
             while batch is not None:
-                for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    ids = encode(t or "") + last
+                for key, ids in zip(batch.column(0).to_pylist(), encode_all([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+                    ids += last
                     f.write(frame := compress(serialize(ids, width)))
                     index.append((key, at, len(ids) // 4))
                     at += len(frame)

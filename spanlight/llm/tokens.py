@@ -11,17 +11,27 @@ from __future__ import annotations
 import functools
 import os
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 
 from spanlight.llm.common import vocabulary_path
 
 #: Pieces, and parts of pieces, that a worker keeps; about 200 bytes each.
 KEPT, KEPT_PARTS = 350_000, 150_000
+#: Pieces met since the store was last turned over; as many from before are kept beside them.
+KEPT_SPACED = 500_000
+#: Characters of texts that are cut into pieces together, and new pieces that the library merges together.
+TOGETHER, TOGETHER_PIECES = 1 << 22, 10_000
 #: Marks after a word, which are one part by themselves.
 _MARKS = ".,;:!?"
 _LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 #: Words of these characters are split here as the tokenizer would; all others are left to it.
 _PLAIN = re.compile(f" ?[!-~{_LETTERS}]+")
+#: A space or a line break, letters or digits, and marks: the space belongs to the part that follows, a line break and marks are parts.
+_SIMPLE = re.compile(f"[ \n](?:[{_LETTERS}]+|[0-9]+)[{_MARKS}]*")
+_SOME_MARKS = re.compile(f"[{_MARKS}]+")
 #: White space that is neither a space nor a line break, and controls that some rules take for white space.
 _OTHER_SPACE = re.compile("[\\t\\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -51,13 +61,16 @@ class PieceEncoder:
         self.model = self.tokenizer.model
         self.width, self.letters = width, _byte_letters()
         self.pieces: dict = {}
-        self.spaced: dict[str, bytes] = {}
         self.known_parts: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, those that ``Tokenizer.encode(text, add_special_tokens=False)`` gives."""
         return self.library(text) if self.special.search(text) else self.pieced(text)
 
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """``encode`` of each text, in order."""
+        return map(self.encode, texts)
+
     def library(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return b"".join([i.to_bytes(self.width, "little") for i in ids])
@@ -82,42 +95,102 @@ class PieceEncoder:
 
 
 class BytePieces(PieceEncoder):
-    """For the byte-level vocabulary: a piece is a word with the space before it, or a line break.
+    """For the byte-level vocabulary: a piece is a word with the space or the line break before it.
 
     Its rule joins one space to the word that follows and keeps runs of white space together, so
     texts with two white-space characters in a row, or with other white space, are encoded at once.
-    Nearly every text has new words; they are met first, so that each word is then looked up once.
+    Many texts are cut together: each of their pieces is looked up once, the parts of new ones reach
+    the library's merges in one call, and the ids of all texts are gathered from those of the pieces.
     """
 
-    kept_parts = 3 * KEPT_PARTS
     parts = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\\s0-9{_LETTERS}]+")
 
+    def __init__(self, path: str, width: int) -> None:
+        super().__init__(path, width)
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
+
+        #: The same merges, for parts that are written in the vocabulary's letters with tabs between them.
+        self.merges = Tokenizer(self.model)
+        self.merges.pre_tokenizer = WhitespaceSplit()
+        self.tabbed = self.letters | {9: "\t", 10: self.letters[10] + "\t"}
+        vocabulary = self.tokenizer.get_vocab()
+        #: Which ids begin with the letter for a space or a line break, which stand nowhere else in a piece.
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[i for token, i in vocabulary.items() if token[0] in (self.letters[32], self.letters[10])]] = True
+        self.spaced: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
     def pieced(self, text: str) -> bytes:
-        if "  " in text or "\n\n" in text or "\n " in text or " \n" in text or text[-1:] == " " or _OTHER_SPACE.search(text):
-            return self.library(text)
-        if len(self.spaced) + len(self.pieces) >= 2 * KEPT:
-            self.spaced.clear()
-            self.pieces.clear()
-        first, spaced, out = self.pieces, self.spaced, []
-        lines = [line.split(" ") for line in text.split("\n")]
-        for w in {w for _, *rest in lines for w in rest}.difference(spaced):
-            spaced[w] = self.after_space(w)
-        for k, (head, *rest) in enumerate(lines):
-            if k:
-                out.append(self.line_break)
-            if head:
-                out.append(first[head] if head in first else first.setdefault(head, self.word(head)))
-            out += map(spaced.__getitem__, rest)
-        return b"".join(out)
-
-    def after_space(self, word: str) -> bytes:
-        """Ids of a word with the space before it; one of letters and marks after them needs no pattern."""
-        letters, known = word.rstrip(_MARKS), self.known_parts
-        if not (letters.isascii() and letters.isalpha()):
-            return self.word(" " + word)
-        part, marks = " " + letters, word[len(letters) :]
-        ids = known[part] if part in known else self.part(part)
-        return ids + (known[marks] if marks in known else self.part(marks)) if marks else ids
+        return self.library(text) if self.runs(text) else self.together([text])[0]
+
+    def runs(self, text: str) -> bool:
+        """Whether white space stands so that the library has to see the text as a whole."""
+        return bool("  " in text or "\n\n" in text or "\n " in text or " \n" in text or text[-1:] == " " or _OTHER_SPACE.search(text))
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        start = size = 0
+        for k, text in enumerate(texts):
+            if start < k and size + len(text) > TOGETHER:
+                yield from self.mixed(texts[start:k])
+                start, size = k, 0
+            size += len(text)
+        yield from self.mixed(texts[start:])
+
+    def mixed(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of texts of which the library has to see some as a whole."""
+        whole = [self.special.search(t) is not None or self.runs(t) for t in texts]
+        pieced = iter(self.together([t for t, w in zip(texts, whole, strict=True) if not w]))
+        return (self.library(t) if w else next(pieced) for t, w in zip(texts, whole, strict=True))
+
+    def together(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without a special token or runs of white space."""
+        stored = pa.array(texts, pa.large_string())
+        _, ends, data = stored.buffers()
+        ends = np.frombuffer(ends, np.int64)[: len(texts) + 1] if texts else np.zeros(1, np.int64)
+        if not ends[-1]:
+            return [b""] * len(texts)
+        letters = np.frombuffer(data, np.uint8)[: ends[-1]]
+        cut = (letters == 32) | (letters == 10)
+        cut[ends[:-1][np.diff(ends) > 0]] = True
+        cuts = np.append(np.flatnonzero(cut), ends[-1])
+        found = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), data).dictionary_encode()
+        known = self.look_up(found.dictionary.to_numpy(zero_copy_only=False).tolist())
+        counts = np.fromiter(map(len, known), np.int64, len(known)) // self.width
+        which = found.indices.to_numpy()
+        starts, counts = (np.cumsum(counts) - counts)[which], counts[which]
+        stops = np.cumsum(counts)
+        ids = np.frombuffer(b"".join(known), f"<u{self.width}")[np.repeat(starts - stops + counts, counts) + np.arange(stops[-1])].tobytes()
+        bounds = (np.append(0, stops)[np.searchsorted(cuts, ends)] * self.width).tolist()
+        return [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
+    def look_up(self, pieces: list[str]) -> list[bytes]:
+        """Ids of different pieces, from the store or met now; those not asked for since the turnover before the last are forgotten."""
+        if len(self.spaced) >= KEPT_SPACED:
+            self.spaced, self.before = {}, self.spaced
+        spaced, before, new = self.spaced, self.before, []
+        known = list(map(spaced.get, pieces))
+        for k in [k for k, ids in enumerate(known) if ids is None]:
+            piece = pieces[k]
+            if piece in before:
+                known[k] = spaced[piece] = before[piece]
+            elif _SIMPLE.fullmatch(piece):
+                new.append(k)
+            else:
+                known[k] = spaced[piece] = self.line_break + self.word(piece[1:]) if piece[0] == "\n" else self.word(piece)
+        for a in range(0, len(new), TOGETHER_PIECES):
+            some = new[a : a + TOGETHER_PIECES]
+            for k, ids in zip(some, self.merge([pieces[k] for k in some]), strict=True):
+                known[k] = spaced[pieces[k]] = ids
+        return known
+
+    def merge(self, pieces: list[str]) -> list[bytes]:
+        """Ids of simple pieces, by the library's merges in one call."""
+        written = _SOME_MARKS.sub("\t\\g<0>", "\t".join(pieces)).encode().decode("latin-1").translate(self.tabbed)
+        ids = np.array(self.merges.encode_batch_fast([written], add_special_tokens=False)[0].ids, f"<u{self.width}")
+        bounds = (np.append(np.flatnonzero(self.opens[ids]), len(ids)) * self.width).tolist()
+        ids = ids.tobytes()
+        return [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
     @functools.cached_property
     def line_break(self) -> bytes:

@@ -594,3 +594,24 @@ def test_plain_new_words_need_no_pattern(monkeypatch):
         encoder.known_parts.clear()
         assert encoder.encode(text) == encoder.library(text)
     assert set(asked) <= {"x", " it's", " 12.", " é.", " !?", " a-b"}
+
+
+def test_new_words_reach_the_merges_together(monkeypatch):
+    encoder = tokens.BytePieces(vocabulary_path("byte_bpe_50k.json"), 4)
+    asked, part = [], encoder.part
+    monkeypatch.setattr(encoder, "part", lambda p: asked.append(p) or part(p))
+    text = "Start " + " ".join(f"{a}thn{b}on{mark}" for a in "abcdé" for b in "efghü" for mark in ("", ".", ",", "?!", "...")) + " 12. 345\nNext line,\n67; end's"
+    assert encoder.encode(text) == encoder.library(text)
+    assert set(asked) <= {"Start", " end", "'s"}
+
+
+@pytest.mark.parametrize("kept, together, pieces", [(500_000, 1 << 22, 10_000), (5, 40, 3), (1, 1, 1)])
+def test_many_texts_are_cut_together(texts, monkeypatch, kept, together, pieces):
+    monkeypatch.setattr(tokens, "KEPT_SPACED", kept)
+    monkeypatch.setattr(tokens, "TOGETHER", together)
+    monkeypatch.setattr(tokens, "TOGETHER_PIECES", pieces)
+    encoder = tokens.BytePieces(vocabulary_path("byte_bpe_50k.json"), 4)
+    odd = ["", " a b", "\na\nb\n", "\n", " ", "a  b", "a\n\nb", "a \nb", "\n b", "tab\tx", "it's we'll 'tis ''", "a<|endoftext|>b", "\u0120a \u010ab", "x\u00a0y", "\u00aa\u00b5 \u00d7\u00f7", "12ab 3.4, 5!6", " \u00e9l\u00e8ve, \u00c7a! na\u00efve...", "a.b ,c !!", "\ud55c\uad6d \u0627\u0644 \U0001f600. x\u0301y", "\u00c3\u00a9 \u00c3."]
+    many = odd + [t or "" for t in texts if len(t or "") < 2_000] + odd[::-1]
+    assert list(encoder.encode_all(many)) == [encoder.library(t) for t in many]
+    assert list(encoder.encode_all([])) == [] and list(encoder.encode_all(["", ""])) == [b"", b""]
