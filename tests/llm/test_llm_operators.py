@@ -611,7 +611,7 @@ def test_many_texts_are_cut_together(texts, monkeypatch, kept, together, pieces)
     monkeypatch.setattr(tokens, "TOGETHER", together)
     monkeypatch.setattr(tokens, "TOGETHER_PIECES", pieces)
     encoder = tokens.BytePieces(vocabulary_path("byte_bpe_50k.json"), 4)
-    odd = ["", " a b", "\na\nb\n", "\n", " ", "a  b", "a\n\nb", "a \nb", "\n b", "tab\tx", "it's we'll 'tis ''", "a<|endoftext|>b", "\u0120a \u010ab", "x\u00a0y", "\u00aa\u00b5 \u00d7\u00f7", "12ab 3.4, 5!6", " \u00e9l\u00e8ve, \u00c7a! na\u00efve...", "a.b ,c !!", "\ud55c\uad6d \u0627\u0644 \U0001f600. x\u0301y", "\u00c3\u00a9 \u00c3."]
+    odd = ["", " a b", "\na\nb\n", "\n", " ", "a  b", "a\n\nb", "a \nb", "\n b", "tab\tx", "it's we'll 'tis ''", "a<|endoftext|>b", "\u0120a \u010ab", "x\u00a0y", "\u00aa\u00b5 \u00d7\u00f7", "12ab 3.4, 5!6", " \u00e9l\u00e8ve, \u00c7a! na\u00efve...", "a.b ,c !!", " (a_b) [c]\n{d}~\n^e` 1-2/3 <|end|> <f@g.hi>=#%$&+\\j;:?", "?! a1b2 3.c", "\ud55c\uad6d \u0627\u0644 \U0001f600. x\u0301y", "\u00c3\u00a9 \u00c3."]
     many = odd + [t or "" for t in texts if len(t or "") < 2_000] + odd[::-1]
     assert list(encoder.encode_all(many)) == [encoder.library(t) for t in many]
     assert list(encoder.encode_all([])) == [] and list(encoder.encode_all(["", ""])) == [b"", b""]
