@@ -22,7 +22,6 @@ come from a count by (length, block), and one join by length and rank places eve
 from __future__ import annotations
 
 import contextlib
-import functools
 import zlib
 from collections.abc import Iterator
 
@@ -78,53 +77,60 @@ def _one_row(spark: SparkSession, **values: int) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES ({', '.join(f'{v}L' for v in values.values())}) AS one({', '.join(values)})")
 
 
-def _zones(state: DataFrame, above: DataFrame) -> DataFrame:
-    """The rows that a sweep works on, with their zone and the run of sequences they want or offer in it, ``fro`` to ``to``.
+def _zones(state: DataFrame) -> DataFrame:
+    """``state`` with the zone of each row and the run of sequences it wants or offers there, ``fro`` to ``to``; ``other`` is what the other kind has in all.
 
-    ``per`` pieces of a length go to a sequence of its zone; it is null where no gap holds the length.
+    ``per`` pieces of a length go to a sequence of its zone; it is null where no gap holds the length. Lengths up to half of
+    the longest one wait (``idle``): they are a zone of their own, in which nothing is offered.
     """
-    sorted_, zone = Window.orderBy("size", "kind", "first"), Window.partitionBy("zone")
-    chosen = state.where(F.col("kind") != FLOW).crossJoin(F.broadcast(above)).where((F.col("kind") == GAP) | (F.col("size") > F.col("above")))
+    longest = F.max(F.when(F.col("kind") == LENGTH, F.col("size"))).over(Window.partitionBy())
+    above = F.when(longest > SHORT, F.floor(longest / 2)).otherwise(0)
+    sorted_, zone = Window.partitionBy("idle").orderBy("size", "kind", "first"), Window.partitionBy("idle", "zone")
+    chosen = state.select("kind", "size", "first", "n", ((F.col("kind") == LENGTH) & (F.col("size") <= above)).alias("idle"))
     opens = ((F.col("kind") == LENGTH) & F.coalesce(F.lag("kind").over(sorted_) == GAP, F.lit(True))).cast("int")
-    out = chosen.select("kind", "size", "first", "n", opens.alias("opens")).withColumn("zone", F.sum("opens").over(sorted_.rowsBetween(Window.unboundedPreceding, 0)))
+    out = chosen.withColumn("opens", opens).withColumn("zone", F.sum("opens").over(sorted_.rowsBetween(Window.unboundedPreceding, 0)))
     least = F.min(F.when(F.col("kind") == GAP, F.col("size"))).over(zone)
     out = out.withColumn("per", F.when(F.col("kind") == LENGTH, F.floor(least / F.col("size"))))
     out = out.withColumn("units", F.when(F.col("kind") == GAP, F.col("n")).otherwise(F.coalesce(F.ceil(F.col("n") / F.col("per")), F.lit(0))))
-    ranks = Window.partitionBy("zone", "kind").orderBy(F.when(F.col("kind") == GAP, F.col("size")).otherwise(-F.col("size")), "first")
+    ranks = Window.partitionBy("idle", "zone", "kind").orderBy(F.when(F.col("kind") == GAP, F.col("size")).otherwise(-F.col("size")), "first")
     total = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("units"))).over(zone), F.lit(0))
     other = F.when(F.col("kind") == GAP, total(LENGTH)).otherwise(total(GAP))
     return out.withColumn("to", F.sum("units").over(ranks)).withColumn("other", other).withColumn("fro", F.col("to") - F.col("units")).drop("opens")
 
 
-def sweep(state: DataFrame, above: DataFrame, capacity: DataFrame) -> DataFrame:
-    """The table after one sweep over the lengths greater than ``above``, and the flows it made.
+def sweep(state: DataFrame, capacity: int) -> DataFrame:
+    """The table after one sweep over the lengths greater than half of the longest one, and the flows it made.
 
     A flow says: ``n`` pieces of length ``size`` from rank ``first`` on go ``per`` to a sequence, from
     ``sequence`` on, and the first one of a sequence lies at ``at``.
+
+    Runs of lengths and runs of gaps both tile a zone from 0 on, so from one start of either kind to the next one run
+    of each lies there: the last that began. No join is needed, and a sweep is windows over one table.
     """
-    zoned = materialize(_zones(state, above))
+    zoned = _zones(state)
     met_units = F.greatest(F.lit(0), F.least("units", F.col("other") - F.col("fro")))
     taken = F.when(F.col("kind") == GAP, met_units).otherwise(F.least("n", met_units * F.coalesce("per", F.lit(0))))
     zero = F.lit(0).cast("bigint")
-    left = zoned.select("kind", "size", (F.col("first") + taken).alias("first"), (F.col("n") - taken).alias("n"), zero.alias("per"), zero.alias("sequence"), zero.alias("at")).where("n > 0")
-
-    x = zoned.where(F.col("kind") == LENGTH).where("per is not null").select("zone", "fro", "to", "per", "size", "first", "n")
-    y = zoned.where(F.col("kind") == GAP).select("zone", F.col("fro").alias("g_fro"), F.col("to").alias("g_to"), F.col("size").alias("gap"), F.col("first").alias("g_first"))
-    met = x.join(y, "zone").where("fro < g_to and g_fro < to").crossJoin(F.broadcast(capacity))
-    met = met.withColumn("o", F.greatest("fro", "g_fro")).withColumn("skip", (F.col("o") - F.col("fro")) * F.col("per"))
-    met = met.withColumn("pieces", F.least((F.least("to", "g_to") - F.col("o")) * F.col("per"), F.col("n") - F.col("skip")))
-    met = met.withColumn("sequence", F.col("g_first") + F.col("o") - F.col("g_fro")).withColumn("full", F.floor(F.col("pieces") / F.col("per"))).withColumn("odd", F.col("pieces") % F.col("per"))
 
-    def row(kind: int, size: Column, first: Column, n: Column, per: Column = zero, sequence: Column = zero, at: Column = zero) -> Column:
+    starts = Window.partitionBy("idle", "zone").orderBy("fro", "kind")
+    so_far = starts.rowsBetween(Window.unboundedPreceding, 0)
+    begun = lambda kind: F.last(F.when(F.col("kind") == kind, F.struct("fro", "to", "per", "size", "first", "n")), ignorenulls=True).over(so_far)
+    met = zoned.withColumns({"taken": taken, "x": begun(LENGTH), "y": begun(GAP), "next": F.lead("fro").over(starts)})
+    per, size, gap, o = F.col("x.per"), F.col("x.size"), F.col("y.size"), F.col("fro")
+    until = F.least("x.to", "y.to", F.coalesce("next", "x.to"))
+    met = met.withColumn("skip", (o - F.col("x.fro")) * per).withColumn("pieces", F.when(until > o, F.least((until - o) * per, F.col("x.n") - F.col("skip"))).otherwise(0))
+    met = met.withColumn("pieces", F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.col("pieces")))
+    met = met.withColumn("sequence", F.col("y.first") + o - F.col("y.fro")).withColumn("full", F.floor(F.col("pieces") / per)).withColumn("odd", F.col("pieces") % per)
+
+    def row(kind: int | Column, size: Column, first: Column, n: Column, per: Column = zero, sequence: Column = zero, at: Column = zero) -> Column:
         named = zip((size, first, n, per, sequence, at), ("size", "first", "n", "per", "sequence", "at"), strict=True)
-        return F.struct(F.lit(kind).alias("kind"), *(c.cast("bigint").alias(name) for c, name in named))
+        return F.struct((kind if isinstance(kind, Column) else F.lit(kind)).alias("kind"), *(c.cast("bigint").alias(name) for c, name in named))
 
-    flow = row(FLOW, F.col("size"), F.col("first") + F.col("skip"), F.col("pieces"), F.col("per"), F.col("sequence"), F.col("capacity") - F.col("gap"))
-    shrunk = row(GAP, F.col("gap") - F.col("per") * F.col("size"), F.col("sequence"), F.col("full"))
-    last = row(GAP, F.col("gap") - F.col("odd") * F.col("size"), F.col("sequence") + F.col("full"), F.least(F.col("odd"), F.lit(1)))
-    made = met.select(F.explode(F.array(flow, shrunk, last)).alias("r")).select("r.*").where("n > 0 and size > 0")
-    short = state.where(F.col("kind") == LENGTH).crossJoin(F.broadcast(above)).where("size <= above").drop("above")
-    return short.union(left).union(made)
+    left = row(F.col("kind"), F.col("size"), F.col("first") + F.col("taken"), F.col("n") - F.col("taken"))
+    flow = row(FLOW, size, F.col("x.first") + F.col("skip"), F.col("pieces"), per, F.col("sequence"), F.lit(capacity) - gap)
+    shrunk = row(GAP, gap - per * size, F.col("sequence"), F.col("full"))
+    last = row(GAP, gap - F.col("odd") * size, F.col("sequence") + F.col("full"), F.least(F.col("odd"), F.lit(1)))
+    return met.select(F.explode(F.array(left, flow, shrunk, last)).alias("r")).select("r.*").where("n > 0 and size > 0")
 
 
 def _sizes() -> list[Column]:
@@ -167,7 +173,6 @@ def _sweeps(counts: DataFrame, capacity: int) -> DataFrame:
     state = counts.select(F.lit(LENGTH).alias("kind"), F.col("length").alias("size"), zero.alias("first"), "n", zero.alias("per"), zero.alias("sequence"), zero.alias("at"))
     state, longest, largest = _stored(state)
     tokens, flows, created = state.agg(F.sum(F.col("size") * F.col("n"))).first()[0], [], 0
-    whole = _one_row(spark, capacity=capacity)
     while longest is not None:
         # Numbers that differ from sweep to sweep come as rows, so that one compiled plan serves all sweeps.
         above = longest // 2 if longest > SHORT else 0
@@ -179,12 +184,12 @@ def _sweeps(counts: DataFrame, capacity: int) -> DataFrame:
             opened = -(-unfit.agg(F.sum(F.col("size") * F.col("n"))).first()[0] // capacity)
         new = _one_row(spark, kind=GAP, size=capacity, first=created, n=opened, per=0, sequence=0, at=0).withColumn("kind", F.col("kind").cast("int"))
         created += opened
-        bound = _one_row(spark, above=above)
-        state, longest, largest = _stored(sweep(state.union(new).where("n > 0").coalesce(1), bound, whole))
-        flows.append(state.where(F.col("kind") == FLOW))
+        state, longest, largest = _stored(sweep(state.union(new).where("n > 0").coalesce(1), capacity))
+        flows += state.inputFiles()
         state = state.where(F.col("kind") != FLOW)
-    every = functools.reduce(DataFrame.union, flows) if flows else state
-    return every.select(F.col("size").alias("length"), "first", "n", "per", "sequence", "at")
+    # One scan of all sweeps' files, not one for each sweep.
+    every = spark.read.schema(state.schema).parquet(*flows) if flows else state
+    return every.where(F.col("kind") == FLOW).select(F.col("size").alias("length"), "first", "n", "per", "sequence", "at")
 
 
 #: Flows up to this number (about 50 bytes each) are broadcast.

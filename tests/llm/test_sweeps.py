@@ -46,3 +46,22 @@ def test_sweeps_are_planned_once_and_the_setting_comes_back(spark, monkeypatch):
     with pytest.raises(ZeroDivisionError):
         packing.sweeps(counts, 10)
     assert spark.conf.get(key) == before
+
+
+def test_a_sweep_is_one_write_without_joins_and_its_flows_are_one_scan(spark, monkeypatch):
+    plans, swept, materialize, sweep = [], [], packing.materialize, packing.sweep
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+
+    def watched(df):
+        plans.append(plan(df))
+        return materialize(df)
+
+    monkeypatch.setattr(packing, "materialize", watched)
+    monkeypatch.setattr(packing, "sweep", lambda *args: swept.append(sweep(*args)) or swept[-1])
+    counts = spark.createDataFrame([(n, 1 + n % 3) for n in range(1, 300)], "length bigint, n bigint")
+    flows = packing.sweeps(counts, 400)
+    assert sum(r.n for r in flows.collect()) == sum(1 + n % 3 for n in range(1, 300))
+    # One table for the counts, one for each sweep.
+    assert len(swept) > 2 and len(plans) == 1 + len(swept)
+    assert not any(word in p for p in plans[1:] for word in ("Join", "BroadcastExchange"))
+    assert plan(flows).count("FileScan") == 1
