@@ -22,7 +22,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanlight.llm.common import documents, free_name, materialize
@@ -140,12 +140,24 @@ def rake(cells: DataFrame, dims: dict[str, list[str]] = DIMS, tokens: str = "tok
             held = F.sum("raked").over(Window.partitionBy(*columns))
             out = out.withColumn("raked", F.least(F.coalesce(F.try_divide(F.col("raked") * F.col(f"target_{d}"), held), F.lit(0.0)), F.lit(bound) * F.col("seen")))
         if k % SWEEPS == 0 or k == most:
-            out = materialize(out)
-            if largest_gap(out, dims) <= CLOSE:
+            if few:
+                out, gap = _swept(out, dims)
+            else:
+                out = materialize(out)
+                gap = largest_gap(out, dims)
+            if gap <= CLOSE:
                 break
     return out.withColumn("factor", F.col("raked") / F.col("seen"))
 
 
+def _swept(raked: DataFrame, dims: dict[str, list[str]]) -> tuple[DataFrame, float]:
+    """``raked`` (one partition) as a table, with its ``largest_gap``: the task that writes it observes that, so it costs no job."""
+    seen, gap = Observation(), free_name(raked, "gap")
+    gaps = [F.abs(F.sum("raked").over(Window.partitionBy(*columns)) - F.col(f"target_{d}")) for d, columns in dims.items()]
+    stored = materialize(raked.withColumn(gap, F.greatest(*gaps, F.lit(0.0))).observe(seen, F.max(gap).alias("gap")).drop(gap))
+    return stored, seen.get.get("gap") or 0.0
+
+
 def marginals(raked: DataFrame, dims: dict[str, list[str]] = DIMS) -> DataFrame:
     """``dim, value, wanted, target, reached``: what each value's share should be, what bounded weights can give it, and what it came to."""
     value = lambda columns: F.array(*(F.col(c).cast("string") for c in columns))

@@ -99,3 +99,18 @@ def test_words_are_parted_by_single_spaces_only(spark):
     words = {r.doc_id: r.w for r in df.select("doc_id", mixing._content(F.col("text")).alias("w")).collect()}
     for k, t in enumerate(texts):
         assert words[k] == [w for w in (t or "").split(" ") if len(w) >= 4 and w.isalpha()]
+
+
+def test_the_gap_of_a_small_table_is_observed_where_it_is_written(spark, monkeypatch):
+    cells = spark.createDataFrame([("a", "x", "t", 5), ("a", "y", "u", 30), ("b", "x", "u", 1), (None, "y", None, 400), ("c", None, "t", 7)], "source string, lang string, topic string, tokens bigint")
+    dims = {"source": ["source"], "lang": ["lang"]}
+    once = mixing.rake(cells, dims, most=1).drop("factor")
+    stored, gap = mixing._swept(once.coalesce(1), dims)
+    assert stored.columns == once.columns and stored.count() == 5
+    assert gap > mixing.CLOSE and gap == pytest.approx(mixing.largest_gap(stored, dims), rel=1e-9)
+    empty, none = mixing._swept(once.where("tokens < 0").coalesce(1), dims)
+    assert empty.count() == 0 and none == 0.0
+    with monkeypatch.context() as m:
+        m.setattr(mixing, "largest_gap", lambda *args: 1 / 0)
+        raked = mixing.rake(cells, dims)
+        assert raked.count() == 5
